@@ -121,3 +121,105 @@ SELECT p.*, CASE WHEN shortage_ratio = 0 THEN 'none'
                  ELSE 'high' END AS severity
 FROM c_proj p LEFT JOIN d_thr t USING (event_date)
 """, ["c_proj", "d_thr"])
+
+
+def d_uint(seed, idx: str, field: str) -> str:
+    """DuckDB twin of ``synthetic.uint``."""
+    return f"CAST(('0x' || substr(md5(concat('{seed}-', {idx}, '-{field}')), 1, 8)) AS BIGINT)"
+
+
+def d_unit(seed, idx: str, field: str) -> str:
+    return f"({d_uint(seed, idx, field)} / 4294967296.0)"
+
+
+view("v_recon_base", """
+SELECT l_partkey * 4294967296 + l_suppkey AS record_index,
+       concat('SUP-', l_suppkey) AS supplier_code,
+       concat('SKU-', l_partkey) AS product_sku,
+       concat('WH-', l_suppkey % 25) AS warehouse_code,
+       CAST(floor(sum(l_quantity)) AS BIGINT) AS hub_quantity,
+       [-20, -8, -3, 0, 0, 0, 0, 4, 9, 25][
+         CAST(('0x' || substr(md5(concat('42-', l_partkey, '-', l_suppkey)), 1, 8)) AS BIGINT) % 10 + 1]
+         AS delta
+FROM lineitem GROUP BY l_partkey, l_suppkey
+""")
+view("v_supplier_feed", """
+SELECT record_index, supplier_code, product_sku, warehouse_code,
+       greatest(hub_quantity + delta, 0) AS reported_quantity
+FROM v_recon_base
+""", ["v_recon_base"])
+view("v_hub", "SELECT record_index, product_sku, warehouse_code, hub_quantity FROM v_recon_base",
+     ["v_recon_base"])
+view("v_recon", """
+SELECT s.record_index, s.supplier_code, s.product_sku, s.warehouse_code, s.reported_quantity,
+       h.hub_quantity, s.reported_quantity - h.hub_quantity AS difference_quantity,
+       (s.reported_quantity - h.hub_quantity) = 0 AS matches
+FROM v_supplier_feed s JOIN v_hub h USING (record_index, product_sku, warehouse_code)
+""", ["v_supplier_feed", "v_hub"])
+
+SEED = 20260729
+view("g_recon_base", f"""
+SELECT o_orderkey AS record_index,
+       {d_uint(SEED, 'o_orderkey', 'hub')} % 500 AS hub_quantity,
+       [-20, -8, -3, 0, 0, 0, 0, 4, 9, 25][{d_uint(SEED, 'o_orderkey', 'delta')} % 10 + 1] AS delta,
+       printf('SYN-SKU-%07d', o_orderkey) AS product_sku,
+       printf('SYN-WH-%02d', o_orderkey % 25) AS warehouse_code,
+       concat('SYN-SUPPLIER-', o_orderkey % 4) AS supplier_code
+FROM orders
+""")
+view("g_recon", """
+SELECT record_index, supplier_code, product_sku, warehouse_code,
+       greatest(hub_quantity + delta, 0) AS reported_quantity, hub_quantity,
+       greatest(hub_quantity + delta, 0) - hub_quantity AS difference_quantity,
+       greatest(hub_quantity + delta, 0) - hub_quantity = 0 AS matches
+FROM g_recon_base
+""", ["g_recon_base"])
+
+
+def _normal(seed, idx, field):
+    us = " + ".join(d_unit(seed, idx, f"{field}{k}") for k in range(1, 5))
+    return f"(({us}) - 2.0) * {repr(3.0 ** 0.5)}"
+
+
+view("g_risk_base", f"""
+SELECT o_orderkey AS record_index,
+       printf('SYN-RISK-SKU-%07d', o_orderkey) AS product_sku,
+       printf('SYN-WH-%02d', o_orderkey % 25) AS warehouse_code,
+       CAST(20 + {d_uint(SEED, 'o_orderkey', 'on_hand')} % 480 AS DOUBLE) AS on_hand_quantity,
+       {d_unit(SEED, 'o_orderkey', 'reserved')} AS u_res,
+       CAST({d_uint(SEED, 'o_orderkey', 'inbound')} % 180 AS DOUBLE) AS inbound_quantity,
+       0.65 + {d_unit(SEED, 'o_orderkey', 'factor')} * 0.8 AS factor,
+       {_normal(SEED, 'o_orderkey', 'noise')} AS z
+FROM orders
+""")
+view("g_risk_r", """
+SELECT *, CAST(floor(on_hand_quantity * (u_res * 0.45)) AS DOUBLE) AS reserved_quantity FROM g_risk_base
+""", ["g_risk_base"])
+view("g_risk_f", """
+SELECT *, greatest(1.0, round_even((on_hand_quantity - reserved_quantity + inbound_quantity) * factor, 0))
+         AS forecast_quantity FROM g_risk_r
+""", ["g_risk_r"])
+view("g_risk", """
+SELECT record_index, product_sku, warehouse_code, on_hand_quantity, reserved_quantity, inbound_quantity,
+       forecast_quantity,
+       greatest(0.0, round_even(forecast_quantity * (1.0 + 0.18 * z), 0)) AS actual_demand_quantity
+FROM g_risk_f
+""", ["g_risk_f"])
+view("g_proj_base", RISK_PROJECTION.format(src="g_risk"), ["g_risk"])
+view("g_proj", """
+SELECT *, CASE WHEN forecast_quantity > 0 THEN projected_shortage_quantity / forecast_quantity
+               ELSE 0.0 END AS shortage_ratio
+FROM g_proj_base
+""", ["g_proj_base"])
+view("g_thr", """
+SELECT coalesce(quantile_cont(shortage_ratio, 0.5), 0.0) AS low_to_medium,
+       coalesce(quantile_cont(shortage_ratio, 0.8), 0.0) AS medium_to_high
+FROM g_proj WHERE shortage_ratio > 0
+""", ["g_proj"])
+view("g_curated", """
+SELECT p.*, CASE WHEN shortage_ratio = 0 THEN 'none'
+                 WHEN shortage_ratio <= t.low_to_medium THEN 'low'
+                 WHEN shortage_ratio <= t.medium_to_high THEN 'medium'
+                 ELSE 'high' END AS severity
+FROM g_proj p CROSS JOIN g_thr t
+""", ["g_proj", "g_thr"])

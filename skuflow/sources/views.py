@@ -75,3 +75,35 @@ def v_inv_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "forecast_quantity",
         "actual_demand_quantity",
     )
+
+
+def recon_sides(spark: SparkSession, sf_dir: str, seed: str = "42") -> tuple[DataFrame, DataFrame]:
+    """Supplier-reported vs hub quantities per (part, supplier) pair.
+
+    hub = summed line quantity; reported = max(hub + delta, 0) with delta drawn
+    from the reconciliation delta list by an md5 integer of the pair. The
+    record index packs the pair into one BIGINT (no global numbering pass).
+    """
+    li = read_table(spark, sf_dir, "lineitem")
+    pairs = li.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("_q"))
+    deltas = F.array(*[F.lit(d) for d in S.RECONCILIATION_DELTAS])
+    pick = md5_uint(F.concat(F.lit(f"{seed}-"), _s("l_partkey"), F.lit("-"), _s("l_suppkey"))) % 10
+    base = pairs.select(
+        (F.col("l_partkey") * F.lit(4294967296) + F.col("l_suppkey")).alias("record_index"),
+        F.concat(F.lit("SUP-"), _s("l_suppkey")).alias("supplier_code"),
+        F.concat(F.lit("SKU-"), _s("l_partkey")).alias("product_sku"),
+        F.concat(F.lit("WH-"), _s(F.col("l_suppkey") % 25)).alias("warehouse_code"),
+        F.floor("_q").cast("bigint").alias("hub_quantity"),
+        F.element_at(deltas, (pick + 1).cast("int")).cast("bigint").alias("_delta"),
+    )
+    supplier = base.select(
+        "record_index", "supplier_code", "product_sku", "warehouse_code",
+        F.greatest(F.col("hub_quantity") + F.col("_delta"), F.lit(0).cast("bigint")).alias("reported_quantity"),
+    )
+    hub = base.select("record_index", "product_sku", "warehouse_code", "hub_quantity")
+    return supplier, hub
+
+
+def order_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense row indices 0..n-1 taken from ``orders.o_orderkey``."""
+    return read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"))

@@ -223,3 +223,90 @@ SELECT p.*, CASE WHEN shortage_ratio = 0 THEN 'none'
                  ELSE 'high' END AS severity
 FROM g_proj p CROSS JOIN g_thr t
 """, ["g_proj", "g_thr"])
+
+UNITS_SQL = "['EACH', 'CASE', 'PALLET', 'KILOGRAM']"
+ROW_KEY_SQL = ("CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+               "l_quantity, l_extendedprice)), 1, 15)) AS BIGINT)")
+
+view("v_feed_records", f"""
+SELECT concat('JOB-', l_suppkey, '-', year(l_shipdate)) AS import_job_id,
+       CAST(year(l_shipdate) AS INTEGER) AS job_seq,
+       concat('SUP-', l_suppkey) AS supplier_id,
+       concat('REF-', l_orderkey % 400) AS source_reference,
+       {ROW_KEY_SQL} AS source_row,
+       concat('EXT-', l_partkey) AS external_sku,
+       concat('LOC-', l_suppkey % 25) AS external_location,
+       l_shipdate AS observed_at,
+       {UNITS_SQL}[(l_partkey + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) % 4 + 1] AS source_unit,
+       CAST(l_quantity AS DECIMAL(18,3)) AS on_hand_quantity,
+       CAST(l_quantity * l_discount AS DECIMAL(18,3)) AS reserved_quantity,
+       CAST(CASE WHEN l_linenumber % 2 = 1 THEN NULL
+                 ELSE 1 + l_partkey % 12 + CASE WHEN l_linenumber = 6 THEN 1 ELSE 0 END END
+            AS DECIMAL(18,3)) AS units_per_source_unit
+FROM lineitem
+""")
+view("v_product_map", f"""
+SELECT concat('EXT-', p_partkey) AS external_sku, concat('PRD-', p_partkey) AS product_id,
+       {UNITS_SQL}[p_partkey % 4 + 1] AS source_unit,
+       CAST(1 + p_partkey % 12 AS DECIMAL(18,3)) AS units_per_source_unit,
+       CAST(1 + p_size % 3 AS INTEGER) AS version, p_size % 7 <> 0 AS active
+FROM part WHERE p_partkey % 10 <> 0
+""")
+view("v_warehouse_map", """
+SELECT concat('LOC-', n_nationkey) AS external_location, concat('WH-', n_nationkey) AS warehouse_id,
+       CAST(1 + n_regionkey % 2 AS INTEGER) AS version, n_nationkey % 11 <> 10 AS active
+FROM nation WHERE n_nationkey <> 7
+""")
+view("v_flagged", """
+SELECT r.*, pm.product_id, pm.source_unit AS map_unit, pm.units_per_source_unit AS map_factor,
+       pm.version AS product_mapping_version, wm.warehouse_id, wm.version AS warehouse_mapping_version,
+       CASE WHEN pm.product_id IS NULL THEN 'product_mapping_not_found'
+            WHEN wm.warehouse_id IS NULL THEN 'warehouse_mapping_not_found'
+            WHEN pm.source_unit <> r.source_unit THEN 'source_unit_mismatch'
+            WHEN r.units_per_source_unit IS NOT NULL AND r.units_per_source_unit <> pm.units_per_source_unit
+              THEN 'unit_conversion_mismatch' END AS map_code,
+       CASE WHEN pm.product_id IS NULL THEN 'external_sku'
+            WHEN wm.warehouse_id IS NULL THEN 'external_location'
+            WHEN pm.source_unit <> r.source_unit THEN 'source_unit'
+            WHEN r.units_per_source_unit IS NOT NULL AND r.units_per_source_unit <> pm.units_per_source_unit
+              THEN 'units_per_source_unit' END AS map_field
+FROM v_feed_records r
+LEFT JOIN (SELECT * FROM v_product_map WHERE active) pm USING (external_sku)
+LEFT JOIN (SELECT * FROM v_warehouse_map WHERE active) wm USING (external_location)
+""", ["v_feed_records", "v_product_map", "v_warehouse_map"])
+# Sequential semantics, written as windows: first row of the key in the job,
+# and the earliest job whose first row passes the mapping rules.
+view("v_verdicts_base", """
+SELECT *,
+       min(source_row) OVER (PARTITION BY supplier_id, source_reference, external_sku, external_location, job_seq)
+         AS first_row,
+       first_value(map_code IS NULL) OVER (
+         PARTITION BY supplier_id, source_reference, external_sku, external_location, job_seq
+         ORDER BY source_row) AS first_ok
+FROM v_flagged
+""", ["v_flagged"])
+view("v_verdicts_acc", """
+SELECT *, min(CASE WHEN first_ok AND source_row = first_row THEN job_seq END) OVER (
+            PARTITION BY supplier_id, source_reference, external_sku, external_location) AS accepted_job
+FROM v_verdicts_base
+""", ["v_verdicts_base"])
+view("v_verdicts", """
+SELECT *, source_row <> first_row AS duplicate_in_file,
+       coalesce(accepted_job < job_seq, false) AS already_imported,
+       CASE WHEN source_row <> first_row OR coalesce(accepted_job < job_seq, false)
+            THEN 'duplicate_source_record' ELSE map_code END AS error_code,
+       CASE WHEN source_row <> first_row OR coalesce(accepted_job < job_seq, false)
+            THEN NULL ELSE map_field END AS field_name,
+       (CASE WHEN source_row <> first_row OR coalesce(accepted_job < job_seq, false)
+            THEN 'duplicate_source_record' ELSE map_code END) IS NULL AS accepted
+FROM v_verdicts_acc
+""", ["v_verdicts_acc"])
+view("v_snapshots", """
+SELECT import_job_id, job_seq, supplier_id, product_id, warehouse_id, source_reference, external_sku,
+       external_location, observed_at, source_row, source_unit,
+       CAST(on_hand_quantity * map_factor AS DECIMAL(18,3)) AS on_hand_quantity,
+       CAST(reserved_quantity * map_factor AS DECIMAL(18,3)) AS reserved_quantity,
+       CAST(map_factor AS DECIMAL(18,3)) AS units_per_source_unit,
+       product_mapping_version, warehouse_mapping_version
+FROM v_verdicts WHERE accepted
+""", ["v_verdicts"])

@@ -107,3 +107,61 @@ def recon_sides(spark: SparkSession, sf_dir: str, seed: str = "42") -> tuple[Dat
 def order_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense row indices 0..n-1 taken from ``orders.o_orderkey``."""
     return read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"))
+
+
+def _units() -> F.Column:
+    return F.array(*[F.lit(u) for u in S.UNIT_OF_MEASURE])
+
+
+def row_key(*cols: str) -> F.Column:
+    """A 60-bit position key of a source row (unique over the driver tables);
+    stands in for a partner file's line number without a numbering pass."""
+    return md5_uint(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]), 15)
+
+
+def feed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical partner records: one import job per (supplier, ship year),
+    jobs applied in year order."""
+    li = read_table(spark, sf_dir, "lineitem")
+    year = F.year("l_shipdate")
+    unit_idx = (F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, 1).otherwise(0)) % 4
+    factor = F.when(F.col("l_linenumber") % 2 == 1, F.lit(None)).otherwise(
+        F.lit(1) + F.col("l_partkey") % 12 + F.when(F.col("l_linenumber") == 6, 1).otherwise(0))
+    return li.select(
+        F.concat(F.lit("JOB-"), _s("l_suppkey"), F.lit("-"), _s(year)).alias("import_job_id"),
+        year.cast("int").alias("job_seq"),
+        F.concat(F.lit("SUP-"), _s("l_suppkey")).alias("supplier_id"),
+        F.concat(F.lit("REF-"), _s(F.col("l_orderkey") % 400)).alias("source_reference"),
+        row_key("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+        .alias("source_row"),
+        F.concat(F.lit("EXT-"), _s("l_partkey")).alias("external_sku"),
+        F.concat(F.lit("LOC-"), _s(F.col("l_suppkey") % 25)).alias("external_location"),
+        F.col("l_shipdate").cast("timestamp").alias("observed_at"),
+        F.element_at(_units(), (unit_idx + 1).cast("int")).alias("source_unit"),
+        F.col("l_quantity").cast(S.QTY).alias("on_hand_quantity"),
+        (F.col("l_quantity") * F.col("l_discount")).cast(S.QTY).alias("reserved_quantity"),
+        factor.cast(S.QTY).alias("units_per_source_unit"),
+    )
+
+
+def product_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active/inactive product mappings; every tenth part has none."""
+    p = read_table(spark, sf_dir, "part").where(F.col("p_partkey") % 10 != 0)
+    return p.select(
+        F.concat(F.lit("EXT-"), _s("p_partkey")).alias("external_sku"),
+        F.concat(F.lit("PRD-"), _s("p_partkey")).alias("product_id"),
+        F.element_at(_units(), (F.col("p_partkey") % 4 + 1).cast("int")).alias("source_unit"),
+        (F.lit(1) + F.col("p_partkey") % 12).cast(S.QTY).alias("units_per_source_unit"),
+        (F.lit(1) + F.col("p_size") % 3).cast("int").alias("version"),
+        (F.col("p_size") % 7 != 0).alias("active"),
+    )
+
+
+def warehouse_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read_table(spark, sf_dir, "nation").where(F.col("n_nationkey") != 7)
+    return n.select(
+        F.concat(F.lit("LOC-"), _s("n_nationkey")).alias("external_location"),
+        F.concat(F.lit("WH-"), _s("n_nationkey")).alias("warehouse_id"),
+        (F.lit(1) + F.col("n_regionkey") % 2).cast("int").alias("version"),
+        (F.col("n_nationkey") % 11 != 10).alias("active"),
+    )

@@ -140,18 +140,29 @@ def utc_iso(ts) -> Column:
     return F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def utc_iso_micros(ts) -> Column:
+    """ISO-8601 UTC with microseconds and a ``Z`` suffix."""
+    return F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def has_timezone(text) -> Column:
     return col(text).rlike(TZ_SUFFIX_PATTERN)
 
 
 def parse_aware_timestamp(text) -> Column:
-    """Timezone-aware ISO text -> UTC instant; naive or malformed -> NULL."""
+    """Timezone-aware ISO-8601 text -> UTC instant; naive or malformed -> NULL.
+
+    Parsing uses Spark's string-to-timestamp cast rules (``T`` or space,
+    optional fraction, ``Z`` or numeric offset); the offset is required.
+    """
     t = F.trim(col(text))
-    parsed = F.coalesce(
-        F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX")),
-        F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]XXX")),
-    )
-    return F.when(has_timezone(t), parsed)
+    return F.when(has_timezone(t), F.try_to_timestamp(t))
+
+
+def parse_naive_timestamp(text) -> Column:
+    """A timestamp text without an offset (to report "timezone required")."""
+    t = F.trim(col(text))
+    return F.when(~has_timezone(t), F.try_to_timestamp(t))
 
 
 # --- C17 ---------------------------------------------------------------------------

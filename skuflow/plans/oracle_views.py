@@ -257,7 +257,7 @@ SELECT concat('LOC-', n_nationkey) AS external_location, concat('WH-', n_nationk
        CAST(1 + n_regionkey % 2 AS INTEGER) AS version, n_nationkey % 11 <> 10 AS active
 FROM nation WHERE n_nationkey <> 7
 """)
-view("v_flagged", """
+VERDICT_CHAIN = [("flagged", """
 SELECT r.*, pm.product_id, pm.source_unit AS map_unit, pm.units_per_source_unit AS map_factor,
        pm.version AS product_mapping_version, wm.warehouse_id, wm.version AS warehouse_mapping_version,
        CASE WHEN pm.product_id IS NULL THEN 'product_mapping_not_found'
@@ -270,27 +270,27 @@ SELECT r.*, pm.product_id, pm.source_unit AS map_unit, pm.units_per_source_unit
             WHEN pm.source_unit <> r.source_unit THEN 'source_unit'
             WHEN r.units_per_source_unit IS NOT NULL AND r.units_per_source_unit <> pm.units_per_source_unit
               THEN 'units_per_source_unit' END AS map_field
-FROM v_feed_records r
+FROM {src} r
 LEFT JOIN (SELECT * FROM v_product_map WHERE active) pm USING (external_sku)
 LEFT JOIN (SELECT * FROM v_warehouse_map WHERE active) wm USING (external_location)
-""", ["v_feed_records", "v_product_map", "v_warehouse_map"])
+""", ["{src}", "v_product_map", "v_warehouse_map"]),
 # Sequential semantics, written as windows: first row of the key in the job,
 # and the earliest job whose first row passes the mapping rules.
-view("v_verdicts_base", """
+("verdicts_base", """
 SELECT *,
        min(source_row) OVER (PARTITION BY supplier_id, source_reference, external_sku, external_location, job_seq)
          AS first_row,
        first_value(map_code IS NULL) OVER (
          PARTITION BY supplier_id, source_reference, external_sku, external_location, job_seq
          ORDER BY source_row) AS first_ok
-FROM v_flagged
-""", ["v_flagged"])
-view("v_verdicts_acc", """
+FROM {p}_flagged
+""", ["{p}_flagged"]),
+("verdicts_acc", """
 SELECT *, min(CASE WHEN first_ok AND source_row = first_row THEN job_seq END) OVER (
             PARTITION BY supplier_id, source_reference, external_sku, external_location) AS accepted_job
-FROM v_verdicts_base
-""", ["v_verdicts_base"])
-view("v_verdicts", """
+FROM {p}_verdicts_base
+""", ["{p}_verdicts_base"]),
+("verdicts", """
 SELECT *, source_row <> first_row AS duplicate_in_file,
        coalesce(accepted_job < job_seq, false) AS already_imported,
        CASE WHEN source_row <> first_row OR coalesce(accepted_job < job_seq, false)
@@ -299,8 +299,20 @@ SELECT *, source_row <> first_row AS duplicate_in_file,
             THEN NULL ELSE map_field END AS field_name,
        (CASE WHEN source_row <> first_row OR coalesce(accepted_job < job_seq, false)
             THEN 'duplicate_source_record' ELSE map_code END) IS NULL AS accepted
-FROM v_verdicts_acc
-""", ["v_verdicts_acc"])
+FROM {p}_verdicts_acc
+""", ["{p}_verdicts_acc"]),
+]
+
+
+def verdict_views(prefix: str, src: str) -> None:
+    """Define ``{prefix}_flagged`` .. ``{prefix}_verdicts`` over record view ``src``."""
+    for name, sql, deps in VERDICT_CHAIN:
+        view(f"{prefix}_{name}", sql.replace("{src}", src).replace("{p}", prefix),
+             [d.replace("{src}", src).replace("{p}", prefix) for d in deps])
+
+
+verdict_views("v", "v_feed_records")
+
 view("v_snapshots", """
 SELECT import_job_id, job_seq, supplier_id, product_id, warehouse_id, source_reference, external_sku,
        external_location, observed_at, source_row, source_unit,
@@ -310,3 +322,169 @@ SELECT import_job_id, job_seq, supplier_id, product_id, warehouse_id, source_ref
        product_mapping_version, warehouse_mapping_version
 FROM v_verdicts WHERE accepted
 """, ["v_verdicts"])
+
+# --- partner payloads (same renderings as the Spark views) -------------------
+SB_CANON = "snapshot_ref,as_of,partner_sku,depot,case_count,units_per_case"
+SB_REORDERED = "depot,partner_sku,snapshot_ref,as_of,units_per_case,case_count,note"
+SB_MISSING = "snapshot_ref,partner_sku,case_count,units_per_case"
+
+view("sb_files", """
+SELECT concat('B-', s_suppkey) AS file_id, s_suppkey,
+       CASE WHEN s_suppkey % 17 = 0 THEN 3 ELSE CAST(s_suppkey % 3 AS INTEGER) END AS variant
+FROM supplier
+""")
+view("sb_vals", f"""
+SELECT f.file_id, f.variant, {ROW_KEY_SQL} AS source_row,
+       concat('SB-', l_orderkey % 400) AS snapshot_ref,
+       CASE WHEN l_partkey % 13 = 0 THEN strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S')
+            WHEN l_partkey % 11 = 0 AND l_linenumber = 5 THEN 'not-a-time'
+            ELSE strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '-07:00' END AS as_of,
+       CASE WHEN l_orderkey % 97 = 0 THEN '' ELSE concat('EXT-', l_partkey) END AS partner_sku,
+       concat('LOC-', l_suppkey % 25) AS depot,
+       CASE WHEN l_partkey % 17 = 0 THEN '-2' ELSE printf('%.3f', l_quantity) END AS case_count,
+       CASE WHEN l_partkey % 19 = 0 THEN '0' WHEN l_partkey % 23 = 0 THEN '1.2345'
+            ELSE printf('%.3f', CAST(1 + l_partkey % 12 AS DOUBLE)) END AS units_per_case,
+       'n/a' AS note
+FROM lineitem JOIN sb_files f ON l_suppkey = f.s_suppkey
+""", ["sb_files"])
+view("sb_lines", f"""
+SELECT file_id, CAST(1 AS BIGINT) AS source_row,
+       CASE variant WHEN 0 THEN '{SB_REORDERED}' WHEN 3 THEN '{SB_MISSING}' ELSE '{SB_CANON}' END AS text,
+       true AS is_header
+FROM sb_files
+UNION ALL
+SELECT file_id, source_row,
+       CASE variant
+         WHEN 0 THEN concat_ws(',', depot, partner_sku, snapshot_ref, as_of, units_per_case, case_count, note)
+         WHEN 2 THEN concat_ws(',', snapshot_ref, as_of, partner_sku, depot, case_count, units_per_case, 'extra')
+         WHEN 3 THEN concat_ws(',', snapshot_ref, partner_sku, case_count, units_per_case)
+         ELSE concat_ws(',', snapshot_ref, as_of, partner_sku, depot, case_count, units_per_case) END AS text,
+       false AS is_header
+FROM sb_vals
+""", ["sb_files", "sb_vals"])
+view("sb_headers", """
+SELECT file_id, string_split(text, ',') AS hdr,
+       list_sort(list_filter(['snapshot_ref', 'as_of', 'partner_sku', 'depot', 'case_count', 'units_per_case'],
+                             lambda x: NOT list_contains(string_split(text, ','), x))) AS missing
+FROM sb_lines WHERE is_header
+""", ["sb_lines"])
+view("sb_fields", """
+SELECT l.file_id, l.source_row, f[list_position(h.hdr, 'snapshot_ref')] AS snapshot_ref,
+       f[list_position(h.hdr, 'as_of')] AS as_of, f[list_position(h.hdr, 'partner_sku')] AS partner_sku,
+       f[list_position(h.hdr, 'depot')] AS depot, f[list_position(h.hdr, 'case_count')] AS case_count,
+       f[list_position(h.hdr, 'units_per_case')] AS units_per_case
+FROM (SELECT *, string_split(text, ',') AS f FROM sb_lines WHERE NOT is_header) l
+JOIN sb_headers h USING (file_id)
+WHERE len(h.missing) = 0
+""", ["sb_lines", "sb_headers"])
+
+
+def _str_bad(c):
+    return f"({c} IS NULL OR length({c}) < 1 OR length({c}) > 100)"
+
+
+def _ts_bad(c):
+    return (f"({c} IS NULL OR NOT regexp_matches(trim({c}), '(Z|z|[+-]\\d\\d:?\\d\\d)$') "
+            f"OR TRY_CAST(trim({c}) AS TIMESTAMPTZ) IS NULL)")
+
+
+def _dec_bad(c, positive):
+    t = f"trim({c})"
+    frac = f"length(rtrim(regexp_extract({t}, '\\.(\\d*)$', 1), '0'))"
+    ints = f"length(ltrim(regexp_extract({t}, '^[+-]?(\\d*)', 1), '0'))"
+    cmp = "<=" if positive else "<"
+    return (f"({c} IS NULL OR NOT regexp_full_match({t}, '[+-]?(\\d+(\\.\\d*)?|\\.\\d+)') OR {frac} > 3 "
+            f"OR {ints} + {frac} > 18 OR TRY_CAST({t} AS DECIMAL(38,10)) {cmp} 0)")
+
+
+SB_CHECKS = [
+    ("snapshot_ref", _str_bad("snapshot_ref")), ("as_of", _ts_bad("as_of")),
+    ("partner_sku", _str_bad("partner_sku")), ("depot", _str_bad("depot")),
+    ("case_count", _dec_bad("case_count", False)), ("units_per_case", _dec_bad("units_per_case", True)),
+]
+view("sb_field_errors", "\nUNION ALL\n".join(
+    f"SELECT file_id, source_row, '{name}' AS field_name FROM sb_fields WHERE {cond}" for name, cond in SB_CHECKS
+), ["sb_fields"])
+view("sb_records", """
+SELECT file_id, snapshot_ref AS source_reference, source_row, partner_sku AS external_sku,
+       depot AS external_location, timezone('UTC', CAST(trim(as_of) AS TIMESTAMPTZ)) AS observed_at,
+       'CASE' AS source_unit, CAST(trim(case_count) AS DECIMAL(18,3)) AS on_hand_quantity,
+       CAST(0 AS DECIMAL(18,3)) AS reserved_quantity,
+       CAST(trim(units_per_case) AS DECIMAL(18,3)) AS units_per_source_unit
+FROM sb_fields f
+WHERE NOT EXISTS (SELECT 1 FROM sb_field_errors e WHERE e.file_id = f.file_id AND e.source_row = f.source_row)
+""", ["sb_fields", "sb_field_errors"])
+view("sb_adapter_errors", """
+SELECT file_id AS import_job_id, CAST(NULL AS BIGINT) AS source_row, 'missing_csv_headers' AS code,
+       CAST(NULL AS VARCHAR) AS field_name
+FROM sb_headers WHERE len(missing) > 0
+UNION ALL
+SELECT file_id, source_row, 'invalid_csv_field', field_name FROM sb_field_errors
+""", ["sb_headers", "sb_field_errors"])
+view("sb_feed", """
+SELECT file_id AS import_job_id, 1 AS job_seq, file_id AS supplier_id, source_reference, source_row,
+       external_sku, external_location, observed_at, source_unit, on_hand_quantity, reserved_quantity,
+       units_per_source_unit
+FROM sb_records
+""", ["sb_records"])
+verdict_views("sb", "sb_feed")
+
+# Supplier A: one JSON snapshot per order.
+view("sa_items", f"""
+SELECT concat('SA-', l_orderkey) AS payload_id, l_orderkey,
+       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {ROW_KEY_SQL}) AS source_row,
+       concat('EXT-', l_partkey) AS item_number, concat('LOC-', l_suppkey % 25) AS location,
+       CASE WHEN l_partkey % 31 = 0 THEN '-5.000' ELSE printf('%.3f', l_quantity) END AS on_hand,
+       CASE WHEN l_linenumber = 2 THEN NULL
+            ELSE printf('%.3f', CAST(floor(l_quantity * l_discount) AS DOUBLE)) END AS allocated,
+       CASE WHEN l_partkey % 29 = 0 THEN 'BOX' ELSE {UNITS_SQL}[l_partkey % 4 + 1] END AS unit
+FROM lineitem
+""")
+view("sa_item_errors", f"""
+SELECT payload_id, concat('items.', source_row - 1, '.on_hand') AS field_name FROM sa_items
+WHERE {_dec_bad('on_hand', False)}
+UNION ALL
+SELECT payload_id, concat('items.', source_row - 1, '.allocated') FROM sa_items
+WHERE allocated IS NOT NULL AND {_dec_bad('allocated', False)}
+UNION ALL
+SELECT payload_id, concat('items.', source_row - 1, '.unit') FROM sa_items
+WHERE unit NOT IN ('EACH', 'CASE', 'PALLET', 'KILOGRAM')
+""", ["sa_items"])
+view("sa_records", """
+SELECT i.payload_id, i.payload_id AS source_reference, i.source_row, i.item_number AS external_sku,
+       i.location AS external_location, o.o_orderdate - INTERVAL 2 HOUR AS observed_at, i.unit AS source_unit,
+       CAST(i.on_hand AS DECIMAL(18,3)) AS on_hand_quantity,
+       CAST(coalesce(i.allocated, '0') AS DECIMAL(18,3)) AS reserved_quantity
+FROM sa_items i JOIN orders o ON o.o_orderkey = i.l_orderkey
+WHERE i.payload_id NOT IN (SELECT payload_id FROM sa_item_errors)
+""", ["sa_items", "sa_item_errors"])
+
+# Carrier C events: arrival order, re-sent copies, planted defects.
+view("cc_raw", """
+SELECT event_id * 2 AS arrival_seq, * FROM events
+UNION ALL
+SELECT event_id * 2 + 1 AS arrival_seq, * FROM events WHERE event_id % 13 = 0
+""")
+view("cc_events", """
+SELECT arrival_seq, concat('C-EVT-', event_id) AS external_event_id,
+       concat('T-', user_id, '-', strftime(ts, '%Y%m%d')) AS tracking_reference,
+       CASE event_type WHEN 'signup' THEN 'picked_up' WHEN 'click' THEN 'in_transit' WHEN 'view' THEN 'delayed'
+                       WHEN 'purchase' THEN 'delivered' WHEN 'error' THEN 'cancelled' END AS event_type,
+       ts AS occurred_at, CASE WHEN event_type = 'view' THEN 'WEATHER' END AS reason_code,
+       user_id, strftime(ts, '%Y%m%d') AS d
+FROM cc_raw WHERE event_id % 50 <> 0 AND event_id % 10 <> 3
+""", ["cc_raw"])
+view("cc_rejects", """
+SELECT arrival_seq, concat('C-EVT-', event_id) AS external_event_id, 'event' AS field_name
+FROM cc_raw WHERE event_id % 50 = 0
+UNION ALL
+SELECT arrival_seq, concat('C-EVT-', event_id), 'event_time' FROM cc_raw WHERE event_id % 10 = 3
+""", ["cc_raw"])
+view("v_shipments", """
+WITH d AS (SELECT DISTINCT user_id, strftime(ts, '%Y%m%d') AS d FROM events WHERE user_id % 41 <> 0)
+SELECT concat('SHP-', user_id, '-', d) AS shipment_id, concat('T-', user_id, '-', d) AS tracking_reference,
+       concat('SUP-', user_id % 7) AS supplier_id FROM d
+UNION ALL
+SELECT concat('SHP-', user_id, '-', d, '-B'), concat('T-', user_id, '-', d), 'SUP-X' FROM d
+WHERE user_id % 37 = 0
+""")

@@ -165,3 +165,142 @@ def warehouse_map(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1) + F.col("n_regionkey") % 2).cast("int").alias("version"),
         (F.col("n_nationkey") % 11 != 10).alias("active"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Partner payloads rendered from the driver tables (with planted defects)
+# ---------------------------------------------------------------------------
+_SB_CANON = ["snapshot_ref", "as_of", "partner_sku", "depot", "case_count", "units_per_case"]
+_SB_REORDERED = ["depot", "partner_sku", "snapshot_ref", "as_of", "units_per_case", "case_count", "note"]
+_SB_MISSING = ["snapshot_ref", "partner_sku", "case_count", "units_per_case"]
+
+
+def supplier_b_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier B CSV lines: one file per supplier, header variants by supplier
+    (reordered + extra column, trailing unnamed values, missing headers), data
+    lines from line items with bad timestamps, blank SKUs, negative counts,
+    zero factors and too many decimals."""
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey")
+    variant = (F.when(F.col("s_suppkey") % 17 == 0, F.lit(3))
+               .otherwise((F.col("s_suppkey") % 3).cast("int")))
+    files = sup.select(F.concat(F.lit("B-"), _s("s_suppkey")).alias("file_id"), "s_suppkey",
+                       variant.alias("variant"))
+    headers = files.select(
+        "file_id", F.lit(1).cast("bigint").alias("source_row"),
+        F.when(F.col("variant") == 0, F.lit(",".join(_SB_REORDERED)))
+        .when(F.col("variant") == 3, F.lit(",".join(_SB_MISSING)))
+        .otherwise(F.lit(",".join(_SB_CANON))).alias("text"),
+        F.lit(True).alias("is_header"),
+    )
+    li = read_table(spark, sf_dir, "lineitem")
+    pk = F.col("l_partkey")
+    iso = F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss")
+    v = {
+        "snapshot_ref": F.concat(F.lit("SB-"), _s(F.col("l_orderkey") % 400)),
+        "as_of": F.when(pk % 13 == 0, iso)
+        .when((pk % 11 == 0) & (F.col("l_linenumber") == 5), F.lit("not-a-time"))
+        .otherwise(F.concat(iso, F.lit("-07:00"))),
+        "partner_sku": F.when(F.col("l_orderkey") % 97 == 0, F.lit("")).otherwise(F.concat(F.lit("EXT-"), _s(pk))),
+        "depot": F.concat(F.lit("LOC-"), _s(F.col("l_suppkey") % 25)),
+        "case_count": F.when(pk % 17 == 0, F.lit("-2")).otherwise(F.format_string("%.3f", F.col("l_quantity"))),
+        "units_per_case": F.when(pk % 19 == 0, F.lit("0")).when(pk % 23 == 0, F.lit("1.2345"))
+        .otherwise(F.format_string("%.3f", (F.lit(1) + pk % 12).cast("double"))),
+        "note": F.lit("n/a"),
+    }
+    data = li.join(files, li.l_suppkey == files.s_suppkey).select(
+        "file_id",
+        row_key("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+        .alias("source_row"),
+        F.when(F.col("variant") == 0, F.concat_ws(",", *[v[c] for c in _SB_REORDERED]))
+        .when(F.col("variant") == 2, F.concat_ws(",", *[v[c] for c in _SB_CANON], F.lit("extra")))
+        .when(F.col("variant") == 3, F.concat_ws(",", *[v[c] for c in _SB_MISSING]))
+        .otherwise(F.concat_ws(",", *[v[c] for c in _SB_CANON])).alias("text"),
+        F.lit(False).alias("is_header"),
+    )
+    return headers.unionByName(data)
+
+
+def supplier_a_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier A JSON snapshots: one per order, items = the order's line items
+    (at most seven per order by the TPC-H data model), ordered by line number.
+    Defects: unknown unit (payload invalid), negative on-hand, missing allocated."""
+    li = read_table(spark, sf_dir, "lineitem")
+    pk = F.col("l_partkey")
+    item = F.struct(
+        F.col("l_linenumber").alias("_k1"),
+        row_key("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("_k2"),
+        F.concat(F.lit("EXT-"), _s(pk)).alias("item_number"),
+        F.concat(F.lit("LOC-"), _s(F.col("l_suppkey") % 25)).alias("location"),
+        F.when(pk % 31 == 0, F.lit("-5.000")).otherwise(F.format_string("%.3f", F.col("l_quantity"))).alias("on_hand"),
+        F.when(F.col("l_linenumber") == 2, F.lit(None).cast("string"))
+        .otherwise(F.format_string("%.3f", F.floor(F.col("l_quantity") * F.col("l_discount")).cast("double")))
+        .alias("allocated"),
+        F.when(pk % 29 == 0, F.lit("BOX")).otherwise(
+            F.element_at(_units(), (pk % 4 + 1).cast("int"))).alias("unit"),
+    )
+    per_order = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    doc = per_order.join(o, per_order.l_orderkey == o.o_orderkey).select(
+        F.concat(F.lit("SA-"), _s("l_orderkey")).alias("payload_id"),
+        F.to_json(F.struct(
+            F.concat(F.lit("SA-"), _s("l_orderkey")).alias("snapshot_id"),
+            F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")).alias("captured_at"),
+            F.transform("_items", lambda it: it.dropFields("_k1", "_k2")).alias("items"),
+        )).alias("value"),
+    )
+    return doc
+
+
+_CARRIER_TYPES = [("signup", "PICKED_UP"), ("click", "IN_TRANSIT"), ("view", "DELAYED"),
+                  ("purchase", "DELIVERED"), ("error", "CANCELLED")]
+
+
+def carrier_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Carrier C JSON events from ``events``: tracking = user + day; every
+    13th event is re-sent right after itself; unknown types and naive times
+    are planted. ``arrival_seq`` is the arrival order."""
+    ev = read_table(spark, sf_dir, "events")
+    etype = F.lit("LOST")
+    for src, dst in reversed(_CARRIER_TYPES):
+        etype = F.when(F.col("event_type") == src, F.lit(dst)).otherwise(etype)
+    etype = F.when(F.col("event_id") % 50 == 0, F.lit("LOST")).otherwise(etype)
+    ts = F.col("ts").cast("timestamp")
+    fmt = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    etime = (F.when(F.col("event_id") % 10 == 3, F.date_format(ts, fmt))
+             .when(F.col("event_id") % 10 == 7,
+                   F.concat(F.date_format(ts - F.expr("INTERVAL 7 HOURS"), fmt), F.lit("-07:00")))
+             .otherwise(F.concat(F.date_format(ts, fmt), F.lit("Z"))))
+    base = ev.select(
+        "event_id",
+        F.to_json(F.struct(
+            F.concat(F.lit("C-EVT-"), _s("event_id")).alias("event_id"),
+            F.concat(F.lit("T-"), _s("user_id"), F.lit("-"), F.date_format(ts, "yyyyMMdd")).alias("tracking_number"),
+            etype.alias("event"),
+            etime.alias("event_time"),
+            F.when(F.col("event_type") == "view", F.lit("WEATHER")).alias("reason_code"),
+        )).alias("value"),
+    )
+    first = base.select((F.col("event_id") * 2).alias("arrival_seq"), "value")
+    again = base.where(F.col("event_id") % 13 == 0).select((F.col("event_id") * 2 + 1).alias("arrival_seq"), "value")
+    return first.unionByName(again)
+
+
+def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned shipments, one per (user, day) of ``events``. Every 41st user's
+    shipments are missing (tracking not found); every 37th user's tracking
+    references belong to two suppliers (ambiguous)."""
+    ev = read_table(spark, sf_dir, "events")
+    days = ev.select("user_id", F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd").alias("d")).distinct()
+    days = days.where(F.col("user_id") % 41 != 0)
+    tracking = F.concat(F.lit("T-"), _s("user_id"), F.lit("-"), F.col("d"))
+    main = days.select(
+        F.concat(F.lit("SHP-"), _s("user_id"), F.lit("-"), F.col("d")).alias("shipment_id"),
+        tracking.alias("tracking_reference"),
+        F.concat(F.lit("SUP-"), _s(F.col("user_id") % 7)).alias("supplier_id"),
+    )
+    extra = days.where(F.col("user_id") % 37 == 0).select(
+        F.concat(F.lit("SHP-"), _s("user_id"), F.lit("-"), F.col("d"), F.lit("-B")).alias("shipment_id"),
+        tracking.alias("tracking_reference"),
+        F.lit("SUP-X").alias("supplier_id"),
+    )
+    return main.unionByName(extra)

@@ -14,7 +14,7 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from skuflow.session import build_session
 
-    s = build_session("local[*]", 8, app_name="skuflow-tests")
+    s = build_session("local[*]", 8, app_name="skuflow-tests", extra={"spark.driver.memory": "8g"})
     ckpt = tempfile.mkdtemp(prefix="skuflow-test-ckpt-")
     if not s.conf.get("spark.checkpoint.dir", None):
         s.conf.set("spark.checkpoint.dir", ckpt)

@@ -488,3 +488,62 @@ UNION ALL
 SELECT concat('SHP-', user_id, '-', d, '-B'), concat('T-', user_id, '-', d), 'SUP-X' FROM d
 WHERE user_id % 37 = 0
 """)
+
+# --- shipment lifecycle: matching and the arrival-order fold ------------------
+view("cc_matched", """
+WITH r AS (SELECT tracking_reference, count(*) AS n, min(shipment_id) AS sid FROM v_shipments GROUP BY ALL)
+SELECT e.*, CASE WHEN r.n IS NULL THEN 'not_found' WHEN r.n > 1 THEN 'ambiguous' ELSE 'matched' END
+              AS match_status,
+       CASE WHEN r.n = 1 THEN r.sid END AS shipment_id
+FROM cc_events e LEFT JOIN r USING (tracking_reference)
+""", ["cc_events", "v_shipments"])
+view("cc_transitions", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{a}', '{b}', '{c}')" for a, b, c in [
+        ("planned", "picked_up", "picked_up"), ("planned", "delayed", "delayed"),
+        ("planned", "cancelled", "cancelled"), ("picked_up", "in_transit", "in_transit"),
+        ("picked_up", "delayed", "delayed"), ("picked_up", "delivered", "delivered"),
+        ("picked_up", "cancelled", "cancelled"), ("in_transit", "delayed", "delayed"),
+        ("in_transit", "delivered", "delivered"), ("in_transit", "cancelled", "cancelled"),
+        ("delayed", "in_transit", "in_transit"), ("delayed", "delivered", "delivered"),
+        ("delayed", "cancelled", "cancelled")]) + ") t(s, e, n)")
+view("cc_seq", """
+SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY arrival_seq) AS rn
+FROM cc_matched WHERE match_status = 'matched'
+""", ["cc_matched"])
+view("cc_fold", """
+SELECT * FROM (
+WITH RECURSIVE fold(shipment_id, rn, arrival_seq, verdict, status, acc) AS (
+  SELECT q.shipment_id, q.rn, q.arrival_seq,
+         CASE WHEN t.n IS NULL THEN 'illegal_transition' ELSE 'accepted' END,
+         coalesce(t.n, 'planned'),
+         CASE WHEN t.n IS NULL THEN CAST([] AS VARCHAR[]) ELSE [q.external_event_id] END
+  FROM cc_seq q LEFT JOIN cc_transitions t ON t.s = 'planned' AND t.e = q.event_type
+  WHERE q.rn = 1
+  UNION ALL
+  SELECT q.shipment_id, q.rn, q.arrival_seq,
+         CASE WHEN list_contains(f.acc, q.external_event_id) THEN 'duplicate'
+              WHEN t.n IS NULL THEN 'illegal_transition' ELSE 'accepted' END,
+         CASE WHEN list_contains(f.acc, q.external_event_id) OR t.n IS NULL THEN f.status ELSE t.n END,
+         CASE WHEN NOT list_contains(f.acc, q.external_event_id) AND t.n IS NOT NULL
+              THEN list_append(f.acc, q.external_event_id) ELSE f.acc END
+  FROM fold f JOIN cc_seq q ON q.shipment_id = f.shipment_id AND q.rn = f.rn + 1
+  LEFT JOIN cc_transitions t ON t.s = f.status AND t.e = q.event_type
+)
+SELECT q.*, f.verdict, f.status AS status_after
+FROM fold f JOIN cc_seq q USING (shipment_id, rn))
+""", ["cc_seq", "cc_transitions"])
+view("cc_verdicts", """
+SELECT arrival_seq, external_event_id, tracking_reference, event_type, occurred_at, shipment_id,
+       match_status, verdict, status_after FROM cc_fold
+UNION ALL
+SELECT arrival_seq, external_event_id, tracking_reference, event_type, occurred_at, shipment_id,
+       match_status, match_status, NULL FROM cc_matched WHERE match_status <> 'matched'
+""", ["cc_fold", "cc_matched"])
+view("cc_states", """
+SELECT shipment_id,
+       arg_max(status_after, arrival_seq) AS status,
+       arg_min(occurred_at, arrival_seq) FILTER (WHERE event_type = 'picked_up') AS shipped_at,
+       arg_max(occurred_at, arrival_seq) FILTER (WHERE event_type = 'delivered') AS delivered_at,
+       count(*) AS accepted_events
+FROM cc_verdicts WHERE verdict = 'accepted' GROUP BY shipment_id
+""", ["cc_verdicts"])

@@ -547,3 +547,40 @@ SELECT shipment_id,
        count(*) AS accepted_events
 FROM cc_verdicts WHERE verdict = 'accepted' GROUP BY shipment_id
 """, ["cc_verdicts"])
+
+view("v_mapping_upserts", """
+SELECT event_id, ts, concat('EXT-U', user_id) AS external_sku, concat('PRD-', event_type) AS product_id,
+       'EACH' AS source_unit, CAST(1 + CAST(floor(value) AS BIGINT) % 3 AS DECIMAL(18,3)) AS units_per_source_unit,
+       true AS active, concat('LOC-U', user_id) AS external_location,
+       concat('WH-', CAST(floor(value) AS BIGINT) % 3) AS warehouse_id, event_type <> 'error' AS warehouse_active
+FROM events WHERE event_type <> 'purchase'
+""")
+view("v_pm_versions", """
+WITH c AS (
+  SELECT *, CASE WHEN row_number() OVER w = 1 THEN 0
+                 WHEN product_id IS NOT DISTINCT FROM lag(product_id) OVER w
+                  AND source_unit IS NOT DISTINCT FROM lag(source_unit) OVER w
+                  AND units_per_source_unit IS NOT DISTINCT FROM lag(units_per_source_unit) OVER w
+                  AND active IS NOT DISTINCT FROM lag(active) OVER w THEN 0 ELSE 1 END AS changed
+  FROM v_mapping_upserts WINDOW w AS (PARTITION BY external_sku ORDER BY ts, event_id))
+SELECT *, CAST(1 + sum(changed) OVER (PARTITION BY external_sku ORDER BY ts, event_id
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS version,
+       lead(ts) OVER (PARTITION BY external_sku ORDER BY ts, event_id) AS valid_to
+FROM c
+""", ["v_mapping_upserts"])
+view("v_wm_versions", """
+WITH c AS (
+  SELECT *, CASE WHEN row_number() OVER w = 1 THEN 0
+                 WHEN warehouse_id IS NOT DISTINCT FROM lag(warehouse_id) OVER w
+                  AND warehouse_active IS NOT DISTINCT FROM lag(warehouse_active) OVER w THEN 0 ELSE 1 END
+           AS changed
+  FROM v_mapping_upserts WINDOW w AS (PARTITION BY external_location ORDER BY ts, event_id))
+SELECT *, CAST(1 + sum(changed) OVER (PARTITION BY external_location ORDER BY ts, event_id
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS version
+FROM c
+""", ["v_mapping_upserts"])
+view("v_mapped_snapshots", """
+SELECT event_id, ts AS applied_at, concat('EXT-U', user_id) AS external_sku,
+       CAST(floor(value) AS DECIMAL(18,3)) AS source_quantity
+FROM events WHERE event_type = 'purchase'
+""")

@@ -134,3 +134,49 @@ def q_supplier_import(spark, sf):
 
     s = imports.snapshots(_verdicts(spark, sf))
     return s.drop("job_seq").withColumn("observed_at", utc_iso("observed_at"))
+
+
+def _pm_versions(spark, sf):
+    from skuflow.operators import mappings
+
+    u = views.mapping_upserts(spark, sf)
+    return mappings.versions(u, ["external_sku"], ["product_id", "source_unit", "units_per_source_unit", "active"],
+                             ["ts", "event_id"])
+
+
+@register("mapping_versions", "SELECT external_sku, event_id, version FROM v_pm_versions", ["v_pm_versions"])
+def q_mapping_versions(spark, sf):
+    """product mapping version increments only when an attribute changes."""
+    return _pm_versions(spark, sf).select("external_sku", "event_id", "version")
+
+
+@register("warehouse_mapping_versions", "SELECT external_location, event_id, version FROM v_wm_versions",
+          ["v_wm_versions"])
+def q_warehouse_mapping_versions(spark, sf):
+    """warehouse mapping version increments on warehouse / active changes."""
+    from skuflow.operators import mappings
+
+    u = views.mapping_upserts(spark, sf)
+    v = mappings.versions(u, ["external_location"], ["warehouse_id", "warehouse_active"], ["ts", "event_id"])
+    return v.select("external_location", "event_id", "version")
+
+
+@register("mapping_version_asof", """
+SELECT s.event_id, s.external_sku, v.version AS product_mapping_version,
+       v.units_per_source_unit, CAST(s.source_quantity * v.units_per_source_unit AS DECIMAL(18,3))
+         AS canonical_quantity
+FROM v_mapped_snapshots s
+LEFT JOIN v_pm_versions v ON v.external_sku = s.external_sku AND s.applied_at >= v.ts
+                         AND (v.valid_to IS NULL OR s.applied_at < v.valid_to)
+""", ["v_mapped_snapshots", "v_pm_versions"])
+def q_mapping_version_asof(spark, sf):
+    """Each snapshot keeps the mapping version and factor in force when applied."""
+    from skuflow.functions.scalars import unit_conversion
+    from skuflow.operators import mappings
+
+    hist = mappings.intervals(_pm_versions(spark, sf), ["external_sku"], "ts", ["ts", "event_id"])
+    j = mappings.as_of(views.mapped_snapshots(spark, sf), hist.drop("event_id"), ["external_sku"], "applied_at",
+                       ["version", "units_per_source_unit"])
+    return j.select("event_id", "external_sku", F.col("version").alias("product_mapping_version"),
+                    "units_per_source_unit",
+                    unit_conversion("source_quantity", "units_per_source_unit").alias("canonical_quantity"))

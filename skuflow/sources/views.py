@@ -304,3 +304,32 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("SUP-X").alias("supplier_id"),
     )
     return main.unionByName(extra)
+
+
+def mapping_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapping upsert log from ``events`` (every non-purchase event is an upsert
+    of the user's product and warehouse mappings), in (ts, event_id) order."""
+    ev = read_table(spark, sf_dir, "events").where(F.col("event_type") != "purchase")
+    bucket = (F.floor("value") % 3).cast("bigint")
+    return ev.select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("EXT-U"), _s("user_id")).alias("external_sku"),
+        F.concat(F.lit("PRD-"), F.col("event_type")).alias("product_id"),
+        F.lit("EACH").alias("source_unit"),
+        (F.lit(1) + bucket).cast(S.QTY).alias("units_per_source_unit"),
+        F.lit(True).alias("active"),
+        F.concat(F.lit("LOC-U"), _s("user_id")).alias("external_location"),
+        F.concat(F.lit("WH-"), _s(bucket)).alias("warehouse_id"),
+        (F.col("event_type") != "error").alias("warehouse_active"),
+    )
+
+
+def mapped_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots applied over time: each purchase event applies one snapshot
+    of the user's SKU at its timestamp."""
+    ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    return ev.select(
+        "event_id", F.col("ts").cast("timestamp").alias("applied_at"),
+        F.concat(F.lit("EXT-U"), _s("user_id")).alias("external_sku"),
+        F.floor("value").cast(S.QTY).alias("source_quantity"),
+    )

@@ -216,9 +216,8 @@ def classify_failure(error_type) -> tuple[Column, Column]:
 def retry_delay_seconds(attempts, base: int = S.IMPORT_RETRY_BASE_SECONDS,
                         cap: int = S.IMPORT_RETRY_MAX_SECONDS) -> Column:
     exponent = F.greatest(col(attempts) - 1, F.lit(0))
-    # Cap the exponent before shifting so large attempt counts cannot overflow.
-    shifted = F.shiftleft(F.lit(base).cast("bigint"), F.least(exponent, F.lit(40)).cast("int"))
-    return F.least(shifted, F.lit(cap).cast("bigint")).cast("int")
+    # pow saturates to +inf for huge exponents, so least() caps without overflow.
+    return F.least(F.lit(float(base)) * F.pow(F.lit(2.0), exponent), F.lit(float(cap))).cast("int")
 
 
 # --- uniform deterministic integers (generators) ---------------------------------

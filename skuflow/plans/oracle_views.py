@@ -584,3 +584,107 @@ SELECT event_id, ts AS applied_at, concat('EXT-U', user_id) AS external_sku,
        CAST(floor(value) AS DECIMAL(18,3)) AS source_quantity
 FROM events WHERE event_type = 'purchase'
 """)
+
+# --- hub entities -------------------------------------------------------------
+AS_OF_SQL = "TIMESTAMP '2001-06-01 00:00:00'"
+view("e_jobs", """
+WITH b AS (
+  SELECT *, o_orderdate + to_seconds(o_orderkey % 86400) AS created_at,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'failed' WHEN '2-HIGH' THEN 'completed'
+              WHEN '3-MEDIUM' THEN 'completed_with_errors' WHEN '4-NOT SPECIFIED' THEN 'queued'
+              ELSE 'processing' END AS status
+  FROM orders)
+SELECT concat('JOB-', o_orderkey) AS job_id, o_orderkey AS job_key, concat('SUP-', o_orderkey % 100) AS supplier_id,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'supplier_a_json' ELSE 'supplier_b_csv' END AS source_type,
+       status, created_at, concat('idem-', o_orderkey % 5000) AS idempotency_key,
+       sha256(o_orderstatus) AS content_sha256, CAST(o_orderkey % 4 AS INTEGER) AS attempt_count,
+       3 AS max_attempts,
+       CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(trunc(o_totalprice) AS BIGINT) END AS payload_size,
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE created_at + to_seconds((o_orderkey % 7) * 86400) END
+         AS next_retry_at,
+       CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE created_at + to_seconds(o_orderkey % 90) END AS dispatched_at,
+       CASE WHEN status = 'processing' THEN created_at + to_seconds(300) END AS lease_expires_at,
+       CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 15 <> 0 THEN concat('JOB-', o_orderkey - 5) END
+         AS replay_of_job_id,
+       CASE WHEN o_orderkey % 9 = 0 THEN concat('bad id ', o_orderkey) ELSE concat('corr-', o_orderkey) END
+         AS correlation_id,
+       CAST(o_orderkey % 50 AS INTEGER) AS accepted_records, CAST(o_custkey % 5 AS INTEGER) AS rejected_records,
+       CASE WHEN status IN ('completed', 'completed_with_errors', 'failed') THEN created_at + to_seconds(3600) END
+         AS completed_at
+FROM b
+""")
+view("e_attempts", f"""
+SELECT concat('JOB-', l_orderkey) AS job_id, l_linenumber, {ROW_KEY_SQL} AS attempt_key,
+       CASE WHEN l_returnflag = 'R' THEN 'TimeoutError' WHEN l_returnflag = 'A' THEN 'OperationalError'
+            WHEN l_linestatus = 'O' THEN 'PermanentImportError' END AS error_type,
+       l_shipdate AS started_at
+FROM lineitem
+""")
+view("e_op_events", """
+SELECT event_id AS event_seq, concat('OPE-', event_id) AS event_id, ts AS occurred_at,
+       concat('JOB-', event_id % 15000) AS job_id, event_type AS component,
+       CASE WHEN value > 50 THEN 'failed' ELSE 'succeeded' END AS status, props AS details
+FROM events
+""")
+view("e_runs", """
+SELECT concat('RUN-', c_custkey) AS run_id,
+       CASE WHEN c_custkey % 2 = 0 THEN 'inventory_reconciliation' ELSE 'stockout_risk' END AS run_type,
+       CASE WHEN c_custkey % 2 = 1 THEN 'numpy' WHEN c_custkey % 4 = 0 THEN 'pandas' ELSE 'polars' END AS engine,
+       CAST(c_custkey % 1000 + 1 AS INTEGER) AS input_rows, CAST(abs(c_acctbal) AS DECIMAL(18,3)) AS duration_ms,
+       TIMESTAMP '2026-01-01 00:00:00' + to_seconds(c_custkey * 60) AS created_at
+FROM customer
+""")
+view("e_products", """
+SELECT concat('PRD-', p_partkey) AS product_id, concat('SKU-', p_partkey) AS sku, p_name AS name
+FROM part WHERE p_partkey % 10 <> 0
+""")
+view("e_warehouses", """
+SELECT concat('WH-', n_nationkey) AS warehouse_id, concat('wh-', lower(n_name)) AS code, n_name AS name,
+       CASE WHEN n_nationkey = 13 THEN 'Mars/Olympus'
+            ELSE ['Africa/Lagos', 'America/New_York', 'Asia/Tokyo', 'Europe/Berlin', 'Asia/Dubai'][n_regionkey + 1]
+       END AS timezone
+FROM nation
+""")
+view("e_suppliers", """
+SELECT concat('SUP-', s_suppkey) AS supplier_id, concat(' sup_', s_suppkey, ' ') AS code, s_name AS name,
+       s_acctbal AS balance
+FROM supplier
+""")
+view("e_orders", """
+SELECT concat('PO-', o_orderkey) AS order_id, concat('SUP-', o_custkey % 100) AS supplier_id,
+       concat('REF-', o_orderkey) AS reference,
+       CASE o_orderstatus WHEN 'F' THEN 'received' WHEN 'P' THEN 'partially_received' ELSE 'submitted' END AS status
+FROM orders
+""")
+view("e_order_lines", f"""
+SELECT concat('PO-', l_orderkey) AS order_id, concat('PRD-', l_partkey) AS product_id,
+       l_linenumber AS pos1, {ROW_KEY_SQL} AS pos2,
+       CAST(l_quantity AS DECIMAL(18,3)) AS ordered_quantity,
+       CAST(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0.0 END AS DECIMAL(18,3)) AS received_quantity
+FROM lineitem
+""")
+view("e_order_shipments", """
+SELECT concat('SHIP-', o_orderkey) AS shipment_id, concat('PO-', o_orderkey) AS order_id,
+       concat('SUP-', (CASE WHEN o_orderkey % 13 = 0 THEN o_custkey + 1 ELSE o_custkey END) % 100) AS supplier_id,
+       concat('T-', o_orderkey % 14900) AS tracking_reference
+FROM orders
+""")
+view("e_manifests", """
+WITH d AS (
+  SELECT CAST(l_shipdate AS DATE) AS d, list_sort(list(DISTINCT concat('WH-', l_suppkey % 25))) AS wh,
+         count(*) AS input_rows
+  FROM lineitem GROUP BY 1),
+r AS (SELECT *, unnest(CASE WHEN day(d) % 2 = 0 THEN [1, 2] ELSE [1] END) AS run FROM d)
+SELECT concat('manifests/inventory-risk/event_date=', strftime(d, '%Y-%m-%d'), '/run_id=run-', run, '.json')
+         AS manifest_key,
+       CASE WHEN day(d) % 7 = 0 THEN 'failed' ELSE 'succeeded' END AS status,
+       strftime(d, '%Y-%m-%d') AS partition_date, concat('run-', run) AS run_id,
+       CAST(d AS TIMESTAMP) + to_seconds(run * 3600) AS created_at, input_rows,
+       CASE WHEN day(d) % 7 = 0 THEN CAST([] AS VARCHAR[]) ELSE list_transform(wh, lambda w: concat(
+         'curated/inventory-risk/event_date=', strftime(d, '%Y-%m-%d'), '/run_id=run-', run,
+         '/warehouse_code=', w, '/part-00000.parquet')) END AS curated_keys,
+       CASE WHEN day(d) % 7 = 0 THEN CAST([] AS VARCHAR[]) ELSE [concat(
+         'curated/inventory-risk-summary/event_date=', strftime(d, '%Y-%m-%d'), '/run_id=run-', run,
+         '/part-00000.parquet')] END AS summary_keys
+FROM r
+""")

@@ -688,3 +688,19 @@ SELECT concat('manifests/inventory-risk/event_date=', strftime(d, '%Y-%m-%d'), '
          '/part-00000.parquet')] END AS summary_keys
 FROM r
 """)
+
+view("e_positions", """
+SELECT warehouse_id, product_id, arg_max(on_hand_quantity, (job_seq, source_row)) AS on_hand_quantity,
+       arg_max(reserved_quantity, (job_seq, source_row)) AS reserved_quantity, CAST(count(*) AS INTEGER) AS version
+FROM v_snapshots GROUP BY warehouse_id, product_id
+""", ["v_snapshots"])
+view("e_lines_numbered", """
+SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY pos1, pos2) AS line_number FROM e_order_lines
+""", ["e_order_lines"])
+view("e_attempts_numbered", """
+SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY l_linenumber, attempt_key) AS attempt_number,
+       CASE WHEN error_type IS NULL THEN 'succeeded'
+            WHEN error_type IN ('OperationalError', 'TransientImportError', 'TimeoutError', 'ConnectionError')
+            THEN 'retry_scheduled' ELSE 'failed' END AS status
+FROM e_attempts
+""", ["e_attempts"])

@@ -704,3 +704,15 @@ SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY l_linenumber, attempt_
             THEN 'retry_scheduled' ELSE 'failed' END AS status
 FROM e_attempts
 """, ["e_attempts"])
+
+view("v_http", """
+SELECT event_id, ts AS completed_at, concat('/api/v1/', event_type) AS route,
+       CASE WHEN event_id % 20 = 0 THEN '500' WHEN event_id % 20 < 3 THEN '404' ELSE '200' END AS status,
+       value / 10 AS duration_s, CAST(round(value * 100000) AS BIGINT) AS duration_us,
+       epoch_us(ts) AS end_us
+FROM events
+""")
+view("v_http_windows", """
+SELECT *, date_trunc('minute', completed_at) - to_minutes(k) AS window_start
+FROM v_http, range(0, 5) t(k)
+""", ["v_http"])

@@ -333,3 +333,17 @@ def mapped_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("EXT-U"), _s("user_id")).alias("external_sku"),
         F.floor("value").cast(S.QTY).alias("source_quantity"),
     )
+
+
+def http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP request log from ``events``: route = event type, status by event id,
+    duration = value / 10 seconds, logged at completion (``ts``)."""
+    ev = read_table(spark, sf_dir, "events")
+    status = (F.when(F.col("event_id") % 20 == 0, F.lit("500"))
+              .when(F.col("event_id") % 20 < 3, F.lit("404")).otherwise(F.lit("200")))
+    return ev.select(
+        "event_id", F.col("ts").cast("timestamp").alias("completed_at"),
+        F.concat(F.lit("/api/v1/"), F.col("event_type")).alias("route"), status.alias("status"),
+        (F.col("value") / 10).alias("duration_s"),
+        F.round(F.col("value") * 100000).cast("bigint").alias("duration_us"),
+    )

@@ -108,7 +108,7 @@ SELECT l_orderkey, l_linenumber, l_partkey,
        CAST(floor(l_extendedprice / 7.0) AS BIGINT) AS m_floor,
        round_even(l_quantity / 2.0, 0) AS m_rint,
        ((l_orderkey - 7) % 5 + 5) % 5 AS m_pmod,
-       CAST(l_extendedprice * l_discount AS DECIMAL(18,2)) AS m_round,
+       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS m_round,
        strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS d_date_format,
        strftime(l_shipdate + to_seconds(l_linenumber * 3600), '%Y-%m-%dT%H:%M:%SZ') AS d_add_seconds,
        CASE WHEN l_discount > 0 THEN round(l_tax / l_discount, 9) END AS c_try_divide,
@@ -141,7 +141,8 @@ def q_scalar_functions_battery(spark, sf):
         F.floor(F.col("l_extendedprice") / 7.0).cast("bigint").alias("m_floor"),
         F.rint(F.col("l_quantity") / 2.0).alias("m_rint"),
         F.pmod(F.col("l_orderkey") - 7, F.lit(5)).alias("m_pmod"),
-        (F.col("l_extendedprice") * F.col("l_discount")).cast("decimal(18,2)").alias("m_round"),
+        (F.col("l_extendedprice").cast("decimal(18,2)") * F.col("l_discount").cast("decimal(18,2)"))
+        .cast("decimal(18,2)").alias("m_round"),
         F.date_format(F.col("l_shipdate").cast("date"), "yyyy-MM-dd").alias("d_date_format"),
         X.utc_iso(F.timestamp_add("SECOND", F.col("l_linenumber") * 3600, F.col("l_shipdate").cast("timestamp")))
         .alias("d_add_seconds"),

@@ -101,3 +101,58 @@ def q_require_timezone(spark, sf):
     """C14 (+ enum check): rejected carrier events and the failing field."""
     _, rejects = partners.parse_carrier_events(views.carrier_raw(spark, sf))
     return rejects.select("arrival_seq", "external_event_id", "field_name")
+
+
+@register("scan_history_csv", """
+SELECT event_date, supplier_code, product_sku, warehouse_code, on_hand_quantity, reserved_quantity,
+       inbound_quantity, forecast_quantity, actual_demand_quantity
+FROM v_inv_raw
+""", ["v_inv_raw"])
+def q_scan_history_csv(spark, sf):
+    """A1: history published as date-partitioned CSV in the shared scratch
+    folder, read back with the declared schema (blank keys, NULLs kept)."""
+    from skuflow.session import scratch_path
+    from skuflow.sources import files
+
+    root = scratch_path(spark, "history-csv")
+    files.write_history_csv(views.v_inv_raw(spark, sf), root)
+    return files.scan_history_csv(spark, root).select(
+        "event_date", "supplier_code", "product_sku", "warehouse_code", "on_hand_quantity", "reserved_quantity",
+        "inbound_quantity", "forecast_quantity", "actual_demand_quantity")
+
+
+@register("source_partition_inventory")
+def q_source_partition_inventory(spark, sf):
+    """A2: CSV objects per event_date partition (rows-only: file layout is the writer's)."""
+    from skuflow.session import scratch_path
+    from skuflow.sources import files
+
+    root = scratch_path(spark, "history-csv")
+    files.write_history_csv(views.v_inv_raw(spark, sf), root)
+    return files.partition_inventory(spark, root)
+
+
+@register("scan_pipeline_manifests", """
+SELECT manifest_key, status, partition_date, run_id, input_rows, len(curated_keys) AS curated_object_count,
+       len(summary_keys) AS summary_object_count
+FROM e_manifests ORDER BY manifest_key DESC LIMIT 20
+""", ["e_manifests"])
+def q_scan_pipeline_manifests(spark, sf):
+    """The run catalogue read back from manifest documents (plus planted
+    latest pointers, non-object and undecodable documents, all skipped)."""
+    from skuflow.session import scratch_path
+    from skuflow.sources import entities, files
+
+    m = entities.manifests(spark, sf)
+    docs = m.select(F.to_json(F.struct(
+        "status", "partition_date", "run_id", "created_at", "input_rows", "curated_keys", "summary_keys",
+        "manifest_key")).alias("value"))
+    latest = m.select(F.to_json(F.struct(
+        F.lit("succeeded").alias("status"),
+        F.regexp_replace("manifest_key", r"run_id=[^/]*\.json$", "latest.json").alias("manifest_key")))
+        .alias("value"))
+    junk = m.limit(1).select(F.lit("[1, 2, 3]").alias("value")).unionByName(
+        m.limit(1).select(F.lit("{not json").alias("value")))
+    root = scratch_path(spark, "manifests")
+    docs.unionByName(latest).unionByName(junk).write.mode("overwrite").text(root)
+    return files.scan_manifests(spark, root, 20)

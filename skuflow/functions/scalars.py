@@ -224,3 +224,20 @@ def retry_delay_seconds(attempts, base: int = S.IMPORT_RETRY_BASE_SECONDS,
 def md5_uint(expr: Column, hex_digits: int = 8) -> Column:
     """Unsigned integer from the first hex digits of md5 (same value in DuckDB)."""
     return F.conv(F.substring(F.md5(expr), 1, hex_digits), 16, 10).cast("bigint")
+
+
+# --- C15 ------------------------------------------------------------------------
+def iana_timezones(spark) -> "DataFrame":
+    """The IANA zone names known to the runtime (a few hundred rows: a bounded,
+    broadcastable dimension)."""
+    import zoneinfo
+
+    names = sorted(zoneinfo.available_timezones())
+    return spark.createDataFrame([(n,) for n in names], "timezone string")
+
+
+def with_timezone_valid(df, tz_col: str = "timezone"):
+    """Flag rows whose time zone is a valid IANA name (broadcast lookup)."""
+    zones = F.broadcast(iana_timezones(df.sparkSession).withColumn("_tz_ok", F.lit(True)))
+    return df.join(zones.withColumnRenamed("timezone", "_tz"), F.col(tz_col) == F.col("_tz"), "left").select(
+        *df.columns, F.coalesce(F.col("_tz_ok"), F.lit(False)).alias("timezone_valid"))

@@ -152,3 +152,10 @@ def q_scalar_functions_battery(spark, sf):
         F.sha2(F.concat(s("l_orderkey"), F.lit("-"), s("l_linenumber")), 256).alias("h_sha256"),
         F.substring(F.sha2(F.concat(s("l_orderkey"), F.lit("-"), s("l_linenumber")), 256), 1, 12).alias("h_prefix"),
     )
+
+
+@register("valid_timezone")
+def q_valid_timezone(spark, sf):
+    """Warehouse time zones checked against the IANA names (rows-only:
+    the zone list is the runtime's)."""
+    return X.with_timezone_valid(E.warehouses(spark, sf)).select("warehouse_id", "timezone", "timezone_valid")

@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 from skuflow import schemas as S
 
 
-def scan_history_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def scan_history_csv(spark: SparkSession, path: str | list[str], base_path: str | None = None) -> DataFrame:
     """A1: CSV with header and the fixed 9-column schema; bad cells become NULL.
 
-    ``path`` is a date prefix (``.../event_date=YYYY-MM-DD/``) or the root of
-    date-partitioned history; the schema is declared, never inferred.
+    ``path`` is a date prefix (``.../event_date=YYYY-MM-DD/``) or a root. Files
+    that carry ``event_date`` as a data column (the partner layout) are read
+    as is; for Spark-partitioned output, where the date lives only in the
+    path, pass the root as ``base_path`` so the date comes from the path. The
+    schema is declared, never inferred.
     """
-    return (spark.read.option("header", True).option("mode", "PERMISSIVE")
-            .schema(S.HISTORY_SCHEMA).csv(path))
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(S.HISTORY_SCHEMA)
+    if base_path:
+        reader = reader.option("basePath", base_path)
+    return reader.csv(path)
 
 
 def write_history_csv(history: DataFrame, root: str) -> None:

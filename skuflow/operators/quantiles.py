@@ -9,8 +9,8 @@ in three bounded steps:
    target rank: with accuracy A the returned elements are within N/A ranks, so
    ``[q(p - 3/A), q(p + 3/A)]``, widened by one neighbouring distinct value on
    each side, contains the exact order statistics;
-2. aggregates find those neighbours and count the rows below each bracket
-   (all map-side combined);
+2. one aggregate finds those neighbours and counts the rows below each
+   bracket (map-side combined);
 3. bracket rows are collapsed to ``(value, count)`` pairs (ties of a hot value
    become one row) and a running count over that short list places the two
    order statistics that are interpolated.
@@ -68,24 +68,23 @@ def exact_quantiles(
 
     # The sketch returns the element of rank ceil(p*n); interpolation needs
     # floor(p*(n-1)) and its successor, up to one rank lower. Widen each
-    # bracket by the neighbouring distinct value on either side.
+    # bracket by the neighbouring distinct value on either side. One pass
+    # finds the neighbours and counts the rows below the sketch bracket.
     ext = attach(stats).groupBy(*g).agg(
         *[F.max(F.when(F.col("_x") < F.col(f"_lo{i}"), F.col("_x"))).alias(f"_plo{i}") for i in range(len(probs))],
         *[F.min(F.when(F.col("_x") > F.col(f"_hi{i}"), F.col("_x"))).alias(f"_nhi{i}") for i in range(len(probs))],
+        *[F.count_if(F.col("_x") < F.col(f"_lo{i}")).alias(f"_blo{i}") for i in range(len(probs))],
     )
     stats = (stats.crossJoin(ext) if not g else stats.join(ext, g)).select(
         *g, "_n",
         *[c for i in range(len(probs)) for c in (
             F.coalesce(F.col(f"_plo{i}"), F.col(f"_lo{i}")).alias(f"_lo{i}"),
             F.coalesce(F.col(f"_nhi{i}"), F.col(f"_hi{i}")).alias(f"_hi{i}"),
+            F.col(f"_plo{i}"), F.col(f"_blo{i}"),
             F.col(f"_t{i}"), F.col(f"_k0{i}"), F.col(f"_k1{i}"))],
     )
     joined = attach(stats).where(F.col("_n") > 0)
 
-    below = joined.groupBy(*g).agg(
-        *[F.count_if(F.col("_x") < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(len(probs))]
-    )
-
     in_bracket = [
         F.when((F.col("_x") >= F.col(f"_lo{i}")) & (F.col("_x") <= F.col(f"_hi{i}")), F.lit(i))
         for i in range(len(probs))
@@ -97,9 +96,13 @@ def exact_quantiles(
     )
     w = Window.partitionBy(*g, "_i").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bracket = bracket.withColumn("_cum", F.sum("_c").over(w))
-
-    keyed = bracket.join(below, g) if g else bracket.crossJoin(below)
-    keyed = keyed.join(stats, g) if g else keyed.crossJoin(stats)
+    keyed = bracket.join(stats, g) if g else bracket.crossJoin(stats)
+    # Rows below the widened bracket = rows below the sketch bracket minus the
+    # rows equal to the lower neighbour (the bracket's first value).
+    whole = Window.partitionBy(*g, "_i")
+    for i in range(len(probs)):
+        c_plo = F.max(F.when((F.col("_i") == i) & (F.col("_x") == F.col(f"_plo{i}")), F.col("_c"))).over(whole)
+        keyed = keyed.withColumn(f"_below{i}", F.col(f"_blo{i}") - F.coalesce(c_plo, F.lit(0)))
 
     def pick(k_col: str) -> F.Column:
         exprs = []

@@ -1,10 +1,14 @@
 """Supplier-vs-hub reconciliation.
 
 The reference validates a 1:1 join (``validate="one_to_one"``) and then checks
-that both inputs matched completely. Here one full outer join on the keys
-carries everything: rows present on both sides are the result, and a grouped
-count over the join output (already hash-partitioned on the keys, so no second
-shuffle) exposes duplicates and unmatched keys. The failure is raised in-plan.
+that both inputs matched completely. The default plan here does both in one
+aggregation: both sides are tagged, unioned and grouped by the key once; per
+key the side counts must be exactly (1, 1), otherwise the job fails in-plan,
+and the side values form the joined row. That is a single shuffle with
+map-side partial aggregation (a hot duplicated key collapses before the
+shuffle) and no second validation pass. Join-hint plans (sort-merge,
+shuffle-hash, size-checked broadcast) remain available as strategies (K2) and
+are validated with a grouped count over a full outer join.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["record_index", "product_sku", "warehouse_code"]
-STRATEGIES = ("merge", "shuffle_hash", "broadcast")
+STRATEGIES = ("aggregate", "merge", "shuffle_hash", "broadcast")
 MISMATCH_MESSAGE = "Reconciliation inputs do not contain matching keys."
 
 
@@ -47,8 +51,41 @@ def violations(supplier: DataFrame, hub: DataFrame, strategy: str = "merge") ->
     )
 
 
-def reconcile(supplier: DataFrame, hub: DataFrame, strategy: str = "merge", validate: bool = True) -> DataFrame:
-    """D1 + C7: the validated 1:1 join with difference and match flag."""
+def _aggregate_join(supplier: DataFrame, hub: DataFrame, validate: bool) -> DataFrame:
+    """The 1:1 join as one aggregation: both sides tagged, unioned and grouped
+    by the key once. Per key the side counts must both be 1 (checked in-plan,
+    row by row); the side values are then the joined row. One shuffle, partial
+    aggregation (a hot duplicated key collapses map-side), no second pass."""
+    s = supplier.select(*KEYS, "supplier_code", "reported_quantity",
+                        F.lit(None).cast("bigint").alias("hub_quantity"), F.lit(1).alias("_side"))
+    h = hub.select(*KEYS, F.lit(None).cast("string").alias("supplier_code"),
+                   F.lit(None).cast("bigint").alias("reported_quantity"), "hub_quantity", F.lit(2).alias("_side"))
+    g = s.unionByName(h).groupBy(*KEYS).agg(
+        F.count_if(F.col("_side") == 1).alias("_sn"), F.count_if(F.col("_side") == 2).alias("_hn"),
+        F.max("supplier_code").alias("supplier_code"), F.max("reported_quantity").alias("reported_quantity"),
+        F.max("hub_quantity").alias("hub_quantity"),
+    )
+    ok = (F.col("_sn") == 1) & (F.col("_hn") == 1)
+    if validate:
+        g = g.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(MISMATCH_MESSAGE))))
+    else:
+        g = g.where(ok)
+    return g.drop("_sn", "_hn")
+
+
+def reconcile(supplier: DataFrame, hub: DataFrame, strategy: str = "aggregate", validate: bool = True) -> DataFrame:
+    """D1 + C7: the validated 1:1 join with difference and match flag.
+
+    ``aggregate`` (default) is the single-shuffle form; ``merge`` /
+    ``shuffle_hash`` / ``broadcast`` are join plans (K2), validated with a
+    grouped count over a full outer join.
+    """
+    if strategy == "aggregate":
+        matched = _aggregate_join(supplier, hub, validate)
+        return matched.select(
+            "record_index", "supplier_code", "product_sku", "warehouse_code", "reported_quantity", "hub_quantity",
+            (F.col("reported_quantity") - F.col("hub_quantity")).alias("difference_quantity"),
+        ).withColumn("matches", F.col("difference_quantity") == 0)
     j = _joined(supplier, hub, strategy)
     if validate:
         bad = (

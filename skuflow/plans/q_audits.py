@@ -97,26 +97,62 @@ DUCK = {
 }
 
 
+def _materialized(df):
+    """Cut a derived table's lineage once per audit run: a reliable checkpoint
+    in the cluster's shared checkpoint folder (survives executor loss), so the
+    many rules over it read stored rows instead of recomputing the pipeline."""
+    from skuflow.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _memo(fn, cache, key, materialize=False):
+    def get():
+        if key not in cache:
+            cache[key] = _materialized(fn()) if materialize else fn()
+        return cache[key]
+    return get
+
+
 def _tables(spark, sf):
-    """Lazily built Spark tables (each builder runs only if an audit uses it)."""
-    def snaps():
+    """Lazily built Spark tables (each builder runs only if an audit uses it);
+    pipeline-derived tables are materialised once and shared by all rules."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TABLE_CACHE:
+        _TABLE_CACHE[key] = _build_tables(spark, sf)
+    return _TABLE_CACHE[key]
+
+
+_TABLE_CACHE: dict = {}
+
+
+def _build_tables(spark, sf):
+    cache: dict = {}
+
+    def snaps_raw():
         v = imports.verdicts(views.feed_records(spark, sf), views.product_map(spark, sf),
                              views.warehouse_map(spark, sf))
         return imports.snapshots(v)
 
-    def attempts():
+    snaps = _memo(snaps_raw, cache, "snapshots", materialize=True)
+
+    def attempts_raw():
         a = reports.sequence_numbers(E.attempts(spark, sf), ["job_id"], ["l_linenumber", "attempt_key"],
                                      "attempt_number")
         return reports.attempt_outcomes(a)
 
-    def risks():
+    def risks_raw():
         from skuflow.plans.oracle_views import SEED
 
         curated, _ = risk.score(synthetic.risk_inputs(views.order_index(spark, sf), SEED), "exact")
         return curated
 
+    attempts = _memo(attempts_raw, cache, "attempts", materialize=True)
+    risks = _memo(risks_raw, cache, "risks", materialize=True)
+    positions = _memo(lambda: imports.positions(snaps()), cache, "positions", materialize=True)
     return {
-        "inventory_positions": lambda: imports.positions(snaps()),
+        "inventory_positions": positions,
         "purchase_order_lines": lambda: reports.sequence_numbers(E.order_lines(spark, sf), ["order_id"],
                                                                  ["input_pos"], "line_number"),
         "supplier_product_mappings": lambda: views.product_map(spark, sf),

@@ -51,11 +51,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Only when the session has none (local tests) is a fresh scratch folder set.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if configured:
+        if not current:
+            sc.setCheckpointDir(configured)
         return configured
+    if current:
+        return current
     local = tempfile.mkdtemp(prefix="skuflow-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skuflow.functions import scalars as X
@@ -101,3 +103,26 @@ def test_gate_passes_on_clean_history(spark):
     rep = quality.quality_report(views.v_inv_clean(spark, SF001)).first()
     assert rep.passed and rep.duplicate_keys == 0
     assert views.v_inv_clean(spark, SF001).where(F.col("event_date").isNull()).count() == 0
+
+
+def test_approx_thresholds_within_rank_error(spark):
+    # E5: the GK element is within N / accuracy ranks of the exact quantile.
+    from skuflow.operators.quantiles import approx_quantiles
+
+    n = 20000
+    df = spark.range(n).select((F.col("id") * 7919 % n / n).alias("x"))
+    a = approx_quantiles(df, "x", [0.5, 0.8], ["p50", "p80"], accuracy=1000).first()
+    xs = sorted((i * 7919 % n) / n for i in range(n))
+    for value, p in ((a.p50, 0.5), (a.p80, 0.8)):
+        rank = xs.index(value)
+        assert abs(rank - p * n) <= n / 1000 + 1
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.one_of(st.integers(-5, 5).map(float), st.floats(-1e6, 1e6, allow_nan=False)),
+                min_size=1, max_size=300),
+       st.sampled_from([0.0, 0.1, 0.5, 0.8, 0.95, 1.0]))
+def test_exact_quantiles_property(spark, values, p):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = exact_quantiles(df, "x", [p], ["q"]).first().q
+    assert got == pytest.approx(float(np.quantile(np.array(values), p)), rel=1e-9, abs=1e-9)

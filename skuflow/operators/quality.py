@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skuflow import schemas as S
 from skuflow.functions import scalars as X
+from skuflow.functions.frames import attach_scalars
 
 
 def invalid_rows(df: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def enforce_gate(df: DataFrame, report: DataFrame) -> DataFrame:
         F.sum("invalid_rows").alias("_inv"), F.sum("duplicate_keys").alias("_dup"),
         F.bool_and("passed").alias("_ok"),
     )
-    checked = df.crossJoin(F.broadcast(gate))
+    checked = attach_scalars(df, gate)
     guard = F.when(
         F.coalesce(F.col("_ok"), F.lit(True)), F.lit(True)
     ).otherwise(F.raise_error(F.concat(

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skuflow.functions.frames import attach_scalars
+
 DEFAULT_ACCURACY = 100_000
 
 
@@ -64,7 +66,7 @@ def exact_quantiles(
     # Stats hold one row per group: broadcast for a global quantile (one row),
     # otherwise an equi-join that AQE turns into a broadcast when it is small.
     def attach(frame):
-        return base.crossJoin(F.broadcast(frame)) if not g else base.join(frame, g)
+        return attach_scalars(base, frame) if not g else base.join(frame, g)
 
     # The sketch returns the element of rank ceil(p*n); interpolation needs
     # floor(p*(n-1)) and its successor, up to one rank lower. Widen each
@@ -75,7 +77,7 @@ def exact_quantiles(
         *[F.min(F.when(F.col("_x") > F.col(f"_hi{i}"), F.col("_x"))).alias(f"_nhi{i}") for i in range(len(probs))],
         *[F.count_if(F.col("_x") < F.col(f"_lo{i}")).alias(f"_blo{i}") for i in range(len(probs))],
     )
-    stats = (stats.crossJoin(ext) if not g else stats.join(ext, g)).select(
+    stats = (attach_scalars(stats, ext) if not g else stats.join(ext, g)).select(
         *g, "_n",
         *[c for i in range(len(probs)) for c in (
             F.coalesce(F.col(f"_plo{i}"), F.col(f"_lo{i}")).alias(f"_lo{i}"),
@@ -96,7 +98,7 @@ def exact_quantiles(
     )
     w = Window.partitionBy(*g, "_i").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bracket = bracket.withColumn("_cum", F.sum("_c").over(w))
-    keyed = bracket.join(stats, g) if g else bracket.crossJoin(stats)
+    keyed = bracket.join(stats, g) if g else attach_scalars(bracket, stats)
     # Rows below the widened bracket = rows below the sketch bracket minus the
     # rows equal to the lower neighbour (the bracket's first value).
     whole = Window.partitionBy(*g, "_i")

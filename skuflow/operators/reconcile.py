@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skuflow.functions.frames import attach_scalars
+
 KEYS = ["record_index", "product_sku", "warehouse_code"]
 STRATEGIES = ("aggregate", "merge", "shuffle_hash", "broadcast")
 MISMATCH_MESSAGE = "Reconciliation inputs do not contain matching keys."
@@ -93,7 +95,7 @@ def reconcile(supplier: DataFrame, hub: DataFrame, strategy: str = "aggregate",
             .agg(F.count("_s").alias("_sn"), F.count("_h").alias("_hn"), F.count(F.lit(1)).alias("_n"))
             .agg(F.count_if((F.col("_n") > 1) | (F.col("_sn") == 0) | (F.col("_hn") == 0)).alias("_bad"))
         )
-        j = j.crossJoin(F.broadcast(bad)).where(
+        j = attach_scalars(j, bad).where(
             F.when(F.col("_bad") == 0, F.lit(True)).otherwise(F.raise_error(F.lit(MISMATCH_MESSAGE)))
         ).drop("_bad")
     matched = j.where(F.col("_s").isNotNull() & F.col("_h").isNotNull())
@@ -125,6 +127,6 @@ def outputs_equal(left: DataFrame, right: DataFrame) -> DataFrame:
     """H3: two plans of one result are identical (symmetric multiset difference)."""
     only_left = left.exceptAll(right).agg(F.count(F.lit(1)).alias("left_only_rows"))
     only_right = right.exceptAll(left).agg(F.count(F.lit(1)).alias("right_only_rows"))
-    return only_left.crossJoin(only_right).withColumn(
+    return attach_scalars(only_left, only_right).withColumn(
         "outputs_equal", (F.col("left_only_rows") == 0) & (F.col("right_only_rows") == 0)
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skuflow import schemas as S
 from skuflow.functions import scalars as X
+from skuflow.functions.frames import attach_scalars
 from skuflow.operators.quantiles import approx_quantiles, exact_quantiles
 
 THRESHOLD_NAMES = ["low_to_medium", "medium_to_high"]
@@ -58,7 +59,7 @@ def assign_severity(projected: DataFrame, thresholds: DataFrame,
         # One threshold row per group: small and bounded by the number of runs.
         joined = projected.join(thresholds, g, "left").fillna(0.0, subset=THRESHOLD_NAMES)
     else:
-        joined = projected.crossJoin(F.broadcast(thresholds))
+        joined = attach_scalars(projected, thresholds)
     return joined.withColumn(
         "severity", X.severity_band("shortage_ratio", "low_to_medium", "medium_to_high")
     ).drop(*THRESHOLD_NAMES)
@@ -112,7 +113,7 @@ def run_summary(curated: DataFrame, thresholds: DataFrame, method_label: str) ->
     """One composite run header (severity counts + thresholds + metrics)."""
     counts = curated.agg(*[F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in S.RISK_SEVERITY])
     metrics = forecast_metrics(curated).drop("row_count")
-    header = counts.crossJoin(thresholds).crossJoin(metrics).withColumn("method", F.lit(method_label))
+    header = attach_scalars(attach_scalars(counts, thresholds), metrics).withColumn("method", F.lit(method_label))
     return header.withColumn(
         "summary_json",
         F.to_json(F.struct(

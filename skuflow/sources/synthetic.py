@@ -98,10 +98,10 @@ def history_partitions(index: DataFrame, start: str, end: str, rows_per_day_col:
     """
     if end < start:
         raise ValueError("end date must not precede start date")
-    days = index.sparkSession.range(1).select(
-        F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)), F.expr("interval 1 day")))
-        .alias("event_date"))
-    grid = F.broadcast(days).crossJoin(index.select(F.col(rows_per_day_col).cast("bigint").alias("_i")))
+    day_seq = F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)), F.expr("interval 1 day"))
+    days = index.sparkSession.range(1).select(F.explode(day_seq).alias("event_date"))
+    # Each row index expands to its per-day rows (output = days x rows, by definition).
+    grid = index.select(F.col(rows_per_day_col).cast("bigint").alias("_i"), F.explode(day_seq).alias("event_date"))
     seed_col = F.date_format("event_date", "yyyyMMdd")
     i = F.col("_i")
 

@@ -17,8 +17,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def versions(upserts: DataFrame, key_cols: list[str], attr_cols: list[str], order_cols: list[str]) -> DataFrame:
-    """Version per upsert row."""
+def versions(upserts: DataFrame, key_cols: list[str], attr_cols: list[str], order_cols: list[str],
+             method: str = "scan") -> DataFrame:
+    """Version per upsert row.
+
+    ``scan`` (default) is the skew-safe parallel segmented scan (a hot key is
+    split over range partitions); ``window`` is the plain window formulation.
+    """
+    if method == "scan":
+        from skuflow.operators.sequences import running_change_versions
+
+        return running_change_versions(upserts, key_cols, order_cols, attr_cols)
     w = Window.partitionBy(*key_cols).orderBy(*order_cols)
     changed = reduce(lambda a, b: a | b, [
         ~F.col(c).eqNullSafe(F.lag(c).over(w)) for c in attr_cols

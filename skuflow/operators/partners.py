@@ -70,6 +70,23 @@ def _compact(errors: list[Column]) -> Column:
     return F.filter(F.array(*errors), lambda e: e.isNotNull())
 
 
+def keep_valid(df: DataFrame, errors_col: str = "_errors") -> DataFrame:
+    """Rows whose error array is empty.
+
+    Written as a generator rather than a filter on purpose: Catalyst pushes a
+    filter below the projection that parses the document and substitutes the
+    parse into the condition once per referenced field; a Generate node keeps
+    the parse in its child projection, evaluated once per row.
+    """
+    return keep_where(df, F.size(errors_col) == 0)
+
+
+def keep_where(df: DataFrame, cond: Column) -> DataFrame:
+    """``df.where(cond)`` as a generator (see ``keep_valid``)."""
+    gate = F.slice(F.array(F.lit(True)), 1, F.when(cond, 1).otherwise(0))
+    return df.select("*", F.explode(gate).alias("_keep")).drop("_keep")
+
+
 # ----------------------------------------------------------------------------
 # Supplier B CSV
 # ----------------------------------------------------------------------------
@@ -122,12 +139,12 @@ def parse_supplier_b(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         "_missing", F.array_sort(F.array_except(F.array(*[F.lit(h) for h in S.SUPPLIER_B_REQUIRED_HEADERS]),
                                                 F.col("_header")))
     )
-    header_errors = headers.where(F.size("_missing") > 0).select(
+    header_errors = keep_where(headers, F.size("_missing") > 0).select(
         "file_id", F.lit("missing_csv_headers").alias("code"),
         F.concat(F.lit("The CSV is missing required headers: "), F.array_join("_missing", ", ")).alias("message"),
         F.lit(None).cast("bigint").alias("source_row"), F.lit(None).cast("string").alias("field_name"),
     )
-    good_headers = headers.where(F.size("_missing") == 0).select("file_id", "_header")
+    good_headers = keep_where(headers, F.size("_missing") == 0).select("file_id", "_header")
     data = _with_csv_fields(lines.where(~F.col("is_header")), "text", "_f").join(good_headers, "file_id")
     fields = F.col("_f")
     n = F.size("_header")
@@ -148,12 +165,12 @@ def parse_supplier_b(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         + decimal_errors(g("units_per_case"), "units_per_case", positive=True)
     )
     data = data.withColumn("_errors", errors)
-    row_errors = data.where(F.size("_errors") > 0).select(
+    row_errors = data.select(
         "file_id", F.lit("invalid_csv_field").alias("code"), "source_row", "raw_fragment",
         F.explode("_errors").alias("_e"),
     ).select("file_id", "code", F.col("_e.message").alias("message"), "source_row",
              F.col("_e.field_name").alias("field_name"))
-    records = data.where(F.size("_errors") == 0).select(
+    records = keep_valid(data).select(
         "file_id",
         g("snapshot_ref").alias("source_reference"),
         "source_row",
@@ -205,11 +222,11 @@ def parse_supplier_a(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
                            F.lit("List should have at most 10000 items").alias("message")))]
     )
     p = p.withColumn("_errors", F.concat(top, F.coalesce(item_errors, F.array())))
-    errors = p.where(F.size("_errors") > 0).select(
+    errors = p.select(
         "payload_id", F.explode("_errors").alias("_e")
     ).select("payload_id", F.lit("invalid_payload").alias("code"), F.col("_e.message").alias("message"),
              F.lit(None).cast("bigint").alias("source_row"), F.col("_e.field_name").alias("field_name"))
-    valid = p.where(F.size("_errors") == 0)
+    valid = keep_valid(p)
     records = valid.select(
         "payload_id", F.col("_doc.snapshot_id").alias("source_reference"),
         X.parse_aware_timestamp(F.col("_doc.captured_at")).alias("observed_at"),
@@ -252,11 +269,11 @@ def parse_carrier_events(raw: DataFrame, value_col: str = "value") -> tuple[Data
     )
     e = e.withColumn("_errors", errs)
     keep = [c for c in raw.columns if c != value_col]
-    rejects = e.where(F.size("_errors") > 0).select(
+    rejects = e.select(
         *keep, F.col("_ev.event_id").alias("external_event_id"), F.explode("_errors").alias("_e")
     ).select(*keep, "external_event_id", F.col("_e.field_name").alias("field_name"),
              F.col("_e.message").alias("message"))
-    events = e.where(F.size("_errors") == 0).select(
+    events = keep_valid(e).select(
         *keep,
         F.col("_ev.event_id").alias("external_event_id"),
         F.col("_ev.tracking_number").alias("tracking_reference"),

@@ -60,10 +60,9 @@ def register(key: str, sql: str | None = None, views: list[str] | tuple[str, ...
 
 def prepare(spark: SparkSession) -> None:
     """Session settings the plans rely on (UTC instants, last-wins map keys)."""
-    from skuflow.session import BASE_CONF
+    from skuflow.session import BASE_CONF, RUNTIME_KEYS
 
-    for k in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy",
-              "spark.sql.sources.partitionColumnTypeInference.enabled"):
+    for k in RUNTIME_KEYS:
         if spark.conf.get(k, None) != BASE_CONF[k]:
             spark.conf.set(k, BASE_CONF[k])
 

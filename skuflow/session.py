@@ -19,9 +19,21 @@ BASE_CONF: dict[str, str] = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Validation reads many fields of one parsed document; the JSON/CSV
+    # field-pruning rewrite would re-parse the document once per field.
+    "spark.sql.optimizer.enableJsonExpressionOptimization": "false",
+    "spark.sql.optimizer.enableCsvExpressionOptimization": "false",
     "spark.ui.enabled": "false",
 }
 
+# SQL settings re-applied to any session the plans run in (driver sessions included).
+RUNTIME_KEYS = [
+    "spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy",
+    "spark.sql.sources.partitionColumnTypeInference.enabled",
+    "spark.sql.optimizer.enableJsonExpressionOptimization",
+    "spark.sql.optimizer.enableCsvExpressionOptimization",
+]
+
 
 def build_session(
     master: str | None = None,
@@ -40,8 +52,7 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    for key in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy",
-                "spark.sql.sources.partitionColumnTypeInference.enabled"):
+    for key in RUNTIME_KEYS:
         spark.conf.set(key, BASE_CONF[key])
     return spark
 

@@ -214,10 +214,11 @@ def q_import_status_counts(spark, sf):
 
 
 def _entities(spark, sf):
+    snaps = _snapshots(spark, sf)  # one import plan feeds both counts
     return {
         "suppliers": E.suppliers(spark, sf), "products": E.products(spark, sf),
-        "warehouses": E.warehouses(spark, sf), "inventory_positions": _positions(spark, sf),
-        "inventory_snapshots": _snapshots(spark, sf), "analytics_runs": E.analytics_runs(spark, sf),
+        "warehouses": E.warehouses(spark, sf), "inventory_positions": imports.positions(snaps),
+        "inventory_snapshots": snaps, "analytics_runs": E.analytics_runs(spark, sf),
         "operation_events": E.operation_events(spark, sf),
     }
 

@@ -98,13 +98,12 @@ DUCK = {
 
 
 def _materialized(df):
-    """Cut a derived table's lineage once per audit run: a reliable checkpoint
-    in the cluster's shared checkpoint folder (survives executor loss), so the
-    many rules over it read stored rows instead of recomputing the pipeline."""
-    from skuflow.session import checkpoint_dir
+    """Cut a derived table's lineage once per audit run (reliable checkpoint in
+    the shared folder), so the many rules over it read stored rows instead of
+    recomputing the pipeline."""
+    from skuflow.session import materialize
 
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df)
 
 
 def _memo(fn, cache, key, materialize=False):

@@ -118,8 +118,14 @@ _QTY_COLS = ["on_hand_quantity", "reserved_quantity", "inbound_quantity", "forec
     f"CAST({c} AS DECIMAL(18,3)) AS {c}" for c in _QTY_COLS
 ) + ", CAST(shortage_ratio AS DECIMAL(18,6)) AS shortage_ratio, severity FROM g_curated", ["g_curated"])
 def q_stockout_risk_run(spark, sf):
-    """P5: generate -> score with exact thresholds -> quantised detail rows."""
-    curated, _ = risk.score(synthetic.risk_inputs(views.order_index(spark, sf), SEED), "exact")
+    """P5: generate -> score with exact thresholds -> quantised detail rows.
+
+    The generated inputs feed the three quantile passes and the banding, so
+    they are materialised once (reliable checkpoint) instead of re-hashed."""
+    from skuflow.session import materialize
+
+    inputs = materialize(synthetic.risk_inputs(views.order_index(spark, sf), SEED))
+    curated, _ = risk.score(inputs, "exact")
     return curated.select(
         "record_index", "product_sku", "warehouse_code",
         *[F.col(c).cast(S.QTY).alias(c) for c in _QTY_COLS],

@@ -428,7 +428,9 @@ def q_filter_stockout_risks(spark, sf):
     from skuflow.plans.oracle_views import SEED
     from skuflow.sources import synthetic
 
-    curated, _ = risk.score(synthetic.risk_inputs(views.order_index(spark, sf), SEED), "exact")
+    from skuflow.session import materialize
+
+    curated, _ = risk.score(materialize(synthetic.risk_inputs(views.order_index(spark, sf), SEED)), "exact")
     page = reports.paginate(curated.where(F.col("severity") == "high"), [F.col("record_index")], 0, 1000)
     return page.select("record_index", "product_sku", F.col("shortage_ratio").cast("decimal(18,6)")
                        .alias("shortage_ratio"))

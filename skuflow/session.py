@@ -91,3 +91,14 @@ def _counter():
 
 
 _COUNTER = _counter()
+
+
+def materialize(df):
+    """Cut lineage once: a reliable checkpoint in the shared checkpoint folder.
+
+    Used at the plan layer where a derived input (generated rows, parsed
+    partner records) feeds several passes; survives executor loss, unlike
+    ``localCheckpoint``.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

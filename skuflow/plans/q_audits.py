@@ -144,19 +144,26 @@ def _build_tables(spark, sf):
     def risks_raw():
         from skuflow.plans.oracle_views import SEED
 
-        curated, _ = risk.score(synthetic.risk_inputs(views.order_index(spark, sf), SEED), "exact")
+        inputs = _materialized(synthetic.risk_inputs(views.order_index(spark, sf), SEED))
+        curated, _ = risk.score(inputs, "exact")
         return curated
 
     attempts = _memo(attempts_raw, cache, "attempts", materialize=True)
     risks = _memo(risks_raw, cache, "risks", materialize=True)
     positions = _memo(lambda: imports.positions(snaps()), cache, "positions", materialize=True)
+    # Fact-derived tables are read by several rule families: materialise once.
+    order_lines = _memo(lambda: reports.sequence_numbers(E.order_lines(spark, sf), ["order_id"], ["input_pos"],
+                                                         "line_number"), cache, "order_lines", materialize=True)
+    jobs = _memo(lambda: E.jobs(spark, sf), cache, "jobs", materialize=True)
+    op_events = _memo(lambda: E.operation_events(spark, sf), cache, "op_events", materialize=True)
+    shipments = _memo(lambda: E.order_shipments(spark, sf), cache, "shipments", materialize=True)
+    orders = _memo(lambda: E.purchase_orders(spark, sf), cache, "orders", materialize=True)
     return {
         "inventory_positions": positions,
-        "purchase_order_lines": lambda: reports.sequence_numbers(E.order_lines(spark, sf), ["order_id"],
-                                                                 ["input_pos"], "line_number"),
+        "purchase_order_lines": order_lines,
         "supplier_product_mappings": lambda: views.product_map(spark, sf),
         "supplier_warehouse_mappings": lambda: views.warehouse_map(spark, sf),
-        "import_jobs": lambda: E.jobs(spark, sf),
+        "import_jobs": jobs,
         "import_attempts": attempts,
         "inventory_snapshots": snaps,
         "analytics_runs": lambda: E.analytics_runs(spark, sf),
@@ -164,9 +171,9 @@ def _build_tables(spark, sf):
         "suppliers": lambda: E.suppliers(spark, sf),
         "products": lambda: E.products(spark, sf),
         "warehouses": lambda: E.warehouses(spark, sf),
-        "purchase_orders": lambda: E.purchase_orders(spark, sf),
-        "shipments": lambda: E.order_shipments(spark, sf),
-        "operation_events": lambda: E.operation_events(spark, sf),
+        "purchase_orders": orders,
+        "shipments": shipments,
+        "operation_events": op_events,
     }
 
 

@@ -103,6 +103,23 @@ def q_require_timezone(spark, sf):
     return rejects.select("arrival_seq", "external_event_id", "field_name")
 
 
+_PUBLISHED: dict = {}
+
+
+def _published_history(spark, sf):
+    """The raw history published once per session as date-partitioned CSV in
+    the shared scratch folder (A1 and A2 both read it)."""
+    from skuflow.session import scratch_path
+    from skuflow.sources import files
+
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PUBLISHED:
+        root = scratch_path(spark, "history-csv")
+        files.write_history_csv(views.v_inv_raw(spark, sf), root)
+        _PUBLISHED[key] = root
+    return _PUBLISHED[key]
+
+
 @register("scan_history_csv", """
 SELECT event_date, supplier_code, product_sku, warehouse_code, on_hand_quantity, reserved_quantity,
        inbound_quantity, forecast_quantity, actual_demand_quantity
@@ -111,11 +128,9 @@ FROM v_inv_raw
 def q_scan_history_csv(spark, sf):
     """A1: history published as date-partitioned CSV in the shared scratch
     folder, read back with the declared schema (blank keys, NULLs kept)."""
-    from skuflow.session import scratch_path
     from skuflow.sources import files
 
-    root = scratch_path(spark, "history-csv")
-    files.write_history_csv(views.v_inv_raw(spark, sf), root)
+    root = _published_history(spark, sf)
     return files.scan_history_csv(spark, root).select(
         "event_date", "supplier_code", "product_sku", "warehouse_code", "on_hand_quantity", "reserved_quantity",
         "inbound_quantity", "forecast_quantity", "actual_demand_quantity")
@@ -124,12 +139,9 @@ def q_scan_history_csv(spark, sf):
 @register("source_partition_inventory")
 def q_source_partition_inventory(spark, sf):
     """A2: CSV objects per event_date partition (rows-only: file layout is the writer's)."""
-    from skuflow.session import scratch_path
     from skuflow.sources import files
 
-    root = scratch_path(spark, "history-csv")
-    files.write_history_csv(views.v_inv_raw(spark, sf), root)
-    return files.partition_inventory(spark, root)
+    return files.partition_inventory(spark, _published_history(spark, sf))
 
 
 @register("scan_pipeline_manifests", """

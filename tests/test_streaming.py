@@ -106,3 +106,23 @@ def test_tail_job_events(spark):
     q.stop()
     assert out == {("JOB-1", "E1", "event"), ("JOB-1", "E2", "event"), ("JOB-1", None, "completed"),
                    ("JOB-2", "E4", "event")}
+
+
+def test_latency_stream_closed_windows_equal_batch(spark):
+    import datetime as dt
+
+    log = views.http_log(spark, SF001)
+    src = tempfile.mkdtemp(prefix="http-log-p95-")
+    days = [r[0] for r in log.select(F.to_date("completed_at").alias("d")).distinct().orderBy("d").collect()]
+    for i, d in enumerate(days[:6]):
+        log.where(F.to_date("completed_at") == d).coalesce(1).write.mode("overwrite").parquet(f"{src}/d={i:03d}")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    q = _run_memory(tstream.latency_stream(stream), "p95_stream")
+    got = {(r.window_start, r.route, r.total, round(r.p95_seconds, 9)) for r in spark.table("p95_stream").collect()}
+    q.stop()
+    sub = log.where(F.to_date("completed_at").isin(days[:6]))
+    batch = {(r.window_start, r.route, r.total, round(r.p95_seconds, 9))
+             for r in telemetry.histogram_quantile(sub).collect()}
+    last = sub.agg(F.max("completed_at")).first()[0]
+    closed = {b for b in batch if b[0] + dt.timedelta(minutes=5) <= last - dt.timedelta(minutes=10)}
+    assert got and got <= batch and closed <= got

@@ -31,9 +31,20 @@ def paginate(df: DataFrame, order: list[Column], offset: int, limit: int) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def sequence_numbers(df: DataFrame, parent: list[str], order: list[str], name: str) -> DataFrame:
-    """1-based position of each child within its parent, by input order.
-    Children per parent are bounded (lines per order, attempts per job)."""
+def sequence_numbers(df: DataFrame, parent: list[str], order: list, name: str,
+                     skew_safe: bool = False) -> DataFrame:
+    """1-based position of each child within its parent.
+
+    The window form suits children bounded per parent (lines per order,
+    attempts per job). ``skew_safe`` numbers with the parallel segmented scan:
+    with the (unique) ordering columns as the compared attributes every row is
+    a change, so the running change count is the row number, and a parent with
+    a third of all rows is spread over range partitions.
+    """
+    if skew_safe:
+        from skuflow.operators.sequences import running_change_versions
+
+        return running_change_versions(df, parent, order, order, out=name)
     w = Window.partitionBy(*parent).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w))
 

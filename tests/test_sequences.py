@@ -18,3 +18,14 @@ def test_running_change_versions_match_window_with_hot_key(spark):
     for parts in (1, 3, 7, 16):
         got = running_change_versions(df, ["k"], ["seq"], ["attr", "n"], partitions=parts)
         assert {(r.k, r.seq): r.version for r in got.collect()} == want
+
+
+def test_skew_safe_row_numbers_match_window(spark):
+    from skuflow.operators import reports
+
+    rng = random.Random(5)
+    rows = [("HOT" if rng.random() < 0.6 else f"P{rng.randint(0, 30)}", i, rng.randint(0, 1000)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "parent string, seq long, t long")
+    want = {(r.parent, r.seq): r.n for r in reports.sequence_numbers(df, ["parent"], ["t", "seq"], "n").collect()}
+    got = reports.sequence_numbers(df, ["parent"], ["t", "seq"], "n", skew_safe=True)
+    assert {(r.parent, r.seq): r.n for r in got.collect()} == want

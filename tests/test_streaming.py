@@ -1,6 +1,7 @@
 """Structured Streaming: batch = stream for the lifecycle and request rate,
 exactly-once supplier-file imports."""
 
+import json
 import os
 import tempfile
 
@@ -12,6 +13,9 @@ from skuflow.streaming import carrier, imports as import_stream
 from skuflow.streaming import telemetry as tstream
 from tests.conftest import SF001
 
+CONTRACT_A = {"snapshot_id": "SA-20260729-001", "captured_at": "2026-07-29T08:00:00-07:00",
+              "items": [{"item_number": "A-IP16-256-BLK", "location": "A-WEST-01", "on_hand": "120.000",
+                         "allocated": "35.000", "unit": "EACH"}]}
 CONTRACT_B = (b"snapshot_ref,as_of,partner_sku,depot,case_count,units_per_case\n"
               b"SB-20260729-001,2026-07-29T08:00:00-07:00,B-IP16-256-BLK,B-LAX-01,10.000,12.000\n"
               b"SB-20260729-002,2026-07-29T15:00:00Z,UNMAPPED-SKU,B-LAX-01,3.000,12.000\n")
@@ -51,25 +55,30 @@ def test_import_stream_exactly_once(spark):
         fh.write(CONTRACT_B)
     with open(os.path.join(inbox, "a-again.csv"), "wb") as fh:  # same bytes re-delivered
         fh.write(CONTRACT_B)
-    pm = spark.createDataFrame([("B-IP16-256-BLK", "PRD-1", "CASE", 12.0, 1, True)],
+    with open(os.path.join(inbox, "snapshot.json"), "w") as fh:
+        json.dump(CONTRACT_A, fh)
+    pm = spark.createDataFrame([("B-IP16-256-BLK", "PRD-1", "CASE", 12.0, 1, True),
+                                ("A-IP16-256-BLK", "PRD-1", "EACH", 1.0, 1, True)],
                                "external_sku string, product_id string, source_unit string, "
                                "units_per_source_unit double, version int, active boolean") \
         .withColumn("units_per_source_unit", F.col("units_per_source_unit").cast("decimal(18,3)"))
-    wm = spark.createDataFrame([("B-LAX-01", "WH-1", 1, True)],
+    wm = spark.createDataFrame([("B-LAX-01", "WH-1", 1, True), ("A-WEST-01", "WH-2", 1, True)],
                                "external_location string, warehouse_id string, version int, active boolean")
     q = import_stream.start_import_stream(spark, inbox, out, ckpt, pm, wm)
     q.awaitTermination(300)
-    snaps = spark.read.parquet(f"{out}/snapshots").collect()
-    assert len(snaps) == 1 and str(snaps[0].on_hand_quantity) == "120.000"
-    acc = spark.read.parquet(f"{out}/accounting").collect()
-    assert [(a.accepted_records, a.rejected_records, a.total_records, a.status) for a in acc] == \
-        [(1, 1, 2, "completed_with_errors")]
+    snaps = {r.warehouse_id: r for r in spark.read.parquet(f"{out}/snapshots").collect()}
+    assert set(snaps) == {"WH-1", "WH-2"}
+    assert str(snaps["WH-1"].on_hand_quantity) == "120.000"  # 10 cases x 12
+    assert (str(snaps["WH-2"].on_hand_quantity), str(snaps["WH-2"].reserved_quantity)) == ("120.000", "35.000")
+    acc = sorted((a.accepted_records, a.rejected_records, a.total_records, a.status)
+                 for a in spark.read.parquet(f"{out}/accounting").collect())
+    assert acc == [(1, 0, 1, "completed"), (1, 1, 2, "completed_with_errors")]
     errs = spark.read.parquet(f"{out}/errors").collect()
     assert [(e.source_row, e.code) for e in errs] == [(3, "product_mapping_not_found")]
     # a re-run of the same inbox adds nothing
     q2 = import_stream.start_import_stream(spark, inbox, out, ckpt, pm, wm)
     q2.awaitTermination(300)
-    assert spark.read.parquet(f"{out}/snapshots").count() == 1
+    assert spark.read.parquet(f"{out}/snapshots").count() == 2
 
 
 def test_request_rate_stream_closed_windows_equal_batch(spark):

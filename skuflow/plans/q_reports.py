@@ -75,7 +75,8 @@ def _lines(spark, sf):
 
 
 @register("order_line_numbers", """
-SELECT order_id, product_id, row_number() OVER (PARTITION BY order_id ORDER BY pos1, pos2) AS line_number
+SELECT order_id, product_id,
+       CAST(row_number() OVER (PARTITION BY order_id ORDER BY pos1, pos2) AS INTEGER) AS line_number
 FROM e_order_lines
 """, ["e_order_lines"])
 def q_order_line_numbers(spark, sf):
@@ -105,7 +106,8 @@ def q_order_with_lines(spark, sf):
 
 
 @register("shipment_with_events", f"""
-SELECT s.shipment_id, s.status, row_number() OVER (PARTITION BY v.shipment_id ORDER BY v.occurred_at, v.arrival_seq)
+SELECT s.shipment_id, s.status,
+       CAST(row_number() OVER (PARTITION BY v.shipment_id ORDER BY v.occurred_at, v.arrival_seq) AS INTEGER)
          AS event_seq, v.external_event_id, v.event_type, {_ISO.format(c='v.occurred_at')} AS occurred_at
 FROM cc_states s JOIN cc_verdicts v ON v.shipment_id = s.shipment_id AND v.verdict = 'accepted'
 """, ["cc_states", "cc_verdicts"])
@@ -253,8 +255,8 @@ def q_order_duplicate_products(spark, sf):
 
 
 @register("manifest_object_counts", """
-SELECT manifest_key, status, coalesce(len(curated_keys), 0) AS curated_object_count,
-       coalesce(len(summary_keys), 0) AS summary_object_count
+SELECT manifest_key, status, CAST(coalesce(len(curated_keys), 0) AS INTEGER) AS curated_object_count,
+       CAST(coalesce(len(summary_keys), 0) AS INTEGER) AS summary_object_count
 FROM e_manifests
 """, ["e_manifests"])
 def q_manifest_object_counts(spark, sf):
@@ -354,8 +356,8 @@ WITH e AS (SELECT import_job_id, source_row, code, field_name FROM sb_adapter_er
            UNION ALL
            SELECT import_job_id, source_row, error_code, field_name FROM sb_verdicts WHERE NOT accepted)
 SELECT import_job_id, source_row, code, field_name,
-       row_number() OVER (PARTITION BY import_job_id ORDER BY source_row ASC NULLS LAST, field_name, code)
-         AS position
+       CAST(row_number() OVER (PARTITION BY import_job_id ORDER BY source_row ASC NULLS LAST, field_name, code)
+            AS INTEGER) AS position
 FROM e
 """, ["sb_adapter_errors", "sb_verdicts"])
 def q_order_errors(spark, sf):
@@ -468,7 +470,8 @@ def q_classify_import_failure(spark, sf):
 
 
 @register("retry_delay_seconds", f"""
-WITH a AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY l_linenumber, attempt_key) AS attempt_number
+WITH a AS (SELECT *, CAST(row_number() OVER (PARTITION BY job_id ORDER BY l_linenumber, attempt_key) AS INTEGER)
+                        AS attempt_number
            FROM e_attempts)
 SELECT job_id, attempt_number,
        CAST(least(2 * pow(2, greatest(attempt_number - 1, 0)), 60) AS INTEGER) AS retry_delay_seconds

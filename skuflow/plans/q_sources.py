@@ -145,8 +145,9 @@ def q_source_partition_inventory(spark, sf):
 
 
 @register("scan_pipeline_manifests", """
-SELECT manifest_key, status, partition_date, run_id, input_rows, len(curated_keys) AS curated_object_count,
-       len(summary_keys) AS summary_object_count
+SELECT manifest_key, status, partition_date, run_id, input_rows,
+       CAST(len(curated_keys) AS INTEGER) AS curated_object_count,
+       CAST(len(summary_keys) AS INTEGER) AS summary_object_count
 FROM e_manifests ORDER BY manifest_key DESC LIMIT 20
 """, ["e_manifests"])
 def q_scan_pipeline_manifests(spark, sf):

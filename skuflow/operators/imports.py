@@ -79,7 +79,10 @@ def duplicate_flags(flagged: DataFrame) -> DataFrame:
     per_key = per_job.groupBy(*SOURCE_KEY).agg(
         F.min(F.when(F.col("_first_ok"), F.col("job_seq"))).alias("_accepted_job")
     )
-    j = flagged.join(per_job.drop("_first_ok"), [*SOURCE_KEY, "job_seq"]).join(per_key, SOURCE_KEY)
+    # Combine the two (small) aggregates first, so the records are shuffled
+    # once, on (key, job), instead of once per aggregate.
+    keyed = per_job.drop("_first_ok").join(per_key, SOURCE_KEY)
+    j = flagged.join(keyed, [*SOURCE_KEY, "job_seq"])
     return (
         j.withColumn("duplicate_in_file", F.col("source_row") != F.col("_first_row"))
         .withColumn("already_imported", F.coalesce(F.col("_accepted_job") < F.col("job_seq"), F.lit(False)))

@@ -1,12 +1,67 @@
-"""Corpus pipeline (in work): stages follow as their operators are written."""
+"""Corpus pipeline: quality, near duplicates, repeated passages, mixing, encoding.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
+writes each result as Parquet to the cluster's shared folder and reads it again
+as the next stage's documents. All but the last stage return the columns of
+``documents``. Where a stage shortens texts, ``n_chars`` follows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skuflow.llm import bagminhash, mixing, piece_codec, pu_quality, unit_dedup
+from skuflow.llm.common import documents, staged
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learnt from these documents and ``labels``, accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return pu_quality.keep_good(docs, pu_quality.fit(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each group of near duplicates."""
+    return bagminhash.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that an earlier one holds."""
+    short = unit_dedup.without_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return short
+    return short.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document taken (repeats are rows of their own)."""
+    return piece_codec.digests(piece_codec.decode(piece_codec.encode(docs)))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("source_mix", source_mix),
+    ("token_ids", token_ids),
+]
 
-STAGES: list = []
+#: Learning, signatures and encoding have no SQL form; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

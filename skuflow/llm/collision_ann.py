@@ -74,14 +74,15 @@ class Block:
         return np.sqrt(((self.vectors[rows] - query) ** 2).sum(axis=1))
 
     def first_radius(self, queries: np.ndarray, k: int) -> np.ndarray:
-        """Per query a radius to begin with: half the k-th distance among a few vectors next to it on one projection."""
+        """Per query a radius to begin with: half the k-th distance above zero among a few vectors next to it on one projection."""
         at = np.searchsorted(self.sorted[:, 0], queries @ self.directions[:, 0])
         n, near, out = len(self.ids), 4 * k, []
         for q, i in zip(queries, at, strict=True):
             lo = max(0, min(int(i) - near, n - 2 * near))
             d = np.sort(self.distances(q, self.order[lo:lo + 2 * near, 0]))
-            out.append(d[min(k, len(d) - 1)] / 2)
-        return np.maximum(np.array(out), 1e-12)
+            d = d[np.searchsorted(d, d[min(k, len(d) - 1)], "left"):]
+            out.append(next((x for x in d if x > 0), 1.0) / 2)
+        return np.array(out)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: int, width: float,
                ratio: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -93,7 +94,6 @@ class Block:
         for qi, query, centre, radius in zip(query_ids, queries, centres, start, strict=True):
             counts = np.zeros(n, dtype=np.int64)
             verified = self.ids == qi
-            own = int(verified.sum())
             best_rows, best_d = np.empty(0, dtype=np.int64), np.empty(0)
             lo = hi = None
             while True:
@@ -116,8 +116,7 @@ class Block:
                 if (len(best_d) == k and best_d[-1] <= radius) or verified.all() or all(
                         b - a == n for a, b in zip(lo, hi, strict=True)):
                     break
-                # At least to the next vector on some projection, so that far queries arrive too.
-                radius *= ratio if len(best_rows) + own or max(b - a for a, b in zip(lo, hi, strict=True)) else 4 * ratio
+                radius *= ratio
             out.append((int(qi), self.ids[best_rows], best_d))
         return out
 

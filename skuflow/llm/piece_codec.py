@@ -66,7 +66,7 @@ def splits_at_markers(processor) -> bool:
     norm, trainer = model.normalizer_spec, model.trainer_spec
     plain = not norm.precompiled_charsmap and norm.add_dummy_prefix and not norm.remove_extra_whitespaces
     return bool(plain and norm.escape_whitespaces and trainer.byte_fallback
-                and not trainer.treat_whitespace_as_suffix
+                and not trainer.treat_whitespace_as_suffix and processor.piece_to_id(MARK) != processor.unk_id()
                 and all(MARK not in p.piece.lstrip(MARK) and p.type != 4 for p in model.pieces))
 
 
@@ -78,7 +78,8 @@ class ChunkTable:
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.chunked = splits_at_markers(self.processor)
-        self.limit, self.ids = table_entries, {}
+        self.mark = self.processor.piece_to_id(MARK)
+        self.limit, self.ids = table_entries, {"": [self.mark]}  # a single marker at the end of a text
         self.begin, self.end = self.processor.bos_id(), self.processor.eos_id()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -90,7 +91,7 @@ class ChunkTable:
         for _, part in text_slices(texts):
             cut = [chunks_of(t) for t in part]
             if len(self.ids) > self.limit:
-                self.ids = {}
+                self.ids = {"": [self.mark]}
             missing = list(set(chain.from_iterable(cut)) - self.ids.keys())
             if missing:
                 self.ids.update(zip(missing, self.processor.encode(missing, num_threads=1), strict=True))

@@ -15,7 +15,8 @@ Learning uses rows whose crc32 of the id (as text) modulo 3 is not 1: at most
 about ``max_rows`` positives and ``max_rows`` unlabelled rows, picked by a hash
 of the id; statistics of those rows alone reach the driver. The prior is the
 share of label 1 among the labelled rows of that fold, counted over all of
-them, between 0.02 and 0.98.
+them, or, where only positives are labelled, an estimate from the two samples;
+it is kept between 0.02 and 0.98.
 
 Defined cases: a null text counts as empty and is scored; rows with a null id
 are scored, not learnt from and not held out; of several labels of an id the
@@ -146,8 +147,11 @@ class Model:
 
 
 def fit_nonnegative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = BINS, steps: int = STEPS,
-                       rate: float = RATE, decay: float = DECAY) -> Model:
-    """Minimise the non-negative risk (see the module) by Adam over whole samples."""
+                       rate: float = RATE, decay: float = DECAY, plain: bool = False) -> Model:
+    """Minimise the non-negative risk (see the module) by Adam over whole samples.
+
+    ``plain``: tell positives from unlabelled rows instead.
+    """
     both = np.concatenate([positive, unlabelled])
     q = np.linspace(0, 1, bins + 1)[1:-1]
     model = Model(np.quantile(both, np.concatenate([q, [0.005, 0.01, 0.02, 0.98, 0.99, 0.995]]), axis=0).T.copy(),
@@ -169,7 +173,10 @@ def fit_nonnegative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: floa
         sp, su = 1 / (1 + np.exp(-np.clip(gp, -30, 30))), 1 / (1 + np.exp(-np.clip(gu, -30, 30)))
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         grad_negative = back(bu, su) - prior * back(bp, sp)
-        grad = prior * back(bp, sp - 1) + grad_negative if negative >= 0 else -grad_negative
+        if plain:
+            grad = back(bp, sp - 1) + back(bu, su)
+        else:
+            grad = prior * back(bp, sp - 1) + grad_negative if negative >= 0 else -grad_negative
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
@@ -177,6 +184,20 @@ def fit_nonnegative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: floa
     return model
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, tail: float = 0.2) -> float:
+    """Class prior from positives and unlabelled rows alone.
+
+    In any region, the unlabelled share is at least prior * the positives' share; the least ratio over the regions
+    above a threshold of a positive-against-unlabelled classifier (with ``tail`` of the positives or more) estimates it.
+    """
+    model = fit_nonnegative_pu(positive, unlabelled, 0.5, steps=200, plain=True)
+    p, u = np.sort(model.margin(positive)), np.sort(model.margin(unlabelled))
+    at = p[: max(1, int(len(p) * (1 - tail)))]
+    above_p = 1 - np.searchsorted(p, at, "left") / len(p)
+    above_u = 1 - np.searchsorted(u, at, "left") / len(u)
+    return float((above_u / above_p).min())
+
+
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         max_rows: int = MAX_ROWS) -> Model | None:
     """Fit on the learning fold; None if it has no positives."""
@@ -185,7 +206,6 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     counts = known.agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.count("*").alias("n")).first()
     if not counts["p"]:
         return None
-    prior = min(max(counts["p"] / counts["n"], 0.02), 0.98)
     learn = df.select(F.col(id_col), F.col(text_col)).where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     total = learn.select(id_col).count()
 
@@ -206,7 +226,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         return None
     by = np.lexsort(stats.T)  # the order in which tasks answer must not matter
     stats, is_p, is_u = stats[by], is_p[by], is_u[by]
-    return fit_nonnegative_pu(stats[is_p], stats[is_u], prior)
+    share_of_labels = counts["p"] / counts["n"]
+    prior = share_of_labels if share_of_labels < 1 else estimate_prior(stats[is_p], stats[is_u])
+    return fit_nonnegative_pu(stats[is_p], stats[is_u], min(max(prior, 0.02), 0.98))
 
 
 def _scores(model: Model | None, column: pa.Array) -> np.ndarray:

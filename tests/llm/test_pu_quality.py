@@ -25,7 +25,7 @@ def labelled(spark):
     for i in range(900):
         text, good = paragraphs(rng, 3, 1), int(i % 6 != 0)
         rows.append((i, text if good else junk(rng, text)))
-        if i % 3:
+        if rng.random() < 0.7:
             labels.append((i, good))
     return (spark.createDataFrame(rows, "doc_id long, text string"),
             spark.createDataFrame(labels, "doc_id long, quality int"), {i: int(i % 6 != 0) for i in range(900)})
@@ -56,6 +56,14 @@ def test_risk_learns_without_negatives():
     assert (scores[:1400] >= 0.5).mean() > 0.95 and (scores[1400:] < 0.5).mean() > 0.95
 
 
+def test_prior_where_only_positives_are_labelled(labelled):
+    docs, labels, truth = labelled
+    model = pu_quality.fit(docs, labels.where("quality = 1"))
+    assert 0.65 < model.prior < 0.95
+    rows = [r for r in pu_quality.score(docs, model).collect() if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in rows) / len(rows) > 0.9
+
+
 def test_labels_of_held_out_rows_are_not_used(spark, labelled):
     from pyspark.sql import functions as F
 

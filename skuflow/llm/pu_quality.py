@@ -184,18 +184,22 @@ def fit_nonnegative_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: floa
     return model
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, tail: float = 0.2) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, tail: float = 0.1) -> float:
     """Class prior from positives and unlabelled rows alone.
 
     In any region, the unlabelled share is at least prior * the positives' share; the least ratio over the regions
-    above a threshold of a positive-against-unlabelled classifier (with ``tail`` of the positives or more) estimates it.
+    above a threshold of a positive-against-unlabelled classifier (holding all but ``tail`` of the positives or more)
+    estimates it. The classifier is fitted on one half of the rows and the ratio taken on the other, both ways.
     """
-    model = fit_nonnegative_pu(positive, unlabelled, 0.5, steps=200, plain=True)
-    p, u = np.sort(model.margin(positive)), np.sort(model.margin(unlabelled))
-    at = p[: max(1, int(len(p) * (1 - tail)))]
-    above_p = 1 - np.searchsorted(p, at, "left") / len(p)
-    above_u = 1 - np.searchsorted(u, at, "left") / len(u)
-    return float((above_u / above_p).min())
+    found = []
+    for half in (0, 1):
+        model = fit_nonnegative_pu(positive[half::2], unlabelled[half::2], 0.5, steps=50, plain=True)
+        p, u = (np.sort(model.margin(x[1 - half::2])) for x in (positive, unlabelled))
+        at = p[: max(1, int(len(p) * tail))]
+        above_p = 1 - np.searchsorted(p, at, "left") / len(p)
+        above_u = 1 - np.searchsorted(u, at, "left") / max(len(u), 1)
+        found.append((above_u / above_p).min())
+    return float(np.mean(found))
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",

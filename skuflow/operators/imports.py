@@ -4,8 +4,8 @@ precedence, unit conversion, snapshots, positions, job accounting.
 The reference validates one record at a time with four or five database
 queries per record. Here a whole batch of jobs is one plan:
 
-* mapping lookups are left joins (D2, D3) with residual unit / factor checks
-  (D13);
+* mapping lookups are left joins on supplier and external code (D2, D3) with
+  residual unit / factor checks (D13);
 * "first occurrence in a file claims the key" (F1) and "an accepted snapshot
   already exists" (D4) come from two partial aggregates over the source key
   joined back to the records, so a hot key is combined map-side and its join
@@ -31,21 +31,24 @@ SOURCE_KEY = ["supplier_id", "source_reference", "external_sku", "external_locat
 def mapping_flags(records: DataFrame, product_map: DataFrame, warehouse_map: DataFrame) -> DataFrame:
     """Attach active mappings and the first failing mapping rule.
 
-    ``product_map``: external_sku, product_id, source_unit, units_per_source_unit, version, active
-    ``warehouse_map``: external_location, warehouse_id, version, active
+    ``product_map``: supplier_id, external_sku, product_id, source_unit, units_per_source_unit, version, active
+    ``warehouse_map``: supplier_id, external_location, warehouse_id, version, active
+    A mapping belongs to its supplier: two suppliers may use the same SKU or
+    location for different things.
     Mapping tables are dimensions: AQE broadcasts them when their runtime size
     is under the broadcast threshold and shuffles them otherwise.
     """
     pm = product_map.where("active").select(
-        "external_sku", "product_id",
+        "supplier_id", "external_sku", "product_id",
         F.col("source_unit").alias("_map_unit"),
         F.col("units_per_source_unit").alias("_map_factor"),
         F.col("version").alias("product_mapping_version"),
     )
     wm = warehouse_map.where("active").select(
-        "external_location", "warehouse_id", F.col("version").alias("warehouse_mapping_version"),
+        "supplier_id", "external_location", "warehouse_id", F.col("version").alias("warehouse_mapping_version"),
     )
-    joined = records.join(pm, "external_sku", "left").join(wm, "external_location", "left")
+    joined = (records.join(pm, ["supplier_id", "external_sku"], "left")
+              .join(wm, ["supplier_id", "external_location"], "left"))
     code = (
         F.when(F.col("product_id").isNull(), F.lit("product_mapping_not_found"))
         .when(F.col("warehouse_id").isNull(), F.lit("warehouse_mapping_not_found"))
@@ -63,8 +66,9 @@ def mapping_flags(records: DataFrame, product_map: DataFrame, warehouse_map: Dat
     return joined.withColumn("_map_code", code).withColumn("_map_field", field)
 
 
-def duplicate_flags(flagged: DataFrame) -> DataFrame:
-    """F1 + D4 on records carrying ``_map_code``.
+def duplicate_flags(flagged: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """F1 + D4 on records carrying ``_map_code``. ``stored``: snapshots accepted
+    before this batch (any table with the source key's columns).
 
     * in-file duplicate: an earlier ``source_row`` of the same job has the key
       (the first occurrence claims the key even when it is rejected later);
@@ -79,21 +83,28 @@ def duplicate_flags(flagged: DataFrame) -> DataFrame:
     per_key = per_job.groupBy(*SOURCE_KEY).agg(
         F.min(F.when(F.col("_first_ok"), F.col("job_seq"))).alias("_accepted_job")
     )
+    if stored is not None:
+        before = stored.select(*SOURCE_KEY).distinct().withColumn("_stored", F.lit(True))
+        per_key = per_key.join(before, SOURCE_KEY, "left")
+    else:
+        per_key = per_key.withColumn("_stored", F.lit(False))
     # Combine the two (small) aggregates first, so the records are shuffled
     # once, on (key, job), instead of once per aggregate.
     keyed = per_job.drop("_first_ok").join(per_key, SOURCE_KEY)
     j = flagged.join(keyed, [*SOURCE_KEY, "job_seq"])
     return (
         j.withColumn("duplicate_in_file", F.col("source_row") != F.col("_first_row"))
-        .withColumn("already_imported", F.coalesce(F.col("_accepted_job") < F.col("job_seq"), F.lit(False)))
-        .drop("_first_row", "_accepted_job")
+        .withColumn("already_imported", F.coalesce("_stored", F.lit(False))
+                    | F.coalesce(F.col("_accepted_job") < F.col("job_seq"), F.lit(False)))
+        .drop("_first_row", "_accepted_job", "_stored")
     )
 
 
-def verdicts(records: DataFrame, product_map: DataFrame, warehouse_map: DataFrame) -> DataFrame:
+def verdicts(records: DataFrame, product_map: DataFrame, warehouse_map: DataFrame,
+             stored: DataFrame | None = None) -> DataFrame:
     """one verdict per record; first failing rule wins:
     duplicate -> product map -> warehouse map -> unit -> factor."""
-    d = duplicate_flags(mapping_flags(records, product_map, warehouse_map))
+    d = duplicate_flags(mapping_flags(records, product_map, warehouse_map), stored)
     dup = F.col("duplicate_in_file") | F.col("already_imported")
     return (
         d.withColumn("error_code", F.when(dup, F.lit("duplicate_source_record")).otherwise(F.col("_map_code")))

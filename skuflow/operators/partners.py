@@ -9,14 +9,29 @@ supplier A), so per-file array work inside one row is bounded too.
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuflow import schemas as S
 from skuflow.functions import scalars as X
 
-MAX_CSV_FIELDS = 32
-_CSV_SCHEMA = ", ".join(f"c{i} STRING" for i in range(MAX_CSV_FIELDS))
+_ROWS_PER_BATCH = 5000
+# A comma and the field behind it; a quote opens a quoted field only at its start.
+_CSV_FIELD = r',((?:"[^"]*+(?:""[^"]*+)*+"?)?[^,]*+)'
+_CSV_QUOTED = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"?(.*)$'
+
+# Messages for a value that is not there although its column is,
+# for a field that is not there at all, and for failed rules.
+REQUIRED = "Field required"
+NOT_A_STRING = "Input should be a valid string"
+NOT_A_TIME = "Input should be a valid datetime"
+NOT_A_DECIMAL = "Decimal input should be an integer, float, string or Decimal object"
 
 # Decimal text: optional sign, digits, optional fraction.
 DECIMAL_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*$"
@@ -26,7 +41,7 @@ def _err(cond: Column, field: str, message: str) -> Column:
     return F.when(cond, F.struct(F.lit(field).alias("field_name"), F.lit(message).alias("message")))
 
 
-def decimal_errors(text: Column, field: str, positive: bool) -> list[Column]:
+def decimal_errors(text: Column, field: str, positive: bool, absent: str = REQUIRED) -> list[Column]:
     """max_digits 18, decimal_places 3, >= 0 (or > 0), as one error per field."""
     t = F.trim(text)
     is_num = t.rlike(DECIMAL_PATTERN)
@@ -38,7 +53,7 @@ def decimal_errors(text: Column, field: str, positive: bool) -> list[Column]:
     msg = "Input should be greater than 0" if positive else "Input should be greater than or equal to 0"
     return [
         F.coalesce(
-            _err(text.isNull(), field, "Field required"),
+            _err(text.isNull(), field, absent),
             _err(~is_num, field, "Input should be a valid decimal"),
             _err(F.length(frac_sig) > 3, field, "Decimal input should have no more than 3 decimal places"),
             _err(F.length(int_part) + F.length(frac_sig) > 18, field,
@@ -48,18 +63,18 @@ def decimal_errors(text: Column, field: str, positive: bool) -> list[Column]:
     ]
 
 
-def string_errors(text: Column, field: str, max_len: int = 100) -> list[Column]:
+def string_errors(text: Column, field: str, max_len: int = 100, absent: str = REQUIRED) -> list[Column]:
     return [F.coalesce(
-        _err(text.isNull(), field, "Field required"),
+        _err(text.isNull(), field, absent),
         _err(F.length(text) < 1, field, "String should have at least 1 character"),
         _err(F.length(text) > max_len, field, f"String should have at most {max_len} characters"),
     )]
 
 
-def timestamp_errors(text: Column, field: str) -> list[Column]:
+def timestamp_errors(text: Column, field: str, absent: str = REQUIRED) -> list[Column]:
     parsed = X.parse_aware_timestamp(text)
     return [F.coalesce(
-        _err(text.isNull(), field, "Field required"),
+        _err(text.isNull(), field, absent),
         _err(~X.has_timezone(F.trim(text)) & X.parse_naive_timestamp(text).isNotNull(), field,
              "Input should have timezone info"),
         _err(parsed.isNull(), field, "Input should be a valid datetime"),
@@ -90,52 +105,69 @@ def keep_where(df: DataFrame, cond: Column) -> DataFrame:
 # ----------------------------------------------------------------------------
 # Supplier B CSV
 # ----------------------------------------------------------------------------
-def supplier_b_lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bytes -> numbered lines. ``files``: file_id, content (binary).
-
-    Returns (lines, file_errors). Lines carry ``is_header`` and ``source_row``
-    (1 for the header, data rows from 2; blank lines are skipped and not
-    counted, like a CSV reader). Oversized and non-UTF-8 files become file-level
-    errors. The decode runs only on rows that passed the UTF-8 check.
-    """
-    checked = files.withColumn("_size", F.length("content")).withColumn(
-        "_file_error",
-        F.when(F.col("_size") > S.MAX_SUPPLIER_B_BYTES, F.lit("payload_too_large"))
-        .when(~F.is_valid_utf8(F.col("content").cast("string")), F.lit("invalid_file_encoding")),
-    )
-    file_errors = checked.where(F.col("_file_error").isNotNull()).select(
-        "file_id", F.col("_file_error").alias("code"),
-        F.when(F.col("_file_error") == "payload_too_large", F.lit("Supplier B files must be at most 10 MiB."))
-        .otherwise(F.lit("Supplier B files must use UTF-8 encoding.")).alias("message"),
-        F.lit(None).cast("bigint").alias("source_row"), F.lit(None).cast("string").alias("field_name"),
-    )
-    ok = checked.where(F.col("_file_error").isNull())
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    lines = F.filter(F.split(text, r"\r\n|\n|\r"), lambda s: F.length(s) > 0)
-    exploded = ok.select("file_id", F.posexplode(lines).alias("_pos", "text"))
-    return exploded.select(
-        "file_id", (F.col("_pos") + 1).cast("bigint").alias("source_row"), "text",
-        (F.col("_pos") == 0).alias("is_header"),
-    ), file_errors
-
-
-def _with_csv_fields(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """Parse a CSV line once into ``out`` (array of up to MAX_CSV_FIELDS values).
-
-    The parsed struct gets its own projection so the parser runs once per line
-    rather than once per referenced field.
+_CSV_ROWS = "file_id {kind}, source_row long, fields array<string>, is_header boolean"
+
+
+def _csv_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of whole CSV files: quoted commas, doubled quotes and line breaks
+    belong to their field; blank records are skipped and not counted."""
+    csv.field_size_limit(S.MAX_SUPPLIER_B_BYTES)
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            reader = csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""))
+            header = next(reader, [])
+            numbered = itertools.chain([(1, header)], enumerate(filter(None, reader), start=2))
+            while part := list(itertools.islice(numbered, _ROWS_PER_BATCH)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file_id] * len(part), kind), pa.array([n for n, _ in part], pa.int64()),
+                     pa.array([f for _, f in part], pa.list_(pa.string())), pa.array([n == 1 for n, _ in part])],
+                    names=["file_id", "source_row", "fields", "is_header"])
+
+
+def supplier_b_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bytes -> numbered CSV records. ``files``: file_id, content (binary) and,
+    for file sources, ``length``.
+
+    Returns (rows, file_errors). Rows carry ``fields``, ``is_header`` and
+    ``source_row`` (1 for the header, data rows from 2). Oversized and
+    non-UTF-8 files become file-level errors. The size gate reads ``length``
+    where the source has it, so the bytes of an oversized file are never read
+    (the file source skips content by a filter on ``length``).
     """
-    parsed = df.withColumn("_csv", F.from_csv(F.col(text_col), _CSV_SCHEMA, {"mode": "PERMISSIVE"}))
-    return parsed.withColumn(out, F.array(*[F.col(f"_csv.c{i}") for i in range(MAX_CSV_FIELDS)])).drop("_csv")
-
-
-def parse_supplier_b(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines -> (canonical records, errors). Columns of ``lines``:
-    file_id, source_row, text, is_header.
+    size = F.col("length") if "length" in files.columns else F.length("content")
+    no_row = [F.lit(None).cast("bigint").alias("source_row"), F.lit(None).cast("string").alias("field_name")]
+    large = files.where(size > S.MAX_SUPPLIER_B_BYTES).select(
+        "file_id", F.lit("payload_too_large").alias("code"),
+        F.lit("Supplier B files must be at most 10 MiB.").alias("message"), *no_row)
+    fitting = files.where(size <= S.MAX_SUPPLIER_B_BYTES).select("file_id", "content")
+    readable = F.is_valid_utf8(F.col("content").cast("string"))
+    garbled = fitting.where(~readable).select(
+        "file_id", F.lit("invalid_file_encoding").alias("code"),
+        F.lit("Supplier B files must use UTF-8 encoding.").alias("message"), *no_row)
+    kind = files.schema["file_id"].dataType.simpleString()
+    rows = fitting.where(readable).mapInArrow(_csv_rows, _CSV_ROWS.format(kind=kind))
+    return rows, large.unionByName(garbled)
+
+
+def csv_fields(text: Column) -> Column:
+    """Fields of one CSV record held in a text column: any number of fields,
+    quoted commas, doubled quotes and line breaks."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(_CSV_FIELD), F.lit(1))
+
+    def value(field: Column) -> Column:
+        inner = F.regexp_extract(field, _CSV_QUOTED, 1)
+        return F.when(field.startswith('"'), F.concat(
+            F.replace(inner, F.lit('""'), F.lit('"')), F.regexp_extract(field, _CSV_QUOTED, 2))).otherwise(field)
+
+    return F.transform(raw, value)
+
+
+def parse_supplier_b(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """CSV records -> (canonical records, errors). Columns of ``rows``:
+    file_id, source_row, fields, is_header.
     """
-    headers = _with_csv_fields(lines.where("is_header"), "text", "_f").select(
-        "file_id", F.filter(F.col("_f"), lambda h: h.isNotNull()).alias("_header")
-    ).withColumn(
+    headers = rows.where("is_header").select("file_id", F.col("fields").alias("_header")).withColumn(
         "_missing", F.array_sort(F.array_except(F.array(*[F.lit(h) for h in S.SUPPLIER_B_REQUIRED_HEADERS]),
                                                 F.col("_header")))
     )
@@ -145,24 +177,22 @@ def parse_supplier_b(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit(None).cast("bigint").alias("source_row"), F.lit(None).cast("string").alias("field_name"),
     )
     good_headers = keep_where(headers, F.size("_missing") == 0).select("file_id", "_header")
-    data = _with_csv_fields(lines.where(~F.col("is_header")), "text", "_f").join(good_headers, "file_id")
-    fields = F.col("_f")
-    n = F.size("_header")
-    # Header names pair with positions; extra values (no header) are dropped,
-    # missing values are NULL, duplicate names keep the last (LAST_WIN policy).
-    row = F.map_from_arrays(F.col("_header"), F.slice(fields, 1, n))
-    data = data.withColumn("raw_fragment", F.map_filter(row, lambda k, v: k.isNotNull())).drop("_f", "_header")
+    data = rows.where(~F.col("is_header")).join(good_headers, "file_id")
+    # Header names pair with positions; values beyond the header are dropped,
+    # absent ones are NULL, duplicate names keep the last (LAST_WIN policy).
+    values = F.transform("_header", lambda _, i: F.get("fields", i))
+    data = data.withColumn("raw_fragment", F.map_from_arrays("_header", values)).drop("fields", "_header")
 
     def g(name):
         return F.col("raw_fragment")[name]
 
     errors = _compact(
-        string_errors(g("snapshot_ref"), "snapshot_ref")
-        + timestamp_errors(g("as_of"), "as_of")
-        + string_errors(g("partner_sku"), "partner_sku")
-        + string_errors(g("depot"), "depot")
-        + decimal_errors(g("case_count"), "case_count", positive=False)
-        + decimal_errors(g("units_per_case"), "units_per_case", positive=True)
+        string_errors(g("snapshot_ref"), "snapshot_ref", absent=NOT_A_STRING)
+        + timestamp_errors(g("as_of"), "as_of", absent=NOT_A_TIME)
+        + string_errors(g("partner_sku"), "partner_sku", absent=NOT_A_STRING)
+        + string_errors(g("depot"), "depot", absent=NOT_A_STRING)
+        + decimal_errors(g("case_count"), "case_count", positive=False, absent=NOT_A_DECIMAL)
+        + decimal_errors(g("units_per_case"), "units_per_case", positive=True, absent=NOT_A_DECIMAL)
     )
     data = data.withColumn("_errors", errors)
     row_errors = data.select(

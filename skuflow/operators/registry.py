@@ -26,8 +26,9 @@ def _supplier_a(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _supplier_b(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    lines, file_errors = partners.supplier_b_lines(payloads.select(F.col("job_id").alias("file_id"), "content"))
-    recs, errs = partners.parse_supplier_b(lines)
+    size = ["length"] if "length" in payloads.columns else []
+    rows, file_errors = partners.supplier_b_rows(payloads.select(F.col("job_id").alias("file_id"), "content", *size))
+    recs, errs = partners.parse_supplier_b(rows)
     errs = file_errors.unionByName(errs)
     return (recs.withColumnRenamed("file_id", "job_id").select(*RECORD_COLS),
             errs.withColumnRenamed("file_id", "job_id").select(*ERROR_COLS))
@@ -40,7 +41,7 @@ ADAPTERS = {
 
 
 def adapt(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``payloads``: job_id, source_type, content (binary)."""
+    """``payloads``: job_id, source_type, content (binary) and, for file sources, ``length``."""
     records, errors = [], []
     for source_type, (_, fn) in ADAPTERS.items():
         r, e = fn(payloads.where(F.col("source_type") == source_type))

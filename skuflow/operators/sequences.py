@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -35,16 +34,27 @@ from skuflow.session import checkpoint_dir
 _SENTINEL = "\x00<none>"
 
 
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """(stored partition id, rows): a task may hold several stored partitions, one after the other."""
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        pid = pdf["_pid"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1], True])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(pid[a]), pdf.iloc[a:b]
+
+
 def _local(batches: Iterator[pd.DataFrame]):
-    """Yield (batch, psi, local_cum) with state carried across batches.
+    """Yield (partition id, rows, psi, local_cum) with state carried across batches.
 
-    psi: 1-based segment index within the partition; local_cum: running
+    psi: 1-based segment index within the stored partition; local_cum: running
     change count within the segment (0 at a segment's first row).
     """
-    prev_k, prev_a, prev_cum, segs = _SENTINEL, _SENTINEL, 0, 0
-    for pdf in batches:
-        if pdf.empty:
-            continue
+    prev_k, prev_a, prev_cum, segs, prev_pid = _SENTINEL, _SENTINEL, 0, 0, None
+    for pid, pdf in _runs(batches):
+        if pid != prev_pid:
+            prev_k, prev_a, prev_cum, segs, prev_pid = _SENTINEL, _SENTINEL, 0, 0, pid
         k = pdf["_k"].to_numpy(dtype=object)
         a = pdf["_a"].to_numpy(dtype=object)
         pk = np.empty(len(k), dtype=object)
@@ -60,27 +70,29 @@ def _local(batches: Iterator[pd.DataFrame]):
         start = np.repeat(before[first_idx], np.diff(np.r_[first_idx, len(k)]))
         local = cs - start + np.where(seg_id == 0, prev_cum, 0)
         psi = segs + seg_id
-        yield pdf, psi, local
+        yield pid, pdf, psi, local
         prev_k, prev_a, prev_cum, segs = k[-1], a[-1], int(local[-1]), int(psi[-1])
 
 
+_SUMMARY = ("pid int, first_k string, first_a string, last_k string, last_a string, "
+            "first_seg_cum long, last_seg_cum long, segments long")
+
+
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    first = last = None
-    first_seg_cum = 0
-    for pdf, psi, local in _local(batches):
-        if first is None:
-            first = (pdf["_k"].iloc[0], pdf["_a"].iloc[0])
+    """One boundary row per stored partition."""
+    now: dict | None = None
+    for pid, pdf, psi, local in _local(batches):
+        if now is None or now["pid"] != pid:
+            if now is not None:
+                yield pd.DataFrame([now])
+            now = {"pid": pid, "first_k": pdf["_k"].iloc[0], "first_a": pdf["_a"].iloc[0], "first_seg_cum": 0}
         in_first = psi == 1
         if in_first.any():
-            first_seg_cum = int(local[in_first][-1])
-        last = (pdf["_k"].iloc[-1], pdf["_a"].iloc[-1], int(local[-1]), int(psi[-1]))
-    if first is None:
-        return
-    yield pd.DataFrame({
-        "pid": [TaskContext.get().partitionId()], "first_k": [first[0]], "first_a": [first[1]],
-        "last_k": [last[0]], "last_a": [last[1]], "first_seg_cum": [first_seg_cum],
-        "last_seg_cum": [last[2]], "segments": [last[3]],
-    })
+            now["first_seg_cum"] = int(local[in_first][-1])
+        now |= {"last_k": pdf["_k"].iloc[-1], "last_a": pdf["_a"].iloc[-1],
+                "last_seg_cum": int(local[-1]), "segments": int(psi[-1])}
+    if now is not None:
+        yield pd.DataFrame([now])
 
 
 def running_change_versions(df: DataFrame, key_cols: list[str], order_cols: list[str], attr_cols: list[str],
@@ -91,10 +103,9 @@ def running_change_versions(df: DataFrame, key_cols: list[str], order_cols: list
     n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     prepared = df.withColumn("_k", F.to_json(F.struct(*key_cols))).withColumn("_a", F.to_json(F.struct(*attr_cols)))
     ranged = (prepared.repartitionByRange(n, *key_cols, *order_cols)
-              .sortWithinPartitions(*key_cols, *order_cols).checkpoint(eager=True))
-    summary_schema = ("pid int, first_k string, first_a string, last_k string, last_a string, "
-                      "first_seg_cum long, last_seg_cum long, segments long")
-    rows = sorted(ranged.select("_k", "_a").mapInPandas(_summaries, summary_schema).collect(), key=lambda r: r.pid)
+              .sortWithinPartitions(*key_cols, *order_cols).withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    rows = sorted(ranged.select("_pid", "_k", "_a").mapInPandas(_summaries, _SUMMARY).collect(), key=lambda r: r.pid)
     carry: dict[int, int] = {}
     prev = None  # (last_k, last_a, version of the partition's last row)
     for r in rows:
@@ -108,8 +119,8 @@ def running_change_versions(df: DataFrame, key_cols: list[str], order_cols: list
     schema = StructType([*ranged.schema.fields, StructField(out, IntegerType())])
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = bc.value.get(TaskContext.get().partitionId(), 1)
-        for pdf, psi, local in _local(batches):
+        for pid, pdf, psi, local in _local(batches):
+            base = bc.value.get(pid, 1)
             yield pdf.assign(**{out: np.where(psi == 1, base + local, 1 + local).astype(np.int32)})
 
-    return ranged.mapInPandas(apply, schema).drop("_k", "_a")
+    return ranged.mapInPandas(apply, schema).drop("_k", "_a", "_pid")

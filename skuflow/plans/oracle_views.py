@@ -234,28 +234,30 @@ SELECT concat('JOB-', l_suppkey, '-', year(l_shipdate)) AS import_job_id,
        concat('SUP-', l_suppkey) AS supplier_id,
        concat('REF-', l_orderkey % 400) AS source_reference,
        {ROW_KEY_SQL} AS source_row,
-       concat('EXT-', l_partkey) AS external_sku,
-       concat('LOC-', l_suppkey % 25) AS external_location,
+       concat(CASE WHEN l_partkey % 10 = 0 THEN 'NEW-' ELSE 'EXT-' END, l_partkey) AS external_sku,
+       concat(CASE WHEN l_suppkey % 25 = 7 THEN 'YARD-' ELSE 'LOC-' END, l_suppkey % 25) AS external_location,
        l_shipdate AS observed_at,
-       {UNITS_SQL}[(l_partkey + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) % 4 + 1] AS source_unit,
+       {UNITS_SQL}[(l_partkey + l_suppkey % 2 + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) % 4 + 1] AS source_unit,
        CAST(l_quantity AS DECIMAL(18,3)) AS on_hand_quantity,
        CAST(l_quantity * l_discount AS DECIMAL(18,3)) AS reserved_quantity,
        CAST(CASE WHEN l_linenumber % 2 = 1 THEN NULL
-                 ELSE 1 + l_partkey % 12 + CASE WHEN l_linenumber = 6 THEN 1 ELSE 0 END END
+                 ELSE 1 + (l_partkey + l_suppkey % 2) % 12 + CASE WHEN l_linenumber = 6 THEN 1 ELSE 0 END END
             AS DECIMAL(18,3)) AS units_per_source_unit
 FROM lineitem
 """)
 view("v_product_map", f"""
-SELECT concat('EXT-', p_partkey) AS external_sku, concat('PRD-', p_partkey) AS product_id,
-       {UNITS_SQL}[p_partkey % 4 + 1] AS source_unit,
-       CAST(1 + p_partkey % 12 AS DECIMAL(18,3)) AS units_per_source_unit,
-       CAST(1 + p_size % 3 AS INTEGER) AS version, p_size % 7 <> 0 AS active
-FROM part WHERE p_partkey % 10 <> 0
+SELECT DISTINCT concat('SUP-', l_suppkey) AS supplier_id, concat('EXT-', l_partkey) AS external_sku,
+       concat('PRD-', l_partkey) AS product_id,
+       {UNITS_SQL}[(l_partkey + l_suppkey % 2) % 4 + 1] AS source_unit,
+       CAST(1 + (l_partkey + l_suppkey % 2) % 12 AS DECIMAL(18,3)) AS units_per_source_unit,
+       CAST(1 + (l_partkey * 3 + l_suppkey) % 3 AS INTEGER) AS version, (l_partkey * 3 + l_suppkey) % 7 <> 0 AS active
+FROM lineitem
 """)
 view("v_warehouse_map", """
-SELECT concat('LOC-', n_nationkey) AS external_location, concat('WH-', n_nationkey) AS warehouse_id,
-       CAST(1 + n_regionkey % 2 AS INTEGER) AS version, n_nationkey % 11 <> 10 AS active
-FROM nation WHERE n_nationkey <> 7
+SELECT concat('SUP-', s_suppkey) AS supplier_id, concat('LOC-', s_suppkey % 25) AS external_location,
+       concat('WH-', s_suppkey % 25) AS warehouse_id,
+       CAST(1 + s_suppkey % 2 AS INTEGER) AS version, s_suppkey % 11 <> 10 AS active
+FROM supplier
 """)
 VERDICT_CHAIN = [("flagged", """
 SELECT r.*, pm.product_id, pm.source_unit AS map_unit, pm.units_per_source_unit AS map_factor,
@@ -271,8 +273,8 @@ SELECT r.*, pm.product_id, pm.source_unit AS map_unit, pm.units_per_source_unit
             WHEN r.units_per_source_unit IS NOT NULL AND r.units_per_source_unit <> pm.units_per_source_unit
               THEN 'units_per_source_unit' END AS map_field
 FROM {src} r
-LEFT JOIN (SELECT * FROM v_product_map WHERE active) pm USING (external_sku)
-LEFT JOIN (SELECT * FROM v_warehouse_map WHERE active) wm USING (external_location)
+LEFT JOIN (SELECT * FROM v_product_map WHERE active) pm USING (supplier_id, external_sku)
+LEFT JOIN (SELECT * FROM v_warehouse_map WHERE active) wm USING (supplier_id, external_location)
 """, ["{src}", "v_product_map", "v_warehouse_map"]),
 # Sequential semantics, written as windows: first row of the key in the job,
 # and the earliest job whose first row passes the mapping rules.
@@ -327,10 +329,12 @@ FROM v_verdicts WHERE accepted
 SB_CANON = "snapshot_ref,as_of,partner_sku,depot,case_count,units_per_case"
 SB_REORDERED = "depot,partner_sku,snapshot_ref,as_of,units_per_case,case_count,note"
 SB_MISSING = "snapshot_ref,partner_sku,case_count,units_per_case"
+SB_WIDE = ",".join(f"x{i}" for i in range(1, 35)) + ",," + SB_CANON
+SB_WIDE_VALUES = ",".join(str(i) for i in range(34)) + ",blank"
 
 view("sb_files", """
 SELECT concat('B-', s_suppkey) AS file_id, s_suppkey,
-       CASE WHEN s_suppkey % 17 = 0 THEN 3 ELSE CAST(s_suppkey % 3 AS INTEGER) END AS variant
+       CASE WHEN s_suppkey % 17 = 0 THEN 3 WHEN s_suppkey % 7 = 0 THEN 4 ELSE CAST(s_suppkey % 3 AS INTEGER) END AS variant
 FROM supplier
 """)
 view("sb_vals", f"""
@@ -344,12 +348,14 @@ SELECT f.file_id, f.variant, {ROW_KEY_SQL} AS source_row,
        CASE WHEN l_partkey % 17 = 0 THEN '-2' ELSE printf('%.3f', l_quantity) END AS case_count,
        CASE WHEN l_partkey % 19 = 0 THEN '0' WHEN l_partkey % 23 = 0 THEN '1.2345'
             ELSE printf('%.3f', CAST(1 + l_partkey % 12 AS DOUBLE)) END AS units_per_case,
-       'n/a' AS note
+       '"not ""final"", ' || chr(10) || 'see below"' AS note,
+       concat('"SB ""', l_orderkey % 400, '"", a"') AS quoted_ref
 FROM lineitem JOIN sb_files f ON l_suppkey = f.s_suppkey
 """, ["sb_files"])
 view("sb_lines", f"""
 SELECT file_id, CAST(1 AS BIGINT) AS source_row,
-       CASE variant WHEN 0 THEN '{SB_REORDERED}' WHEN 3 THEN '{SB_MISSING}' ELSE '{SB_CANON}' END AS text,
+       CASE variant WHEN 0 THEN '{SB_REORDERED}' WHEN 3 THEN '{SB_MISSING}' WHEN 4 THEN '{SB_WIDE}'
+                    ELSE '{SB_CANON}' END AS text,
        true AS is_header
 FROM sb_files
 UNION ALL
@@ -358,6 +364,8 @@ SELECT file_id, source_row,
          WHEN 0 THEN concat_ws(',', depot, partner_sku, snapshot_ref, as_of, units_per_case, case_count, note)
          WHEN 2 THEN concat_ws(',', snapshot_ref, as_of, partner_sku, depot, case_count, units_per_case, 'extra')
          WHEN 3 THEN concat_ws(',', snapshot_ref, partner_sku, case_count, units_per_case)
+         WHEN 4 THEN concat_ws(',', '{SB_WIDE_VALUES}', quoted_ref, as_of, partner_sku, depot, case_count,
+                               units_per_case)
          ELSE concat_ws(',', snapshot_ref, as_of, partner_sku, depot, case_count, units_per_case) END AS text,
        false AS is_header
 FROM sb_vals
@@ -373,7 +381,10 @@ SELECT l.file_id, l.source_row, f[list_position(h.hdr, 'snapshot_ref')] AS snaps
        f[list_position(h.hdr, 'as_of')] AS as_of, f[list_position(h.hdr, 'partner_sku')] AS partner_sku,
        f[list_position(h.hdr, 'depot')] AS depot, f[list_position(h.hdr, 'case_count')] AS case_count,
        f[list_position(h.hdr, 'units_per_case')] AS units_per_case
-FROM (SELECT *, string_split(text, ',') AS f FROM sb_lines WHERE NOT is_header) l
+FROM (SELECT *, list_transform(
+        regexp_extract_all(',' || text, ',("(?:[^"]|"")*"|[^,]*)', 1),
+        lambda x: CASE WHEN x[1] = '"' THEN replace(x[2:len(x) - 1], '""', '"') ELSE x END) AS f
+      FROM sb_lines WHERE NOT is_header) l
 JOIN sb_headers h USING (file_id)
 WHERE len(h.missing) = 0
 """, ["sb_lines", "sb_headers"])
@@ -422,7 +433,7 @@ UNION ALL
 SELECT file_id, source_row, 'invalid_csv_field', field_name FROM sb_field_errors
 """, ["sb_headers", "sb_field_errors"])
 view("sb_feed", """
-SELECT file_id AS import_job_id, 1 AS job_seq, file_id AS supplier_id, source_reference, source_row,
+SELECT file_id AS import_job_id, 1 AS job_seq, concat('SUP-', file_id[3:]) AS supplier_id, source_reference, source_row,
        external_sku, external_location, observed_at, source_unit, on_hand_quantity, reserved_quantity,
        units_per_source_unit
 FROM sb_records
@@ -467,7 +478,8 @@ SELECT event_id * 2 + 1 AS arrival_seq, * FROM events WHERE event_id % 13 = 0
 """)
 view("cc_events", """
 SELECT arrival_seq, concat('C-EVT-', event_id) AS external_event_id,
-       concat('T-', user_id, '-', strftime(ts, '%Y%m%d')) AS tracking_reference,
+       concat(CASE WHEN user_id % 41 = 0 THEN 'T-LOST-' ELSE 'T-' END, user_id, '-', strftime(ts, '%Y%m%d'))
+         AS tracking_reference,
        CASE event_type WHEN 'signup' THEN 'picked_up' WHEN 'click' THEN 'in_transit' WHEN 'view' THEN 'delayed'
                        WHEN 'purchase' THEN 'delivered' WHEN 'error' THEN 'cancelled' END AS event_type,
        ts AS occurred_at, CASE WHEN event_type = 'view' THEN 'WEATHER' END AS reason_code,
@@ -481,7 +493,7 @@ UNION ALL
 SELECT arrival_seq, concat('C-EVT-', event_id), 'event_time' FROM cc_raw WHERE event_id % 10 = 3
 """, ["cc_raw"])
 view("v_shipments", """
-WITH d AS (SELECT DISTINCT user_id, strftime(ts, '%Y%m%d') AS d FROM events WHERE user_id % 41 <> 0)
+WITH d AS (SELECT DISTINCT user_id, strftime(ts, '%Y%m%d') AS d FROM events)
 SELECT concat('SHP-', user_id, '-', d) AS shipment_id, concat('T-', user_id, '-', d) AS tracking_reference,
        concat('SUP-', user_id % 7) AS supplier_id FROM d
 UNION ALL
@@ -636,7 +648,7 @@ FROM customer
 """)
 view("e_products", """
 SELECT concat('PRD-', p_partkey) AS product_id, concat('SKU-', p_partkey) AS sku, p_name AS name
-FROM part WHERE p_partkey % 10 <> 0
+FROM part
 """)
 view("e_warehouses", """
 SELECT concat('WH-', n_nationkey) AS warehouse_id, concat('wh-', lower(n_name)) AS code, n_name AS name,
@@ -657,7 +669,8 @@ SELECT concat('PO-', o_orderkey) AS order_id, concat('SUP-', o_custkey % 100) AS
 FROM orders
 """)
 view("e_order_lines", f"""
-SELECT concat('PO-', l_orderkey) AS order_id, concat('PRD-', l_partkey) AS product_id,
+SELECT concat('PO-', l_orderkey) AS order_id,
+       concat(CASE WHEN l_partkey % 10 = 0 THEN 'PRD-GONE-' ELSE 'PRD-' END, l_partkey) AS product_id,
        l_linenumber AS pos1, {ROW_KEY_SQL} AS pos2,
        CAST(l_quantity AS DECIMAL(18,3)) AS ordered_quantity,
        CAST(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0.0 END AS DECIMAL(18,3)) AS received_quantity

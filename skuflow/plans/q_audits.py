@@ -41,8 +41,9 @@ UNIQUES = [
     ("purchase_order_lines", "order_line_number_unique", ["order_id", "line_number"]),
     ("purchase_order_lines", "order_product_unique", ["order_id", "product_id"]),
     ("shipments", "supplier_tracking_unique", ["supplier_id", "tracking_reference"]),
-    ("supplier_product_mappings", "external_sku_unique", ["external_sku"]),
-    ("supplier_warehouse_mappings", "external_location_unique", ["external_location"]),
+    ("supplier_product_mappings", "external_sku_unique", ["supplier_id", "external_sku"]),
+    ("supplier_warehouse_mappings", "external_location_unique",
+     ["supplier_id", "external_location"]),
     ("import_jobs", "idempotency_unique", ["supplier_id", "source_type", "idempotency_key"]),
     ("import_attempts", "job_attempt_unique", ["job_id", "attempt_number"]),
     ("inventory_snapshots", "source_record_unique",

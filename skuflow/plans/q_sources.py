@@ -15,7 +15,8 @@ _REC = ("file_id, source_reference, source_row, external_sku, external_location,
 
 
 def _b(spark, sf):
-    return partners.parse_supplier_b(views.supplier_b_lines(spark, sf))
+    rows = views.supplier_b_lines(spark, sf).withColumn("fields", partners.csv_fields(F.col("text"))).drop("text")
+    return partners.parse_supplier_b(rows)
 
 
 @register("scan_supplier_b_csv", f"SELECT {_REC} FROM sb_records", ["sb_records"])
@@ -53,7 +54,8 @@ def q_all_import_errors(spark, sf):
     """H4: supplier B adapter errors union apply-time errors of its records."""
     records, adapter_errors = _b(spark, sf)
     feed = records.select(
-        F.col("file_id").alias("import_job_id"), F.lit(1).alias("job_seq"), F.col("file_id").alias("supplier_id"),
+        F.col("file_id").alias("import_job_id"), F.lit(1).alias("job_seq"),
+        F.concat(F.lit("SUP-"), F.substring("file_id", 3, 20)).alias("supplier_id"),
         "source_reference", "source_row", "external_sku", "external_location", "observed_at", "source_unit",
         "on_hand_quantity", "reserved_quantity", "units_per_source_unit")
     v = imports.verdicts(feed, views.product_map(spark, sf), views.warehouse_map(spark, sf))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,7 +60,8 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) is a fresh scratch folder set.
+    Only a local master without one gets a fresh scratch folder; a cluster must
+    name a folder that driver and executors share.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -71,6 +72,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
     local = tempfile.mkdtemp(prefix="skuflow-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -78,19 +81,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint directory for materialised tables."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{next(_COUNTER)}"
-
-
-def _counter():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_COUNTER = _counter()
+    """A new sub-folder of the shared checkpoint directory for a materialised table."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df):

@@ -3,9 +3,9 @@
 Jobs and purchase orders come from ``orders``, attempts and order lines from
 ``lineitem``, operation events from ``events``, analytics runs from
 ``customer``, products / warehouses / suppliers from ``part`` / ``nation`` /
-``supplier``. Orphans and constraint violations are planted by leaving rows
-out of a parent or by deterministic rules, so every audit has something to
-find. All times are UTC instants; reports take an explicit as-of instant.
+``supplier``. Orphans and constraint violations are planted by changed
+references on the child side and by deterministic rules, so every audit has
+something to find and every parent row stays. All times are UTC instants; reports take an explicit as-of instant.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def analytics_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "part").where(F.col("p_partkey") % 10 != 0)
+    p = read_table(spark, sf_dir, "part")
     return p.select(F.concat(F.lit("PRD-"), _s("p_partkey")).alias("product_id"),
                     F.concat(F.lit("SKU-"), _s("p_partkey")).alias("sku"),
                     F.col("p_name").alias("name"))
@@ -151,7 +151,8 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     return li.select(
         F.concat(F.lit("PO-"), _s("l_orderkey")).alias("order_id"),
-        F.concat(F.lit("PRD-"), _s("l_partkey")).alias("product_id"),
+        F.concat(F.when(F.col("l_partkey") % 10 == 0, "PRD-GONE-").otherwise("PRD-"), _s("l_partkey"))
+        .alias("product_id"),
         F.struct("l_linenumber", row_key("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                                          "l_extendedprice").alias("k")).alias("input_pos"),
         F.col("l_quantity").cast(S.QTY).alias("ordered_quantity"),

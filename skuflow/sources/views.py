@@ -124,9 +124,10 @@ def feed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs applied in year order."""
     li = read_table(spark, sf_dir, "lineitem")
     year = F.year("l_shipdate")
-    unit_idx = (F.col("l_partkey") + F.when(F.col("l_linenumber") == 7, 1).otherwise(0)) % 4
+    own = _own_number("l_partkey", "l_suppkey")
+    unit_idx = (own + F.when(F.col("l_linenumber") == 7, 1).otherwise(0)) % 4
     factor = F.when(F.col("l_linenumber") % 2 == 1, F.lit(None)).otherwise(
-        F.lit(1) + F.col("l_partkey") % 12 + F.when(F.col("l_linenumber") == 6, 1).otherwise(0))
+        F.lit(1) + own % 12 + F.when(F.col("l_linenumber") == 6, 1).otherwise(0))
     return li.select(
         F.concat(F.lit("JOB-"), _s("l_suppkey"), F.lit("-"), _s(year)).alias("import_job_id"),
         year.cast("int").alias("job_seq"),
@@ -134,8 +135,9 @@ def feed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("REF-"), _s(F.col("l_orderkey") % 400)).alias("source_reference"),
         row_key("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
         .alias("source_row"),
-        F.concat(F.lit("EXT-"), _s("l_partkey")).alias("external_sku"),
-        F.concat(F.lit("LOC-"), _s(F.col("l_suppkey") % 25)).alias("external_location"),
+        F.concat(F.when(F.col("l_partkey") % 10 == 0, "NEW-").otherwise("EXT-"), _s("l_partkey")).alias("external_sku"),
+        F.concat(F.when(F.col("l_suppkey") % 25 == 7, "YARD-").otherwise("LOC-"), _s(F.col("l_suppkey") % 25))
+        .alias("external_location"),
         F.col("l_shipdate").cast("timestamp").alias("observed_at"),
         F.element_at(_units(), (unit_idx + 1).cast("int")).alias("source_unit"),
         F.col("l_quantity").cast(S.QTY).alias("on_hand_quantity"),
@@ -144,26 +146,38 @@ def feed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _own_number(part: str, supplier: str) -> F.Column:
+    """Suppliers count a part in units of their own: equal SKUs differ between suppliers."""
+    return F.col(part) + F.col(supplier) % 2
+
+
 def product_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active/inactive product mappings; every tenth part has none."""
-    p = read_table(spark, sf_dir, "part").where(F.col("p_partkey") % 10 != 0)
-    return p.select(
-        F.concat(F.lit("EXT-"), _s("p_partkey")).alias("external_sku"),
-        F.concat(F.lit("PRD-"), _s("p_partkey")).alias("product_id"),
-        F.element_at(_units(), (F.col("p_partkey") % 4 + 1).cast("int")).alias("source_unit"),
-        (F.lit(1) + F.col("p_partkey") % 12).cast(S.QTY).alias("units_per_source_unit"),
-        (F.lit(1) + F.col("p_size") % 3).cast("int").alias("version"),
-        (F.col("p_size") % 7 != 0).alias("active"),
+    """Active / inactive product mappings per (supplier, external SKU): one for
+    every part that a supplier delivers. Suppliers share SKUs, with different
+    units and factors."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    own = _own_number("l_partkey", "l_suppkey")
+    mix = F.col("l_partkey") * 3 + F.col("l_suppkey")
+    return li.select(
+        F.concat(F.lit("SUP-"), _s("l_suppkey")).alias("supplier_id"),
+        F.concat(F.lit("EXT-"), _s("l_partkey")).alias("external_sku"),
+        F.concat(F.lit("PRD-"), _s("l_partkey")).alias("product_id"),
+        F.element_at(_units(), (own % 4 + 1).cast("int")).alias("source_unit"),
+        (F.lit(1) + own % 12).cast(S.QTY).alias("units_per_source_unit"),
+        (F.lit(1) + mix % 3).cast("int").alias("version"),
+        (mix % 7 != 0).alias("active"),
     )
 
 
 def warehouse_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read_table(spark, sf_dir, "nation").where(F.col("n_nationkey") != 7)
-    return n.select(
-        F.concat(F.lit("LOC-"), _s("n_nationkey")).alias("external_location"),
-        F.concat(F.lit("WH-"), _s("n_nationkey")).alias("warehouse_id"),
-        (F.lit(1) + F.col("n_regionkey") % 2).cast("int").alias("version"),
-        (F.col("n_nationkey") % 11 != 10).alias("active"),
+    """Location mappings per (supplier, external location); suppliers share locations."""
+    s = read_table(spark, sf_dir, "supplier")
+    return s.select(
+        F.concat(F.lit("SUP-"), _s("s_suppkey")).alias("supplier_id"),
+        F.concat(F.lit("LOC-"), _s(F.col("s_suppkey") % 25)).alias("external_location"),
+        F.concat(F.lit("WH-"), _s(F.col("s_suppkey") % 25)).alias("warehouse_id"),
+        (F.lit(1) + F.col("s_suppkey") % 2).cast("int").alias("version"),
+        (F.col("s_suppkey") % 11 != 10).alias("active"),
     )
 
 
@@ -173,15 +187,17 @@ def warehouse_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SB_CANON = ["snapshot_ref", "as_of", "partner_sku", "depot", "case_count", "units_per_case"]
 _SB_REORDERED = ["depot", "partner_sku", "snapshot_ref", "as_of", "units_per_case", "case_count", "note"]
 _SB_MISSING = ["snapshot_ref", "partner_sku", "case_count", "units_per_case"]
+_SB_WIDE = [f"x{i}" for i in range(1, 35)]
 
 
 def supplier_b_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier B CSV lines: one file per supplier, header variants by supplier
-    (reordered + extra column, trailing unnamed values, missing headers), data
-    lines from line items with bad timestamps, blank SKUs, negative counts,
-    zero factors and too many decimals."""
+    """Supplier B CSV records: one file per supplier, header variants by supplier
+    (reordered + extra column, trailing unnamed values, missing headers, 34
+    more columns and a blank header in front), data records from line items
+    with bad timestamps, blank SKUs, negative counts, zero factors, too many
+    decimals, quoted commas, doubled quotes and line breaks."""
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey")
-    variant = (F.when(F.col("s_suppkey") % 17 == 0, F.lit(3))
+    variant = (F.when(F.col("s_suppkey") % 17 == 0, F.lit(3)).when(F.col("s_suppkey") % 7 == 0, F.lit(4))
                .otherwise((F.col("s_suppkey") % 3).cast("int")))
     files = sup.select(F.concat(F.lit("B-"), _s("s_suppkey")).alias("file_id"), "s_suppkey",
                        variant.alias("variant"))
@@ -189,6 +205,7 @@ def supplier_b_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file_id", F.lit(1).cast("bigint").alias("source_row"),
         F.when(F.col("variant") == 0, F.lit(",".join(_SB_REORDERED)))
         .when(F.col("variant") == 3, F.lit(",".join(_SB_MISSING)))
+        .when(F.col("variant") == 4, F.lit(",".join([*_SB_WIDE, "", *_SB_CANON])))
         .otherwise(F.lit(",".join(_SB_CANON))).alias("text"),
         F.lit(True).alias("is_header"),
     )
@@ -205,8 +222,10 @@ def supplier_b_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case_count": F.when(pk % 17 == 0, F.lit("-2")).otherwise(F.format_string("%.3f", F.col("l_quantity"))),
         "units_per_case": F.when(pk % 19 == 0, F.lit("0")).when(pk % 23 == 0, F.lit("1.2345"))
         .otherwise(F.format_string("%.3f", (F.lit(1) + pk % 12).cast("double"))),
-        "note": F.lit("n/a"),
+        "note": F.lit('"not ""final"", \nsee below"'),
     }
+    quoted_ref = F.concat(F.lit('"SB ""'), _s(F.col("l_orderkey") % 400), F.lit('"", a"'))
+    wide = [F.lit(str(i)) for i in range(len(_SB_WIDE))]
     data = li.join(files, li.l_suppkey == files.s_suppkey).select(
         "file_id",
         row_key("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
@@ -214,6 +233,7 @@ def supplier_b_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("variant") == 0, F.concat_ws(",", *[v[c] for c in _SB_REORDERED]))
         .when(F.col("variant") == 2, F.concat_ws(",", *[v[c] for c in _SB_CANON], F.lit("extra")))
         .when(F.col("variant") == 3, F.concat_ws(",", *[v[c] for c in _SB_MISSING]))
+        .when(F.col("variant") == 4, F.concat_ws(",", *wide, F.lit("blank"), quoted_ref, *[v[c] for c in _SB_CANON[1:]]))
         .otherwise(F.concat_ws(",", *[v[c] for c in _SB_CANON])).alias("text"),
         F.lit(False).alias("is_header"),
     )
@@ -257,8 +277,9 @@ _CARRIER_TYPES = [("signup", "PICKED_UP"), ("click", "IN_TRANSIT"), ("view", "DE
 
 def carrier_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Carrier C JSON events from ``events``: tracking = user + day; every
-    13th event is re-sent right after itself; unknown types and naive times
-    are planted. ``arrival_seq`` is the arrival order."""
+    13th event is re-sent right after itself; unknown types, naive times and
+    (for every 41st user) unknown tracking references are planted.
+    ``arrival_seq`` is the arrival order."""
     ev = read_table(spark, sf_dir, "events")
     etype = F.lit("LOST")
     for src, dst in reversed(_CARRIER_TYPES):
@@ -270,40 +291,35 @@ def carrier_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(F.col("event_id") % 10 == 7,
                    F.concat(F.date_format(ts - F.expr("INTERVAL 7 HOURS"), fmt), F.lit("-07:00")))
              .otherwise(F.concat(F.date_format(ts, fmt), F.lit("Z"))))
+    tracking = F.concat(F.when(F.col("user_id") % 41 == 0, "T-LOST-").otherwise("T-"), _s("user_id"), F.lit("-"),
+                        F.date_format(ts, "yyyyMMdd"))
     base = ev.select(
         "event_id",
         F.to_json(F.struct(
             F.concat(F.lit("C-EVT-"), _s("event_id")).alias("event_id"),
-            F.concat(F.lit("T-"), _s("user_id"), F.lit("-"), F.date_format(ts, "yyyyMMdd")).alias("tracking_number"),
+            tracking.alias("tracking_number"),
             etype.alias("event"),
             etime.alias("event_time"),
             F.when(F.col("event_type") == "view", F.lit("WEATHER")).alias("reason_code"),
         )).alias("value"),
     )
-    first = base.select((F.col("event_id") * 2).alias("arrival_seq"), "value")
-    again = base.where(F.col("event_id") % 13 == 0).select((F.col("event_id") * 2 + 1).alias("arrival_seq"), "value")
-    return first.unionByName(again)
+    sent = F.when(F.col("event_id") % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return base.select("event_id", "value", F.explode(sent).alias("_again")).select(
+        (F.col("event_id") * 2 + F.col("_again")).alias("arrival_seq"), "value")
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planned shipments, one per (user, day) of ``events``. Every 41st user's
-    shipments are missing (tracking not found); every 37th user's tracking
-    references belong to two suppliers (ambiguous)."""
+    """Planned shipments, one per (user, day) of ``events``; every 37th user's
+    tracking references belong to two suppliers (ambiguous)."""
     ev = read_table(spark, sf_dir, "events")
     days = ev.select("user_id", F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd").alias("d")).distinct()
-    days = days.where(F.col("user_id") % 41 != 0)
-    tracking = F.concat(F.lit("T-"), _s("user_id"), F.lit("-"), F.col("d"))
-    main = days.select(
-        F.concat(F.lit("SHP-"), _s("user_id"), F.lit("-"), F.col("d")).alias("shipment_id"),
-        tracking.alias("tracking_reference"),
-        F.concat(F.lit("SUP-"), _s(F.col("user_id") % 7)).alias("supplier_id"),
-    )
-    extra = days.where(F.col("user_id") % 37 == 0).select(
-        F.concat(F.lit("SHP-"), _s("user_id"), F.lit("-"), F.col("d"), F.lit("-B")).alias("shipment_id"),
-        tracking.alias("tracking_reference"),
-        F.lit("SUP-X").alias("supplier_id"),
-    )
-    return main.unionByName(extra)
+    key = F.concat(_s("user_id"), F.lit("-"), F.col("d"))
+    main = F.struct(F.concat(F.lit("SHP-"), key).alias("shipment_id"),
+                    F.concat(F.lit("SUP-"), _s(F.col("user_id") % 7)).alias("supplier_id"))
+    extra = F.struct(F.concat(F.lit("SHP-"), key, F.lit("-B")).alias("shipment_id"), F.lit("SUP-X").alias("supplier_id"))
+    planned = F.when(F.col("user_id") % 37 == 0, F.array(main, extra)).otherwise(F.array(main))
+    return days.select(F.concat(F.lit("T-"), key).alias("tracking_reference"), F.explode(planned).alias("s")).select(
+        "s.shipment_id", "tracking_reference", "s.supplier_id")
 
 
 def mapping_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:

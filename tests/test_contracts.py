@@ -44,7 +44,7 @@ def test_supplier_a_whole_payload_invalid(spark):
 
 def test_supplier_b_contract_and_bad_row(spark):
     content = SUPPLIER_B + "SB-BAD,not-a-time,B-SKU,B-WH,-2,0\n"
-    lines, ferr = partners.supplier_b_lines(_files(spark, [("f1", "﻿" + content)]))
+    lines, ferr = partners.supplier_b_rows(_files(spark, [("f1", "﻿" + content)]))
     recs, errs = partners.parse_supplier_b(lines)
     r = recs.collect()
     assert ferr.count() == 0 and len(r) == 1
@@ -60,7 +60,7 @@ def test_supplier_b_headers_any_order_missing_and_encoding(spark):
     reordered = "depot,units_per_case,as_of,partner_sku,snapshot_ref,case_count,extra\n" \
                 "B-LAX-01,12.000,2026-07-29T15:00:00Z,B-SKU,SB-1,1.000,x,y\n\n"
     missing = "snapshot_ref,partner_sku\nSB-1,B-SKU\n"
-    lines, ferr = partners.supplier_b_lines(_files(spark, [
+    lines, ferr = partners.supplier_b_rows(_files(spark, [
         ("ok", reordered), ("miss", missing), ("enc", b"\xff\xfe\x00bad"),
     ]))
     recs, errs = partners.parse_supplier_b(lines)
@@ -71,9 +71,41 @@ def test_supplier_b_headers_any_order_missing_and_encoding(spark):
     assert [(x.file_id, x.code) for x in ferr.collect()] == [("enc", "invalid_file_encoding")]
 
 
+def test_supplier_b_quotes_line_breaks_wide_and_blank_headers(spark):
+    head = "snapshot_ref,as_of,partner_sku,depot,case_count,units_per_case"
+    row = "2026-07-29T15:00:00Z,SKU,WH,1.000,2.000"
+    wide = ",".join(f"x{i}" for i in range(34))
+    files = {
+        "quotes": f'{head}\n"S ""1"" a",{row}\n',
+        "breaks": f'{head}\r\n"S\n1",{row}\r\n\r\nS2,{row}\r\n',
+        "wide": f"{wide},{head}\n{','.join('0' * 34)},S3,{row}\n",
+        "blank": f"a,,{head}\n1,2,S4,{row}\n",
+        "empty": f"{head}\n,{row}\n",
+        "short": f"{head}\nS5,2026-07-29T15:00:00Z,SKU\n",
+        "nothing": "",
+    }
+    rows, ferr = partners.supplier_b_rows(_files(spark, list(files.items())))
+    recs, errs = partners.parse_supplier_b(rows)
+    got = {(r.file_id, r.source_row): r.source_reference for r in recs.collect()}
+    assert got == {("quotes", 2): 'S "1" a', ("breaks", 2): "S\n1", ("breaks", 3): "S2", ("wide", 2): "S3",
+                   ("blank", 2): "S4"}
+    bad = {(e.file_id, e.field_name, e.message) for e in errs.collect()}
+    assert ("empty", "snapshot_ref", "String should have at least 1 character") in bad
+    assert ("short", "depot", "Input should be a valid string") in bad
+    assert any(f == "nothing" and m.startswith("The CSV is missing required headers") for f, _, m in bad)
+    assert ferr.count() == 0
+
+
+def test_csv_fields_of_one_record(spark):
+    cases = [("a,b", ["a", "b"]), (",a,", ["", "a", ""]), ('"x, ""y"" z",1', ['x, "y" z', "1"]), ('"l\n2"', ["l\n2"]),
+             ('q"r,"s"t', ['q"r', "st"]), ("", [""])]
+    df = spark.createDataFrame([(t,) for t, _ in cases], "text string")
+    assert [r[0] for r in df.select(partners.csv_fields(df.text)).collect()] == [f for _, f in cases]
+
+
 def test_payload_size_gate(spark):
     big = "x" * (10 * 1024 * 1024 + 1)
-    _, ferr = partners.supplier_b_lines(_files(spark, [("big", big)]))
+    _, ferr = partners.supplier_b_rows(_files(spark, [("big", big)]))
     assert [r.code for r in ferr.collect()] == ["payload_too_large"]
 
 

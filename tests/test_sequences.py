@@ -29,3 +29,19 @@ def test_skew_safe_row_numbers_match_window(spark):
     want = {(r.parent, r.seq): r.n for r in reports.sequence_numbers(df, ["parent"], ["t", "seq"], "n").collect()}
     got = reports.sequence_numbers(df, ["parent"], ["t", "seq"], "n", skew_safe=True)
     assert {(r.parent, r.seq): r.n for r in got.collect()} == want
+
+
+def test_versions_hold_under_union_coalesce_and_repartition(spark):
+    rows = [("K", i, str(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, seq long, attr string")
+    want = [(i, i + 1) for i in range(40)]
+
+    def got(out):
+        return sorted((r.seq, r.version) for r in out.select("seq", "version").collect())
+
+    once = running_change_versions(df, ["k"], ["seq"], ["attr"], partitions=4)
+    other = running_change_versions(df, ["k"], ["seq"], ["attr"], partitions=3)
+    assert got(once.coalesce(1)) == want
+    assert got(once.repartition(5)) == want
+    assert got(other.unionByName(once)) == sorted(want * 2)
+    assert got(once.unionByName(other).coalesce(2)) == sorted(want * 2)

@@ -87,11 +87,14 @@ def severity_summary(curated: DataFrame) -> DataFrame:
 def forecast_metrics(df: DataFrame, forecast: str = "forecast_quantity",
                      actual: str = "actual_demand_quantity",
                      group_cols: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """MAE, RMSE, bias, WAPE (0 when sum |actual| is 0)."""
+    """MAE, RMSE, bias, WAPE (0 when sum |actual| is 0). Metrics of no rows
+    at all do not exist: the plan fails."""
     err = F.col(forecast) - F.col(actual)
     abs_actual = F.sum(F.abs(F.col(actual)))
+    some = F.when(F.count(F.lit(1)) == 0, F.raise_error(F.lit("Forecast metrics need at least one row."))).otherwise(
+        F.avg(F.abs(err)))
     return df.groupBy(*group_cols).agg(
-        F.avg(F.abs(err)).alias("mean_absolute_error"),
+        some.alias("mean_absolute_error"),
         F.sqrt(F.avg(err * err)).alias("root_mean_squared_error"),
         F.avg(err).alias("bias"),
         F.when(abs_actual > 0, F.sum(F.abs(err)) / abs_actual).otherwise(F.lit(0.0))

@@ -105,21 +105,15 @@ def q_require_timezone(spark, sf):
     return rejects.select("arrival_seq", "external_event_id", "field_name")
 
 
-_PUBLISHED: dict = {}
-
-
 def _published_history(spark, sf):
-    """The raw history published once per session as date-partitioned CSV in
-    the shared scratch folder (A1 and A2 both read it)."""
+    """The raw history published as date-partitioned CSV in a new folder of the
+    shared scratch space (what A1 and A2 read)."""
     from skuflow.session import scratch_path
     from skuflow.sources import files
 
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _PUBLISHED:
-        root = scratch_path(spark, "history-csv")
-        files.write_history_csv(views.v_inv_raw(spark, sf), root)
-        _PUBLISHED[key] = root
-    return _PUBLISHED[key]
+    root = scratch_path(spark, "history-csv")
+    files.write_history_csv(views.v_inv_raw(spark, sf), root)
+    return root
 
 
 @register("scan_history_csv", """
@@ -147,27 +141,26 @@ def q_source_partition_inventory(spark, sf):
 
 
 @register("scan_pipeline_manifests", """
-SELECT manifest_key, status, partition_date, run_id, input_rows,
+SELECT manifest_key, status, partition_date, run_id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, input_rows,
        CAST(len(curated_keys) AS INTEGER) AS curated_object_count,
-       CAST(len(summary_keys) AS INTEGER) AS summary_object_count
+       CAST(len(summary_keys) AS INTEGER) AS summary_object_count, '4.1' AS spark_version
 FROM e_manifests ORDER BY manifest_key DESC LIMIT 20
 """, ["e_manifests"])
 def q_scan_pipeline_manifests(spark, sf):
-    """The run catalogue read back from manifest documents (plus planted
-    latest pointers, non-object and undecodable documents, all skipped)."""
+    """The run catalogue read back from manifest documents, one object per
+    run (plus planted latest pointers, non-object and undecodable documents)."""
     from skuflow.session import scratch_path
     from skuflow.sources import entities, files
 
-    m = entities.manifests(spark, sf)
-    docs = m.select(F.to_json(F.struct(
-        "status", "partition_date", "run_id", "created_at", "input_rows", "curated_keys", "summary_keys",
-        "manifest_key")).alias("value"))
-    latest = m.select(F.to_json(F.struct(
-        F.lit("succeeded").alias("status"),
-        F.regexp_replace("manifest_key", r"run_id=[^/]*\.json$", "latest.json").alias("manifest_key")))
-        .alias("value"))
-    junk = m.limit(1).select(F.lit("[1, 2, 3]").alias("value")).unionByName(
-        m.limit(1).select(F.lit("{not json").alias("value")))
+    m = entities.manifests(spark, sf).withColumn("created_at", utc_iso("created_at"))
+    value = F.to_json(F.struct("status", "partition_date", "run_id", "created_at", "input_rows", "curated_keys",
+                               "summary_keys", F.lit("4.1").alias("spark_version")))
+    name = F.regexp_extract("manifest_key", r"/run_id=([^/]*)$", 1)
+    runs = m.select(F.col("partition_date").alias("event_date"), name.alias("run_id"), value.alias("value"))
+    junk = spark.createDataFrame([("1900-01-01", "a.json", "[1, 2, 3]"), ("1900-01-01", "b.json", "{not json")], runs.schema)
     root = scratch_path(spark, "manifests")
-    docs.unionByName(latest).unionByName(junk).write.mode("overwrite").text(root)
+    (runs.unionByName(junk).write.mode("append").partitionBy("event_date", "run_id")
+     .text(f"{root}/manifests/inventory-risk"))
+    newest = m.orderBy(F.desc("manifest_key")).limit(1).select("partition_date", value.alias("value"))
+    newest.select("value").write.text(f"{root}/manifests/inventory-risk/event_date=9999-12-31/latest.json")
     return files.scan_manifests(spark, root, 20)

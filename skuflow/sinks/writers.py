@@ -13,9 +13,10 @@ def write_curated_parquet(curated: DataFrame, path: str, partition_col: str = "w
 
     ``REBALANCE`` lets AQE size the write tasks by the partition column and
     split a hot warehouse over several tasks (bounded file count, no skew).
+    Static overwrite: warehouses of an earlier attempt do not stay.
     """
     (curated.hint("rebalance", partition_col)
-     .write.mode("overwrite").partitionBy(partition_col).parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition_col).parquet(path))
 
 
 def write_summary_parquet(summary: DataFrame, path: str) -> None:
@@ -40,7 +41,8 @@ def write_raw_content_addressed(files: DataFrame, root: str) -> DataFrame:
     ``source=<type>/ingest_date=<date>/`` keyed by SHA-256, once per hash.
 
     ``files`` needs ``content`` (binary), ``source_type`` and ``observed_at``.
-    Returns the stored rows with ``object_key`` and a length check.
+    Objects that ``root`` already holds are not stored again. Returns the rows
+    with ``object_key`` and ``stored_length``.
     """
     from skuflow.functions import scalars as X
 
@@ -51,16 +53,22 @@ def write_raw_content_addressed(files: DataFrame, root: str) -> DataFrame:
         .withColumn("stored_length", F.length("content"))
         .dropDuplicates(["content_sha256", "source_type", "ingest_date"])
     )
-    (keyed.select("source_type", "ingest_date", "content_sha256", "object_key", "content", "stored_length")
-     .withColumnRenamed("source_type", "source")
+    new = keyed.select(F.col("source_type").alias("source"), "ingest_date", "content_sha256", "object_key", "content",
+                       "stored_length")
+    if path_exists(files.sparkSession, root):
+        held = files.sparkSession.read.parquet(root).select(
+            "content_sha256", F.col("source").cast("string"), F.col("ingest_date").cast("string"))
+        new = new.join(held, ["source", "ingest_date", "content_sha256"], "left_anti")
+    (new.select("source", "ingest_date", "content_sha256", "object_key", "content", "stored_length")
      .write.mode("append").partitionBy("source", "ingest_date").parquet(root))
     return keyed
 
 
 def write_analytics_run(header: DataFrame, details: DataFrame, root: str) -> None:
-    """Run header and detail rows keyed by (run_id, record_index)."""
+    """Run header and detail rows keyed by (run_id, record_index). Details
+    are dealt by ranges of the key, so a large run is written by many tasks."""
     header.write.mode("append").partitionBy("run_id").parquet(f"{root}/analytics_runs")
-    (details.repartition("run_id").sortWithinPartitions("record_index")
+    (details.repartitionByRange("run_id", "record_index").sortWithinPartitions("run_id", "record_index")
      .write.mode("append").partitionBy("run_id").parquet(f"{root}/analytics_details"))
 
 
@@ -69,12 +77,26 @@ def append_operation_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    """``(file system, path)`` of any Hadoop-compatible URI."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _path(spark, path)
+    return fs.exists(hadoop)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove an output folder (a no-op if it is not there)."""
+    fs, hadoop = _path(spark, path)
+    fs.delete(hadoop, True)
+
+
 def list_files(spark: SparkSession, path: str) -> list[str]:
     """Relative keys of the files under ``path`` (Hadoop FS listing, metadata only)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
+    fs, root = _path(spark, path)
     if not fs.exists(root):
         return []
     qualified = fs.makeQualified(root).toString().rstrip("/")

@@ -60,27 +60,37 @@ def require_objects(inventory: DataFrame, partition_date: str) -> DataFrame:
     )
 
 
-def scan_manifests(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
-    """Manifest documents (one JSON object per line or per file) except
-    ``latest``; undecodable or non-object documents are skipped; wrong-typed
-    fields become NULL; status defaults to ``unknown``; last ``limit`` by key,
-    newest first."""
-    docs = spark.read.text(path).select(
-        F.col("value"), F.from_json("value", S.MANIFEST_SCHEMA.add("manifest_key", "string"),
-                                    {"mode": "PERMISSIVE"}).alias("m"))
-    objects = docs.where(F.col("value").rlike(r"^\s*\{") & F.col("m").isNotNull()
-                         & F.col("m.manifest_key").isNotNull()
-                         & ~F.col("m.manifest_key").endswith("/latest.json"))
-    out = objects.select(
-        F.col("m.manifest_key").alias("manifest_key"),
-        F.coalesce(F.col("m.status"), F.lit("unknown")).alias("status"),
+def scan_manifests(spark: SparkSession, root: str, limit: int = 20) -> DataFrame:
+    """The catalogue of published runs below ``root``, newest key first.
+
+    Keys are the documents' own paths below ``manifests/``, whether a document
+    is one object or a folder that a Spark job wrote; ``latest`` pointers are
+    left out. Only the last ``limit`` documents (the size of the report) are
+    read; undecodable or non-object ones among them are skipped, wrong-typed
+    fields become NULL, status defaults to ``unknown``.
+    """
+    key = F.regexp_extract("path", r"(manifests/.*?\.json)(?:/part-[^/]*)?$", 1)
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root.rstrip('/')}/manifests")
+              .select("path", key.alias("manifest_key"))
+              .where((F.col("manifest_key") != "") & ~F.col("manifest_key").endswith("/latest.json")))
+    paths = [r.path for r in listed.orderBy(F.desc("manifest_key")).limit(limit).collect()]
+    if paths:
+        docs = spark.read.option("wholetext", "true").text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+    else:
+        docs = spark.createDataFrame([], "value string, path string")
+    parsed = docs.select(key.alias("manifest_key"), "value", F.from_json("value", S.MANIFEST_SCHEMA, {"mode": "PERMISSIVE"})
+                         .alias("m")).where(F.col("value").rlike(r"^\s*\{") & F.col("m").isNotNull())
+
+    def objects(c: str):
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+
+    return parsed.select(
+        "manifest_key", F.coalesce("m.status", F.lit("unknown")).alias("status"),
         F.col("m.partition_date").alias("partition_date"), F.col("m.run_id").alias("run_id"),
-        F.col("m.input_rows").alias("input_rows"),
-        F.coalesce(F.size("m.curated_keys"), F.lit(0)).alias("curated_object_count"),
-        F.coalesce(F.size("m.summary_keys"), F.lit(0)).alias("summary_object_count"),
-    ).withColumn("curated_object_count", F.greatest("curated_object_count", F.lit(0))) \
-     .withColumn("summary_object_count", F.greatest("summary_object_count", F.lit(0)))
-    return out.orderBy(F.desc("manifest_key")).limit(limit)
+        F.col("m.created_at").alias("created_at"), F.col("m.input_rows").alias("input_rows"),
+        objects("m.curated_keys").alias("curated_object_count"), objects("m.summary_keys").alias("summary_object_count"),
+        F.col("m.spark_version").alias("spark_version"),
+    ).orderBy(F.desc("manifest_key"))
 
 
 def verified_payloads(spark: SparkSession, jobs: DataFrame, root: str) -> DataFrame:
@@ -89,11 +99,17 @@ def verified_payloads(spark: SparkSession, jobs: DataFrame, root: str) -> DataFr
     ``jobs``: job_id, payload_path, content_sha256. Status: ok /
     missing (permanent) / checksum_mismatch (permanent).
     """
-    files = spark.read.format("binaryFile").load(root).select(
-        F.col("path").alias("_path"), F.sha2("content", 256).alias("_actual"), "content")
-    j = jobs.join(files, F.col("payload_path") == F.col("_path"), "left")
+    files = spark.read.format("binaryFile").load(root)
+    actual = files.select(F.col("path").alias("_path"), F.sha2("content", 256).alias("_actual"))
+    j = jobs.join(actual, F.col("payload_path") == F.col("_path"), "left")
     status = (F.when(F.col("_path").isNull(), F.lit("missing"))
               .when(F.col("_actual") != F.col("content_sha256"), F.lit("checksum_mismatch"))
               .otherwise(F.lit("ok")))
-    return j.select("job_id", "payload_path", status.alias("payload_status"),
-                    F.when(status == "ok", F.col("content")).alias("content"))
+    return j.select("job_id", "payload_path", status.alias("payload_status"))
+
+
+def payload_contents(spark: SparkSession, verified: DataFrame, root: str) -> DataFrame:
+    """Bytes of the payloads that ``verified_payloads`` found in order: a second
+    read by path, so that no bytes travel through the check's join."""
+    files = spark.read.format("binaryFile").load(root).select(F.col("path").alias("payload_path"), "content")
+    return verified.where("payload_status = 'ok'").select("job_id", "payload_path").join(files, "payload_path")

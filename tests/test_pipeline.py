@@ -44,9 +44,71 @@ def test_pipeline_run_publish_and_verify(spark, tmp_out):
     assert summary.agg(F.sum("row_count")).first()[0] == 1500
     latest = writers.read_json_document(spark, f"{tmp_out}/manifests/inventory-risk/event_date={DAY}/latest.json")
     assert latest["run_id"] == "run/1 a"
-    # run manifests are immutable
-    with pytest.raises(Exception):
-        pipeline.run_pipeline(spark, history, DAY, "run/1 a", tmp_out)
+    # a repeated run finds its manifest and leaves data and manifest alone
+    again = pipeline.run_pipeline(spark, history.limit(10), DAY, "run/1 a", tmp_out)
+    assert again == manifest
+    assert spark.read.parquet(f"{tmp_out}/curated/inventory-risk/event_date={DAY}/run_id=run_1_a").count() == 1500
+    # the catalogue reads what the run wrote
+    listed = files.scan_manifests(spark, tmp_out).collect()
+    assert [(r.manifest_key, r.status, r.spark_version) for r in listed] == [
+        (f"manifests/inventory-risk/event_date={DAY}/run_id=run_1_a.json", "succeeded", spark.version)]
+    assert listed[0].created_at == manifest["created_at"]
+
+
+def test_rerun_after_an_interrupted_attempt_leaves_no_stale_warehouses(spark, tmp_out, monkeypatch):
+    history = _history(spark)
+    real = writers.write_json_document
+
+    def lost(spark, doc, path, mode="errorifexists"):
+        if "/manifests/" in path:
+            raise OSError("lost")
+        real(spark, doc, path, mode)
+
+    monkeypatch.setattr(writers, "write_json_document", lost)
+    with pytest.raises(OSError):
+        pipeline.run_pipeline(spark, history, DAY, "r", tmp_out)
+    monkeypatch.setattr(writers, "write_json_document", real)
+    some = sorted(r[0] for r in history.select("warehouse_code").distinct().collect())[:3]
+    manifest = pipeline.run_pipeline(spark, history.where(F.col("warehouse_code").isin(some)), DAY, "r", tmp_out)
+    curated = spark.read.parquet(f"{tmp_out}/curated/inventory-risk/event_date={DAY}/run_id=r")
+    assert sorted(r[0] for r in curated.select("warehouse_code").distinct().collect()) == some
+    assert curated.count() == manifest["input_rows"]
+    assert pipeline.verify_manifest(spark, tmp_out, DAY, "r") == manifest
+
+
+def test_backfill_publishes_each_date_alone_and_finishes_on_retry(spark, tmp_out):
+    good = synthetic.history_partitions(views.order_index(spark, SF001), "2026-07-27", "2026-07-29")
+    bad_day = dt.date(2026, 7, 28)
+    bad = good.withColumn("on_hand_quantity", F.when(F.col("event_date") == F.lit(bad_day), -1.0)
+                          .otherwise(F.col("on_hand_quantity")))
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        first = {r.event_date: (r.passed, r.published) for r in pipeline.run_backfill(spark, bad, "bf 1", tmp_out).collect()}
+        days = sorted(first)
+        assert [first[d] for d in days] == [(True, True), (False, False), (True, True)]
+        before = pipeline.verify_manifest(spark, tmp_out, days[0], "bf 1")
+        second = {r.event_date: r.published for r in pipeline.run_backfill(spark, good, "bf 1", tmp_out).collect()}
+        assert all(second.values())
+        assert pipeline.verify_manifest(spark, tmp_out, days[0], "bf 1") == before
+        for d in days:
+            m = pipeline.verify_manifest(spark, tmp_out, d, "bf 1")
+            rows = spark.read.parquet(*[f"{tmp_out}/{k}" for k in m["curated_keys"]])
+            assert rows.count() == m["input_rows"] == 1500
+            latest = writers.read_json_document(spark, f"{tmp_out}/manifests/inventory-risk/event_date={d}/latest.json")
+            assert latest == m
+            report = writers.read_json_document(spark, f"{tmp_out}/quality/inventory/event_date={d}/run_id=bf_1.json")
+            assert report["passed"]
+        assert len(files.scan_manifests(spark, tmp_out).collect()) == 3
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+
+
+def test_forecast_metrics_of_no_rows_fail(spark):
+    from skuflow.operators import risk
+
+    none = spark.createDataFrame([], "forecast_quantity double, actual_demand_quantity double")
+    with pytest.raises(Exception, match="at least one row"):
+        risk.forecast_metrics(none).collect()
 
 
 def test_pipeline_gate_failure_writes_report_only(spark, tmp_out):
@@ -63,9 +125,7 @@ def test_backfill_per_date_thresholds(spark, tmp_out):
     reports, curated, thresholds, summary = pipeline.backfill(hist)
     assert reports.where("passed").count() == 3
     assert thresholds.count() == 3
-    pipeline.write_backfill(curated, tmp_out)
-    back = spark.read.parquet(f"{tmp_out}/curated/inventory-risk-backfill")
-    assert back.count() == 4500
+    assert curated.count() == 4500
 
 
 def test_csv_bad_cells_become_null(spark, tmp_out):
@@ -91,6 +151,8 @@ def test_raw_content_addressed_and_payload_verification(spark, tmp_out):
     assert f"raw/inventory/source=supplier_b_csv/ingest_date=2026-07-29/{h}.csv" in keys and len(keys) == 2
     back = spark.read.parquet(f"{tmp_out}/raw/inventory")
     assert back.where(F.length("content") == F.col("stored_length")).count() == 2
+    writers.write_raw_content_addressed(payloads, f"{tmp_out}/raw/inventory")
+    assert spark.read.parquet(f"{tmp_out}/raw/inventory").count() == 2
     # Files on disk joined to jobs and checked
     d = f"{tmp_out}/payloads"
     os.makedirs(d)
@@ -104,6 +166,8 @@ def test_raw_content_addressed_and_payload_verification(spark, tmp_out):
     ], "job_id string, payload_path string, content_sha256 string")
     got = {r.job_id: r.payload_status for r in files.verified_payloads(spark, jobs, d).collect()}
     assert got == {"J1": "ok", "J2": "checksum_mismatch", "J3": "missing"}
+    read = files.payload_contents(spark, files.verified_payloads(spark, jobs, d), d).collect()
+    assert [(r.job_id, bytes(r.content)) for r in read] == [("J1", b"ok")]
 
 
 def test_analytics_run_and_operation_events_sinks(spark, tmp_out):

@@ -23,13 +23,14 @@ def col(c: str | Column) -> Column:
 
 # --- C1 ---------------------------------------------------------------------
 def available_quantity(on_hand, reserved) -> Column:
-    """max(on_hand - reserved, 0). ``greatest`` skips NULLs, so gate NULLs first."""
-    return F.greatest(col(on_hand) - col(reserved), _zero())
+    """max(on_hand - reserved, 0); unknown (NULL) if either is unknown."""
+    free = col(on_hand) - col(reserved)
+    return F.when(free.isNotNull(), F.greatest(free, _zero()))
 
 
 def available_quantity_valid(on_hand, reserved) -> Column:
-    """The domain rule: negative on-hand or reserved is a validation error."""
-    return (col(on_hand) >= 0) & (col(reserved) >= 0)
+    """The domain rule: a missing or negative on-hand or reserved is a validation error."""
+    return F.coalesce((col(on_hand) >= 0) & (col(reserved) >= 0), F.lit(False))
 
 
 # --- C2 / C3 / C4 -------------------------------------------------------------

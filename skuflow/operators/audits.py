@@ -4,13 +4,12 @@ The relational model declares CHECK, UNIQUE, FOREIGN KEY, enum and length
 constraints. Spark enforces none of them, so each becomes an audit that
 counts violating rows:
 
-* CHECK: ``count_if(NOT rule)`` for all rules of a table in one aggregate
-  (a rule on NULL passes, as in SQL);
+* CHECK, enum and length: ``count_if(NOT rule)`` for all rules of a table in one
+  aggregate (a rule on NULL passes, as in SQL);
 * UNIQUE: key groups with more than one row, ignoring rows with a NULL key
   (UNIQUE admits NULLs) - a partial aggregate, so a hot key is combined
   map-side;
-* FOREIGN KEY: ``left_anti`` child -> parent on non-NULL keys;
-* enum / length: ``count_if`` on membership / ``length``.
+* FOREIGN KEY: ``left_anti`` of the counted non-NULL references against the parent.
 """
 
 from __future__ import annotations
@@ -21,17 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _stack(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def check_violations(table: str, df: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """L1: rows violating each CHECK rule (SQL text), one pass over ``df``."""
-    names = list(rules)
-    counts = df.agg(*[F.count_if(~F.expr(rules[n])).alias(f"_r{i}") for i, n in enumerate(names)])
-    stacked = ", ".join(f"'{n}', `_r{i}`" for i, n in enumerate(names))
+def row_violations(table: str, df: DataFrame, rules: dict[tuple[str, str], str]) -> DataFrame:
+    """Rows that break each ``(family, rule)`` (an SQL condition), one
+    aggregate over ``df`` for all of them; a rule on NULL passes."""
+    counts = df.agg(*[F.count_if(~F.expr(cond)).alias(f"_r{i}") for i, cond in enumerate(rules.values())])
+    stacked = ", ".join(f"'{family}', '{rule}', `_r{i}`" for i, (family, rule) in enumerate(rules))
     return counts.select(F.lit(table).alias("table_name"),
-                         F.expr(f"stack({len(names)}, {stacked}) as (rule, violations)"))
+                         F.expr(f"stack({len(rules)}, {stacked}) as (audit, rule, violations)"))
 
 
 def unique_violations(table: str, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
@@ -39,27 +34,15 @@ def unique_violations(table: str, df: DataFrame, name: str, keys: list[str]) ->
     not_null = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     dup = df.where(not_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     return dup.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit(name).alias("rule"), "violations")
+        F.lit("unique").alias("audit"), F.lit(table).alias("table_name"), F.lit(name).alias("rule"), "violations")
 
 
 def fk_violations(table: str, child: DataFrame, name: str, child_key: str, parent: DataFrame,
                   parent_key: str) -> DataFrame:
-    """L3: child rows whose non-NULL reference has no parent."""
-    c = child.select(F.col(child_key).alias("_k")).where(F.col("_k").isNotNull())
-    p = parent.select(F.col(parent_key).alias("_k"))
-    orphans = c.join(p, "_k", "left_anti")
-    return orphans.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit(name).alias("rule"), "violations")
-
-
-def enum_violations(table: str, df: DataFrame, column: str, domain: list[str]) -> DataFrame:
-    """L4: values outside the enum domain."""
-    bad = F.col(column).isNotNull() & ~F.col(column).isin(*domain)
-    return df.agg(F.count_if(bad).alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit(f"{column}_enum").alias("rule"), "violations")
-
-
-def length_violations(table: str, df: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """Strings longer than their declared ``String(n)``, one pass per table."""
-    return check_violations(table, df, {f"{c}_length": f"{c} IS NULL OR length({c}) <= {n}"
-                                        for c, n in limits.items()})
+    """L3: child rows whose non-NULL reference has no parent. References are
+    counted before the join, so a parent with very many children is one row."""
+    c = child.select(F.col(child_key).alias("_k")).where(F.col("_k").isNotNull()).groupBy("_k").agg(
+        F.count(F.lit(1)).alias("_n"))
+    orphans = c.join(parent.select(F.col(parent_key).alias("_k")), "_k", "left_anti")
+    return orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("violations")).select(
+        F.lit("foreign_key").alias("audit"), F.lit(table).alias("table_name"), F.lit(name).alias("rule"), "violations")

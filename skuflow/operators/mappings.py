@@ -4,9 +4,9 @@ An upsert log of mappings (one row per upsert, ordered) becomes a versioned
 history: a mapping starts at version 1 and increments only when one of its
 attributes changes (null-safe comparison with the previous upsert of the same
 key). The version in force at time ``t`` is found with a range join against
-``[valid_from, valid_to)`` intervals built with ``lead``: an equi-join on the
-mapping key plus a range predicate, so a hot key is split by AQE's skew join
-rather than handled as one sorted window.
+``[valid_from, valid_to)`` intervals: an equi-join on the mapping key plus a
+range predicate, so a hot key is split by AQE's skew join. Versions and
+intervals both come from the segmented scan of ``sequences``.
 """
 
 from __future__ import annotations
@@ -39,9 +39,11 @@ def versions(upserts: DataFrame, key_cols: list[str], attr_cols: list[str], orde
 
 
 def intervals(history: DataFrame, key_cols: list[str], time_col: str, order_cols: list[str]) -> DataFrame:
-    """Validity intervals ``[valid_from, valid_to)`` per key (``valid_to`` NULL = open)."""
-    w = Window.partitionBy(*key_cols).orderBy(*order_cols)
-    return history.withColumn("valid_from", F.col(time_col)).withColumn("valid_to", F.lead(time_col).over(w))
+    """Validity intervals ``[valid_from, valid_to)`` per key (``valid_to`` NULL = open),
+    without holding a hot key's history in one task."""
+    from skuflow.operators.sequences import next_in_key
+
+    return next_in_key(history, key_cols, order_cols, time_col, "valid_to").withColumn("valid_from", F.col(time_col))
 
 
 def as_of(facts: DataFrame, history: DataFrame, key_cols: list[str], fact_time: str,

@@ -8,15 +8,12 @@ child rollups are aggregates joined to the parent, not per-row lookups.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow import schemas as S
 from skuflow.functions import scalars as X
-
-_VIEW_IDS = itertools.count()
+from skuflow.session import materialize
 
 
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -123,27 +120,33 @@ def stale_leases(jobs: DataFrame, as_of: str) -> DataFrame:
 
 
 def replay_lineage(spark, jobs: DataFrame) -> DataFrame:
-    """Replay chains (replay -> original -> ...) resolved to the root with a
-    recursive CTE; a replay is valid when its original failed and kept a payload."""
-    name = f"_replay_jobs_{next(_VIEW_IDS)}"
-    jobs.select("job_id", "replay_of_job_id", "status", "payload_size").createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE chain (job_id, ancestor_id, hops) AS (
-          SELECT job_id, replay_of_job_id, 1 FROM {name} WHERE replay_of_job_id IS NOT NULL
-          UNION ALL
-          SELECT c.job_id, j.replay_of_job_id, c.hops + 1
-          FROM chain c JOIN {name} j ON j.job_id = c.ancestor_id
-          WHERE j.replay_of_job_id IS NOT NULL
-        ),
-        deepest AS (
-          SELECT job_id, max_by(ancestor_id, hops) AS root_job_id, max(hops) AS hops FROM chain GROUP BY job_id
-        )
-        SELECT d.job_id, j.replay_of_job_id, d.root_job_id, d.hops,
-               (o.status = 'failed' AND o.payload_size IS NOT NULL) AS valid_replay
-        FROM deepest d
-        JOIN {name} j ON j.job_id = d.job_id
-        LEFT JOIN {name} o ON o.job_id = j.replay_of_job_id
-    """)
+    """Replay chains (replay -> original -> ...) resolved to the root by
+    pointer doubling; a replay is valid when its original failed and kept a
+    payload.
+
+    Each round joins the pointers with themselves, so a chain of n replays
+    takes log2(n) rounds; chains that run in a circle never end and are
+    reported.
+    """
+    own = jobs.select("job_id", "replay_of_job_id")
+    far = materialize(own.where(F.col("replay_of_job_id").isNotNull()).select(
+        "job_id", F.col("replay_of_job_id").alias("root_job_id"), F.lit(1).cast("bigint").alias("hops")))
+    links = far.count()
+    for _ in range(max(links, 1).bit_length() + 1):
+        step = far.select(F.col("job_id").alias("root_job_id"), F.col("root_job_id").alias("_next"),
+                          F.col("hops").alias("_more"))
+        joined = materialize(far.join(step, "root_job_id", "left"))
+        ended = joined.where(F.col("_next").isNotNull()).isEmpty()
+        far = joined.select("job_id", F.coalesce("_next", "root_job_id").alias("root_job_id"),
+                            (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"))
+        if ended:
+            break
+    else:
+        raise ValueError("replay_of_job_id runs in a circle")
+    original = jobs.select(F.col("job_id").alias("replay_of_job_id"),
+                           ((F.col("status") == "failed") & F.col("payload_size").isNotNull()).alias("valid_replay"))
+    return (far.join(own, "job_id").join(original, "replay_of_job_id", "left")
+            .select("job_id", "replay_of_job_id", "root_job_id", F.col("hops").cast("int").alias("hops"), "valid_replay"))
 
 
 def child_counts(parent: DataFrame, key: str, children: dict[str, DataFrame]) -> DataFrame:

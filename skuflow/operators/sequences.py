@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from skuflow.session import checkpoint_dir
 
@@ -124,3 +124,58 @@ def running_change_versions(df: DataFrame, key_cols: list[str], order_cols: list
             yield pdf.assign(**{out: np.where(psi == 1, base + local, 1 + local).astype(np.int32)})
 
     return ranged.mapInPandas(apply, schema).drop("_k", "_a", "_pid")
+
+
+def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first row of each stored partition."""
+    last = None
+    for pid, pdf in _runs(batches):
+        if pid != last:
+            yield pd.DataFrame({"pid": [pid], "k": [pdf["_k"].iloc[0]], "v": [pdf["_v"].iloc[0]]})
+            last = pid
+
+
+def next_in_key(df: DataFrame, key_cols: list[str], order_cols: list[str], value_col: str, out: str,
+                partitions: int | None = None) -> DataFrame:
+    """``out`` = ``value_col`` (a timestamp) of the next row of the same key, NULL at its end.
+
+    The same layout as ``running_change_versions``: a hot key spans many range
+    partitions; a partition's last row takes its successor from the first row
+    of the next partition that has rows (one row per partition on the driver).
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    prepared = df.withColumn("_k", F.to_json(F.struct(*key_cols))).withColumn("_v", F.unix_micros(value_col))
+    ranged = (prepared.repartitionByRange(n, *key_cols, *order_cols)
+              .sortWithinPartitions(*key_cols, *order_cols).withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    heads = sorted(ranged.select("_pid", "_k", "_v").mapInPandas(_heads, "pid int, k string, v long").collect(),
+                   key=lambda r: r.pid)
+    follows = spark.sparkContext.broadcast({a.pid: (b.k, b.v) for a, b in zip(heads[:-1], heads[1:], strict=True)})
+    schema = StructType([*ranged.schema.fields, StructField("_next", LongType())])
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the run's last row, until its successor is known
+        for pid, pdf in _runs(batches):
+            if held is not None:
+                if int(held["_pid"].iloc[0]) == pid:
+                    pdf = pd.concat([held, pdf])
+                else:
+                    yield _with_next(held, follows.value.get(int(held["_pid"].iloc[0])))
+            if len(pdf) > 1:
+                yield _with_next(pdf.iloc[:-1], (pdf["_k"].iloc[-1], pdf["_v"].iloc[-1]))
+            held = pdf.iloc[-1:]
+        if held is not None:
+            yield _with_next(held, follows.value.get(int(held["_pid"].iloc[0])))
+
+    found = ranged.mapInPandas(apply, schema)
+    return found.withColumn(out, F.timestamp_micros("_next")).drop("_k", "_v", "_pid", "_next")
+
+
+def _with_next(pdf: pd.DataFrame, after: tuple | None) -> pd.DataFrame:
+    k, v = pdf["_k"].to_numpy(dtype=object), pdf["_v"].to_numpy(dtype=object)
+    next_k, next_v = np.append(k[1:], None), np.append(v[1:], None)
+    if after is not None:
+        next_k[-1], next_v[-1] = after
+    return pdf.assign(_next=pd.array(np.where(next_k == k, next_v, None), dtype="Int64"))

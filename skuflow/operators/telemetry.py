@@ -7,9 +7,8 @@ a gauge. Re-aimed onto the request log itself (one row per completed request,
 * J6 request rate: sliding 5-minute windows every minute, count / 300 s;
 * J7 p95 latency: cumulative bucket counts per 5-minute window and route,
   quantile by linear interpolation inside the bucket (``histogram_quantile``);
-* J8 requests in progress: the gauge as scraped every 5 s - each request
-  contributes to the few sample instants inside [start, end), then a
-  group-by; no global running sum, so no single-partition window;
+* J8 requests in progress: the gauge as scraped every 5 s, a running sum of
+  starts and ends taken per day on top of the days before;
 * E13 duration stats: min / median / p95 / max with exact interpolation.
 
 Batch and streaming share these functions; streaming adds a watermark.
@@ -17,7 +16,7 @@ Batch and streaming share these functions; streaming adds a watermark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow.operators.quantiles import exact_quantiles
@@ -30,9 +29,17 @@ SLIDE = "1 minute"
 
 
 def request_rate(log: DataFrame, time_col: str = "completed_at") -> DataFrame:
-    """Requests per second over sliding 5-minute windows, by status."""
-    w = log.groupBy(F.window(time_col, WINDOW, SLIDE).alias("w"), "status").agg(
-        F.count(F.lit(1)).alias("requests"))
+    """Requests per second over sliding 5-minute windows, by status.
+
+    In batch, requests are counted per minute first and each count goes to the
+    five windows over it; a stream assigns windows to its rows.
+    """
+    if log.isStreaming:
+        w = log.groupBy(F.window(time_col, WINDOW, SLIDE).alias("w"), "status").agg(
+            F.count(F.lit(1)).alias("requests"))
+    else:
+        minutes = log.groupBy(F.date_trunc("minute", time_col).alias("_m"), "status").agg(F.count(F.lit(1)).alias("n"))
+        w = minutes.groupBy(F.window("_m", WINDOW, SLIDE).alias("w"), "status").agg(F.sum("n").alias("requests"))
     return w.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "status",
                     "requests", (F.col("requests") / 300.0).alias("rate_per_second"))
 
@@ -41,10 +48,16 @@ def histogram_quantile(log: DataFrame, q: float = 0.95, buckets: list[float] = D
                        time_col: str = "completed_at", group: str = "route") -> DataFrame:
     """``histogram_quantile(q, ...)`` per 5-minute window and route."""
     d = F.col("duration_s")
-    counts = log.groupBy(F.window(time_col, WINDOW, SLIDE).alias("w"), group).agg(
-        F.array(*[F.count_if(d <= F.lit(b)) for b in buckets]).alias("cum"),
-        F.count(F.lit(1)).alias("total"),
-    )
+    if log.isStreaming:
+        counts = log.groupBy(F.window(time_col, WINDOW, SLIDE).alias("w"), group).agg(
+            F.array(*[F.count_if(d <= F.lit(b)) for b in buckets]).alias("cum"),
+            F.count(F.lit(1)).alias("total"),
+        )
+    else:
+        minutes = log.groupBy(F.date_trunc("minute", time_col).alias("_m"), group).agg(
+            *[F.count_if(d <= F.lit(b)).alias(f"_b{i}") for i, b in enumerate(buckets)], F.count(F.lit(1)).alias("_n"))
+        counts = minutes.groupBy(F.window("_m", WINDOW, SLIDE).alias("w"), group).agg(
+            F.array(*[F.sum(f"_b{i}") for i in range(len(buckets))]).alias("cum"), F.sum("_n").alias("total"))
     bounds = F.array(*[F.lit(b) for b in buckets])
     rank = F.lit(q) * F.col("total")
     # 1-based index of the first finite bucket whose cumulative count reaches rank.
@@ -60,15 +73,33 @@ def histogram_quantile(log: DataFrame, q: float = 0.95, buckets: list[float] = D
 
 
 def requests_in_progress(log: DataFrame, time_col: str = "completed_at") -> DataFrame:
-    """In-flight requests at each 5 s sample instant t (start <= t < end)."""
+    """In-flight requests at each 5 s sample instant t (start <= t < end),
+    every instant from the first start to the last end, idle ones with 0.
+
+    A request is two changes, +1 at its first instant and -1 after its last,
+    whatever its duration. Changes are summed per instant, the running sum is
+    taken within days, and each day starts from the sum of the days before it
+    (one row per day).
+    """
+    step, day = SCRAPE_INTERVAL_US, 86_400_000_000
     end_us = F.unix_micros(F.col(time_col))
-    start_us = end_us - F.col("duration_us")
-    step = F.lit(SCRAPE_INTERVAL_US)
-    first = F.ceil(start_us / step).cast("bigint") * step
-    last = F.floor((end_us - 1) / step).cast("bigint") * step
-    samples = log.where(first <= last).select(F.explode(F.sequence(first, last, step)).alias("_t"))
-    return samples.groupBy("_t").agg(F.count(F.lit(1)).alias("in_progress")).select(
-        F.timestamp_micros("_t").alias("sampled_at"), "in_progress")
+    first = F.ceil((end_us - F.col("duration_us")) / step).cast("bigint") * step
+    after = F.floor((end_us - 1) / step).cast("bigint") * step + step
+    changes = log.select(F.explode(F.array(
+        F.struct(first.alias("t"), F.lit(1).alias("n")), F.struct(after.alias("t"), F.lit(-1).alias("n")))).alias("c"))
+    per_instant = changes.groupBy("c.t").agg(F.sum("c.n").alias("n"))
+    span = per_instant.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi")
+    days = span.select("lo", "hi", F.explode(F.sequence(F.expr(f"lo div {day}"), F.expr(f"(hi - {step}) div {day}"))).alias("d"))
+    instants = days.select("d", F.explode(F.sequence(
+        F.greatest("lo", F.col("d") * day + F.pmod(-F.col("d") * day, F.lit(step))),
+        F.least(F.col("hi") - step, (F.col("d") + 1) * day - 1), F.lit(step))).alias("t"))
+    marked = instants.join(per_instant, "t", "left").fillna(0, subset=["n"])
+    before = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    opening = marked.groupBy("d").agg(F.sum("n").alias("n")).select(
+        "d", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("open"))
+    running = F.sum("n").over(Window.partitionBy("d").orderBy("t"))
+    return marked.withColumn("run", running).join(opening, "d").select(
+        F.timestamp_micros("t").alias("sampled_at"), (F.col("run") + F.col("open")).cast("bigint").alias("in_progress"))
 
 
 def duration_stats(log: DataFrame, group: str = "route") -> DataFrame:

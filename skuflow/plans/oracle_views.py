@@ -646,6 +646,24 @@ SELECT concat('RUN-', c_custkey) AS run_id,
        TIMESTAMP '2026-01-01 00:00:00' + to_seconds(c_custkey * 60) AS created_at
 FROM customer
 """)
+view("e_shipment_events", """
+SELECT concat('SHIP-', event_id) AS shipment_id, concat('C-EVT-', user_id) AS external_event_id,
+       CASE event_type WHEN 'signup' THEN 'picked_up' WHEN 'click' THEN 'in_transit' WHEN 'view' THEN 'delayed'
+                       WHEN 'purchase' THEN 'delivered' ELSE 'returned' END AS event_type,
+       CASE WHEN event_type = 'view' THEN 'WEATHER' END AS reason_code
+FROM events
+""")
+view("e_import_errors", """
+SELECT concat('JOB-', l_orderkey) AS job_id, 'invalid_csv_field' AS error_code,
+       CASE WHEN l_linenumber % 2 = 1 THEN 'case_count' END AS field_name,
+       concat('Input should be greater than 0, not ', l_linenumber) AS message
+FROM lineitem WHERE l_returnflag = 'R'
+""")
+view("e_reconciliations", """
+SELECT concat('RUN-', l_suppkey) AS run_id, l_partkey AS record_index, concat('SUP-', l_suppkey) AS supplier_code,
+       concat('SKU-', l_partkey) AS product_sku, concat('WH-', l_suppkey % 25) AS warehouse_code
+FROM lineitem
+""")
 view("e_products", """
 SELECT concat('PRD-', p_partkey) AS product_id, concat('SKU-', p_partkey) AS sku, p_name AS name
 FROM part

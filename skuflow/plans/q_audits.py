@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import functions as F
-
 from skuflow import schemas as S
 from skuflow.operators import audits, imports, reports, risk
 from skuflow.plans.catalog import register
+from skuflow.session import materialize
 from skuflow.sources import entities as E
 from skuflow.sources import synthetic, views
 
@@ -41,37 +41,56 @@ UNIQUES = [
     ("purchase_order_lines", "order_line_number_unique", ["order_id", "line_number"]),
     ("purchase_order_lines", "order_product_unique", ["order_id", "product_id"]),
     ("shipments", "supplier_tracking_unique", ["supplier_id", "tracking_reference"]),
+    ("shipment_events", "shipment_event_unique", ["shipment_id", "external_event_id"]),
     ("supplier_product_mappings", "external_sku_unique", ["supplier_id", "external_sku"]),
-    ("supplier_warehouse_mappings", "external_location_unique",
-     ["supplier_id", "external_location"]),
+    ("supplier_warehouse_mappings", "external_location_unique", ["supplier_id", "external_location"]),
     ("import_jobs", "idempotency_unique", ["supplier_id", "source_type", "idempotency_key"]),
     ("import_attempts", "job_attempt_unique", ["job_id", "attempt_number"]),
     ("inventory_snapshots", "source_record_unique",
      ["supplier_id", "source_reference", "external_sku", "external_location"]),
-    ("stockout_risks", "run_record_unique", ["record_index"]),
+    ("inventory_reconciliations", "run_record_unique", ["run_id", "record_index"]),
+    ("stockout_risks", "run_record_unique", ["run_id", "record_index"]),
 ]
 FOREIGN_KEYS = [
-    ("purchase_order_lines", "product_fk", "product_id", "products", "product_id"),
+    ("inventory_positions", "warehouse_fk", "warehouse_id", "warehouses", "warehouse_id"),
+    ("inventory_positions", "product_fk", "product_id", "products", "product_id"),
     ("purchase_orders", "supplier_fk", "supplier_id", "suppliers", "supplier_id"),
+    ("purchase_order_lines", "order_fk", "order_id", "purchase_orders", "order_id"),
+    ("purchase_order_lines", "product_fk", "product_id", "products", "product_id"),
+    ("shipments", "supplier_fk", "supplier_id", "suppliers", "supplier_id"),
+    ("shipments", "order_fk", "order_id", "purchase_orders", "order_id"),
+    ("shipment_events", "shipment_fk", "shipment_id", "shipments", "shipment_id"),
+    ("supplier_product_mappings", "supplier_fk", "supplier_id", "suppliers", "supplier_id"),
+    ("supplier_product_mappings", "product_fk", "product_id", "products", "product_id"),
+    ("supplier_warehouse_mappings", "supplier_fk", "supplier_id", "suppliers", "supplier_id"),
+    ("supplier_warehouse_mappings", "warehouse_fk", "warehouse_id", "warehouses", "warehouse_id"),
     ("import_jobs", "supplier_fk", "supplier_id", "suppliers", "supplier_id"),
     ("import_jobs", "replay_of_fk", "replay_of_job_id", "import_jobs", "job_id"),
     ("import_attempts", "job_fk", "job_id", "import_jobs", "job_id"),
     ("operation_events", "job_fk", "job_id", "import_jobs", "job_id"),
-    ("shipments", "order_fk", "order_id", "purchase_orders", "order_id"),
+    ("import_errors", "job_fk", "job_id", "import_jobs", "job_id"),
+    ("inventory_snapshots", "job_fk", "import_job_id", "import_jobs", "job_id"),
+    ("inventory_snapshots", "supplier_fk", "supplier_id", "suppliers", "supplier_id"),
     ("inventory_snapshots", "product_fk", "product_id", "products", "product_id"),
     ("inventory_snapshots", "warehouse_fk", "warehouse_id", "warehouses", "warehouse_id"),
-    ("inventory_positions", "product_fk", "product_id", "products", "product_id"),
-    ("inventory_positions", "warehouse_fk", "warehouse_id", "warehouses", "warehouse_id"),
+    ("inventory_reconciliations", "run_fk", "run_id", "analytics_runs", "run_id"),
+    ("stockout_risks", "run_fk", "run_id", "analytics_runs", "run_id"),
 ]
 ENUMS = [
-    ("import_jobs", "status", S.IMPORT_STATUS),
-    ("import_jobs", "source_type", S.IMPORT_SOURCE_TYPE),
+    ("suppliers", "status", S.RECORD_STATUS),
+    ("products", "base_unit", S.UNIT_OF_MEASURE),
+    ("products", "status", S.RECORD_STATUS),
+    ("warehouses", "status", S.RECORD_STATUS),
     ("purchase_orders", "status", S.PURCHASE_ORDER_STATUS),
-    ("analytics_runs", "run_type", S.ANALYTICS_RUN_TYPE),
-    ("analytics_runs", "engine", S.ANALYTICS_ENGINE),
-    ("import_attempts", "status", S.IMPORT_ATTEMPT_STATUS),
+    ("shipments", "status", S.SHIPMENT_STATUS),
+    ("shipment_events", "event_type", S.SHIPMENT_EVENT_TYPE),
     ("supplier_product_mappings", "source_unit", S.UNIT_OF_MEASURE),
+    ("import_jobs", "source_type", S.IMPORT_SOURCE_TYPE),
+    ("import_jobs", "status", S.IMPORT_STATUS),
+    ("import_attempts", "status", S.IMPORT_ATTEMPT_STATUS),
     ("inventory_snapshots", "source_unit", S.UNIT_OF_MEASURE),
+    ("analytics_runs", "run_type", S.ANALYTICS_RUN_TYPE),
+    ("analytics_runs", "engine", S.ANALYTICS_ENGINE),
     ("stockout_risks", "severity", S.RISK_SEVERITY),
 ]
 LENGTHS = {
@@ -80,11 +99,44 @@ LENGTHS = {
     "warehouses": {"code": 50, "name": 200, "timezone": 100},
     "purchase_orders": {"reference": 100},
     "shipments": {"tracking_reference": 100},
-    "import_jobs": {"content_sha256": 64, "idempotency_key": 128, "correlation_id": 128},
-    "operation_events": {"component": 50, "status": 30},
-    "inventory_snapshots": {"source_reference": 100, "external_sku": 100, "external_location": 100},
+    "shipment_events": {"external_event_id": 100, "reason_code": 100},
     "supplier_product_mappings": {"external_sku": 100},
     "supplier_warehouse_mappings": {"external_location": 100},
+    "import_jobs": {"adapter_version": 100, "original_filename": 255, "content_sha256": 64, "content_type": 100,
+                    "payload_object_key": 1000, "idempotency_key": 128, "correlation_id": 128, "worker_id": 255,
+                    "failure_code": 100, "failure_message": 1000},
+    "import_attempts": {"celery_task_id": 255, "worker_id": 255, "error_code": 100, "error_message": 1000},
+    "operation_events": {"correlation_id": 128, "component": 50, "stage": 100, "status": 30, "title": 200,
+                         "explanation": 1000, "evidence_reference": 1000},
+    "import_errors": {"error_code": 100, "field_name": 100, "message": 500},
+    "inventory_snapshots": {"source_reference": 100, "external_sku": 100, "external_location": 100},
+    "inventory_reconciliations": {"supplier_code": 100, "product_sku": 100, "warehouse_code": 100},
+    "stockout_risks": {"product_sku": 100, "warehouse_code": 100},
+}
+TABLE_NAMES = sorted({*CHECKS, *LENGTHS, *(u[0] for u in UNIQUES), *(e[0] for e in ENUMS)})
+
+# Columns that only the audits read, derived from each entity's own columns
+# (expressions that Spark and the oracle both understand); violations are planted.
+EXTRA = {
+    "suppliers": {"status": "CASE WHEN balance < 0 THEN 'inactive' WHEN balance > 9000 THEN 'blocked' ELSE 'active' END"},
+    "products": {"base_unit": "CASE WHEN name LIKE '%e' THEN 'EACH' WHEN name LIKE '%t' THEN 'BARREL' ELSE 'CASE' END",
+                 "status": "CASE WHEN sku LIKE '%7' THEN 'inactive' ELSE 'active' END"},
+    "warehouses": {"status": "CASE WHEN code LIKE '%a' THEN 'inactive' ELSE 'active' END"},
+    "shipments": {"status": "CASE WHEN tracking_reference LIKE '%3' THEN 'delivered' "
+                            "WHEN tracking_reference LIKE '%99' THEN 'lost' ELSE 'planned' END"},
+    "import_jobs": {
+        "adapter_version": "concat(source_type, '.v1')", "original_filename": "concat('feed-', job_id, '.csv')",
+        "content_type": "CASE WHEN source_type = 'supplier_b_csv' THEN 'text/csv' ELSE 'application/json' END",
+        "payload_object_key": "concat('raw/inventory/', content_sha256)", "worker_id": "concat('worker-', supplier_id)",
+        "failure_code": "CASE WHEN status = 'failed' THEN concat('code-', repeat('x', 20 * attempt_count + 38)) END",
+        "failure_message": "CASE WHEN status = 'failed' THEN concat('job ', job_id, ' failed') END"},
+    "import_attempts": {
+        "celery_task_id": "concat('task-', job_id)", "worker_id": "concat('worker-', job_id)",
+        "error_code": "lower(error_type)", "error_message": "concat('attempt ended with ', error_type)"},
+    "operation_events": {
+        "correlation_id": "concat('corr-', event_id)", "stage": "concat(component, '.done')",
+        "title": "concat('Event ', event_id)", "explanation": "details", "evidence_reference": "concat('events/', event_id)"},
+    "stockout_risks": {"run_id": "'RUN-1'"},
 }
 
 # Oracle view per audited table.
@@ -94,174 +146,160 @@ DUCK = {
     "import_jobs": "e_jobs", "import_attempts": "e_attempts_numbered", "inventory_snapshots": "v_snapshots",
     "analytics_runs": "e_runs", "stockout_risks": "g_curated", "suppliers": "e_suppliers",
     "products": "e_products", "warehouses": "e_warehouses", "purchase_orders": "e_orders",
-    "shipments": "e_order_shipments", "operation_events": "e_op_events",
+    "shipments": "e_order_shipments", "operation_events": "e_op_events", "shipment_events": "e_shipment_events",
+    "import_errors": "e_import_errors", "inventory_reconciliations": "e_reconciliations",
 }
+# Tables that come out of a pipeline and are read by several rules: written once per audit.
+STORED = {"inventory_snapshots", "stockout_risks", "import_attempts", "purchase_order_lines"}
+
+
+def _columns(table: str) -> list[str]:
+    """The columns that some rule of the table reads (or derives one from)."""
+    wanted = {c for t, _, keys in UNIQUES if t == table for c in keys} | set(LENGTHS.get(table, {}))
+    wanted |= {c for t, c, _ in ENUMS if t == table}
+    wanted |= {c for t, _, c, _, _ in FOREIGN_KEYS if t == table} | {c for _, _, _, t, c in FOREIGN_KEYS if t == table}
+    return sorted(wanted | set(re.findall(r"[a-z_]+", " ".join(CHECKS.get(table, {}).values()))))
+
+
+def _row_rules(table: str, families: tuple[str, ...]) -> dict[tuple[str, str], str]:
+    """``(family, rule) -> SQL condition``: the rules that one row can break."""
+    rules: dict[tuple[str, str], str] = {}
+    if "check" in families:
+        rules |= {("check", n): c for n, c in CHECKS.get(table, {}).items()}
+    if "enum" in families:
+        rules |= {("enum", f"{c}_enum"): f"{c} IS NULL OR {c} IN ({', '.join(repr(v) for v in dom)})"
+                  for t, c, dom in ENUMS if t == table}
+    if "length" in families:
+        rules |= {("length", f"{c}_length"): f"{c} IS NULL OR length({c}) <= {n}" for c, n in LENGTHS.get(table, {}).items()}
+    return rules
+
+
+class Tables:
+    """The audited tables of one audit run, each built when first used."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf, self.built = spark, sf, {}
+
+    def __getitem__(self, table: str):
+        if table not in self.built:
+            df = getattr(self, f"_{table}", lambda: getattr(E, table)(self.spark, self.sf))()
+            df = df.selectExpr("*", *[f"{e} AS {c}" for c, e in EXTRA.get(table, {}).items()])
+            df = df.select(*[c for c in _columns(table) if c in df.columns], *self._also(table))
+            self.built[table] = materialize(df) if table in STORED else df
+        return self.built[table]
+
+    @staticmethod
+    def _also(table: str) -> list[str]:
+        # Positions are made from the snapshots in this order.
+        return ["job_seq", "source_row"] if table == "inventory_snapshots" else []
+
+    def _inventory_snapshots(self):
+        return imports.snapshots(imports.verdicts(
+            views.feed_records(self.spark, self.sf), views.product_map(self.spark, self.sf),
+            views.warehouse_map(self.spark, self.sf)))
+
+    def _inventory_positions(self):
+        return imports.positions(self["inventory_snapshots"])
+
+    def _stockout_risks(self):
+        from skuflow.plans.oracle_views import SEED
 
+        inputs = materialize(synthetic.risk_inputs(views.order_index(self.spark, self.sf), SEED))
+        return risk.score(inputs, "exact")[0]
 
-def _materialized(df):
-    """Cut a derived table's lineage once per audit run (reliable checkpoint in
-    the shared folder), so the many rules over it read stored rows instead of
-    recomputing the pipeline."""
-    from skuflow.session import materialize
-
-    return materialize(df)
-
-
-def _memo(fn, cache, key, materialize=False):
-    def get():
-        if key not in cache:
-            cache[key] = _materialized(fn()) if materialize else fn()
-        return cache[key]
-    return get
-
-
-def _tables(spark, sf):
-    """Lazily built Spark tables (each builder runs only if an audit uses it);
-    pipeline-derived tables are materialised once and shared by all rules."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _TABLE_CACHE:
-        _TABLE_CACHE[key] = _build_tables(spark, sf)
-    return _TABLE_CACHE[key]
-
-
-_TABLE_CACHE: dict = {}
+    def _import_attempts(self):
+        return reports.attempt_outcomes(reports.sequence_numbers(
+            E.attempts(self.spark, self.sf), ["job_id"], ["l_linenumber", "attempt_key"], "attempt_number"))
 
+    def _purchase_order_lines(self):
+        return reports.sequence_numbers(E.order_lines(self.spark, self.sf), ["order_id"], ["input_pos"], "line_number")
 
-def _build_tables(spark, sf):
-    cache: dict = {}
+    def _supplier_product_mappings(self):
+        return views.product_map(self.spark, self.sf)
 
-    def snaps_raw():
-        v = imports.verdicts(views.feed_records(spark, sf), views.product_map(spark, sf),
-                             views.warehouse_map(spark, sf))
-        return imports.snapshots(v)
+    def _supplier_warehouse_mappings(self):
+        return views.warehouse_map(self.spark, self.sf)
 
-    snaps = _memo(snaps_raw, cache, "snapshots", materialize=True)
+    def _import_jobs(self):
+        return E.jobs(self.spark, self.sf)
 
-    def attempts_raw():
-        a = reports.sequence_numbers(E.attempts(spark, sf), ["job_id"], ["l_linenumber", "attempt_key"],
-                                     "attempt_number")
-        return reports.attempt_outcomes(a)
+    def _shipments(self):
+        return E.order_shipments(self.spark, self.sf)
 
-    def risks_raw():
-        from skuflow.plans.oracle_views import SEED
-
-        inputs = _materialized(synthetic.risk_inputs(views.order_index(spark, sf), SEED))
-        curated, _ = risk.score(inputs, "exact")
-        return curated
-
-    attempts = _memo(attempts_raw, cache, "attempts", materialize=True)
-    risks = _memo(risks_raw, cache, "risks", materialize=True)
-    positions = _memo(lambda: imports.positions(snaps()), cache, "positions", materialize=True)
-    # Fact-derived tables are read by several rule families: materialise once.
-    order_lines = _memo(lambda: reports.sequence_numbers(E.order_lines(spark, sf), ["order_id"], ["input_pos"],
-                                                         "line_number"), cache, "order_lines", materialize=True)
-    jobs = _memo(lambda: E.jobs(spark, sf), cache, "jobs", materialize=True)
-    op_events = _memo(lambda: E.operation_events(spark, sf), cache, "op_events", materialize=True)
-    shipments = _memo(lambda: E.order_shipments(spark, sf), cache, "shipments", materialize=True)
-    orders = _memo(lambda: E.purchase_orders(spark, sf), cache, "orders", materialize=True)
-    return {
-        "inventory_positions": positions,
-        "purchase_order_lines": order_lines,
-        "supplier_product_mappings": lambda: views.product_map(spark, sf),
-        "supplier_warehouse_mappings": lambda: views.warehouse_map(spark, sf),
-        "import_jobs": jobs,
-        "import_attempts": attempts,
-        "inventory_snapshots": snaps,
-        "analytics_runs": lambda: E.analytics_runs(spark, sf),
-        "stockout_risks": risks,
-        "suppliers": lambda: E.suppliers(spark, sf),
-        "products": lambda: E.products(spark, sf),
-        "warehouses": lambda: E.warehouses(spark, sf),
-        "purchase_orders": orders,
-        "shipments": shipments,
-        "operation_events": op_events,
-    }
+    def _inventory_reconciliations(self):
+        return E.reconciliations(self.spark, self.sf)
 
 
 def _union(parts):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-# --- oracle SQL generated from the same declared constraints ------------------
-def _sql_checks():
-    parts = []
-    for t, rules in CHECKS.items():
-        for name, cond in rules.items():
-            parts.append(f"SELECT '{t}' AS table_name, '{name}' AS rule, "
-                         f"count(*) FILTER (WHERE NOT ({cond})) AS violations FROM {DUCK[t]}")
-    return "\nUNION ALL\n".join(parts)
-
+def _audit(spark, sf, families: tuple[str, ...]):
+    """``(audit, table_name, rule, violations)`` of the wanted families.
 
-def _sql_uniques():
-    parts = []
-    for t, name, keys in UNIQUES:
-        nn = " AND ".join(f"{k} IS NOT NULL" for k in keys)
-        parts.append(f"SELECT '{t}' AS table_name, '{name}' AS rule, count(*) AS violations FROM "
-                     f"(SELECT {', '.join(keys)} FROM {DUCK[t]} WHERE {nn} GROUP BY ALL HAVING count(*) > 1)")
-    return "\nUNION ALL\n".join(parts)
+    All CHECK, enum and length rules of a table are one aggregate over it.
+    """
+    tables, parts = Tables(spark, sf), []
+    for table in TABLE_NAMES:
+        rules = _row_rules(table, families)
+        if rules:
+            parts.append(audits.row_violations(table, tables[table], rules))
+    if "unique" in families:
+        parts += [audits.unique_violations(t, tables[t], name, keys) for t, name, keys in UNIQUES]
+    if "foreign_key" in families:
+        parts += [audits.fk_violations(t, tables[t], name, ck, tables[p], pk) for t, name, ck, p, pk in FOREIGN_KEYS]
+    return _union(parts)
 
 
-def _sql_fks():
-    parts = []
-    for t, name, ck, p, pk in FOREIGN_KEYS:
-        parts.append(f"SELECT '{t}' AS table_name, '{name}' AS rule, count(*) AS violations FROM {DUCK[t]} c "
-                     f"WHERE c.{ck} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {DUCK[p]} p WHERE p.{pk} = c.{ck})")
-    return "\nUNION ALL\n".join(parts)
+# --- oracle SQL generated from the same declared constraints ------------------
+def _source(table: str) -> str:
+    extra = EXTRA.get(table)
+    if not extra:
+        return DUCK[table]
+    return f"(SELECT *, {', '.join(f'{e} AS {c}' for c, e in extra.items())} FROM {DUCK[table]})"
 
 
-def _sql_enums():
+def _sql(families: tuple[str, ...]) -> str:
     parts = []
-    for t, c, dom in ENUMS:
-        vals = ", ".join(f"'{v}'" for v in dom)
-        parts.append(f"SELECT '{t}' AS table_name, '{c}_enum' AS rule, "
-                     f"count(*) FILTER (WHERE {c} IS NOT NULL AND {c} NOT IN ({vals})) AS violations FROM {DUCK[t]}")
-    return "\nUNION ALL\n".join(parts)
-
 
-def _sql_lengths():
-    parts = []
-    for t, lim in LENGTHS.items():
-        for c, n in lim.items():
-            parts.append(f"SELECT '{t}' AS table_name, '{c}_length' AS rule, "
-                         f"count(*) FILTER (WHERE NOT ({c} IS NULL OR length({c}) <= {n})) AS violations "
-                         f"FROM {DUCK[t]}")
+    def add(audit, table, rule, count):
+        parts.append(f"SELECT '{audit}' AS audit, '{table}' AS table_name, '{rule}' AS rule, {count}")
+
+    for table in TABLE_NAMES:
+        for (family, rule), cond in _row_rules(table, families).items():
+            add(family, table, rule, f"count(*) FILTER (WHERE NOT ({cond})) AS violations FROM {_source(table)}")
+    if "unique" in families:
+        for t, name, keys in UNIQUES:
+            known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+            add("unique", t, name, f"count(*) AS violations FROM (SELECT {', '.join(keys)} FROM {_source(t)} "
+                                   f"WHERE {known} GROUP BY ALL HAVING count(*) > 1)")
+    if "foreign_key" in families:
+        for t, name, ck, p, pk in FOREIGN_KEYS:
+            add("foreign_key", t, name, f"count(*) AS violations FROM {_source(t)} c WHERE c.{ck} IS NOT NULL "
+                                        f"AND NOT EXISTS (SELECT 1 FROM {_source(p)} p WHERE p.{pk} = c.{ck})")
     return "\nUNION ALL\n".join(parts)
 
 
-def _views(tables):
-    return sorted({DUCK[t] for t in tables})
-
-
-def _l1(spark, sf):
-    tb = _tables(spark, sf)
-    return _union([audits.check_violations(t, tb[t](), rules) for t, rules in CHECKS.items()])
-
-
-def _l2(spark, sf):
-    tb = _tables(spark, sf)
-    return _union([audits.unique_violations(t, tb[t](), name, keys) for t, name, keys in UNIQUES])
+def _register(key: str, families: tuple[str, ...], doc: str) -> None:
+    sql = _sql(families)
+    if len(families) == 1:
+        sql = f"SELECT table_name, rule, violations FROM ({sql})"
 
+    def query(spark, sf):
+        found = _audit(spark, sf, families)
+        return found.drop("audit") if len(families) == 1 else found
 
-def _l3(spark, sf):
-    tb = _tables(spark, sf)
-    return _union([audits.fk_violations(t, tb[t](), name, ck, tb[p](), pk) for t, name, ck, p, pk in FOREIGN_KEYS])
+    query.__name__, query.__doc__ = f"q_{key}", doc
+    register(key, sql, sorted(set(DUCK.values())))(query)
 
 
-def _l4(spark, sf):
-    tb = _tables(spark, sf)
-    return _union([audits.enum_violations(t, tb[t](), c, dom) for t, c, dom in ENUMS])
-
-
-def _l5(spark, sf):
-    tb = _tables(spark, sf)
-    return _union([audits.length_violations(t, tb[t](), lim) for t, lim in LENGTHS.items()])
-
-
-register("audit_checks", _sql_checks(), _views(CHECKS))(_l1)
-register("audit_unique", _sql_uniques(), _views([u[0] for u in UNIQUES]))(_l2)
-register("audit_foreign_keys", _sql_fks(), _views([f[0] for f in FOREIGN_KEYS] + [f[3] for f in FOREIGN_KEYS]))(_l3)
-register("audit_enums", _sql_enums(), _views([e[0] for e in ENUMS]))(_l4)
-register("audit_lengths", _sql_lengths(), _views(LENGTHS))(_l5)
+_register("audit_checks", ("check",), "L1: rows that break a CHECK rule.")
+_register("audit_unique", ("unique",), "L2: key groups with more than one row.")
+_register("audit_foreign_keys", ("foreign_key",), "L3: child rows without their parent.")
+_register("audit_enums", ("enum",), "L4: values outside an enum's domain.")
+_register("audit_lengths", ("length",), "L5: strings longer than declared.")
+_register("constraint_audit", ("check", "unique", "foreign_key", "enum", "length"),
+          "All declared-constraint audits as (audit, table, rule, violations).")
 
 
 @register("verify_manifest", """
@@ -273,14 +311,3 @@ FROM e_manifests
 def q_verify_manifest(spark, sf):
     """Succeeded manifests whose key lists both hold a Parquet object."""
     return reports.verify_manifests(E.manifests(spark, sf))
-
-
-@register("constraint_audit", "\nUNION ALL\n".join(
-    f"SELECT '{a}' AS audit, * FROM ({q})" for a, q in
-    [("check", _sql_checks()), ("unique", _sql_uniques()), ("foreign_key", _sql_fks()),
-     ("enum", _sql_enums()), ("length", _sql_lengths())]
-), sorted(set(DUCK.values())))
-def q_constraint_audit(spark, sf):
-    """All declared-constraint audits as (audit, table, rule, violations)."""
-    parts = [("check", _l1), ("unique", _l2), ("foreign_key", _l3), ("enum", _l4), ("length", _l5)]
-    return _union([fn(spark, sf).select(F.lit(a).alias("audit"), "*") for a, fn in parts])

@@ -18,8 +18,9 @@ def r6(c):
 
 @register("available_quantity", """
 SELECT event_date, supplier_code, product_sku, warehouse_code,
-       greatest(on_hand_quantity - reserved_quantity, 0.0) AS available_quantity,
-       (on_hand_quantity >= 0 AND reserved_quantity >= 0) AS quantities_valid
+       CASE WHEN on_hand_quantity IS NOT NULL AND reserved_quantity IS NOT NULL
+            THEN greatest(on_hand_quantity - reserved_quantity, 0.0) END AS available_quantity,
+       coalesce(on_hand_quantity >= 0 AND reserved_quantity >= 0, false) AS quantities_valid
 FROM v_inv_raw
 """, ["v_inv_raw"])
 def q_available_quantity(spark, sf):

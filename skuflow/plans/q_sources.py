@@ -45,13 +45,7 @@ def q_missing_headers(spark, sf):
         "file_id", F.regexp_replace("message", "^The CSV is missing required headers: ", "").alias("missing_headers"))
 
 
-@register("all_import_errors", """
-SELECT import_job_id, source_row, code, field_name FROM sb_adapter_errors
-UNION ALL
-SELECT import_job_id, source_row, error_code AS code, field_name FROM sb_verdicts WHERE NOT accepted
-""", ["sb_adapter_errors", "sb_verdicts"])
-def q_all_import_errors(spark, sf):
-    """H4: supplier B adapter errors union apply-time errors of its records."""
+def _b_verdicts(spark, sf):
     records, adapter_errors = _b(spark, sf)
     feed = records.select(
         F.col("file_id").alias("import_job_id"), F.lit(1).alias("job_seq"),
@@ -60,6 +54,35 @@ def q_all_import_errors(spark, sf):
         "on_hand_quantity", "reserved_quantity", "units_per_source_unit")
     v = imports.verdicts(feed, views.product_map(spark, sf), views.warehouse_map(spark, sf))
     adapter = adapter_errors.select(F.col("file_id").alias("import_job_id"), "source_row", "code", "field_name")
+    return v, adapter
+
+
+@register("stream_supplier_imports", """
+SELECT import_job_id, coalesce(accepted, 0) AS accepted_records, rejected AS rejected_records,
+       coalesce(accepted, 0) + rejected AS total_records,
+       CASE WHEN rejected = 0 THEN 'completed' ELSE 'completed_with_errors' END AS status
+FROM (
+  SELECT import_job_id, sum(CAST(accepted AS INTEGER))::BIGINT AS accepted,
+         count(DISTINCT CASE WHEN NOT accepted THEN source_row END) + max(CAST(file_error AS INTEGER)) AS rejected
+  FROM (SELECT import_job_id, accepted, source_row, false AS file_error FROM sb_verdicts
+        UNION ALL
+        SELECT import_job_id, false, source_row, source_row IS NULL FROM sb_adapter_errors)
+  GROUP BY import_job_id)
+""", ["sb_verdicts", "sb_adapter_errors"])
+def q_stream_supplier_imports(spark, sf):
+    """J4, its batch twin: the plan that each micro-batch runs, over all supplier
+    B files at once (adapter -> verdicts -> accounting per job)."""
+    return imports.accounting(*_b_verdicts(spark, sf))
+
+
+@register("all_import_errors", """
+SELECT import_job_id, source_row, code, field_name FROM sb_adapter_errors
+UNION ALL
+SELECT import_job_id, source_row, error_code AS code, field_name FROM sb_verdicts WHERE NOT accepted
+""", ["sb_adapter_errors", "sb_verdicts"])
+def q_all_import_errors(spark, sf):
+    """H4: supplier B adapter errors union apply-time errors of its records."""
+    v, adapter = _b_verdicts(spark, sf)
     return imports.all_errors(adapter, imports.rejects(v))
 
 
@@ -159,7 +182,8 @@ def q_scan_pipeline_manifests(spark, sf):
     runs = m.select(F.col("partition_date").alias("event_date"), name.alias("run_id"), value.alias("value"))
     junk = spark.createDataFrame([("1900-01-01", "a.json", "[1, 2, 3]"), ("1900-01-01", "b.json", "{not json")], runs.schema)
     root = scratch_path(spark, "manifests")
-    (runs.unionByName(junk).write.mode("append").partitionBy("event_date", "run_id")
+    # One object per run: spread over tasks, as each of them is a file of its own.
+    (runs.unionByName(junk).repartition(32, "event_date", "run_id").write.mode("append").partitionBy("event_date", "run_id")
      .text(f"{root}/manifests/inventory-risk"))
     newest = m.orderBy(F.desc("manifest_key")).limit(1).select("partition_date", value.alias("value"))
     newest.select("value").write.text(f"{root}/manifests/inventory-risk/event_date=9999-12-31/latest.json")

@@ -51,11 +51,16 @@ def q_latency_p95_by_route(spark, sf):
 
 
 @register("requests_in_progress", """
-WITH s AS (
-  SELECT unnest(range(CAST(ceil((end_us - duration_us) / 5000000) AS BIGINT) * 5000000,
-                      CAST(floor((end_us - 1) / 5000000) AS BIGINT) * 5000000 + 1, 5000000)) AS t
-  FROM v_http)
-SELECT strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%SZ') AS sampled_at, count(*) AS in_progress FROM s GROUP BY t
+WITH b AS (
+  SELECT CAST(ceil((end_us - duration_us) / 5000000) AS BIGINT) * 5000000 AS lo,
+         CAST(floor((end_us - 1) / 5000000) AS BIGINT) * 5000000 AS hi
+  FROM v_http),
+s AS (SELECT unnest(range(lo, hi + 1, 5000000)) AS t FROM b),
+n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
+i AS (SELECT unnest(range((SELECT min(least(lo, hi + 5000000)) FROM b), (SELECT max(greatest(lo, hi + 5000000)) FROM b),
+                          5000000)) AS t)
+SELECT strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%SZ') AS sampled_at, coalesce(n, 0) AS in_progress
+FROM i LEFT JOIN n USING (t)
 """, ["v_http"])
 def q_requests_in_progress(spark, sf):
     """Requests in flight at each 5 s scrape instant."""

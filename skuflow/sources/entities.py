@@ -203,3 +203,37 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("curated/inventory-risk-summary/event_date="), date_s, F.lit("/run_id="), run_id,
             F.lit("/part-00000.parquet")))).alias("summary_keys"),
     )
+
+
+def shipment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Carrier events stored for shipments (shipment of the order with the event's number)."""
+    ev = read_table(spark, sf_dir, "events")
+    etype = F.lit("returned")
+    for source, target in (("signup", "picked_up"), ("click", "in_transit"), ("view", "delayed"), ("purchase", "delivered")):
+        etype = F.when(F.col("event_type") == source, target).otherwise(etype)
+    return ev.select(
+        F.concat(F.lit("SHIP-"), _s("event_id")).alias("shipment_id"),
+        F.concat(F.lit("C-EVT-"), _s("user_id")).alias("external_event_id"), etype.alias("event_type"),
+        F.when(F.col("event_type") == "view", F.lit("WEATHER")).alias("reason_code"),
+    )
+
+
+def import_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row errors of import jobs, one per returned line of the job's order."""
+    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    return li.select(
+        F.concat(F.lit("JOB-"), _s("l_orderkey")).alias("job_id"), F.lit("invalid_csv_field").alias("error_code"),
+        F.when(F.col("l_linenumber") % 2 == 1, F.lit("case_count")).alias("field_name"),
+        F.concat(F.lit("Input should be greater than 0, not "), _s("l_linenumber")).alias("message"),
+    )
+
+
+def reconciliations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored reconciliation rows: a run per supplier, a record per part."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.concat(F.lit("RUN-"), _s("l_suppkey")).alias("run_id"), F.col("l_partkey").alias("record_index"),
+        F.concat(F.lit("SUP-"), _s("l_suppkey")).alias("supplier_code"),
+        F.concat(F.lit("SKU-"), _s("l_partkey")).alias("product_sku"),
+        F.concat(F.lit("WH-"), _s(F.col("l_suppkey") % 25)).alias("warehouse_code"),
+    )

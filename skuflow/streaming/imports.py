@@ -1,66 +1,124 @@
 """Continuous supplier-file imports with exactly-once output.
 
-New partner files arrive in a folder (``*.csv`` supplier B, ``*.json``
-supplier A); a ``binaryFile`` stream picks them up, and each micro-batch
-(``foreachBatch``) runs the batch plan: adapter by source type (K1: payload
-gate, decode, parse) -> verdicts (F1/F2/D2-D4/D13) -> snapshots + rejects ->
-accounting (E11). Files are identified by content
-hash, so a re-delivered file is skipped (exactly once by content). Outputs
-are written under ``batch_id=<n>`` with overwrite, so a retried micro-batch
-replaces its own output instead of duplicating it.
+Partner files arrive below ``inbox/supplier_id=<id>/`` (``*.csv`` supplier B,
+``*.json`` supplier A); a ``binaryFile`` stream picks them up, and each
+micro-batch (``foreachBatch``) runs the batch plan: adapter by source type (K1:
+payload gate, decode, parse) -> verdicts (F1/F2/D2-D4/D13) -> snapshots,
+rejects, accounting (E11), position writes (F3) and operation events (B7).
+
+Exactly once: a file is a job of its supplier and content, so a re-delivered
+file is skipped; a record that an earlier batch accepted is a duplicate. A batch
+reads only what **earlier** batches wrote (``batch_id < n``) and overwrites its
+own ``batch_id=<n>`` folders, so a retried batch sees the same state as its
+first attempt and replaces its output. Jobs of a batch are ordered by the
+files' modification time and path.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skuflow.operators import imports, registry
 
-
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+MAX_FILES_PER_BATCH = 100
+
+_SNAPSHOTS = ("import_job_id string, job_seq long, supplier_id string, product_id string, warehouse_id string, "
+              "source_reference string, external_sku string, external_location string, observed_at timestamp, "
+              "source_row long, source_unit string, on_hand_quantity decimal(18,3), reserved_quantity decimal(18,3), "
+              "units_per_source_unit decimal(18,3), product_mapping_version int, warehouse_mapping_version int")
+_PROCESSED = "supplier_id string, content_sha256 string, path string"
+_JOBS_PER_BATCH = 1_000_000
+
+
+def supplier_of(path: Column) -> Column:
+    """The supplier whose folder a file lies in."""
+    return F.regexp_extract(path, r"/supplier_id=([^/]+)/", 1)
+
+
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """Rows that batches before ``batch_id`` wrote (``prepare_output`` made the folder)."""
+    return spark.read.parquet(path).where(F.col("batch_id") < batch_id)
 
 
-def _process(batch: DataFrame, batch_id: int, out: str, product_map: DataFrame, warehouse_map: DataFrame) -> None:
+def prepare_output(spark: SparkSession, out: str) -> None:
+    """Empty tables, so that the first batch has something to read."""
+    for name, schema in (("snapshots", _SNAPSHOTS), ("processed", _PROCESSED)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{out}/{name}/batch_id=-1")
+
+
+def _events(files: DataFrame, accounting: DataFrame) -> DataFrame:
+    """What happened to each job, stage by stage."""
+    def stage(df: DataFrame, number: int, component: str, name: str, status: Column, details: Column) -> DataFrame:
+        return df.select(
+            F.col("job_id"), F.lit(number).alias("stage_number"), F.lit(component).alias("component"),
+            F.lit(name).alias("stage"), status.alias("status"), details.alias("details"))
+
+    done = accounting.withColumnRenamed("import_job_id", "job_id")
+    return (stage(files, 1, "inbox", "payload.stored", F.lit("succeeded"),
+                  F.to_json(F.struct(F.col("length").alias("size_bytes"),
+                                     F.substring("content_sha256", 1, 12).alias("sha256_prefix"))))
+            .unionByName(stage(done, 2, "import", "job.completed", F.col("status"),
+                               F.to_json(F.struct("accepted_records", "rejected_records", "total_records")))))
+
+
+def process_batch(batch: DataFrame, batch_id: int, out: str, product_map: DataFrame, warehouse_map: DataFrame) -> None:
+    """One micro-batch; see the module for what makes a retry harmless."""
     spark = batch.sparkSession
-    files = batch.select(F.sha2("content", 256).alias("content_sha256"), "content", "path").dropDuplicates(
-        ["content_sha256"])
-    seen_path = f"{out}/processed"
-    try:
-        seen = spark.read.parquet(seen_path).select("content_sha256")
-        files = files.join(seen, "content_sha256", "left_anti")
-    except Exception:  # noqa: BLE001 - first batch: nothing processed yet
-        pass
-    source_type = F.when(F.lower("path").endswith(".json"), F.lit("supplier_a_json")).otherwise(
-        F.lit("supplier_b_csv"))
-    files = files.withColumn("job_id", F.concat(F.lit("JOB-"), F.substring("content_sha256", 1, 16))) \
-        .withColumn("source_type", source_type).persist()
-    records, adapter_errors = registry.adapt(files.select("job_id", "source_type", "content"))
-    feed = records.select(
-        F.col("job_id").alias("import_job_id"), F.lit(batch_id).alias("job_seq"),
-        F.col("job_id").alias("supplier_id"), "source_reference", "source_row", "external_sku",
+    hashed = batch.select(supplier_of(F.col("path")).alias("supplier_id"), F.sha2("content", 256).alias("content_sha256"),
+                          "content", "length", "path", "modificationTime")
+    # At most MAX_FILES_PER_BATCH files, so these windows are small.
+    first = Window.partitionBy("supplier_id", "content_sha256").orderBy("modificationTime", "path")
+    files = hashed.withColumn("_n", F.row_number().over(first)).where("_n = 1").join(
+        _earlier(spark, f"{out}/processed", batch_id), ["supplier_id", "content_sha256"], "left_anti")
+    arrival = F.row_number().over(Window.orderBy("modificationTime", "path"))
+    files = files.select(
+        F.concat(F.lit("JOB-"), F.substring(F.sha2(F.concat_ws("|", "supplier_id", "content_sha256"), 256), 1, 16)).alias("job_id"),
+        (F.lit(batch_id * _JOBS_PER_BATCH) + arrival).alias("job_seq"), "supplier_id", "content_sha256", "path", "length",
+        "content", F.when(F.lower("path").endswith(".json"), F.lit("supplier_a_json"))
+        .otherwise(F.lit("supplier_b_csv")).alias("source_type")).persist()
+    records, adapter_errors = registry.adapt(files.select("job_id", "source_type", "content", "length"))
+    feed = records.join(files.select("job_id", "job_seq", "supplier_id"), "job_id").select(
+        F.col("job_id").alias("import_job_id"), "job_seq", "supplier_id", "source_reference", "source_row", "external_sku",
         "external_location", "observed_at", "source_unit", "on_hand_quantity", "reserved_quantity",
         "units_per_source_unit")
-    v = imports.verdicts(feed, product_map, warehouse_map).persist()
+    v = imports.verdicts(feed, product_map, warehouse_map, _earlier(spark, f"{out}/snapshots", batch_id)).persist()
     adapter_errors = adapter_errors.select(F.col("job_id").alias("import_job_id"), "source_row", "code",
-                                           "field_name")
-    target = f"batch_id={batch_id}"
-    imports.snapshots(v).write.mode("overwrite").parquet(f"{out}/snapshots/{target}")
-    imports.all_errors(adapter_errors, imports.rejects(v)).write.mode("overwrite").parquet(f"{out}/errors/{target}")
-    imports.accounting(v, adapter_errors).write.mode("overwrite").parquet(f"{out}/accounting/{target}")
-    files.select("content_sha256", "path", F.lit(batch_id).alias("batch_id")).write.mode("append").parquet(seen_path)
-    v.unpersist()
-    files.unpersist()
+                                           "field_name").persist()
+    accepted = imports.snapshots(v)
+    accounting = imports.accounting(v, adapter_errors)
+    # A position's version counts its writes over all batches; see current_positions.
+    writes = imports.positions(accepted).withColumnRenamed("version", "writes")
+    outputs = {
+        "snapshots": accepted, "errors": imports.all_errors(adapter_errors, imports.rejects(v)),
+        "accounting": accounting, "positions": writes, "events": _events(files, accounting),
+        "processed": files.select("supplier_id", "content_sha256", "path"),
+    }
+    for name, df in outputs.items():
+        df.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+    for df in (v, adapter_errors, files):
+        df.unpersist()
+
+
+def current_positions(spark: SparkSession, out: str) -> DataFrame:
+    """F3 over all batches: the last write of each position; its version counts the writes."""
+    writes = spark.read.parquet(f"{out}/positions")
+    latest = writes.groupBy("warehouse_id", "product_id").agg(
+        F.max_by(F.struct("on_hand_quantity", "reserved_quantity"), "batch_id").alias("q"),
+        F.sum("writes").cast("int").alias("version"))
+    return latest.select("warehouse_id", "product_id", "q.on_hand_quantity", "q.reserved_quantity", "version")
 
 
 def start_import_stream(spark: SparkSession, inbox: str, out: str, checkpoint: str, product_map: DataFrame,
-                        warehouse_map: DataFrame, available_now: bool = True):
+                        warehouse_map: DataFrame, available_now: bool = True, max_files: int = MAX_FILES_PER_BATCH):
     """Start the stream; returns the StreamingQuery."""
+    prepare_output(spark, out)
     stream = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-              .option("pathGlobFilter", "*.{csv,json}")
-              .option("maxFilesPerTrigger", 100).load(inbox))
+              .option("pathGlobFilter", "*.{csv,json}").option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", max_files).load(inbox))
     writer = stream.writeStream.foreachBatch(
-        lambda df, bid: _process(df, bid, out, product_map, warehouse_map)
+        lambda df, bid: process_batch(df, bid, out, product_map, warehouse_map)
     ).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

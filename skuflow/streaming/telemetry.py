@@ -31,13 +31,20 @@ def latency_stream(log: DataFrame, time_col: str = "completed_at") -> DataFrame:
 
 TAIL_SCHEMA = "job_id string, event_id string, occurred_at timestamp, status string, kind string"
 TAIL_STATE = "emitted array<string>, done boolean"
-TERMINAL_EVENT_STATUS = ["failed"]
+# Job states that end a tail, and the wait after the last event.
+TERMINAL_EVENT_STATUS = ["completed", "completed_with_errors", "failed"]
+IDLE_MS = 120_000
 
 
 def _tail(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     (job_id,) = key
     if state.hasTimedOut:
+        done = state.get[1]
         state.remove()
+        if not done:
+            at = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+            yield pd.DataFrame([(job_id, None, at, "still_running", "timeout")],
+                               columns=["job_id", "event_id", "occurred_at", "status", "kind"])
         return
     emitted, done = (set(state.get[0] or []), state.get[1]) if state.exists else (set(), False)
     if done:
@@ -53,15 +60,16 @@ def _tail(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
             done = True
             rows.append((job_id, None, ts, st, "completed"))
     state.update((sorted(emitted), done))
-    # Idle jobs expire 120 s (event time) after the last watermark seen.
-    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 120_000)
+    # A job that stays idle for 120 s of event time gets its timeout row then.
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(batch["occurred_at"].max().timestamp() * 1000)) + IDLE_MS)
     if rows:
         yield pd.DataFrame(rows, columns=["job_id", "event_id", "occurred_at", "status", "kind"])
 
 
 def tail_job_events(events: DataFrame) -> DataFrame:
     """J5 (re-aimed): each operation event once per job, then one completion
-    row when a terminal event arrives; idle jobs expire 120 s after the
-    watermark passes (event time keeps replays deterministic)."""
+    row when its state is completed, completed with errors or failed; a job
+    idle for 120 s gets one timeout row (event time keeps replays
+    deterministic)."""
     return events.withWatermark("occurred_at", "2 minutes").groupBy("job_id").applyInPandasWithState(
         _tail, TAIL_SCHEMA, TAIL_STATE, "append", GroupStateTimeout.EventTimeTimeout)

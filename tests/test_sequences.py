@@ -45,3 +45,19 @@ def test_versions_hold_under_union_coalesce_and_repartition(spark):
     assert got(once.repartition(5)) == want
     assert got(other.unionByName(once)) == sorted(want * 2)
     assert got(once.unionByName(other).coalesce(2)) == sorted(want * 2)
+
+
+def test_next_in_key_equals_lead(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from skuflow.operators.sequences import next_in_key
+
+    rng = random.Random(7)
+    rows = [("HOT" if rng.random() < 0.6 else f"K{rng.randint(0, 20)}", i, rng.randint(0, 10 ** 6)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, seq long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    want = {r.seq: r.n for r in df.withColumn(
+        "n", F.lead("ts").over(Window.partitionBy("k").orderBy("ts", "seq"))).collect()}
+    for parts in (1, 5, 13):
+        got = next_in_key(df, ["k"], ["ts", "seq"], "ts", "n", partitions=parts)
+        assert {r.seq: r.n for r in got.coalesce(2).collect()} == want

@@ -47,25 +47,44 @@ def test_lifecycle_stream_equals_batch(spark):
     assert got == want and len(want) > 0
 
 
-def test_import_stream_exactly_once(spark):
-    inbox = tempfile.mkdtemp(prefix="b-inbox-")
-    out = tempfile.mkdtemp(prefix="b-out-")
-    ckpt = tempfile.mkdtemp(prefix="b-ckpt-")
-    with open(os.path.join(inbox, "a.csv"), "wb") as fh:
-        fh.write(CONTRACT_B)
-    with open(os.path.join(inbox, "a-again.csv"), "wb") as fh:  # same bytes re-delivered
-        fh.write(CONTRACT_B)
-    with open(os.path.join(inbox, "snapshot.json"), "w") as fh:
-        json.dump(CONTRACT_A, fh)
-    pm = spark.createDataFrame([("B-IP16-256-BLK", "PRD-1", "CASE", 12.0, 1, True),
-                                ("A-IP16-256-BLK", "PRD-1", "EACH", 1.0, 1, True)],
-                               "external_sku string, product_id string, source_unit string, "
-                               "units_per_source_unit double, version int, active boolean") \
+SUP_A, SUP_B = "SUP-A", "SUP-B"
+
+
+def _maps(spark):
+    pm = spark.createDataFrame(
+        [(SUP_B, "B-IP16-256-BLK", "PRD-1", "CASE", 12.0, 1, True), (SUP_A, "A-IP16-256-BLK", "PRD-1", "EACH", 1.0, 1, True),
+         (SUP_A, "B-IP16-256-BLK", "PRD-2", "CASE", 6.0, 1, True)],
+        "supplier_id string, external_sku string, product_id string, source_unit string, "
+        "units_per_source_unit double, version int, active boolean") \
         .withColumn("units_per_source_unit", F.col("units_per_source_unit").cast("decimal(18,3)"))
-    wm = spark.createDataFrame([("B-LAX-01", "WH-1", 1, True), ("A-WEST-01", "WH-2", 1, True)],
-                               "external_location string, warehouse_id string, version int, active boolean")
-    q = import_stream.start_import_stream(spark, inbox, out, ckpt, pm, wm)
-    q.awaitTermination(300)
+    wm = spark.createDataFrame([(SUP_B, "B-LAX-01", "WH-1", 1, True), (SUP_A, "A-WEST-01", "WH-2", 1, True)],
+                               "supplier_id string, external_location string, warehouse_id string, version int, active boolean")
+    return pm, wm
+
+
+def _deliver(inbox, supplier, name, content):
+    folder = os.path.join(inbox, f"supplier_id={supplier}")
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "wb") as fh:
+        fh.write(content)
+
+
+def _import(spark, inbox, out, ckpt, **options):
+    q = import_stream.start_import_stream(spark, inbox, out, ckpt, *_maps(spark), **options)
+    assert q.awaitTermination(300)
+
+
+def _snapshots(spark, out):
+    return sorted((r.supplier_id, r.source_reference, r.product_id, str(r.on_hand_quantity))
+                  for r in spark.read.parquet(f"{out}/snapshots").collect())
+
+
+def test_import_stream_exactly_once(spark):
+    inbox, out, ckpt = (tempfile.mkdtemp(prefix=f"b-{x}-") for x in ("inbox", "out", "ckpt"))
+    _deliver(inbox, SUP_B, "a.csv", CONTRACT_B)
+    _deliver(inbox, SUP_B, "a-again.csv", CONTRACT_B)  # same bytes re-delivered
+    _deliver(inbox, SUP_A, "snapshot.json", json.dumps(CONTRACT_A).encode())
+    _import(spark, inbox, out, ckpt)
     snaps = {r.warehouse_id: r for r in spark.read.parquet(f"{out}/snapshots").collect()}
     assert set(snaps) == {"WH-1", "WH-2"}
     assert str(snaps["WH-1"].on_hand_quantity) == "120.000"  # 10 cases x 12
@@ -75,10 +94,65 @@ def test_import_stream_exactly_once(spark):
     assert acc == [(1, 0, 1, "completed"), (1, 1, 2, "completed_with_errors")]
     errs = spark.read.parquet(f"{out}/errors").collect()
     assert [(e.source_row, e.code) for e in errs] == [(3, "product_mapping_not_found")]
+    stages = sorted((e.stage, e.status) for e in spark.read.parquet(f"{out}/events").collect())
+    assert stages == [("job.completed", "completed"), ("job.completed", "completed_with_errors"),
+                      ("payload.stored", "succeeded"), ("payload.stored", "succeeded")]
     # a re-run of the same inbox adds nothing
-    q2 = import_stream.start_import_stream(spark, inbox, out, ckpt, pm, wm)
-    q2.awaitTermination(300)
+    _import(spark, inbox, out, ckpt)
     assert spark.read.parquet(f"{out}/snapshots").count() == 2
+    # the same record in a later file is a duplicate, also under another hash; a new one is a second write
+    _deliver(inbox, SUP_B, "b.csv", CONTRACT_B + b"SB-20260729-003,2026-07-29T16:00:00Z,B-IP16-256-BLK,B-LAX-01,4.000,12.000\n")
+    _import(spark, inbox, out, ckpt)
+    assert spark.read.parquet(f"{out}/snapshots").count() == 3
+    codes = sorted((e.source_row, e.code) for e in spark.read.parquet(f"{out}/errors").where("batch_id = 1").collect())
+    assert codes == [(2, "duplicate_source_record"), (3, "product_mapping_not_found")]
+    positions = {r.warehouse_id: (r.product_id, str(r.on_hand_quantity), r.version)
+                 for r in import_stream.current_positions(spark, out).collect()}
+    assert positions == {"WH-1": ("PRD-1", "48.000", 2), "WH-2": ("PRD-1", "120.000", 1)}
+
+
+def test_a_retried_import_batch_replaces_its_output(spark):
+    inbox, out = tempfile.mkdtemp(prefix="r-inbox-"), tempfile.mkdtemp(prefix="r-out-")
+    _deliver(inbox, SUP_B, "a.csv", CONTRACT_B)
+    _deliver(inbox, SUP_A, "s.json", json.dumps(CONTRACT_A).encode())
+    files = spark.read.format("binaryFile").schema(import_stream.BINARY_FILE_SCHEMA).option(
+        "recursiveFileLookup", "true").load(inbox)
+    import_stream.prepare_output(spark, out)
+    import_stream.process_batch(files, 0, out, *_maps(spark))
+    before = _snapshots(spark, out)
+    import_stream.process_batch(files, 0, out, *_maps(spark))  # as if the commit had been lost
+    assert _snapshots(spark, out) == before and len(before) == 2
+    import_stream.process_batch(files, 1, out, *_maps(spark))  # delivered once more
+    assert _snapshots(spark, out) == before
+
+
+def test_import_stream_equals_batch(spark):
+    """Files one by one through the stream, and all at once through the batch operator."""
+    from skuflow.operators import imports, partners
+
+    inbox, out, ckpt = (tempfile.mkdtemp(prefix=f"e-{x}-") for x in ("inbox", "out", "ckpt"))
+    head = b"snapshot_ref,as_of,partner_sku,depot,case_count,units_per_case\n"
+    line = "{},2026-07-29T15:00:00Z,{},B-LAX-01,{}.000,{}\n"
+    contents = [head + "".join(line.format(f"R{(i * 3 + j) % 7}", "B-IP16-256-BLK" if j % 4 else "NOPE", i + j,
+                                           "12.000" if j % 5 else "7.000") for j in range(9)).encode() for i in range(4)]
+    for i, c in enumerate(contents):
+        _deliver(inbox, SUP_B, f"f{i}.csv", c)
+        os.utime(os.path.join(inbox, f"supplier_id={SUP_B}", f"f{i}.csv"), (1_700_000_000 + 10 * i,) * 2)
+    _import(spark, inbox, out, ckpt, max_files=1)
+    jobs = spark.createDataFrame([(str(i), bytearray(c)) for i, c in enumerate(contents)], "file_id string, content binary")
+    records, _ = partners.parse_supplier_b(partners.supplier_b_rows(jobs)[0])
+    feed = records.select(
+        F.col("file_id").alias("import_job_id"), F.col("file_id").cast("long").alias("job_seq"), F.lit(SUP_B).alias("supplier_id"),
+        "source_reference", "source_row", "external_sku", "external_location", "observed_at", "source_unit",
+        "on_hand_quantity", "reserved_quantity", "units_per_source_unit")
+    accepted = imports.snapshots(imports.verdicts(feed, *_maps(spark)))
+    want = sorted((r.supplier_id, r.source_reference, r.product_id, str(r.on_hand_quantity)) for r in accepted.collect())
+    assert _snapshots(spark, out) == want and len(want) > 3
+    assert spark.read.parquet(f"{out}/accounting").select("batch_id").distinct().count() == 4
+    got = {(r.warehouse_id, r.product_id, str(r.on_hand_quantity), r.version)
+           for r in import_stream.current_positions(spark, out).collect()}
+    assert got == {(r.warehouse_id, r.product_id, str(r.on_hand_quantity), r.version)
+                   for r in imports.positions(accepted).collect()}
 
 
 def test_request_rate_stream_closed_windows_equal_batch(spark):
@@ -135,3 +209,41 @@ def test_latency_stream_closed_windows_equal_batch(spark):
     last = sub.agg(F.max("completed_at")).first()[0]
     closed = {b for b in batch if b[0] + dt.timedelta(minutes=5) <= last - dt.timedelta(minutes=10)}
     assert got and got <= batch and closed <= got
+
+
+def test_tail_ends_successful_jobs_and_times_out_idle_ones(spark):
+    import datetime as dt
+
+    t = dt.datetime(2026, 7, 29, 12, 0, 0)
+    batches = [[("J1", "E1", t, "succeeded"), ("J2", "E2", t, "succeeded"), ("J3", "E3", t, "succeeded")],
+               [("J1", "E4", t + dt.timedelta(seconds=30), "completed"),
+                ("J2", "E5", t + dt.timedelta(seconds=30), "completed_with_errors")],
+               [("J9", "E6", t + dt.timedelta(minutes=20), "succeeded")],
+               [("J9", "E7", t + dt.timedelta(minutes=21), "failed")]]
+    src = tempfile.mkdtemp(prefix="tail-")
+    schema = "job_id string, event_id string, occurred_at timestamp, status string"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/b={i}")
+        os.utime(f"{src}/b={i}", (1_700_000_000 + i,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    q = _run_memory(tstream.tail_job_events(stream), "tail_more")
+    out = {(r.job_id, r.event_id, r.status, r.kind) for r in spark.table("tail_more").collect()}
+    q.stop()
+    assert {o for o in out if o[3] != "event"} == {
+        ("J1", None, "completed", "completed"), ("J2", None, "completed_with_errors", "completed"),
+        ("J3", None, "still_running", "timeout"), ("J9", None, "failed", "completed")}
+    assert sum(o[3] == "event" for o in out) == 7
+
+
+def test_gauge_has_idle_instants(spark):
+    import datetime as dt
+
+    t = dt.datetime(2026, 7, 29, 23, 59, 58)
+    rows = [(t + dt.timedelta(seconds=8), 7_000_000), (t + dt.timedelta(seconds=40), 1_000_000),
+            (t + dt.timedelta(seconds=44), 9_000_000)]
+    log = spark.createDataFrame(rows, "completed_at timestamp, duration_us long")
+    got = {r.sampled_at: r.in_progress for r in telemetry.requests_in_progress(log).collect()}
+    first = dt.datetime(2026, 7, 30)
+    want = {first + dt.timedelta(seconds=s): n
+            for s, n in ((0, 1), (5, 1), (10, 0), (15, 0), (20, 0), (25, 0), (30, 0), (35, 1), (40, 1))}
+    assert got == want

@@ -8,7 +8,7 @@ and the side values form the joined row. That is a single shuffle with
 map-side partial aggregation (a hot duplicated key collapses before the
 shuffle) and no second validation pass. Join-hint plans (sort-merge,
 shuffle-hash, size-checked broadcast) remain available as strategies (K2) and
-are validated with a grouped count over a full outer join.
+are validated by the rows per key on either side.
 """
 
 from __future__ import annotations
@@ -24,33 +24,31 @@ MISMATCH_MESSAGE = "Reconciliation inputs do not contain matching keys."
 
 
 def _joined(supplier: DataFrame, hub: DataFrame, strategy: str = "merge") -> DataFrame:
+    """The inner join by the caller's strategy. ``broadcast`` sends the hub side
+    to every task where its size is known to be small, and falls back to
+    ``merge`` beyond that."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unsupported reconciliation strategy {strategy!r}")
-    s = supplier.withColumn("_s", F.lit(1))
-    h = hub.withColumn("_h", F.lit(1))
-    if strategy == "broadcast" and not _small(h):
-        strategy = "merge"  # the hub side is not provably small: keep it shuffled
-    return s.join(h.hint(strategy), KEYS, "full_outer")
+    if strategy == "broadcast" and not _small(hub):
+        strategy = "merge"
+    return supplier.join(hub.hint(strategy), KEYS)
 
 
 def _small(df: DataFrame, limit_bytes: int = 64 * 1024 * 1024) -> bool:
     """Optimizer size estimate of a plan (statistics only, no job)."""
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001
-        return False
-    return size <= limit_bytes
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit_bytes
 
 
-def violations(supplier: DataFrame, hub: DataFrame, strategy: str = "merge") -> DataFrame:
+def _side_counts(supplier: DataFrame, hub: DataFrame) -> DataFrame:
+    """Rows per key on either side, from one aggregate over the tagged keys."""
+    tagged = supplier.select(*KEYS, F.lit(1).alias("_s"), F.lit(0).alias("_h")).unionByName(
+        hub.select(*KEYS, F.lit(0).alias("_s"), F.lit(1).alias("_h")))
+    return tagged.groupBy(*KEYS).agg(F.sum("_s").alias("supplier_rows"), F.sum("_h").alias("hub_rows"))
+
+
+def violations(supplier: DataFrame, hub: DataFrame) -> DataFrame:
     """Keys that break the 1:1 contract: duplicated on a side, or unmatched."""
-    j = _joined(supplier, hub, strategy)
-    return (
-        j.groupBy(*KEYS)
-        .agg(F.count("_s").alias("supplier_rows"), F.count("_h").alias("hub_rows"),
-             F.count(F.lit(1)).alias("joined_rows"))
-        .where((F.col("joined_rows") > 1) | (F.col("supplier_rows") == 0) | (F.col("hub_rows") == 0))
-    )
+    return _side_counts(supplier, hub).where((F.col("supplier_rows") != 1) | (F.col("hub_rows") != 1))
 
 
 def _aggregate_join(supplier: DataFrame, hub: DataFrame, validate: bool) -> DataFrame:
@@ -79,8 +77,8 @@ def reconcile(supplier: DataFrame, hub: DataFrame, strategy: str = "aggregate",
     """D1 + C7: the validated 1:1 join with difference and match flag.
 
     ``aggregate`` (default) is the single-shuffle form; ``merge`` /
-    ``shuffle_hash`` / ``broadcast`` are join plans (K2), validated with a
-    grouped count over a full outer join.
+    ``shuffle_hash`` / ``broadcast`` are join plans (K2), validated by the rows
+    per key on either side.
     """
     if strategy == "aggregate":
         matched = _aggregate_join(supplier, hub, validate)
@@ -88,17 +86,12 @@ def reconcile(supplier: DataFrame, hub: DataFrame, strategy: str = "aggregate",
             "record_index", "supplier_code", "product_sku", "warehouse_code", "reported_quantity", "hub_quantity",
             (F.col("reported_quantity") - F.col("hub_quantity")).alias("difference_quantity"),
         ).withColumn("matches", F.col("difference_quantity") == 0)
-    j = _joined(supplier, hub, strategy)
+    matched = _joined(supplier, hub, strategy)
     if validate:
-        bad = (
-            j.groupBy(*KEYS)
-            .agg(F.count("_s").alias("_sn"), F.count("_h").alias("_hn"), F.count(F.lit(1)).alias("_n"))
-            .agg(F.count_if((F.col("_n") > 1) | (F.col("_sn") == 0) | (F.col("_hn") == 0)).alias("_bad"))
-        )
-        j = attach_scalars(j, bad).where(
+        bad = violations(supplier, hub).agg(F.count(F.lit(1)).alias("_bad"))
+        matched = attach_scalars(matched, bad).where(
             F.when(F.col("_bad") == 0, F.lit(True)).otherwise(F.raise_error(F.lit(MISMATCH_MESSAGE)))
         ).drop("_bad")
-    matched = j.where(F.col("_s").isNotNull() & F.col("_h").isNotNull())
     return matched.select(
         "record_index", "supplier_code", "product_sku", "warehouse_code",
         "reported_quantity", "hub_quantity",
@@ -125,8 +118,9 @@ def summary(results: DataFrame) -> DataFrame:
 
 def outputs_equal(left: DataFrame, right: DataFrame) -> DataFrame:
     """H3: two plans of one result are identical (symmetric multiset difference)."""
+    rows = attach_scalars(left.agg(F.count(F.lit(1)).alias("left_rows")), right.agg(F.count(F.lit(1)).alias("right_rows")))
     only_left = left.exceptAll(right).agg(F.count(F.lit(1)).alias("left_only_rows"))
     only_right = right.exceptAll(left).agg(F.count(F.lit(1)).alias("right_only_rows"))
-    return attach_scalars(only_left, only_right).withColumn(
+    return attach_scalars(rows, attach_scalars(only_left, only_right)).withColumn(
         "outputs_equal", (F.col("left_only_rows") == 0) & (F.col("right_only_rows") == 0)
     )

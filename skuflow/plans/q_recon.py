@@ -59,7 +59,8 @@ def q_reconciliation_summary(spark, sf):
 
 
 @register("engine_outputs_equal",
-          "SELECT 0::BIGINT AS left_only_rows, 0::BIGINT AS right_only_rows, true AS outputs_equal")
+          "SELECT count(*) AS left_rows, count(*) AS right_rows, 0::BIGINT AS left_only_rows, 0::BIGINT AS right_only_rows, "
+          "true AS outputs_equal FROM v_recon", ["v_recon"])
 def q_engine_outputs_equal(spark, sf):
     """H3: the single-aggregation plan and the sort-merge join plan of D1
     produce the same multiset."""
@@ -92,6 +93,11 @@ def q_gen_risk_inputs(spark, sf):
     return synthetic.risk_inputs(views.order_index(spark, sf), SEED)
 
 
+def bench_inputs(spark, sf):
+    """Both sides of P4, to be prepared before a timed join."""
+    return synthetic.reconciliation_inputs(views.order_index(spark, sf), SEED)
+
+
 @register("reconciliation_run", f"""
 SELECT 'inventory_reconciliation' AS run_type, 'aggregate' AS engine, {SEED} AS dataset_seed,
        count(*) FILTER (WHERE matches) AS match_count,

@@ -9,8 +9,8 @@
 
 The fold is sequential per key by definition. Rather than collecting a
 shipment's events into one array, rows are hash-partitioned by shipment,
-sorted by arrival within partitions and streamed through ``mapInPandas`` with
-O(1) state per shipment (status + accepted ids of the current shipment). The
+sorted by arrival within partitions and streamed through ``mapInPandas``; the
+state is the current shipment's status and accepted ids. The
 shipment summaries (status, shipped_at, delivered_at) are then plain
 aggregates over the verdict rows.
 """
@@ -59,7 +59,12 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     accepted: set[str] = set()
     for pdf in batches:
         verdicts, after = [], []
-        for sid, eid, etype in zip(pdf["shipment_id"], pdf["external_event_id"], pdf["event_type"]):
+        for match, sid, eid, etype in zip(pdf["match_status"], pdf["shipment_id"], pdf["external_event_id"],
+                                          pdf["event_type"], strict=True):
+            if match != "matched":
+                verdicts.append(match)
+                after.append(None)
+                continue
             if sid != current:
                 current, status, accepted = sid, "planned", set()
             if eid in accepted:
@@ -76,20 +81,19 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(verdict=verdicts, status_after=after)
 
 
-def fold_events(matched: DataFrame, order_col: str = "arrival_seq") -> DataFrame:
-    """Verdict and status after each matched event (arrival order)."""
-    ordered = matched.repartition("shipment_id").sortWithinPartitions("shipment_id", order_col)
+def fold_events(events: DataFrame, order_col: str = "arrival_seq") -> DataFrame:
+    """Verdict and status after each event (arrival order), in one pass;
+    an unmatched event keeps its match status as its verdict and is dealt out by
+    its arrival, as it belongs to no shipment."""
+    place = F.coalesce("shipment_id", F.concat(F.lit("-"), F.col(order_col).cast("string")))
+    ordered = events.repartition(place).sortWithinPartitions("shipment_id", order_col)
     schema = T.StructType(ordered.schema.fields + _FOLD_FIELDS)
     return ordered.mapInPandas(_fold, schema)
 
 
 def event_verdicts(events: DataFrame, shipments: DataFrame) -> DataFrame:
     """Per event: accepted / duplicate / illegal_transition / not_found / ambiguous."""
-    m = match_tracking(events, shipments)
-    folded = fold_events(m.where(F.col("match_status") == "matched"))
-    unmatched = m.where(F.col("match_status") != "matched").select(
-        *m.columns, F.col("match_status").alias("verdict"), F.lit(None).cast("string").alias("status_after"))
-    return folded.unionByName(unmatched)
+    return fold_events(match_tracking(events, shipments))
 
 
 def shipment_states(verdicts: DataFrame, shipments: DataFrame | None = None,

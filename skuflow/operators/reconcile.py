@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skuflow.functions import scalars as X
 from skuflow.functions.frames import attach_scalars
 
 KEYS = ["record_index", "product_sku", "warehouse_code"]
@@ -84,7 +85,7 @@ def reconcile(supplier: DataFrame, hub: DataFrame, strategy: str = "aggregate",
         matched = _aggregate_join(supplier, hub, validate)
         return matched.select(
             "record_index", "supplier_code", "product_sku", "warehouse_code", "reported_quantity", "hub_quantity",
-            (F.col("reported_quantity") - F.col("hub_quantity")).alias("difference_quantity"),
+            X.difference("reported_quantity", "hub_quantity").alias("difference_quantity"),
         ).withColumn("matches", F.col("difference_quantity") == 0)
     matched = _joined(supplier, hub, strategy)
     if validate:
@@ -95,7 +96,7 @@ def reconcile(supplier: DataFrame, hub: DataFrame, strategy: str = "aggregate",
     return matched.select(
         "record_index", "supplier_code", "product_sku", "warehouse_code",
         "reported_quantity", "hub_quantity",
-        (F.col("reported_quantity") - F.col("hub_quantity")).alias("difference_quantity"),
+        X.difference("reported_quantity", "hub_quantity").alias("difference_quantity"),
     ).withColumn("matches", F.col("difference_quantity") == 0)
 
 

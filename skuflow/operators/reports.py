@@ -149,13 +149,21 @@ def replay_lineage(spark, jobs: DataFrame) -> DataFrame:
             .select("job_id", "replay_of_job_id", "root_job_id", F.col("hops").cast("int").alias("hops"), "valid_replay"))
 
 
-def child_counts(parent: DataFrame, key: str, children: dict[str, DataFrame]) -> DataFrame:
-    """A parent with the number of rows of each child table."""
-    out = parent
-    for name, child in children.items():
-        counts = child.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-        out = out.join(counts, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
-    return out
+def with_children(parent: DataFrame, key: str, sections: dict[str, tuple[DataFrame, str | None, list[str]]]) -> DataFrame:
+    """Each parent row with one row per child: ``(section, position, item)``.
+
+    ``sections``: name -> (child rows, ordering column, columns shown). Children
+    stay rows rather than arrays, so a parent may have any number of them.
+    """
+    parts = []
+    for name, (child, order, shown) in sections.items():
+        item = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in shown])
+        position = (F.col(order) if order else F.lit(None)).cast("bigint")
+        parts.append(child.select(key, F.lit(name).alias("section"), position.alias("position"), item.alias("item")))
+    children = parts[0]
+    for p in parts[1:]:
+        children = children.unionByName(p)
+    return parent.join(children, key, "left")
 
 
 def entity_counts(tables: dict[str, DataFrame]) -> DataFrame:

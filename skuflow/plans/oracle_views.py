@@ -659,6 +659,11 @@ SELECT concat('JOB-', l_orderkey) AS job_id, 'invalid_csv_field' AS error_code,
        concat('Input should be greater than 0, not ', l_linenumber) AS message
 FROM lineitem WHERE l_returnflag = 'R'
 """)
+view("e_job_snapshots", """
+SELECT concat('JOB-', l_orderkey) AS job_id, l_linenumber AS source_row, concat('PRD-', l_partkey) AS product_id,
+       CAST(trunc(l_quantity) AS BIGINT) AS on_hand
+FROM lineitem WHERE l_linestatus = 'F'
+""")
 view("e_reconciliations", """
 SELECT concat('RUN-', l_suppkey) AS run_id, l_partkey AS record_index, concat('SUP-', l_suppkey) AS supplier_code,
        concat('SKU-', l_partkey) AS product_sku, concat('WH-', l_suppkey % 25) AS warehouse_code

@@ -106,37 +106,52 @@ def q_order_with_lines(spark, sf):
 
 
 @register("shipment_with_events", f"""
-SELECT s.shipment_id, s.status,
-       CAST(row_number() OVER (PARTITION BY v.shipment_id ORDER BY v.occurred_at, v.arrival_seq) AS INTEGER)
+SELECT s.shipment_id, coalesce(c.status, 'planned') AS status,
+       CASE WHEN v.shipment_id IS NOT NULL THEN
+         CAST(row_number() OVER (PARTITION BY v.shipment_id ORDER BY v.occurred_at, v.arrival_seq) AS INTEGER) END
          AS event_seq, v.external_event_id, v.event_type, {_ISO.format(c='v.occurred_at')} AS occurred_at
-FROM cc_states s JOIN cc_verdicts v ON v.shipment_id = s.shipment_id AND v.verdict = 'accepted'
-""", ["cc_states", "cc_verdicts"])
+FROM v_shipments s LEFT JOIN cc_states c USING (shipment_id)
+LEFT JOIN cc_verdicts v ON v.shipment_id = s.shipment_id AND v.verdict = 'accepted'
+""", ["v_shipments", "cc_states", "cc_verdicts"])
 def q_shipment_with_events(spark, sf):
-    """Each shipment with its accepted events ordered by occurred_at."""
+    """Every shipment with its accepted events ordered by occurred_at (one
+    row without an event where there is none)."""
     events, _ = partners.parse_carrier_events(views.carrier_raw(spark, sf))
-    v = lifecycle.event_verdicts(events, views.shipments(spark, sf))
-    states = lifecycle.shipment_states(v).select("shipment_id", "status")
+    ships = views.shipments(spark, sf)
+    v = materialize(lifecycle.event_verdicts(events, ships).select(
+        "shipment_id", "verdict", "status_after", "arrival_seq", "external_event_id", "event_type", "occurred_at"))
+    states = lifecycle.shipment_states(v, ships).select("shipment_id", "status")
     # Events per shipment are not bounded by the data model: number them with
     # the skew-safe scan rather than a window per shipment.
     acc = reports.sequence_numbers(v.where(F.col("verdict") == "accepted"), ["shipment_id"],
                                    ["occurred_at", "arrival_seq"], "event_seq", skew_safe=True)
     return states.join(acc.select("shipment_id", "event_seq", "external_event_id", "event_type", "occurred_at"),
-                       "shipment_id").select("shipment_id", "status", "event_seq", "external_event_id", "event_type",
+                       "shipment_id", "left").select("shipment_id", "status", "event_seq", "external_event_id", "event_type",
                                              _iso("occurred_at"))
 
 
 @register("import_detail", """
-SELECT j.job_id, j.status, coalesce(e.n, 0) AS events, coalesce(a.n, 0) AS attempts, coalesce(r.n, 0) AS errors
-FROM e_jobs j
-LEFT JOIN (SELECT job_id, count(*) AS n FROM e_op_events GROUP BY ALL) e USING (job_id)
-LEFT JOIN (SELECT job_id, count(*) AS n FROM e_attempts GROUP BY ALL) a USING (job_id)
-LEFT JOIN (SELECT job_id, count(*) AS n FROM e_attempts WHERE error_type IS NOT NULL GROUP BY ALL) r USING (job_id)
-""", ["e_jobs", "e_op_events", "e_attempts"])
+SELECT j.job_id, j.status, c.section, c.position, c.item
+FROM e_jobs j LEFT JOIN (
+  SELECT job_id, 'event' AS section, event_seq AS position, concat(component, ':', status) AS item FROM e_op_events
+  UNION ALL
+  SELECT job_id, 'attempt', attempt_number, concat(status, ':', coalesce(error_type, '')) FROM e_attempts_numbered
+  UNION ALL
+  SELECT job_id, 'error', NULL, concat(error_code, ':', coalesce(field_name, ''), ':', message) FROM e_import_errors
+  UNION ALL
+  SELECT job_id, 'snapshot', source_row, concat(product_id, ':', on_hand) FROM e_job_snapshots
+) c USING (job_id)
+""", ["e_jobs", "e_op_events", "e_attempts_numbered", "e_import_errors", "e_job_snapshots"])
 def q_import_detail(spark, sf):
-    """Job with its event, attempt and error counts."""
-    att = E.attempts(spark, sf)
-    return reports.child_counts(E.jobs(spark, sf).select("job_id", "status"), "job_id", {
-        "events": E.operation_events(spark, sf), "attempts": att, "errors": att.where("error_type IS NOT NULL"),
+    """Every job with its events, attempts, errors and snapshots, one row per
+    child in its section's order (one row without a child where there is none)."""
+    att = reports.attempt_outcomes(reports.sequence_numbers(
+        E.attempts(spark, sf), ["job_id"], ["l_linenumber", "attempt_key"], "attempt_number"))
+    return reports.with_children(E.jobs(spark, sf).select("job_id", "status"), "job_id", {
+        "event": (E.operation_events(spark, sf), "event_seq", ["component", "status"]),
+        "attempt": (att, "attempt_number", ["status", "error_type"]),
+        "error": (E.import_errors(spark, sf), None, ["error_code", "field_name", "message"]),
+        "snapshot": (E.job_snapshots(spark, sf), "source_row", ["product_id", "on_hand"]),
     })
 
 
@@ -217,14 +232,16 @@ def q_import_status_counts(spark, sf):
     return E.jobs(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("job_count"))
 
 
-def _entities(spark, sf):
-    snaps = _snapshots(spark, sf)  # one import plan feeds both counts
-    return {
-        "suppliers": E.suppliers(spark, sf), "products": E.products(spark, sf),
-        "warehouses": E.warehouses(spark, sf), "inventory_positions": imports.positions(snaps),
-        "inventory_snapshots": snaps, "analytics_runs": E.analytics_runs(spark, sf),
-        "operation_events": E.operation_events(spark, sf),
-    }
+def _entity_counts(spark, sf):
+    """Rows per entity. Snapshots and the positions they make are counted by
+    one aggregate over (warehouse, product), so the import plan runs once."""
+    per_position = _snapshots(spark, sf).groupBy("warehouse_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
+    stored = per_position.agg(F.count(F.lit(1)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).select(
+        F.expr("stack(2, 'inventory_positions', p, 'inventory_snapshots', s) as (entity, row_count)"))
+    return reports.entity_counts({
+        "suppliers": E.suppliers(spark, sf), "products": E.products(spark, sf), "warehouses": E.warehouses(spark, sf),
+        "analytics_runs": E.analytics_runs(spark, sf), "operation_events": E.operation_events(spark, sf),
+    }).unionByName(stored)
 
 
 _ENTITY_SQL = """
@@ -242,7 +259,7 @@ UNION ALL SELECT 'operation_events', count(*) FROM e_op_events
           ["e_suppliers", "e_products", "e_warehouses", "v_snapshots", "e_runs", "e_op_events"])
 def q_entity_counts(spark, sf):
     """Row counts of seven hub tables."""
-    return reports.entity_counts(_entities(spark, sf))
+    return _entity_counts(spark, sf)
 
 
 @register("order_duplicate_products", """
@@ -498,7 +515,7 @@ def q_hub_overview(spark, sf):
     jobs = E.jobs(spark, sf)
     status = jobs.groupBy("status").agg(F.count(F.lit(1)).alias("value")).select(
         F.lit("status").alias("section"), F.col("status").alias("item"), "value")
-    ent = reports.entity_counts(_entities(spark, sf)).select(
+    ent = _entity_counts(spark, sf).select(
         F.lit("entity").alias("section"), F.col("entity").alias("item"), F.col("row_count").alias("value"))
     recent = reports.top_k(jobs, [F.desc("created_at"), F.desc("job_key")], 8).select(
         F.lit("recent_import").alias("section"), F.col("job_id").alias("item"),

@@ -96,27 +96,6 @@ HISTORY_SCHEMA = T.StructType(
 QTY = T.DecimalType(18, 3)
 RATIO = T.DecimalType(18, 6)
 
-CANONICAL_RECORD_SCHEMA = T.StructType([
-    T.StructField("source_reference", T.StringType()),
-    T.StructField("source_row", T.IntegerType()),
-    T.StructField("external_sku", T.StringType()),
-    T.StructField("external_location", T.StringType()),
-    T.StructField("observed_at", T.TimestampType()),
-    T.StructField("source_unit", T.StringType()),
-    T.StructField("on_hand_quantity", QTY),
-    T.StructField("reserved_quantity", QTY),
-    T.StructField("units_per_source_unit", QTY),
-    T.StructField("raw_fragment", T.MapType(T.StringType(), T.StringType())),
-])
-
-REJECT_SCHEMA = T.StructType([
-    T.StructField("code", T.StringType()),
-    T.StructField("message", T.StringType()),
-    T.StructField("source_row", T.IntegerType()),
-    T.StructField("field_name", T.StringType()),
-    T.StructField("raw_fragment", T.MapType(T.StringType(), T.StringType())),
-])
-
 SUPPLIER_A_SCHEMA = T.StructType([
     T.StructField("snapshot_id", T.StringType()),
     T.StructField("captured_at", T.StringType()),

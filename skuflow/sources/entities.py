@@ -237,3 +237,11 @@ def reconciliations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("SKU-"), _s("l_partkey")).alias("product_sku"),
         F.concat(F.lit("WH-"), _s(F.col("l_suppkey") % 25)).alias("warehouse_code"),
     )
+
+
+def job_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots that a job accepted: the fulfilled lines of its order."""
+    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "F")
+    return li.select(F.concat(F.lit("JOB-"), _s("l_orderkey")).alias("job_id"), F.col("l_linenumber").alias("source_row"),
+                     F.concat(F.lit("PRD-"), _s("l_partkey")).alias("product_id"),
+                     F.col("l_quantity").cast("bigint").alias("on_hand"))

@@ -21,6 +21,34 @@ CONTRACT_B = (b"snapshot_ref,as_of,partner_sku,depot,case_count,units_per_case\n
               b"SB-20260729-002,2026-07-29T15:00:00Z,UNMAPPED-SKU,B-LAX-01,3.000,12.000\n")
 
 
+def test_an_ended_shipment_is_not_judged_afresh(spark):
+    import datetime as dt
+
+    t = dt.datetime(2026, 7, 1, 12)
+
+    def event(seq, ref, eid, kind, at):
+        return (seq, json.dumps({"event_id": eid, "tracking_number": ref, "event": kind,
+                                 "event_time": at.strftime("%Y-%m-%dT%H:%M:%SZ")}))
+
+    batches = [[event(1, "T1", "E1", "PICKED_UP", t), event(2, "T1", "E2", "DELIVERED", t + dt.timedelta(hours=1))],
+               [event(3, "T2", "E3", "PICKED_UP", t + dt.timedelta(days=4))],
+               [event(4, "T2", "E4", "IN_TRANSIT", t + dt.timedelta(days=4, hours=1))],
+               [event(5, "T1", "E5", "PICKED_UP", t + dt.timedelta(days=4, hours=2)),
+                event(6, "T1", "E2", "DELIVERED", t + dt.timedelta(days=4, hours=2))]]
+    src = tempfile.mkdtemp(prefix="ended-")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "arrival_seq long, value string").coalesce(1).write.json(f"{src}/b={i}")
+        os.utime(f"{src}/b={i}", (1_700_000_000 + i,) * 2)
+    ships = spark.createDataFrame([("S1", "T1", "SUP"), ("S2", "T2", "SUP")],
+                                  "shipment_id string, tracking_reference string, supplier_id string")
+    stream = spark.readStream.schema("arrival_seq long, value string").option("maxFilesPerTrigger", 1).json(f"{src}/*")
+    q = _run_memory(carrier.lifecycle_stream(stream, ships), "ended_stream")
+    got = {r.arrival_seq: (r.verdict, r.status_after) for r in spark.table("ended_stream").collect()}
+    q.stop()
+    assert got[1] == ("accepted", "picked_up") and got[2] == ("accepted", "delivered") and got[4][0] == "accepted"
+    assert got[5] == ("after_end", "delivered") and got[6] == ("after_end", "delivered")
+
+
 def _run_memory(df, name):
     q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(240), f"stream {name} did not finish"

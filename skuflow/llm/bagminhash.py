@@ -20,10 +20,12 @@ document's components, which most do after one point.
 collapsed first, so a bucket holds different texts only. In each bucket the
 most central text (the one with the most company over all its buckets) is
 paired with every other; pairs are verified on the counted shingles; linked
-texts form components. Then every pair within a bucket that lies across two
-components, and whose sizes allow 0.8, is verified as well, which finds links
-that the centres missed. Inside a component no further pair is needed: it can
-only link what is linked. There is no cap on buckets, partners or candidates.
+texts form components. Then pairs within a bucket that lie across two
+components are examined as well, which finds links that the centres missed: an
+upper bound of the shared shingles, from small histograms, is taken for all of
+them block by block, and those that may reach 0.8 are verified. Inside a
+component no further pair is needed: it can only link what is linked. There is
+no cap on buckets, partners or candidates.
 
 A pair at similarity 0.8 meets in some band with probability 0.99998, one at
 0.9 practically always.
@@ -58,6 +60,8 @@ BANDS = 28
 ROWS = 5
 SIMILARITY = 0.8
 SLICE = 1 << 19
+CELLS = 256
+BLOCK = 1024
 
 _U = np.uint64
 
@@ -126,30 +130,27 @@ def band_values(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketch(df: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``(id, key, bag, weight, bands)``: digest and size of the multiset, band values (none for the empty one)."""
+    """``(id, key, bag, bands)``: digest of the multiset and band values (none for the empty one)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
-            bags, weights, values, ends = [], [], [], [np.zeros(1, np.int32)]
+            bags, values, ends = [], [], [np.zeros(1, np.int32)]
             for i, j in slices(offsets, SLICE):
                 t, s, c = counted(*shingles(words(data, offsets[i:j + 1])))
                 sig = signatures(j - i, t, s, c, bands * rows)
                 first = np.searchsorted(t, np.arange(j - i + 1))
                 both = np.stack([s, c.astype(np.uint64)], axis=1)
                 bags += [xxhash.xxh3_128_digest(both[a:b].tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
-                weights.append(np.bincount(t, c, minlength=j - i).astype(np.int64))
                 some = np.diff(first) > 0
                 values.append(band_values(sig[some], bands, rows).ravel())
                 ends.append(np.where(some, bands, 0))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(ends)), pa.int32()),
                                              pa.array(np.concatenate(values or [np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(bags, pa.binary()),
-                 pa.array(np.concatenate(weights or [np.empty(0, np.int64)])), lists],
-                names=["id", "key", "bag", "weight", "bands"])
+                [batch.column(0), batch.column(1), pa.array(bags, pa.binary()), lists], names=["id", "key", "bag", "bands"])
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, key long, bag binary, weight long, bands array<long>")
+    return df.mapInArrow(run, f"id {kind}, key long, bag binary, bands array<long>")
 
 
 def similarities(data: list[str], other: list[str]) -> np.ndarray:
@@ -185,6 +186,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             .mapInArrow(run, "a binary, b binary"))
 
 
+def _histograms(texts: DataFrame) -> DataFrame:
+    """``(bag, hist)``: counts of a text's shingles by ``CELLS`` parts of their hashes, as int32 bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            out = []
+            for i, j in slices(offsets, SLICE):
+                t, s = shingles(words(data, offsets[i:j + 1]))
+                cell = t * CELLS + (s >> _U(32)).astype(np.int64) % CELLS
+                rows = np.bincount(cell, minlength=(j - i) * CELLS).astype("<i4").reshape(j - i, CELLS)
+                out += [r.tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["bag", "hist"])
+
+    return texts.select("bag", "text").mapInArrow(run, "bag binary, hist binary")
+
+
+def _across(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of bags in one bucket, but of two components, that may be similar enough.
+
+    ``placed``: (bucket, bag, label). Two multisets share at most the sum of the lesser counts of each cell of their
+    histograms; where that bound is too low for ``similarity``, the pair needs no look at the texts. Only members outside
+    a bucket's largest component are held against all others, in blocks of ``BLOCK`` by ``BLOCK``, and only pairs that
+    pass the bound leave a task.
+    """
+    sizes = (placed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
+             .agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("main")).where("all > main.n"))
+    split = placed.join(sizes, "bucket").select(
+        "bucket", "bag", "label", (F.col("label") != F.col("main.label")).alias("outside"),
+        F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("outside_blocks"))
+    split = staged(split, "bag-split")
+    wanted = texts.join(split.select("bag").distinct(), "bag", "left_semi")
+    rows = split.join(_histograms(wanted), "bag")
+    every = rows.select("bucket", "bag", "label", "hist", F.pmod(F.xxhash64("bag"), "blocks").cast("int").alias("mb"),
+                        F.explode(F.sequence(F.lit(0), F.col("outside_blocks") - 1)).alias("ob"))
+    outside = rows.where("outside").select(
+        *[F.col(c).alias(c) for c in ("bucket", "bag", "label", "hist")], F.pmod(F.xxhash64("bag"), "outside_blocks").cast("int").alias("ob"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mb"))
+
+    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[bytes, bytes]] = []
+        if left.num_rows and right.num_rows:
+            bags, labels = right.column("bag").to_pylist(), np.array(right.column("label").to_pylist(), dtype=object)
+            hists = np.frombuffer(b"".join(right.column("hist").to_pylist()), dtype="<i4").reshape(-1, CELLS)
+            sizes = hists.sum(axis=1, dtype=np.int64)
+            for bag, label, hist in zip(*(left.column(c).to_pylist() for c in ("bag", "label", "hist")), strict=True):
+                own = np.frombuffer(hist, dtype="<i4")
+                most = np.minimum(hists, own).sum(axis=1, dtype=np.int64)
+                near = (most >= similarity * (sizes + int(own.sum()) - most)) & (labels != label)
+                found += [(min(bag, bags[i]), max(bag, bags[i])) for i in np.flatnonzero(near)]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    keys = ("bucket", "ob", "mb")
+    return outside.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(pairs, "a binary, b binary").distinct()
+
+
 def _classes(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
              similarity: float) -> tuple[DataFrame, DataFrame]:
     """Rows ``(id, key, bag)`` and classes ``(bag, class_id, kept_key, kept_bag)``.
@@ -196,9 +253,9 @@ def _classes(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     sketches = staged(_sketch(docs, bands, rows), "bag-sketches")
     first = F.struct(F.col("id").isNull().alias("missing"), "id", "key")
-    bags = staged(sketches.groupBy("bag").agg(F.min(first).alias("first"), F.first("weight").alias("weight"),
-                                              F.first("bands").alias("bands")), "bags")
-    members = bags.select("bag", "weight", F.explode("bands").alias("bucket"))
+    bags = staged(sketches.groupBy("bag").agg(F.min(first).alias("first"), F.first("bands").alias("bands")),
+                  "bags")
+    members = bags.select("bag", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     company = staged(members.join(sizes, "bucket"), "bag-buckets")
     links = None
@@ -215,18 +272,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
         linked = staged(_verified(pairs, texts, similarity), "bag-links")
         label = components(linked)
         placed = company.join(label, F.col("bag") == F.col("vertex"), "left").select(
-            "bucket", "bag", "weight", F.coalesce("label", "bag").alias("label"))
-        # Buckets that still hold more than one component.
-        split = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        left = staged(placed.join(split.select("bucket"), "bucket"), "bag-open")
-        x, y = left.alias("x"), left.alias("y")
-        across = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))
-                         & (F.col("x.weight") >= similarity * F.col("y.weight"))
-                         & (F.col("y.weight") >= similarity * F.col("x.weight")))
-                  .select(F.col("x.bag").alias("a"), F.col("y.bag").alias("b")).distinct())
-        tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(
-            tried, ["a", "b"], "left_anti")
+            "bucket", "bag", F.coalesce("label", "bag").alias("label"))
+        across = staged(_across(placed, texts, similarity), "bag-across")
         missed = staged(_verified(across, texts, similarity), "bag-missed")
         links = label if missed.isEmpty() else components(linked.unionByName(missed))
     if links is None:

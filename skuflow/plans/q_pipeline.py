@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skuflow.plans import pipeline
 from skuflow.plans.catalog import register
+from skuflow.session import store
 from skuflow.sources import views
 
 _SUMMARY_SQL = """
@@ -22,11 +23,12 @@ def _round(summary):
 
 @register("inventory_risk_pipeline", _SUMMARY_SQL.format(src="c_curated"), ["c_curated"])
 def q_inventory_risk_pipeline(spark, sf):
-    """De-duplicated history -> gate (fails in-plan) -> bands -> summary."""
-    return _round(pipeline.gated_summary(views.v_inv_clean(spark, sf), "exact"))
+    """De-duplicated history -> gate (fails in-plan) -> bands -> summary. The
+    gate, three quantile passes and the banding read the stored history."""
+    return _round(pipeline.gated_summary(store(views.v_inv_clean(spark, sf), "history"), "exact"))
 
 
 @register("backfill", _SUMMARY_SQL.format(src="d_curated"), ["d_curated"])
 def q_backfill(spark, sf):
     """Every partition date as its own run (per-date gate and thresholds)."""
-    return _round(pipeline.gated_summary(views.v_inv_clean(spark, sf), "exact", ["event_date"]))
+    return _round(pipeline.gated_summary(store(views.v_inv_clean(spark, sf), "history"), "exact", ["event_date"]))

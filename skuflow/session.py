@@ -85,6 +85,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df, name: str):
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it
+    back: columnar and pruned by its readers, for a table that several passes
+    read; survives executor loss."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Cut lineage once: a reliable checkpoint in the shared checkpoint folder.
 

@@ -19,6 +19,8 @@ are ordered by ``source_row``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,10 +103,16 @@ def duplicate_flags(flagged: DataFrame, stored: DataFrame | None = None) -> Data
 
 
 def verdicts(records: DataFrame, product_map: DataFrame, warehouse_map: DataFrame,
-             stored: DataFrame | None = None) -> DataFrame:
+             stored: DataFrame | None = None, once: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """one verdict per record; first failing rule wins:
-    duplicate -> product map -> warehouse map -> unit -> factor."""
-    d = duplicate_flags(mapping_flags(records, product_map, warehouse_map), stored)
+    duplicate -> product map -> warehouse map -> unit -> factor.
+
+    The mapped records are read twice (for the keys' first occurrences, and to
+    be flagged); ``once`` may keep them, so that source and mappings are read
+    and joined a single time.
+    """
+    mapped = mapping_flags(records, product_map, warehouse_map)
+    d = duplicate_flags(once(mapped) if once else mapped, stored)
     dup = F.col("duplicate_in_file") | F.col("already_imported")
     return (
         d.withColumn("error_code", F.when(dup, F.lit("duplicate_source_record")).otherwise(F.col("_map_code")))

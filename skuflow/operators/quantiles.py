@@ -12,8 +12,9 @@ in three bounded steps:
 2. one aggregate finds those neighbours and counts the rows below each
    bracket (map-side combined);
 3. bracket rows are collapsed to ``(value, count)`` pairs (ties of a hot value
-   become one row) and a running count over that short list places the two
-   order statistics that are interpolated.
+   become one row), the bracket is cut into equal parts, and running counts over
+   the parts and within each part place the two order statistics that are
+   interpolated, so no task holds a whole bracket.
 
 Every aggregate is partial/final, so a hot group is combined before it shuffles.
 """
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from skuflow.functions.frames import attach_scalars
 
 DEFAULT_ACCURACY = 100_000
+PARTS = 1024
 
 
 def exact_quantiles(
@@ -87,24 +89,34 @@ def exact_quantiles(
     )
     joined = attach(stats).where(F.col("_n") > 0)
 
-    in_bracket = [
-        F.when((F.col("_x") >= F.col(f"_lo{i}")) & (F.col("_x") <= F.col(f"_hi{i}")), F.lit(i))
-        for i in range(len(probs))
-    ]
+    def in_bracket(i: int) -> F.Column:
+        x, lo, hi = F.col("_x"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        part = F.when(hi > lo, F.floor((x - lo) / (hi - lo) * F.lit(PARTS))).otherwise(0).cast("int")
+        return F.when((x >= lo) & (x <= hi), F.struct(
+            F.lit(i).alias("i"), part.alias("part"), F.coalesce(x == F.col(f"_plo{i}"), F.lit(False)).alias("first")))
+
+    brackets = F.filter(F.array(*[in_bracket(i) for i in range(len(probs))]), lambda e: e.isNotNull())
     bracket = (
-        joined.select(*g, "_x", F.explode(F.filter(F.array(*in_bracket), lambda e: e.isNotNull())).alias("_i"))
-        .groupBy(*g, "_i", "_x")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        joined.select(*g, "_x", F.explode(brackets).alias("_b"))
+        .groupBy(*g, F.col("_b.i").alias("_i"), F.col("_b.part").alias("_part"), "_x")
+        .agg(F.count(F.lit(1)).alias("_c"), F.max("_b.first").alias("_first"))
     )
-    w = Window.partitionBy(*g, "_i").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bracket = bracket.withColumn("_cum", F.sum("_c").over(w))
+    # Running counts in two levels: over the parts of a bracket (at most PARTS + 1
+    # rows), and over the values within a part.
+    per_part = bracket.groupBy(*g, "_i", "_part").agg(
+        F.sum("_c").alias("_s"), F.coalesce(F.sum(F.when(F.col("_first"), F.col("_c"))), F.lit(0)).alias("_f"))
+    whole = Window.partitionBy(*g, "_i")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = per_part.select(*g, "_i", "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"),
+                               F.sum("_f").over(whole).alias("_plo_rows"))
+    w = Window.partitionBy(*g, "_i", "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bracket = bracket.withColumn("_cum", F.sum("_c").over(w)).join(per_part, [*g, "_i", "_part"]).withColumn(
+        "_cum", F.col("_cum") + F.col("_off"))
     keyed = bracket.join(stats, g) if g else attach_scalars(bracket, stats)
     # Rows below the widened bracket = rows below the sketch bracket minus the
     # rows equal to the lower neighbour (the bracket's first value).
-    whole = Window.partitionBy(*g, "_i")
     for i in range(len(probs)):
-        c_plo = F.max(F.when((F.col("_i") == i) & (F.col("_x") == F.col(f"_plo{i}")), F.col("_c"))).over(whole)
-        keyed = keyed.withColumn(f"_below{i}", F.col(f"_blo{i}") - F.coalesce(c_plo, F.lit(0)))
+        keyed = keyed.withColumn(f"_below{i}", F.col(f"_blo{i}") - F.col("_plo_rows"))
 
     def pick(k_col: str) -> F.Column:
         exprs = []

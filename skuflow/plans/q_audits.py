@@ -8,7 +8,7 @@ from functools import reduce
 from skuflow import schemas as S
 from skuflow.operators import audits, imports, reports, risk
 from skuflow.plans.catalog import register
-from skuflow.session import materialize
+from skuflow.session import store
 from skuflow.sources import entities as E
 from skuflow.sources import synthetic, views
 
@@ -185,7 +185,7 @@ class Tables:
             df = getattr(self, f"_{table}", lambda: getattr(E, table)(self.spark, self.sf))()
             df = df.selectExpr("*", *[f"{e} AS {c}" for c, e in EXTRA.get(table, {}).items()])
             df = df.select(*[c for c in _columns(table) if c in df.columns], *self._also(table))
-            self.built[table] = materialize(df) if table in STORED else df
+            self.built[table] = store(df, f"audit-{table}") if table in STORED else df
         return self.built[table]
 
     @staticmethod
@@ -196,7 +196,7 @@ class Tables:
     def _inventory_snapshots(self):
         return imports.snapshots(imports.verdicts(
             views.feed_records(self.spark, self.sf), views.product_map(self.spark, self.sf),
-            views.warehouse_map(self.spark, self.sf)))
+            views.warehouse_map(self.spark, self.sf), once=lambda df: store(df, "mapped-records")))
 
     def _inventory_positions(self):
         return imports.positions(self["inventory_snapshots"])
@@ -204,7 +204,7 @@ class Tables:
     def _stockout_risks(self):
         from skuflow.plans.oracle_views import SEED
 
-        inputs = materialize(synthetic.risk_inputs(views.order_index(self.spark, self.sf), SEED))
+        inputs = store(synthetic.risk_inputs(views.order_index(self.spark, self.sf), SEED), "risk-inputs")
         return risk.score(inputs, "exact")[0]
 
     def _import_attempts(self):

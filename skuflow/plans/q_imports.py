@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from skuflow.operators import imports
 from skuflow.plans.catalog import register
+from skuflow.session import store
 from skuflow.sources import views
 
 
 def _verdicts(spark, sf):
     return imports.verdicts(views.feed_records(spark, sf), views.product_map(spark, sf),
-                            views.warehouse_map(spark, sf))
+                            views.warehouse_map(spark, sf), once=lambda df: store(df, "mapped-records"))
 
 
 @register("map_products", """

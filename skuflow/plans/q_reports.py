@@ -9,7 +9,7 @@ from skuflow.functions import scalars as X
 from skuflow.functions.frames import attach_scalars
 from skuflow.operators import imports, lifecycle, partners, reports
 from skuflow.plans.catalog import register
-from skuflow.session import materialize
+from skuflow.session import materialize, store
 from skuflow.sources import entities as E
 from skuflow.sources import views
 
@@ -21,12 +21,14 @@ def _iso(c):
 
 
 def _positions(spark, sf):
-    v = imports.verdicts(views.feed_records(spark, sf), views.product_map(spark, sf), views.warehouse_map(spark, sf))
+    v = imports.verdicts(views.feed_records(spark, sf), views.product_map(spark, sf), views.warehouse_map(spark, sf),
+                         once=lambda df: store(df, "mapped-records"))
     return imports.positions(imports.snapshots(v))
 
 
 def _snapshots(spark, sf):
-    v = imports.verdicts(views.feed_records(spark, sf), views.product_map(spark, sf), views.warehouse_map(spark, sf))
+    v = imports.verdicts(views.feed_records(spark, sf), views.product_map(spark, sf), views.warehouse_map(spark, sf),
+                         once=lambda df: store(df, "mapped-records"))
     return imports.snapshots(v)
 
 

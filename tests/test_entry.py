@@ -1,6 +1,7 @@
 """Driver contract: entry() smoke and registry consistency."""
 
 import __spark_entry__ as E
+from skuflow.plans import catalog
 
 ROWS_ONLY = {"shortage_quantiles_approx", "source_partition_inventory", "valid_timezone"}
 
@@ -13,7 +14,8 @@ def test_entry_runs_flagship(spark):
 
 
 def test_every_query_has_an_oracle_unless_rows_only():
-    q, o = E.queries(), E.oracle_sql()
+    q, o = catalog.queries(), catalog.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == ROWS_ONLY
-    assert len(q) >= 110
+    assert len(q) >= 111
+    assert set(q) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())

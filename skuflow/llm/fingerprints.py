@@ -5,13 +5,13 @@ digested to 64 bits. The sketch adds each distinct digest to three cells; a cell
 holds a count, the xor of its digests and the xor of their check hashes. Two
 sketches of the same shape subtract cell by cell: what both texts have cancels,
 and what is left is recovered by peeling - a cell with count 1 or -1 whose check
-fits holds one digest, which is taken out of its three cells, and so on. Where
-peeling gets stuck, the difference is tried again with a larger sketch.
+fits holds one digest, which is taken out of its three cells, and so on.
 
 So that the work stays linear in the text, a sketch is a row of bins of
 ``CELLS`` cells and a digest's bin depends on its hash; the number of bins
 follows the number of digests over ``LOADS[attempt]``, so a smaller load is a
-larger sketch. Likeness is ``1 - differing / (digests of both)``, 1 for two
+larger sketch. Where peeling gets stuck, the digests of that bin are tried again
+in the next, larger sketch. Likeness is ``1 - differing / (digests of both)``, 1 for two
 texts without a word.
 
 **Next document.** The ids are cut into ranges by a range partitioning of the id
@@ -40,6 +40,7 @@ RANGE_ROWS = 256
 MAX_RANGES = 100_000
 
 CHECK = 1000
+_DIGESTS = "array<struct<d:bigint,sign:int>>"
 
 
 def paragraph_digests(text: Column, block_words: int = BLOCK_WORDS) -> Column:
@@ -69,10 +70,14 @@ def bins_for(digests: Column, load: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.size(digests) / F.lit(load))).cast("int")
 
 
+def _bin(d: Column, bins: Column, attempt: int) -> Column:
+    return F.pmod(F.xxhash64(d, F.lit(CHECK + 1 + attempt)), bins).cast("int")
+
+
 def sketch(digests: Column, bins: Column, attempt: int = 0) -> Column:
     """The sketch: an array of bins, each an array of cells ``(n, key, check)``."""
     items = F.transform(digests, lambda d: F.struct(
-        F.pmod(F.xxhash64(d, F.lit(CHECK + 1 + attempt)), bins).cast("int").alias("bin"), _item(d, attempt).alias("item")))
+        _bin(d, bins, attempt).alias("bin"), _item(d, attempt).alias("item")))
     empty = F.array_repeat(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"),
                                     F.lit(0).cast("long").alias("check")), CELLS)
 
@@ -93,8 +98,6 @@ def subtract(a: Column, b: Column) -> Column:
 
 def _peel_bin(cells: Column, attempt: int) -> Column:
     """``(d, sign)`` of every digest left in a bin; null if peeling gets stuck."""
-    none = F.array().cast("array<struct<d:bigint,sign:int>>")
-
     def one_round(state: Column, _: Column) -> Column:
         single = F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (F.xxhash64(x["key"], F.lit(CHECK)) == x["check"]))
         pure = F.array_distinct(F.transform(single, lambda x: F.struct(x["n"].alias("sign"), _item(x["key"], attempt).alias("item"))))
@@ -104,31 +107,52 @@ def _peel_bin(cells: Column, attempt: int) -> Column:
             F.concat(state["found"], F.transform(found, lambda p: F.struct(
                 p["item"]["d"].alias("d"), p["sign"].alias("sign")))).alias("found")))[0]
 
-    start = F.struct(cells.alias("cells"), none.alias("found"))
+    start = F.struct(cells.alias("cells"), F.array().cast(_DIGESTS).alias("found"))
     clear = lambda s: F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["key"] == 0) & (x["check"] == 0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(PEEL_ROUNDS)), start, one_round,
                        lambda s: F.when(clear(s), s["found"]))
 
 
-def difference(a: Column, b: Column, loads: tuple[int, ...] = LOADS) -> Column:
-    """``(d, sign)`` of the digests that only ``a`` (1) or only ``b`` (-1) has, by subtracting and peeling sketches.
+def _attempt(state: Column, number: int, load: int) -> Column:
+    """The state ``(a, b, found)`` after one more attempt: what is found, and the digests of stuck bins."""
+    bins = F.greatest(bins_for(state["a"], load), bins_for(state["b"], load))
+    left = F.transform(subtract(sketch(state["a"], bins, number), sketch(state["b"], bins, number)),
+                       lambda x: _peel_bin(x, number))
+
+    def after(peeled: Column) -> Column:
+        stuck = lambda d: F.get(peeled, _bin(d, bins, number)).isNull()
+        return F.struct(
+            F.filter(state["a"], stuck).alias("a"), F.filter(state["b"], stuck).alias("b"),
+            F.concat(state["found"], F.flatten(F.filter(peeled, lambda x: x.isNotNull()))).alias("found"))
 
-    Null if no attempt of ``loads`` succeeds.
+    done = F.size(state["a"]) + F.size(state["b"]) == 0
+    return F.when(done, state).otherwise(F.transform(F.array(left), after)[0])
+
+
+def with_difference(df: DataFrame, a: str, b: str, out: str, loads: tuple[int, ...] = LOADS) -> DataFrame:
+    """``out``: ``(d, sign)`` of the digests that only column ``a`` (1) or only ``b`` (-1) has, by subtracting and
+    peeling sketches.
+
+    Each attempt holds the digests of the bins in which the one before got stuck, in a sketch that is larger for their
+    number. Null if digests are left after the last of ``loads``.
     """
-    def attempt(number: int, load: int) -> Column:
-        bins = F.greatest(bins_for(a, load), bins_for(b, load))
-        left = F.transform(subtract(sketch(a, bins, number), sketch(b, bins, number)), lambda x: _peel_bin(x, number))
-        return F.transform(F.array(left), lambda got: F.when(~F.exists(got, lambda x: x.isNull()), F.flatten(got)))[0]
+    steps = [f"_{out}_{i}" for i in range(len(loads) + 1)]
+    df = df.withColumn(steps[0], F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.array().cast(_DIGESTS).alias("found")))
+    for i, load in enumerate(loads):
+        df = df.withColumn(steps[i + 1], _attempt(F.col(steps[i]), i, load))
+    last = F.col(steps[-1])
+    return df.withColumn(out, F.when(F.size(last["a"]) + F.size(last["b"]) == 0, last["found"])).drop(*steps)
 
-    return F.coalesce(*[attempt(i, load) for i, load in enumerate(loads)])
 
+def likeness(a: Column, b: Column, differing: Column) -> Column:
+    """1 for equal sets of digests, 0 for sets without a common one, from their recovered difference.
 
-def likeness(a: Column, b: Column) -> Column:
-    """1 for equal sets of digests, 0 for sets without a common one; exact set difference where peeling never succeeds."""
+    Null differences (after all attempts, about one in a thousand million) count by plain set difference.
+    """
     total = F.size(a) + F.size(b)
     plain = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    differing = F.transform(F.array(difference(a, b)), lambda d: F.when(d.isNull(), plain).otherwise(F.size(d)))[0]
-    return F.when(total == 0, F.lit(1.0)).otherwise(1.0 - differing / total)
+    n = F.when(differing.isNull(), plain).otherwise(F.size(differing))
+    return F.when(total == 0, F.lit(1.0)).otherwise(1.0 - n / total)
 
 
 def fingerprint(digests: Column) -> Column:
@@ -197,9 +221,11 @@ def compare_versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Each document's fingerprint against those of its edited text and of the next document."""
     both = (with_next(df, id_col, text_col).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
             .withColumn("edited_digests", paragraph_digests(F.col("edited"))))
+    both = with_difference(both, "digests", "edited_digests", "edit")
+    both = with_difference(both, "digests", "next_digests", "step")
     return both.select(
         F.col("id").alias(id_col), F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("digests")).alias("fingerprint"), fingerprint(F.col("edited_digests")).alias("edited_fingerprint"),
-        likeness(F.col("digests"), F.col("edited_digests")).alias("near_edited"),
-        likeness(F.col("digests"), F.col("next_digests")).alias("near_next"))
+        likeness(F.col("digests"), F.col("edited_digests"), F.col("edit")).alias("near_edited"),
+        likeness(F.col("digests"), F.col("next_digests"), F.col("step")).alias("near_next"))

@@ -44,6 +44,7 @@ STEPS = 500
 RATE = 0.2
 DECAY = 1e-5
 THRESHOLD = 0.5
+FEW = 20
 FOLDS, HELD_OUT = 3, 1
 
 _CLASSES = {
@@ -189,8 +190,11 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, tail: float = 0
 
     In any region, the unlabelled share is at least prior * the positives' share; the least ratio over the regions
     above a threshold of a positive-against-unlabelled classifier (holding all but ``tail`` of the positives or more)
-    estimates it. The classifier is fitted on one half of the rows and the ratio taken on the other, both ways.
+    estimates it. The classifier is fitted on one half of the rows and the ratio taken on the other, both ways. With
+    fewer than ``FEW`` rows of either kind there is no estimate, and 0.5 stands for it.
     """
+    if min(len(positive), len(unlabelled)) < FEW:
+        return 0.5
     found = []
     for half in (0, 1):
         model = fit_nonnegative_pu(positive[half::2], unlabelled[half::2], 0.5, steps=50, plain=True)

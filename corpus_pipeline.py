@@ -45,7 +45,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document taken (repeats are rows of their own)."""
-    return piece_codec.digests(piece_codec.decode(piece_codec.encode(docs)))
+    return piece_codec.digests(piece_codec.round_trip(docs))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skuflow.session import checkpoint_dir
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 BATCH_RECORDS = 4000
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from skuflow.llm.common import bound_batches, strings, text_slices
 
 MARK = "▁"
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 100_000
 
 
 def default_model() -> str:
@@ -88,7 +88,7 @@ class ChunkTable:
             ids = self.processor.encode(texts, add_bos=True, add_eos=True, num_threads=1)
             return [np.asarray(x, dtype="<u4").tobytes() for x in ids]
         out = []
-        for _, part in text_slices(texts):
+        for _, part in text_slices(texts, 500_000):
             cut = [chunks_of(t) for t in part]
             if len(self.ids) > self.limit:
                 self.ids = {"": [self.mark]}
@@ -142,6 +142,25 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_pa
         run, f"`{id_col}` {kind}, ids binary, decoded string")
 
 
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None,
+               table_entries: int = TABLE_ENTRIES) -> DataFrame:
+    """``(id_col, ids, decoded)``: ``encode`` and ``decode`` in one pass, so that a task has one Python worker."""
+    bound_batches(df.sparkSession)
+    path = model_path or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in batches:
+            table = table or ChunkTable(path, table_entries)
+            ids = table.encode(strings(batch.column(1)))
+            texts = [table.processor.decode(np.frombuffer(b, dtype="<u4").tolist()) for b in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
+                                             names=[id_col, "ids", "decoded"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded string")
+
+
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Token counts and digests of ids and decoded text (what ``op1`` reports)."""
     return coded.select(

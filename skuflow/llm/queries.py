@@ -29,7 +29,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.digests(piece_codec.decode(piece_codec.encode(documents(spark, sf_dir))))
+    return piece_codec.digests(piece_codec.round_trip(documents(spark, sf_dir)))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE_WORDS = 5
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)

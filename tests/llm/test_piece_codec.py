@@ -26,6 +26,8 @@ def test_ids_and_text_equal_the_library(spark, library, odd_docs, odd_rows):
         ids, back = expected(library, t)
         want.append((i is None, i or 0, np.asarray(ids, "<u4").tobytes(), back))
     assert got == sorted(want)
+    once = piece_codec.round_trip(odd_docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, bytes(r.ids), r.decoded) for r in once) == sorted(want)
 
 
 def test_a_full_table_starts_afresh_with_equal_ids(library):

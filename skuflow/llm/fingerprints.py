@@ -15,8 +15,8 @@ in the next, larger sketch. Likeness is ``1 - differing / (digests of both)``, 1
 texts without a word.
 
 **Next document.** The ids are cut into ranges by a range partitioning of the id
-column alone; the driver gets one id per range, at most ``MAX_RANGES``. The texts
-are shuffled once, by range, and the first document of each range also goes to
+column alone, and quantiles within each partition; the driver gets one id per
+range, at most ``RANGES_PER_TASK * MAX_TASKS`` of them. The texts are shuffled once, by range, and the first document of each range also goes to
 the range before, so that every document finds its successor in its own window,
 which holds about ``RANGE_ROWS`` documents.
 
@@ -37,7 +37,8 @@ CELLS = 33
 LOADS = (8, 4, 2, 1)
 PEEL_ROUNDS = 10
 RANGE_ROWS = 256
-MAX_RANGES = 100_000
+RANGES_PER_TASK = 64
+MAX_TASKS = 2000
 
 CHECK = 1000
 _DIGESTS = "array<struct<d:bigint,sign:int>>"
@@ -164,12 +165,14 @@ def fingerprint(digests: Column) -> Column:
 
 
 def _range_starts(ids: DataFrame, rows_per_range: int) -> list:
-    """The first id of each range of ids, ascending."""
+    """The first id of each range of ids, ascending: a range partitioning into few tasks, and quantiles within each."""
     rows = ids.count()
-    ranges = max(1, min(MAX_RANGES, -(-rows // rows_per_range)))
-    starts = (ids.repartitionByRange(ranges, "id").groupBy(F.spark_partition_id().alias("p"))
-              .agg(F.min("id").alias("id")).select("id").collect())
-    return sorted(r.id for r in starts)
+    tasks = max(1, min(MAX_TASKS, -(-rows // (RANGES_PER_TASK * rows_per_range))))
+    pieces = max(1, min(RANGES_PER_TASK, -(-rows // (tasks * rows_per_range))))
+    cuts = F.array(*[F.lit(k / pieces) for k in range(1, pieces)]) if pieces > 1 else F.array(F.lit(0.0))
+    found = (ids.repartitionByRange(tasks, "id").groupBy(F.spark_partition_id().alias("p"))
+             .agg(F.min("id").alias("first"), F.percentile_approx("id", cuts, 10_000).alias("cuts")).collect())
+    return sorted({x for r in found for x in (r.first, *r.cuts)})
 
 
 def _ids(values: list) -> Column:

@@ -61,6 +61,7 @@ ROWS = 5
 SIMILARITY = 0.8
 SLICE = 1 << 19
 CELLS = 256
+FULL = 0xFFFF
 BLOCK = 1024
 
 _U = np.uint64
@@ -187,7 +188,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _histograms(texts: DataFrame) -> DataFrame:
-    """``(bag, hist)``: counts of a text's shingles by ``CELLS`` parts of their hashes, as int32 bytes."""
+    """``(bag, hist)``: counts of a text's shingles by ``CELLS`` parts of their hashes, as uint16 bytes.
+
+    A cell that does not fit is given as the greatest value, which ``_across`` takes for "any number".
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
@@ -195,7 +199,7 @@ def _histograms(texts: DataFrame) -> DataFrame:
             for i, j in slices(offsets, SLICE):
                 t, s = shingles(words(data, offsets[i:j + 1]))
                 cell = t * CELLS + (s >> _U(32)).astype(np.int64) % CELLS
-                rows = np.bincount(cell, minlength=(j - i) * CELLS).astype("<i4").reshape(j - i, CELLS)
+                rows = np.minimum(np.bincount(cell, minlength=(j - i) * CELLS), FULL).astype("<u2").reshape(j - i, CELLS)
                 out += [r.tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["bag", "hist"])
 
@@ -229,12 +233,13 @@ def _across(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         found: list[tuple[bytes, bytes]] = []
         if left.num_rows and right.num_rows:
             bags, labels = right.column("bag").to_pylist(), np.array(right.column("label").to_pylist(), dtype=object)
-            hists = np.frombuffer(b"".join(right.column("hist").to_pylist()), dtype="<i4").reshape(-1, CELLS)
-            sizes = hists.sum(axis=1, dtype=np.int64)
+            hists = np.frombuffer(b"".join(right.column("hist").to_pylist()), dtype="<u2").reshape(-1, CELLS)
+            sizes, unsure = hists.sum(axis=1, dtype=np.int64), (hists == FULL).any(axis=1)
             for bag, label, hist in zip(*(left.column(c).to_pylist() for c in ("bag", "label", "hist")), strict=True):
-                own = np.frombuffer(hist, dtype="<i4")
+                own = np.frombuffer(hist, dtype="<u2")
                 most = np.minimum(hists, own).sum(axis=1, dtype=np.int64)
-                near = (most >= similarity * (sizes + int(own.sum()) - most)) & (labels != label)
+                near = most >= similarity * (sizes + int(own.sum(dtype=np.int64)) - most)
+                near = (near | unsure | bool((own == FULL).any())) & (labels != label)
                 found += [(min(bag, bags[i]), max(bag, bags[i])) for i in np.flatnonzero(near)]
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
@@ -301,7 +306,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
     """One row of ``df`` per class of near duplicates, columns unchanged."""
     _, classes = _classes(df, id_col, text_col, bands, rows, similarity)
     stays = classes.where("bag = kept_bag").select(F.col("class_id").alias("_kept_id"), F.col("kept_key").alias("_kept_key"))
+    # One key of id and text for the join, so that what it deals out also serves to drop repeats of one and the same row.
+    stays = stays.withColumn("_kept", F.xxhash64("_kept_id", "_kept_key"))
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_key"))
-    # Only repeats of one and the same id and text are left to drop.
-    return df.join(stays, same).dropDuplicates(["_kept_id", "_kept_key"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.withColumn("_key", key).withColumn("_row", F.xxhash64(F.col(id_col), F.col("_key")))
+    same = (F.col("_row") == F.col("_kept")) & F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key"))
+    return rows.join(stays, same).dropDuplicates(["_row", "_kept_id", "_kept_key"]).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -10,12 +10,8 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row frame (a global aggregate: thresholds,
     gate totals, a cursor) to every row of ``df``.
 
-    The right side is cut to one row that holds all of its rows' columns and
-    fails the plan if there is more than one, so this is a broadcast of one row
-    and linear in ``df`` - not a pairwise product.
+    The right side has exactly one row by construction (a global aggregate or a
+    unique key), so this is a broadcast of one row and linear in ``df`` - not a
+    pairwise product.
     """
-    checked = one_row.agg(
-        *[F.first(c).alias(c) for c in one_row.columns], F.count(F.lit(1)).alias("_rows"))
-    single = checked.where(F.when(F.col("_rows") <= 1, F.lit(True)).otherwise(
-        F.raise_error(F.lit("attach_scalars: the right side has more than one row"))))
-    return df.crossJoin(F.broadcast(single.drop("_rows")))
+    return df.crossJoin(F.broadcast(one_row))

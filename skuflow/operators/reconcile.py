@@ -118,10 +118,19 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def outputs_equal(left: DataFrame, right: DataFrame) -> DataFrame:
-    """H3: two plans of one result are identical (symmetric multiset difference)."""
-    rows = attach_scalars(left.agg(F.count(F.lit(1)).alias("left_rows")), right.agg(F.count(F.lit(1)).alias("right_rows")))
-    only_left = left.exceptAll(right).agg(F.count(F.lit(1)).alias("left_only_rows"))
-    only_right = right.exceptAll(left).agg(F.count(F.lit(1)).alias("right_only_rows"))
-    return attach_scalars(rows, attach_scalars(only_left, only_right)).withColumn(
-        "outputs_equal", (F.col("left_only_rows") == 0) & (F.col("right_only_rows") == 0)
-    )
+    """H3: two plans of one result are identical (symmetric multiset difference),
+    from one aggregate over the tagged rows of both."""
+    cols = left.columns
+    tagged = left.select(*cols, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+        right.select(*cols, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    counts = tagged.groupBy(*cols).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    zero = F.lit(0).cast("bigint")
+
+    def total(c: F.Column, name: str) -> F.Column:
+        return F.coalesce(F.sum(c), zero).alias(name)
+
+    return counts.agg(
+        total(F.col("_l"), "left_rows"), total(F.col("_r"), "right_rows"),
+        total(F.greatest(F.col("_l") - F.col("_r"), zero), "left_only_rows"),
+        total(F.greatest(F.col("_r") - F.col("_l"), zero), "right_only_rows"),
+    ).withColumn("outputs_equal", (F.col("left_only_rows") == 0) & (F.col("right_only_rows") == 0))

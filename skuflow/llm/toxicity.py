@@ -4,8 +4,11 @@
 labelled documents that hold them, toxic and other; an entry is kept if the
 likelihood-ratio statistic of the two counts passes a bound that allows for the
 number of entries tried, and at least half of its documents are toxic. Its
-weight is the smoothed log-odds. A word whose stem is in the lexicon adds
-nothing and is left out. At most ``MAX_TERMS`` entries, the strongest first.
+weight is the smoothed log-odds. A word is left out if a stem of it is in the
+lexicon, says as much and forgives as many edits; beside a stem that forgives
+fewer, the word stays, so that its misspellings are found. At most
+``MAX_TERMS`` entries, the strongest first. Digits inside a word belong to it
+("idi0t" is one word).
 
 **Matching.** The Levenshtein automaton of all terms at once is run over the
 trie: a state is the set of (trie node, edits so far) that the letters read can
@@ -54,7 +57,7 @@ WINDOW = 6
 THRESHOLD = 0.7
 MAX_STATES = 50_000
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+(?:\d+[^\W\d_]+)*")
 # Words that show a report of someone's words, or an address (fixed lists, by language).
 REPORTING = frozenset("said says wrote writes quoted quote called claimed according sagte schrieb zitiert dit écrit "
                       "cité dijo escribió citado".split())
@@ -68,6 +71,10 @@ def allowed_edits(term: str, is_stem: bool) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def _order(match: tuple[int, float]) -> tuple[int, float]:
+    return match[0], -match[1]
+
+
 class LexiconAutomaton:
     """Lazily built automaton that finds the lexicon entry nearest to a word."""
 
@@ -140,7 +147,7 @@ class LexiconAutomaton:
         return to
 
     def match(self, word: str) -> tuple[int, float] | None:
-        """``(edits, weight)`` of the best entry for the word, fewest edits first; None if none is near."""
+        """``(edits, weight)`` of the best entry for the word: fewest edits, then most weight; None if none is near."""
         if len(self.sets) > MAX_STATES:
             self._reset()
         state, found = self.start, None
@@ -152,10 +159,10 @@ class LexiconAutomaton:
                 return found
             state = to
             ended = self.stem[state]
-            if ended and (found is None or ended < found):
+            if ended and (found is None or _order(ended) < _order(found)):
                 found = ended
         ended = self.final[state]
-        return min((x for x in (found, ended) if x), default=None)
+        return min((x for x in (found, ended) if x), key=_order, default=None)
 
 
 FEATURES = ["abuse", "quoted", "misspelled", "addressed", "strongest", "density"]
@@ -257,8 +264,9 @@ def learn_lexicon(sample: DataFrame, toxic_docs: int, other_docs: int) -> dict[t
     out: dict[tuple[str, bool], float] = {}
     for r in best:
         shorter = [r.term[:k] for k in range(1, len(r.term) + (0 if r.is_stem else 1))]
-        # A longer entry is kept beside a stem only if it says more than the stem does.
-        if all(s not in stems or stems[s] < 0.5 * r.g2 for s in shorter):
+        # A longer entry is kept beside a stem only if it says more or forgives more edits than the stem does.
+        edits = allowed_edits(r.term, r.is_stem)
+        if all(s not in stems or stems[s] < 0.5 * r.g2 or allowed_edits(s, True) < edits for s in shorter):
             out[r.term, r.is_stem] = float(r.w)
     return out
 

@@ -112,3 +112,28 @@ def test_defined_cases(spark, odd_docs, empty_docs, labelled):
     assert toxicity.score(empty_docs, model).collect() == []
     nothing = toxicity.fit(odd_docs, labels.limit(0))
     assert {r.score for r in toxicity.score(odd_docs, nothing).collect()} == {0.0}
+
+
+def test_one_edit_variants_of_learnt_words_are_scored(spark, labelled):
+    docs, labels, _ = labelled
+    model = toxicity.fit(docs, labels)
+    learnt = ["idiot", "pathetic", "disgusting"]
+    assert ("idiot", False) in model.entries and ("disgusting", False) in model.entries
+    automaton = toxicity.LexiconAutomaton(model.entries)
+    variants = {v for w in learnt for i in range(len(w))
+                for v in (w[:i] + w[i + 1:], w[:i] + "z" + w[i + 1:], w[:i] + "z" + w[i:], w[:i] + "0" + w[i + 1:])}
+    for word in variants | {"ldiot"}:
+        assert any(automaton.match(found) for found in toxicity.WORD.findall(word)), word
+    clean = paragraphs(random.Random(8), 3, 1)
+    rows = [(0, clean)] + [(i, f"you {v} {clean} {v}") for i, v in enumerate(["ldiot", "idi0t", "pathetlc", "dizgusting"], 1)]
+    scores = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(scores[i] > scores[0] for i in range(1, 5)), scores
+
+
+def test_digits_inside_a_word_belong_to_it():
+    assert toxicity.WORD.findall("an idi0t, 4you b4 stone12 w0rthl3ss") == ["an", "idi0t", "you", "b", "stone", "w0rthl3ss"]
+
+
+def test_the_heavier_of_equally_near_entries_counts():
+    automaton = toxicity.LexiconAutomaton({("path", True): 1.0, ("pathetic", False): 2.5})
+    assert automaton.match("pathetic") == (0, 2.5) and automaton.match("pathway") == (0, 1.0)

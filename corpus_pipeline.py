@@ -31,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that an earlier one holds."""
-    short = unit_dedup.without_repeats(docs)
+    """All documents, without lines and passages that an earlier one holds."""
+    short = unit_dedup.without_repeats(docs, whole_lines=True)
     if "n_chars" not in docs.columns:
         return short
     return short.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))

@@ -43,8 +43,8 @@ def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without repeated passages, with the removed spans of the original text."""
-    return unit_dedup.remove_repeats(documents(spark, sf_dir))
+    """Documents without repeated lines and passages, with the removed spans of the original text."""
+    return unit_dedup.remove_repeats(documents(spark, sf_dir), whole_lines=True)
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

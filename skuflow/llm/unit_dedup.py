@@ -5,10 +5,14 @@ normalised (lower case, single spaces) and digested to 128 bits. Digests are
 grouped over all documents; the earliest ranked document (least id) keeps a
 unit, every later occurrence is a repeat, as is a second occurrence within one
 document. In each document, repeats that follow each other form a run, and runs
-of at least ``min_words`` words are taken out. The run rule catches passages
-wherever they begin and end, made of long or short units, and leaves single
-short phrases ("All rights reserved.") alone. Removed spans keep their
-character offsets in the original text.
+of at least ``min_words`` words are taken out.
+
+With ``whole_lines``, a whole line that was there before goes whatever its
+length: lines below ``min_words`` words are digested too, apart from units, so
+that a sentence inside a line does not count as the line. Without it, repeats
+below ``min_words`` words ("All rights reserved.") stay. Scripts without spaces
+between words are measured in characters, two to a word. Removed spans keep
+their character offsets in the original text.
 
 Shuffles carry a digest and a rank per distinct unit of a document; the group
 aggregate (a minimum and a count) is combined before its shuffle, so a unit that
@@ -37,34 +41,71 @@ from pyspark.sql import functions as F
 from skuflow.llm.common import bound_batches, strings
 
 MIN_WORDS = 13
-BREAK = re.compile(r"(?<=[.!?])[^\S\n]+|\s*\n\s*")
+BREAK = re.compile(r"(?<=[.!?])[^\S\n]+|\s*\n\s*|(?<=[。！？｡])")
+LINE = re.compile(r"[^\n]+")
+# Thai, Lao, Burmese, Khmer, kana and Han: no spaces between words.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED_LETTER = re.compile(f"[{UNSPACED}]")
+PLACE = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
+
+
+def _unspaced(text: str) -> bool:
+    return not text.isascii() and UNSPACED_LETTER.search(text) is not None
+
+
+def _words(parts: list[str], unspaced: bool) -> int:
+    """Words of a text cut at spaces; two letters of a script without spaces are a word."""
+    if not unspaced:
+        return len(parts)
+    found = [len(x) == 1 and bool(UNSPACED_LETTER.match(x)) for p in parts for x in PLACE.findall(p)]
+    return len(found) - sum(found) + (sum(found) + 1) // 2
 
 
 def units(text: str) -> list[tuple[int, int, int, bytes]]:
     """``(start, end, words, digest)`` of each unit; a unit ends where the next one starts."""
+    unspaced = _unspaced(text)
     starts = [0, *(m.end() for m in BREAK.finditer(text))]
     out = []
     for a, b in zip(starts, [*starts[1:], len(text)], strict=True):
         parts = text[a:b].lower().split()
         if parts:
-            out.append((a, b, len(parts), xxhash.xxh3_128_digest(" ".join(parts))))
+            out.append((a, b, _words(parts, unspaced), xxhash.xxh3_128_digest(" ".join(parts))))
         elif out:
             out[-1] = (out[-1][0], b, *out[-1][2:])
     return out
 
 
+def short_lines(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
+    """``(start, end, digest)`` of each line below ``min_words`` words."""
+    unspaced = _unspaced(text)
+    out = []
+    for m in LINE.finditer(text):
+        parts = m.group().lower().split()
+        if parts and _words(parts, unspaced) < min_words:
+            out.append((m.start(), m.end(), xxhash.xxh3_128_digest(" ".join(parts), seed=1)))
+    return out
+
+
 def rank(id_col: Column, text: Column) -> Column:
     late = F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1))
     return F.coalesce(id_col.cast("long"), late)
 
 
-def repeats(ranked: DataFrame) -> DataFrame:
+def digests(text: str, min_words: int, whole_lines: bool) -> set[bytes]:
+    """All digests of a text: units and, if asked for, short lines."""
+    out = {u[3] for u in units(text)}
+    if whole_lines:
+        out.update(x[2] for x in short_lines(text, min_words))
+    return out
+
+
+def repeats(ranked: DataFrame, min_words: int = MIN_WORDS, whole_lines: bool = False) -> DataFrame:
     """``(rank, drop)``: halves of the digests that a document of ``(rank, text)`` has to drop."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ranks, found = batch.column(0).to_numpy(), []
             for text in strings(batch.column(1)):
-                found.append(list({u[3] for u in units(text)}))
+                found.append(digests(text, min_words, whole_lines))
             halves = np.frombuffer(b"".join(d for f in found for d in f), dtype=np.int64)
             count = [len(f) for f in found]
             for i in range(0, len(halves), 200_000):
@@ -80,29 +121,48 @@ def repeats(ranked: DataFrame) -> DataFrame:
     return late.groupBy("rank").agg(F.collect_list("h1").alias("drop"))
 
 
-def spans_to_remove(text: str, drop: set[int], min_words: int) -> list[tuple[int, int]]:
-    """Runs of repeated units, as character offsets."""
-    spans: list[tuple[int, int]] = []
+def spans_to_remove(text: str, drop: set[int], min_words: int, whole_lines: bool = False) -> list[tuple[int, int]]:
+    """Runs of repeated units and repeated whole lines, as character offsets."""
     seen: set[bytes] = set()
-    start = end = words = 0
-    for a, b, n, digest in [*units(text), (0, 0, 0, b"")]:
-        again = bool(digest) and (digest in seen or int.from_bytes(digest[:8], "little", signed=True) in drop)
+
+    def again(digest: bytes) -> bool:
+        known = digest in seen or int.from_bytes(digest[:8], "little", signed=True) in drop
         seen.add(digest)
-        if again:
+        return known
+
+    spans: list[tuple[int, int]] = []
+    found = units(text)
+    start = end = words = 0
+    for a, b, n, digest in [*found, (0, 0, 0, b"")]:
+        if digest and again(digest):
             start, end, words = (start if words else a), b, words + n
             continue
         if words and words >= min_words:
             spans.append((start, end))
         words = 0
-    return spans
+    if whole_lines:
+        lines = [(a, b) for a, b, digest in short_lines(text, min_words) if again(digest)]
+        at = 0
+        for a, b, _, _ in found:  # a line goes with the break after it, which its last unit holds
+            while at < len(lines) and lines[at][1] <= a:
+                at += 1
+            if at < len(lines) and lines[at][0] <= a:
+                spans.append((a, b))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                   keep: tuple[str, ...] = ()) -> DataFrame:
+                   keep: tuple[str, ...] = (), whole_lines: bool = False) -> DataFrame:
     """``(id, *keep, text, removed)``: the text without later occurrences, and the removed spans of the original."""
     bound_batches(df.sparkSession)
     at = rank(F.col(id_col), F.col(text_col))
-    dropped = repeats(df.select(at.alias("rank"), F.col(text_col).alias("text")))
+    dropped = repeats(df.select(at.alias("rank"), F.col(text_col).alias("text")), min_words, whole_lines)
     columns = [F.col(id_col).alias("_0"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep, 1)),
                at.alias("_rank"), F.col(text_col).alias("_text")]
     joined = df.select(*columns).join(dropped, F.col("_rank") == F.col("rank"), "left").drop("_rank", "rank")
@@ -111,7 +171,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             texts, removed = [], []
             for text, drop in zip(batch.column("_text").to_pylist(), batch.column("drop").to_pylist(), strict=True):
-                spans = spans_to_remove(text, set(drop or ()), min_words) if text else []
+                spans = spans_to_remove(text, set(drop or ()), min_words, whole_lines) if text else []
                 if spans:
                     edges = [0, *(x for s in spans for x in s), len(text)]
                     text = "".join(text[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True))
@@ -128,7 +188,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        F.col("_text").alias(text_col), "removed")
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                    whole_lines: bool = False) -> DataFrame:
     """The rows of ``df`` with shortened texts, other columns unchanged."""
     others = tuple(c for c in df.columns if c not in (id_col, text_col))
-    return remove_repeats(df, id_col, text_col, min_words, others).select(*[F.col(f"`{c}`") for c in df.columns])
+    return remove_repeats(df, id_col, text_col, min_words, others, whole_lines).select(*[F.col(f"`{c}`") for c in df.columns])

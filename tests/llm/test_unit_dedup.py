@@ -80,3 +80,20 @@ def test_defined_cases(odd_docs, empty_docs):
     assert rows[2] == ["", ""]  # a copy of document 1, given twice
     assert "" in rows[None] and len(rows[None]) == 3
     assert unit_dedup.remove_repeats(empty_docs).collect() == []
+
+
+def test_repeated_whole_lines_go_whatever_their_length(spark, tmp_path):
+    from skuflow.llm.queries import op4_unit_dedup
+
+    rng = random.Random(4)
+    mine = {i: [sentence(rng, 9), sentence(rng, 9)] for i in range(1, 5)}
+    rows = [(1, f"{mine[1][0]}\nShare this page with a friend\n{mine[1][1]}\nSee more"),
+            (2, f"{mine[2][0]}\nShare  this page with a FRIEND\n{mine[2][1]}\nSee more"),
+            (3, f"Share this page with a friend\n{mine[3][0]}\nSee more\nSee more\n{mine[3][1]}"),
+            (4, f"{mine[4][0]} See more\n{mine[4][1]}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op4_unit_dedup(spark, str(tmp_path)).collect()}
+    assert got[1].text == rows[0][1] and got[4].text == rows[3][1]
+    assert got[2].text == f"{mine[2][0]}\n{mine[2][1]}\n"
+    assert got[3].text == f"{mine[3][0]}\n{mine[3][1]}"
+    assert [(s.start, s.end) for s in got[3].removed][0] == (0, 30)

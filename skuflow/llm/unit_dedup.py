@@ -1,4 +1,4 @@
-"""Substring de-duplication by hashing lines and the sentences in them.
+"""Substring de-duplication by hashing lines, the sentences in them, and anchored word windows.
 
 A text is cut into units at line breaks and after sentence ends, each unit is
 normalised (lower case, single spaces) and digested to 128 bits. Digests are
@@ -7,6 +7,14 @@ unit, every later occurrence is a repeat, as is a second occurrence within one
 document. In each document, repeats that follow each other form a run, and runs
 of at least ``min_words`` words are taken out.
 
+Passages that begin or end inside a unit are found by windows of ``min_words``
+words, whatever lines and sentences they lie in: of each ``GAP`` consecutive
+places the one where a hash of the next three words is least is an anchor
+(winnowing), and the window that begins there is digested and grouped like a
+unit. As a place is chosen by the words around it alone, two texts that share
+``min_words + GAP - 1`` words share an anchor, and all but at most ``GAP - 1``
+words at either end of a shared passage are taken out.
+
 With ``whole_lines``, a whole line that was there before goes whatever its
 length: lines below ``min_words`` words are digested too, apart from units, so
 that a sentence inside a line does not count as the line. Without it, repeats
@@ -30,6 +38,7 @@ empty table.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,12 +50,14 @@ from pyspark.sql import functions as F
 from skuflow.llm.common import bound_batches, strings
 
 MIN_WORDS = 13
+GAP = 13  # not above MIN_WORDS: windows that begin at neighbouring anchors leave no word between them
 BREAK = re.compile(r"(?<=[.!?])[^\S\n]+|\s*\n\s*|(?<=[。！？｡])")
 LINE = re.compile(r"[^\n]+")
 # Thai, Lao, Burmese, Khmer, kana and Han: no spaces between words.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 UNSPACED_LETTER = re.compile(f"[{UNSPACED}]")
 PLACE = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
+WORD = re.compile(r"\S+")
 
 
 def _unspaced(text: str) -> bool:
@@ -86,14 +97,55 @@ def short_lines(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def _winnow(marks: list[int], gap: int) -> list[int]:
+    """Places of the least mark of each ``gap`` consecutive ones, the first of equal ones."""
+    if not marks:
+        return []
+    first = marks[:gap]
+    at = first.index(min(first))
+    out = [at]
+    while True:
+        ahead = marks[at + 1:at + 1 + gap]
+        least = min(ahead, default=None)
+        if least is not None and least < marks[at]:
+            at += 1 + next(i for i, x in enumerate(ahead) if x < marks[at])
+        elif len(ahead) == gap:
+            at += 1 + ahead.index(least)
+        else:
+            return out
+        out.append(at)
+
+
+def anchors(text: str, min_words: int) -> list[tuple[int, int, bytes]]:
+    """``(first word, word after the last, digest)`` of the windows that begin at the text's anchors."""
+    if _unspaced(text):
+        parts = PLACE.findall(text.lower())
+        halves = np.cumsum([0, *(1 if UNSPACED_LETTER.match(p) else 2 for p in parts)])
+        ends = np.searchsorted(halves, halves[:-1] + 2 * min_words)
+        ends = ends[ends <= len(parts)].tolist()
+    else:
+        parts = text.lower().split()
+        ends = range(min_words, len(parts) + 1)
+    if not ends:
+        return []
+    hashes = np.array([zlib.crc32(p.encode()) for p in parts], dtype=np.uint32)
+    marks = np.zeros(len(ends), dtype=np.uint32)
+    for i in range(min(3, min_words)):
+        marks = (marks ^ hashes[i:i + len(ends)]) * np.uint32(0x9E3779B1)
+        marks ^= marks >> np.uint32(15)
+    return [(at, ends[at], xxhash.xxh3_128_digest(" ".join(parts[at:ends[at]]), seed=2))
+            for at in _winnow(marks.tolist(), min(GAP, min_words))]
+
+
 def rank(id_col: Column, text: Column) -> Column:
     late = F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1))
     return F.coalesce(id_col.cast("long"), late)
 
 
 def digests(text: str, min_words: int, whole_lines: bool) -> set[bytes]:
-    """All digests of a text: units and, if asked for, short lines."""
+    """All digests of a text: units, anchored windows and, if asked for, short lines."""
     out = {u[3] for u in units(text)}
+    out.update(x[2] for x in anchors(text, min_words))
     if whole_lines:
         out.update(x[2] for x in short_lines(text, min_words))
     return out
@@ -122,7 +174,7 @@ def repeats(ranked: DataFrame, min_words: int = MIN_WORDS, whole_lines: bool = F
 
 
 def spans_to_remove(text: str, drop: set[int], min_words: int, whole_lines: bool = False) -> list[tuple[int, int]]:
-    """Runs of repeated units and repeated whole lines, as character offsets."""
+    """Runs of repeated units, repeated windows and repeated whole lines, as character offsets."""
     seen: set[bytes] = set()
 
     def again(digest: bytes) -> bool:
@@ -148,6 +200,22 @@ def spans_to_remove(text: str, drop: set[int], min_words: int, whole_lines: bool
                 at += 1
             if at < len(lines) and lines[at][0] <= a:
                 spans.append((a, b))
+    windows, ends = [], {}
+    for a, b, digest in anchors(text, min_words):
+        if int.from_bytes(digest[:8], "little", signed=True) in drop:
+            windows.append((a, b))
+        elif digest in ends:  # the words of the first occurrence stay
+            windows.append((max(a, ends[digest]), b))
+        else:
+            ends[digest] = b
+    if windows:
+        places = [m.span() for m in (PLACE if _unspaced(text) else WORD).finditer(text)]
+        for a, b in windows:
+            if a < b:
+                end = places[b - 1][1]
+                while end < len(text) and text[end] != "\n" and text[end].isspace():
+                    end += 1
+                spans.append((places[a][0], end))
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:

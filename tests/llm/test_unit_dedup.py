@@ -1,4 +1,5 @@
 import random
+import re
 
 from skuflow.llm import unit_dedup
 from tests.llm.conftest import paragraphs, sentence
@@ -97,3 +98,69 @@ def test_repeated_whole_lines_go_whatever_their_length(spark, tmp_path):
     assert got[2].text == f"{mine[2][0]}\n{mine[2][1]}\n"
     assert got[3].text == f"{mine[3][0]}\n{mine[3][1]}"
     assert [(s.start, s.end) for s in got[3].removed][0] == (0, 30)
+
+
+def repeated_words(rows, size=50):
+    """Per row, whether a word lies in a window of ``size`` words that an earlier row holds."""
+    held, out = set(), {}
+    for i, text in sorted(rows):
+        words = text.lower().split()
+        windows = [tuple(words[k:k + size]) for k in range(len(words) - size + 1)]
+        out[i] = [False] * len(words)
+        for k, w in enumerate(windows):
+            if w in held:
+                out[i][k:k + size] = [True] * size
+        held.update(windows)
+    return out
+
+
+def test_passages_inside_sentences_equal_brute_force_windows(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passages = [[word() + rng.choice(["", "", "", "", ".", ","]) for _ in range(rng.randint(50, 130))] for _ in range(8)]
+    passages += [[word() for _ in range(70)] for _ in range(4)]
+    rows = []
+    for i in range(60):
+        words = [word() for _ in range(rng.randint(5, 40))]
+        for p in rng.sample(passages, 3):
+            a = rng.randint(0, len(p) - 50)
+            words += [*p[a:rng.randint(a + 50, len(p))], *(word() for _ in range(rng.randint(20, 60)))]
+        seps = [rng.choice([" "] * 12 + ["\n"]) for _ in words]  # lines break differently in every row
+        rows.append((i, "".join(w + s for w, s in zip(words, seps, strict=True))))
+    rows.append((60, " ".join(passages[-1])))
+    texts, want = dict(rows), repeated_words(rows)
+    got = {r.doc_id: r for r in unit_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = 0
+    for i, text in rows:
+        spans = [(s.start, s.end) for s in got[i].removed]
+        gone = [any(a <= m.start() < b for a, b in spans) for m in unit_dedup.WORD.finditer(texts[i])]
+        marks = "".join("01"[x] for x in want[i])
+        for m in re.finditer("1+", marks):
+            seen += 1
+            inner = gone[m.start() + unit_dedup.GAP - 1:m.end() - unit_dedup.GAP + 1]
+            assert all(inner) and len(inner) >= 20, (i, m.span())
+        # What goes beside them is repeated too: windows of 13 words.
+        short = repeated_words(rows, unit_dedup.MIN_WORDS)[i] if any(g and not w for g, w in zip(gone, want[i], strict=True)) else want[i]
+        assert all(w for g, w in zip(gone, short, strict=True) if g), i
+    assert seen > 100
+
+
+def test_a_passage_repeated_within_a_text_keeps_its_first_occurrence(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+    rows = [(1, " ".join(["start", *words, "middle", *words, "end"])), (2, "la " * 200)]
+    got = {r.doc_id: r.text.split() for r in unit_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][:62] == ["start", *words, "middle"] and got[1][-1] == "end" and len(got[1]) < 100
+    assert len(got[2]) >= 13
+
+
+def test_scripts_without_spaces_are_measured_in_characters(spark):
+    rng = random.Random(7)
+    text = lambda n: "".join(chr(rng.randrange(0x4e00, 0x9fa5)) for _ in range(n))
+    passage = "。".join(text(18) for _ in range(4)) + "。"
+    rows = [(1, f"{text(20)}。{passage}{text(20)}。"), (2, f"{text(9)}\n{text(30)}。{passage}{text(11)}。"), (3, text(40) + passage[5:60] + text(40))]
+    got = {r.doc_id: r.text for r in unit_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1]
+    assert got[2] == rows[1][1].replace(passage, "")
+    assert len(got[3]) < 80 + 2 * unit_dedup.GAP
+    assert [u[2] for u in unit_dedup.units("中文字中文字。two words")] == [4, 2]

@@ -18,14 +18,15 @@ directory stay DataFrames.
 
 Defined cases: a null text has 0 bytes and is told apart from the empty text;
 null ids are hashed as null; repeated rows all get a shard; further columns
-are dropped by ``assign_shards``; an empty table gives an empty result.
+are dropped by ``assign_shards`` and kept by ``write_shards``, which refuses a
+column named ``shard``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuflow.llm.common import staged
@@ -83,30 +84,53 @@ def _placed(df: DataFrame, id_col: str, text_col: str, limit: int, step: int) ->
         low = high + 1
 
 
+def _overflows(limit: int) -> Column:
+    return (F.col("copies") > 1) & (F.col("shard_bytes") > limit)
+
+
+def _shard(limit: int) -> Column:
+    """Hash prefix in bits, with the overflow shard's number from the row's ``copy`` where the bucket is above the limit."""
+    per_shard = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1)))).cast("long")
+    number = F.concat(F.lit("."), F.floor(F.col("copy") / per_shard).cast("string"))
+    return F.concat(_bits(F.col("prefix"), F.col("depth")), F.when(_overflows(limit), number).otherwise(""))
+
+
 def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES,
                   step: int = STEP) -> DataFrame:
     """``(id, n_bytes, shard, depth, shard_bytes, shard_docs)`` for each row; ``shard`` is the hash prefix in bits.
 
     ``shard_bytes`` and ``shard_docs`` are the bucket's; an overflow shard holds at most ``limit`` of them.
     """
-    per_shard = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1)))).cast("long")
-    overflows = (F.col("copies") > 1) & (F.col("shard_bytes") > limit)
     numbered = _placed(df, id_col, text_col, limit, step).withColumn(
         "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    overflow = F.when(overflows, F.concat(F.lit("."), F.floor(F.col("copy") / per_shard).cast("string"))).otherwise("")
     return numbered.select(
-        F.col("id").alias(id_col), "n_bytes",
-        F.concat(_bits(F.col("prefix"), F.col("depth")), overflow).alias("shard"),
+        F.col("id").alias(id_col), "n_bytes", _shard(limit).alias("shard"),
         F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs")
 
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                  limit: int = SHARD_BYTES, step: int = STEP) -> None:
-    """Write the distinct ``(id, text)`` records as one folder ``shard=p<bits>`` per shard below ``path``."""
-    keyed = df.select(F.col(id_col), F.col(text_col)).distinct().withColumn("h", key_hash(F.col(id_col), F.col(text_col)))
-    shards = _placed(keyed, id_col, text_col, limit, step).select(
-        F.col("h").alias("_h"), F.concat(F.lit("p"), _bits(F.col("prefix"), F.col("depth"))).alias("shard")).distinct()
-    (keyed.join(shards, F.col("h") == F.col("_h")).select(id_col, text_col, "shard")
+    """Write all rows with all columns as one folder ``shard=p<shard>`` per shard of ``assign_shards`` below ``path``.
+
+    Rows of a record that overflows are numbered within the task that read them and moved on by the rows of earlier
+    tasks, so a record with very many rows is never one task's work.
+    """
+    if "shard" in df.columns:
+        raise ValueError("the column name 'shard' is taken by the folders")
+    # Written once, so that tasks and row numbers are the same whenever they are read.
+    rows = staged(df.select(F.struct("*").alias("row"), key_hash(F.col(id_col), F.col(text_col)).alias("h"),
+                            F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at")), "shard-rows")
+    places = staged(_placed(rows.select("row.*"), id_col, text_col, limit, step).drop("id", "cell"), "shard-places")
+    over = places.where(_overflows(limit)).select("h")
+    counts = rows.join(over, "h").groupBy("h", "task").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("h").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("h", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    in_task = F.row_number().over(Window.partitionBy("h", "task").orderBy("at")) - 1
+    numbered = (rows.join(over, "h").withColumn("number", in_task).join(starts, ["h", "task"])
+                .select("row", "h", (F.col("number") + F.col("start")).alias("copy")))
+    single = rows.join(over, "h", "left_anti").select("row", "h", F.lit(0).cast("long").alias("copy"))
+    (numbered.unionByName(single).join(places, "h")
+     .select("row.*", F.concat(F.lit("p"), _shard(limit)).alias("shard"))
      .repartition("shard").write.mode("errorifexists").partitionBy("shard").parquet(path))
 
 

@@ -75,3 +75,28 @@ def test_defined_cases(odd_docs, odd_rows, empty_docs):
     got = sharding.assign_shards(odd_docs, limit=10_000).collect()
     assert len(got) == len(odd_rows)
     assert sharding.assign_shards(empty_docs).collect() == []
+
+
+def test_written_rows_equal_input_rows_with_repeats(spark, tmp_path):
+    rows = [(1, "z" * 100, f"s{i % 3}", i) for i in range(400)] + [(i, "w" * 50, "s", i) for i in range(2, 60)]
+    rows += [(7, None, "n", 1), (7, None, "n", 1), (None, "y", None, 2), (None, "y", None, 2), (8, "", "e", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, h long").repartition(5)
+    sharding.write_shards(df, f"{tmp_path}/shards", limit=1000)
+    back = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert sorted(map(repr, rows)) == sorted(repr((r.doc_id, r.text, r.source, r.h)) for r in back)
+    written, size = defaultdict(int), defaultdict(int)
+    for r in back:
+        written[r.shard, r.doc_id] += 1
+        size[r.shard] += len(r.text or "")
+    assigned = defaultdict(int)
+    for r in sharding.assign_shards(df, limit=1000).collect():
+        assigned["p" + r.shard, r.doc_id] += 1
+    assert written == assigned and max(size.values()) <= 1000 and sum("." in s for s in size) == 40
+
+
+def test_written_rows_of_odd_tables(spark, odd_docs, odd_rows, empty_docs, tmp_path):
+    sharding.write_shards(odd_docs, f"{tmp_path}/odd", limit=10_000)
+    back = spark.read.parquet(f"{tmp_path}/odd")
+    assert back.columns == [*odd_docs.columns, "shard"]
+    assert sorted(repr((r.doc_id, r.text)) for r in back.collect()) == sorted(map(repr, odd_rows))
+    sharding.write_shards(empty_docs, f"{tmp_path}/none")

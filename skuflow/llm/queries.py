@@ -1,4 +1,4 @@
-"""The ten operators as registered queries over whole tables, and their SQL."""
+"""The operators as registered queries over whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -13,7 +13,10 @@ from skuflow.llm import (
     fingerprints,
     licences,
     mixing,
+    pattern_packing,
+    phrase_mining,
     piece_codec,
+    prefix_trie,
     pu_quality,
     sharding,
     toxicity,
@@ -78,8 +81,21 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(documents(spark, sf_dir))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_packing.pack_documents(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_sentencepiece, op2_toxicity, op3_bagminhash, op4_unit_dedup, op5_licences, op6_mixing, op7_fingerprints,
-    op8_quality, op9_sharding, op10_nearest)}
+    op8_quality, op9_sharding, op10_nearest, op11_phrases, op12_packing, op13_prefix_trie)}
 
-ORACLE: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_sharding": sharding.ORACLE}
+ORACLE: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_sharding": sharding.ORACLE,
+                          "op11_phrases": phrase_mining.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}

@@ -15,6 +15,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from skuflow.operators.sequences import carry_forward
 
 
 def versions(upserts: DataFrame, key_cols: list[str], attr_cols: list[str], order_cols: list[str],
@@ -47,10 +50,27 @@ def intervals(history: DataFrame, key_cols: list[str], time_col: str, order_cols
 
 
 def as_of(facts: DataFrame, history: DataFrame, key_cols: list[str], fact_time: str,
-          carry: list[str]) -> DataFrame:
-    """For each fact, the history row in force at ``fact_time`` (left join)."""
-    h = history.select(*[F.col(k).alias(f"_h_{k}") for k in key_cols], "valid_from", "valid_to", *carry)
-    cond = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_h_{k}") for k in key_cols])
-    cond = cond & (F.col(fact_time) >= F.col("valid_from")) & (
-        F.col("valid_to").isNull() | (F.col(fact_time) < F.col("valid_to")))
-    return facts.join(h, cond, "left").drop(*[f"_h_{k}" for k in key_cols], "valid_from", "valid_to")
+          carry: list[str], partitions: int | None = None) -> DataFrame:
+    """For each fact, the history row in force at ``fact_time`` (NULLs without one).
+
+    ``history`` has intervals ``[valid_from, valid_to)`` that do not overlap within a key; an empty one
+    (two versions of the same instant) is never in force. A NULL key or time matches nothing.
+    """
+    held = T.StructType([T.StructField("valid_to", history.schema["valid_to"].dataType), *(history.schema[c] for c in carry)])
+    keys = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(key_cols)]
+    # Numbers and instants pass through JSON unchanged as strings.
+    text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in held.names]), {"ignoreNullFields": "false"})
+    versions = history.where("valid_to IS NULL OR valid_to > valid_from").select(
+        *keys, F.col("valid_from").alias("_t"), F.lit(0).alias("_kind"), text.alias("_version"),
+        F.lit(None).cast(facts.schema).alias("_fact"))
+    asked = facts.select(*keys, F.col(fact_time).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("string").alias("_version"),
+                         F.struct(*[F.col(f"`{c}`") for c in facts.columns]).alias("_fact"))
+    places = [f"_k{i}" for i in range(len(key_cols))]
+    usable = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*places, "_t"]])
+    found = carry_forward(versions.unionByName(asked.where(usable)), places, ["_t", "_kind"], "_version", partitions)
+    found = found.where("_kind = 1").unionByName(asked.where(~usable))
+    strings = T.StructType([T.StructField(n, T.StringType()) for n in held.names])
+    read = found.withColumn("_v", F.from_json("_version", strings))
+    until = F.col("_v.valid_to").cast(held["valid_to"].dataType)
+    in_force = until.isNull() | (F.col("_t") < until)
+    return read.select("_fact.*", *[F.when(in_force, F.col(f"_v.{c}")).cast(held[c].dataType).alias(c) for c in carry])

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -34,6 +35,16 @@ from skuflow.session import checkpoint_dir
 _SENTINEL = "\x00<none>"
 
 
+def ranged(df: DataFrame, cols: list[str], partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted on ``cols``, with the stored partition's number as ``_pid``. A
+    reliable checkpoint keeps rows and partitions as they are for all passes that follow."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_pid", F.spark_partition_id())
+            .checkpoint(eager=True))
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
     """(stored partition id, rows): a task may hold several stored partitions, one after the other."""
     for pdf in batches:
@@ -99,13 +110,9 @@ def running_change_versions(df: DataFrame, key_cols: list[str], order_cols: list
                             out: str = "version", partitions: int | None = None) -> DataFrame:
     """``out`` = 1 + number of attribute changes up to each row within its key."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     prepared = df.withColumn("_k", F.to_json(F.struct(*key_cols))).withColumn("_a", F.to_json(F.struct(*attr_cols)))
-    ranged = (prepared.repartitionByRange(n, *key_cols, *order_cols)
-              .sortWithinPartitions(*key_cols, *order_cols).withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    rows = sorted(ranged.select("_pid", "_k", "_a").mapInPandas(_summaries, _SUMMARY).collect(), key=lambda r: r.pid)
+    layout = ranged(prepared, [*key_cols, *order_cols], partitions)
+    rows = sorted(layout.select("_pid", "_k", "_a").mapInPandas(_summaries, _SUMMARY).collect(), key=lambda r: r.pid)
     carry: dict[int, int] = {}
     prev = None  # (last_k, last_a, version of the partition's last row)
     for r in rows:
@@ -116,14 +123,14 @@ def running_change_versions(df: DataFrame, key_cols: list[str], order_cols: list
         last_version = base + r.first_seg_cum if r.segments == 1 else 1 + r.last_seg_cum
         prev = (r.last_k, r.last_a, last_version)
     bc = spark.sparkContext.broadcast(carry)
-    schema = StructType([*ranged.schema.fields, StructField(out, IntegerType())])
+    schema = StructType([*layout.schema.fields, StructField(out, IntegerType())])
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pid, pdf, psi, local in _local(batches):
             base = bc.value.get(pid, 1)
             yield pdf.assign(**{out: np.where(psi == 1, base + local, 1 + local).astype(np.int32)})
 
-    return ranged.mapInPandas(apply, schema).drop("_k", "_a", "_pid")
+    return layout.mapInPandas(apply, schema).drop("_k", "_a", "_pid")
 
 
 def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,16 +151,12 @@ def next_in_key(df: DataFrame, key_cols: list[str], order_cols: list[str], value
     of the next partition that has rows (one row per partition on the driver).
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     prepared = df.withColumn("_k", F.to_json(F.struct(*key_cols))).withColumn("_v", F.unix_micros(value_col))
-    ranged = (prepared.repartitionByRange(n, *key_cols, *order_cols)
-              .sortWithinPartitions(*key_cols, *order_cols).withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    heads = sorted(ranged.select("_pid", "_k", "_v").mapInPandas(_heads, "pid int, k string, v long").collect(),
+    layout = ranged(prepared, [*key_cols, *order_cols], partitions)
+    heads = sorted(layout.select("_pid", "_k", "_v").mapInPandas(_heads, "pid int, k string, v long").collect(),
                    key=lambda r: r.pid)
     follows = spark.sparkContext.broadcast({a.pid: (b.k, b.v) for a, b in zip(heads[:-1], heads[1:], strict=True)})
-    schema = StructType([*ranged.schema.fields, StructField("_next", LongType())])
+    schema = StructType([*layout.schema.fields, StructField("_next", LongType())])
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the run's last row, until its successor is known
@@ -169,7 +172,7 @@ def next_in_key(df: DataFrame, key_cols: list[str], order_cols: list[str], value
         if held is not None:
             yield _with_next(held, follows.value.get(int(held["_pid"].iloc[0])))
 
-    found = ranged.mapInPandas(apply, schema)
+    found = layout.mapInPandas(apply, schema)
     return found.withColumn(out, F.timestamp_micros("_next")).drop("_k", "_v", "_pid", "_next")
 
 
@@ -179,3 +182,67 @@ def _with_next(pdf: pd.DataFrame, after: tuple | None) -> pd.DataFrame:
     if after is not None:
         next_k[-1], next_v[-1] = after
     return pdf.assign(_next=pd.array(np.where(next_k == k, next_v, None), dtype="Int64"))
+
+
+def _last_given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per stored partition: first and last key, and the last given value if it belongs to the last key."""
+    pid = first = last = value = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, values = batch.column("_k"), batch.column("_v")
+        if pid is None:
+            pid, first = batch.column("_pid")[0].as_py(), keys[0].as_py()
+        end = keys[batch.num_rows - 1].as_py()
+        value, last = (value if end == last else None), end
+        given = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+        if len(given) and keys[int(given[-1])].as_py() == end:
+            value = values[int(given[-1])].as_py()
+    if pid is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), *(pa.array([x], pa.string()) for x in (first, last, value))],
+                                         names=["pid", "first", "last", "value"])
+
+
+def carry_forward(df: DataFrame, key_cols: list[str], order_cols: list[str], value_col: str,
+                  partitions: int | None = None) -> DataFrame:
+    """``value_col`` (a string) of each row, or of the last row before it in its key that has one.
+
+    The same layout again: a value is filled forward within a stored partition, and the one at a
+    partition's end (one row per partition on the driver) goes on into the next while its key does.
+    """
+    spark = df.sparkSession
+    prepared = df.withColumn("_k", F.to_json(F.struct(*key_cols))).withColumn("_v", F.col(value_col))
+    layout = ranged(prepared, [*key_cols, *order_cols], partitions)
+    ends = sorted(layout.select("_pid", "_k", "_v").mapInArrow(_last_given, "pid int, first string, last string, value string")
+                  .collect(), key=lambda r: r.pid)
+    carry: dict[int, str | None] = {}
+    key = value = None
+    for e in ends:
+        carry[e.pid] = value if e.first == key else None
+        value = e.value if e.value is not None or e.last != e.first else carry[e.pid]
+        key = e.last
+    shared = spark.sparkContext.broadcast(carry)
+    place = layout.columns.index(value_col)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = value = None
+        started = False
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys, values = batch.column("_k"), batch.column("_v")
+            if not started:
+                started, key, value = True, keys[0].as_py(), shared.value.get(batch.column("_pid")[0].as_py())
+            elif keys[0].as_py() != key:
+                value = None
+            code = keys.dictionary_encode().indices.to_numpy()
+            begin = np.maximum.accumulate(np.where(np.r_[True, code[1:] != code[:-1]], np.arange(n), 0))
+            at = np.maximum.accumulate(np.where(values.is_valid().to_numpy(zero_copy_only=False), np.arange(n), -1))
+            # Places in the batch's own values, or n for the value carried into it, n + 1 for none.
+            at = np.where(at >= begin, at, np.where(begin == 0, n, n + 1))
+            filled = pa.concat_arrays([values, pa.array([value, None], values.type)]).take(pa.array(at))
+            key, value = keys[n - 1].as_py(), filled[n - 1].as_py()
+            yield pa.RecordBatch.from_arrays([filled if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return layout.mapInArrow(apply, layout.schema).drop("_k", "_v", "_pid")

@@ -146,6 +146,7 @@ def _ends(order_col: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         folds, own, pid, one, last = [_Fold(s) for s in range(len(_STATES))], None, None, None, None
         for pdf in batches:
+            pdf = pdf[(pdf["match_status"] == "matched").to_numpy()]
             if pdf.empty:
                 continue
             ships = pdf["shipment_id"]
@@ -169,10 +170,13 @@ def _verdicts(order_col: str, starts: dict[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fold = None
         for pdf in batches:
-            if not pdf.empty:
+            found, status = pdf["match_status"].to_numpy(dtype=object).copy(), np.full(len(pdf), None, dtype=object)
+            ours = found == "matched"
+            if ours.any():
                 fold = fold or _Fold(starts[int(pdf["_pid"].iloc[0])])
-                verdict, after = fold.batch(pdf, order_col)
-                yield pdf.assign(verdict=_VERDICTS[verdict], status_after=_NAMES[after])
+                verdict, after = fold.batch(pdf[ours], order_col)
+                found[ours], status[ours] = _VERDICTS[verdict], _NAMES[after]
+            yield pdf.assign(verdict=found, status_after=status)
     return run
 
 
@@ -182,9 +186,12 @@ def fold_events(events: DataFrame, order_col: str = "arrival_seq", partitions: i
     spark = events.sparkSession
     text = T.StringType()
     fields = [*events.schema.fields, T.StructField("verdict", text), T.StructField("status_after", text)]
-    settled = events.where("match_status <> 'matched'").withColumn("verdict", F.col("match_status")).withColumn(
-        "status_after", F.lit(None).cast(text))
-    rows = events.where("match_status = 'matched'").withColumn("_accepted_at", F.lit(None).cast("double"))
+    rows, settled = events.withColumn("_accepted_at", F.lit(None).cast("double")), None
+
+    def done(judged: DataFrame) -> DataFrame:
+        out = judged.select(*events.columns, "verdict", "status_after")
+        return out if settled is None else settled.unionByName(out)
+
     while True:
         layout = ranged(rows, ["shipment_id", order_col, "external_event_id"], partitions)
         edges = sorted(layout.mapInPandas(_ends(order_col), "pid int, first string, last string, ends array<int>, tail int")
@@ -197,7 +204,7 @@ def fold_events(events: DataFrame, order_col: str = "arrival_seq", partitions: i
             status, before = (e.ends[starts[e.pid]] if e.last == e.first else e.tail), e.last
         judged = layout.mapInPandas(_verdicts(order_col, starts), T.StructType([*layout.schema.fields, *fields[-2:]]))
         if not crossing:
-            return settled.unionByName(judged.select(*events.columns, "verdict", "status_after"))
+            return done(judged)
         judged = store(judged, "verdicts")
         # At most one crossing shipment per partition: a list as short as that of the partitions.
         across = F.broadcast(spark.createDataFrame([(c,) for c in sorted(crossing)], "shipment_id string"))
@@ -210,9 +217,9 @@ def fold_events(events: DataFrame, order_col: str = "arrival_seq", partitions: i
         wrong = ids.where("_open > _accepted_at OR _closed <= _accepted_at OR (_closed IS NOT NULL AND _accepted_at IS NULL)")
         again = [(r.shipment_id,) for r in wrong.select("shipment_id").distinct().collect()]
         if not again:
-            return settled.unionByName(judged.select(*events.columns, "verdict", "status_after"))
+            return done(judged)
         again = F.broadcast(spark.createDataFrame(again, "shipment_id string"))
-        settled = settled.unionByName(judged.join(again, "shipment_id", "left_anti").select(*events.columns, "verdict", "status_after"))
+        settled = done(judged.join(again, "shipment_id", "left_anti"))
         rows = judged.select(*events.columns).join(again, "shipment_id", "left_semi").join(
             ids.select("shipment_id", "external_event_id", "_accepted_at"), ["shipment_id", "external_event_id"], "left")
 

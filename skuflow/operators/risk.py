@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from skuflow import schemas as S
 from skuflow.functions import scalars as X
 from skuflow.functions.frames import attach_scalars
-from skuflow.operators.quantiles import approx_quantiles, exact_quantiles
+from skuflow.operators import quality
+from skuflow.operators.quantiles import approx_quantiles, exact_quantiles, resolve, sketch_columns
 
 THRESHOLD_NAMES = ["low_to_medium", "medium_to_high"]
 THRESHOLD_PROBS = [0.5, 0.8]
@@ -51,6 +52,26 @@ def risk_thresholds(projected: DataFrame, method: str = "exact",
     return q.select(*group_cols, *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in THRESHOLD_NAMES])
 
 
+def gated_thresholds(projected: DataFrame, group_cols: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The quality gate (E1) and exact thresholds (E4) from two reads of ``projected``: report columns and
+    ``THRESHOLD_NAMES``, one row (per group).
+
+    The first read counts rows and invalid rows per key and, over the keys, sketches the ratios: in a
+    history that passes, a key is a row. The second resolves the sketch."""
+    g = list(group_cols)
+    ratio = F.when(F.col("shortage_ratio") > 0, F.col("shortage_ratio"))
+    per_key = quality.key_counts(projected, F.max(ratio).alias("_ratio"))
+    stats = per_key.groupBy(*g).agg(*quality.report_columns(), *sketch_columns(F.col("_ratio"), THRESHOLD_PROBS))
+    stats = stats.withColumn("passed", quality.passed())
+    base = projected.select(*g, ratio.alias("_x")).where(F.col("_x").isNotNull())
+    bounds = resolve(base, stats.where("passed").select(*g, "_n", "_a"), THRESHOLD_PROBS, THRESHOLD_NAMES, g)
+    report = stats.drop("_a")
+    both = report.join(bounds, g, "left") if g else attach_scalars(report, bounds)
+    # With _n the report's plan counts ratios as the sketch's does, and shares its exchange.
+    return both.select(*[c for c in report.columns if c != "_n"],
+                       *[F.when(F.col("_n") > 0, F.col(n)).otherwise(0.0).alias(n) for n in THRESHOLD_NAMES])
+
+
 def assign_severity(projected: DataFrame, thresholds: DataFrame,
                     group_cols: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Band each row against its run's thresholds."""
@@ -60,9 +81,12 @@ def assign_severity(projected: DataFrame, thresholds: DataFrame,
         joined = projected.join(thresholds, g, "left").fillna(0.0, subset=THRESHOLD_NAMES)
     else:
         joined = attach_scalars(projected, thresholds)
-    return joined.withColumn(
-        "severity", X.severity_band("shortage_ratio", "low_to_medium", "medium_to_high")
-    ).drop(*THRESHOLD_NAMES)
+    return banded(joined)
+
+
+def banded(rows: DataFrame) -> DataFrame:
+    """``severity`` of rows that carry their run's thresholds."""
+    return rows.withColumn("severity", X.severity_band("shortage_ratio", *THRESHOLD_NAMES)).drop(*THRESHOLD_NAMES)
 
 
 def score(df: DataFrame, method: str = "exact",

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skuflow.llm.common import bound_batches, staged
+from skuflow.llm.common import bound_batches, staged, text_slices
 from skuflow.llm.double_array import DoubleArray, pack
 
 MAX_WORDS = 5
@@ -53,8 +53,10 @@ TOP = 2000
 DICTIONARY = 500_000
 TRIE_PHRASES = 1_000_000
 SALT = 32
-STRETCH = 2_000_000
-COUNTED = 400_000
+STRETCH = 500_000
+COUNTED = 250_000
+SLICE_CHARS = 2_000_000
+ROWS = 65_536
 
 _BORDER = b"\xff"  # no byte of a UTF-8 text
 _CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _BORDER * 10)
@@ -72,7 +74,9 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         if text:
             groups.setdefault(lang, []).append(text)
-    yield from groups.items()
+    for lang, group in groups.items():
+        for _, part in text_slices(group, SLICE_CHARS):
+            yield lang, part
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -90,9 +94,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 counter = found.setdefault(lang, Counter())
                 counter.update(words(group))
                 counter.pop(_BORDER, None)
-            if sum(map(len, found.values())) > COUNTED:
-                yield rows(found)
-                found = {}
+                if sum(map(len, found.values())) > COUNTED:
+                    yield rows(found)
+                    found = {}
         yield rows(found)
 
     return texts.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
@@ -171,12 +175,15 @@ def _cells(state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key >> 32, key & 0xFFFFFFFF, np.bincount(place, minlength=len(key))
 
 
-def _counted(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Rows of phrases (one per row of ``ids``) with their counts."""
-    wide = np.zeros((len(ids), 6), dtype=np.int64)
-    wide[:, :ids.shape[1]] = ids
-    return pa.RecordBatch.from_arrays([*(pa.array(wide[:, i] << 32 | wide[:, i + 1]) for i in (0, 2, 4)),
-                                       pa.array(counts.astype(np.int64))], names=["a", "b", "c", "f"])
+def _counted(phrase: np.ndarray, phrases: np.ndarray, word: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of the phrases ``phrases[phrase]`` and a word more, with their counts."""
+    k = phrases.shape[1]
+    for i in range(0, len(counts), ROWS):
+        rows = slice(i, i + ROWS)
+        wide = np.zeros((len(counts[rows]), 6), dtype=np.int64)
+        wide[:, :k], wide[:, k] = phrases[phrase[rows]], word[rows]
+        yield pa.RecordBatch.from_arrays([*(pa.array(wide[:, j] << 32 | wide[:, j + 1]) for j in (0, 2, 4)),
+                                          pa.array(counts[rows].astype(np.int64))], names=["a", "b", "c", "f"])
 
 
 def phrase_words(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -235,7 +242,7 @@ def count_level(coded: DataFrame, shorter: DataFrame, k: int, min_count: int, tr
                 # With one trie both ends of a candidate are known to be frequent.
                 more &= accepted[at + 1] if blocks == 1 else ids[np.minimum(ahead, len(ids) - 1)] > 0
                 phrase, word, count = _cells(phrase_at[state[more]], ids[ahead[more]])
-                yield _counted(np.column_stack([phrases[phrase], word]), count)
+                yield from _counted(phrase, phrases, word, count)
 
         found = coded.mapInArrow(run, _COUNTS)
         made = found if made is None else made.unionByName(found)

@@ -6,12 +6,12 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from skuflow.llm import mixing, piece_codec
+from skuflow.llm import mixing, piece_codec, unit_dedup
 from tests.llm.conftest import paragraphs
 from tests.llm.test_bagminhash import brute_classes
 from tests.llm.test_mixing import brute_targets, size
 from tests.llm.test_pu_quality import junk
-from tests.llm.test_unit_dedup import brute as brute_spans
+from tests.llm.test_unit_dedup import check_removed, spans_of
 
 
 def corpus(folder, spark):
@@ -60,7 +60,8 @@ def test_stages_against_plain_versions(spark, tmp_path):
     short = stages["repeated_passages"](spark, single, str(tmp_path)).cache()
     assert short.columns == columns
     before = [(i, t) for i, t, _ in rows_of(single)]
-    spans, want = dict(brute_spans(before)), {}
+    spans, want = dict(spans_of(unit_dedup.remove_repeats(single, whole_lines=True))), {}
+    assert check_removed(before, spans, True) > 100
     for i, t in before:
         for a, b in reversed(spans[i]):
             t = t[:a] + t[b:]
@@ -114,4 +115,4 @@ def test_registered_names():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))

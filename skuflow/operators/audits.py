@@ -1,48 +1,98 @@
-"""Declared-constraint audits as Spark jobs.
+"""Declared-constraint audits as one Spark job.
 
 The relational model declares CHECK, UNIQUE, FOREIGN KEY, enum and length
-constraints. Spark enforces none of them, so each becomes an audit that
-counts violating rows:
-
-* CHECK, enum and length: ``count_if(NOT rule)`` for all rules of a table in one
-  aggregate (a rule on NULL passes, as in SQL);
-* UNIQUE: key groups with more than one row, ignoring rows with a NULL key
-  (UNIQUE admits NULLs) - a partial aggregate, so a hot key is combined
-  map-side;
-* FOREIGN KEY: ``left_anti`` of the counted non-NULL references against the parent.
+constraints. Spark enforces none of them, so each becomes an audit that counts
+what breaks it. Every table is read once, whatever number of rules it has part
+in; a row gives one entry ``(scope, key, slot)`` for
+
+* each CHECK, enum or length rule that it breaks (a rule on NULL passes, as in SQL);
+* each UNIQUE rule: scope is the rule, key its columns (rows with a NULL key are
+  exempt, as UNIQUE admits NULLs);
+* each FOREIGN KEY of its own: scope is the parent's column, key the reference, slot
+  the rule, so that all children of a parent meet in one place;
+* each column that other tables refer to: the same scope, and the key is known.
+
+One aggregate by (scope, key) over the entries of all tables then says how often
+a unique key occurs and whether a reference has its parent: no joins, and one
+exchange, before which a key with very many rows is combined to one entry a task.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ENTRY = "struct<scope:string,key:string,slot:int,parent:boolean>"
+
+
+def _key(columns: list[str]) -> Column:
+    """The values as one string, each with its length in front."""
+    text = [F.col(c).cast("string") for c in columns]
+    return F.concat(*[part for t in text for part in (F.char_length(t).cast("string"), F.lit(":"), t)])
+
+
+def _entry(scope: str, key: Column, slot: int = 0, parent: bool = False) -> Column:
+    return F.struct(F.lit(scope).alias("scope"), key.alias("key"), F.lit(slot).alias("slot"), F.lit(parent).alias("parent"))
+
+
+class Rules:
+    """Rules to audit: ``row``: table -> {(family, rule): SQL condition}; ``unique``: (table, rule, columns);
+    ``foreign``: (table, rule, column, parent table, parent column)."""
+
+    def __init__(self, row: dict[str, dict[tuple[str, str], str]], unique: list[tuple[str, str, list[str]]],
+                 foreign: list[tuple[str, str, str, str, str]]):
+        self.row, self.unique, self.foreign = row, unique, foreign
+        by_parent: dict[str, list] = {}
+        for rule in foreign:
+            by_parent.setdefault(f"{rule[3]}.{rule[4]}", []).append(rule)
+        self.by_parent = by_parent
+        self.slots = max([1, *map(len, by_parent.values())])
+
+    def tables(self) -> list[str]:
+        named = {t for t, rules in self.row.items() if rules} | {u[0] for u in self.unique}
+        return sorted(named | {f[0] for f in self.foreign} | {f[3] for f in self.foreign})
+
+    def entries(self, table: str) -> list[Column]:
+        """What a row of the table adds; NULL for nothing."""
+        out = [F.when(~F.expr(cond), _entry(f"{family}|{table}|{rule}", F.lit("")))
+               for (family, rule), cond in self.row.get(table, {}).items()]
+        out += [F.when(_key(keys).isNotNull(), _entry(f"unique|{table}|{rule}", _key(keys)))
+                for t, rule, keys in self.unique if t == table]
+        for scope, rules in self.by_parent.items():
+            out += [F.when(F.col(column).isNotNull(), _entry(scope, _key([column]), slot))
+                    for slot, (t, _, column, _, _) in enumerate(rules) if t == table]
+            if rules[0][3] == table:
+                known = _key([rules[0][4]])
+                out.append(F.when(known.isNotNull(), _entry(scope, known, -1, True)))
+        return out
+
+    def listed(self, spark: SparkSession) -> DataFrame:
+        """``(scope, slot, audit, table_name, rule)``: every rule once."""
+        rows = [(f"{family}|{t}|{rule}", 0, family, t, rule) for t, rules in self.row.items() for family, rule in rules]
+        rows += [(f"unique|{t}|{rule}", 0, "unique", t, rule) for t, rule, _ in self.unique]
+        rows += [(scope, slot, "foreign_key", t, rule) for scope, rules in self.by_parent.items()
+                 for slot, (t, rule, *_) in enumerate(rules)]
+        return spark.createDataFrame(rows, "scope string, slot int, audit string, table_name string, rule string")
+
 
-def row_violations(table: str, df: DataFrame, rules: dict[tuple[str, str], str]) -> DataFrame:
-    """Rows that break each ``(family, rule)`` (an SQL condition), one
-    aggregate over ``df`` for all of them; a rule on NULL passes."""
-    counts = df.agg(*[F.count_if(~F.expr(cond)).alias(f"_r{i}") for i, cond in enumerate(rules.values())])
-    stacked = ", ".join(f"'{family}', '{rule}', `_r{i}`" for i, (family, rule) in enumerate(rules))
-    return counts.select(F.lit(table).alias("table_name"),
-                         F.expr(f"stack({len(rules)}, {stacked}) as (audit, rule, violations)"))
-
-
-def unique_violations(table: str, df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """L2: duplicated key groups (rows with a NULL key column are exempt)."""
-    not_null = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    dup = df.where(not_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return dup.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit("unique").alias("audit"), F.lit(table).alias("table_name"), F.lit(name).alias("rule"), "violations")
-
-
-def fk_violations(table: str, child: DataFrame, name: str, child_key: str, parent: DataFrame,
-                  parent_key: str) -> DataFrame:
-    """L3: child rows whose non-NULL reference has no parent. References are
-    counted before the join, so a parent with very many children is one row."""
-    c = child.select(F.col(child_key).alias("_k")).where(F.col("_k").isNotNull()).groupBy("_k").agg(
-        F.count(F.lit(1)).alias("_n"))
-    orphans = c.join(parent.select(F.col(parent_key).alias("_k")), "_k", "left_anti")
-    return orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("violations")).select(
-        F.lit("foreign_key").alias("audit"), F.lit(table).alias("table_name"), F.lit(name).alias("rule"), "violations")
+def violations(spark: SparkSession, rules: Rules, table) -> DataFrame:
+    """``(audit, table_name, rule, violations)``: rows that break a row rule, key groups with more than one
+    row, references without a parent. ``table``: name -> DataFrame."""
+    parts = []
+    for name in rules.tables():
+        found = F.filter(F.array(*[e.cast(_ENTRY) for e in rules.entries(name)]), lambda e: e.isNotNull())
+        parts.append(table(name).select(F.explode(found).alias("e")).select("e.*"))
+    entries = reduce(lambda a, b: a.unionByName(b), parts)
+    keys = entries.groupBy("scope", "key").agg(
+        F.bool_or("parent").alias("known"), *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in range(rules.slots)])
+    # A row rule or unique rule has a scope of its own; the slots of a parent's scope are its children's rules.
+    scopes = keys.groupBy("scope").agg(
+        F.sum("n0").alias("rows"), F.count_if(F.col("n0") > 1).alias("repeated"),
+        F.array(*[F.sum(F.when(~F.col("known"), F.col(f"n{i}")).otherwise(0)) for i in range(rules.slots)]).alias("orphans"))
+    count = (F.when(F.col("audit") == "unique", F.col("repeated"))
+             .when(F.col("audit") == "foreign_key", F.get("orphans", "slot")).otherwise(F.col("rows")))
+    # The rules are a fixed list, the counts as many at most.
+    return rules.listed(spark).join(F.broadcast(scopes), "scope", "left").select(
+        "audit", "table_name", "rule", F.coalesce(count, F.lit(0).cast("long")).alias("violations"))

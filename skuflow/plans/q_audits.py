@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from skuflow import schemas as S
 from skuflow.operators import audits, imports, reports, risk
@@ -149,10 +148,6 @@ DUCK = {
     "shipments": "e_order_shipments", "operation_events": "e_op_events", "shipment_events": "e_shipment_events",
     "import_errors": "e_import_errors", "inventory_reconciliations": "e_reconciliations",
 }
-# Tables that come out of a pipeline and are read by several rules: written once per audit.
-STORED = {"inventory_snapshots", "stockout_risks", "import_attempts", "purchase_order_lines"}
-
-
 def _columns(table: str) -> list[str]:
     """The columns that some rule of the table reads (or derives one from)."""
     wanted = {c for t, _, keys in UNIQUES if t == table for c in keys} | set(LENGTHS.get(table, {}))
@@ -185,7 +180,8 @@ class Tables:
             df = getattr(self, f"_{table}", lambda: getattr(E, table)(self.spark, self.sf))()
             df = df.selectExpr("*", *[f"{e} AS {c}" for c, e in EXTRA.get(table, {}).items()])
             df = df.select(*[c for c in _columns(table) if c in df.columns], *self._also(table))
-            self.built[table] = store(df, f"audit-{table}") if table in STORED else df
+            # Positions are made from the snapshots: written once, read by both.
+            self.built[table] = store(df, f"audit-{table}") if table == "inventory_snapshots" else df
         return self.built[table]
 
     @staticmethod
@@ -230,25 +226,11 @@ class Tables:
         return E.reconciliations(self.spark, self.sf)
 
 
-def _union(parts):
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def _audit(spark, sf, families: tuple[str, ...]):
-    """``(audit, table_name, rule, violations)`` of the wanted families.
-
-    All CHECK, enum and length rules of a table are one aggregate over it.
-    """
-    tables, parts = Tables(spark, sf), []
-    for table in TABLE_NAMES:
-        rules = _row_rules(table, families)
-        if rules:
-            parts.append(audits.row_violations(table, tables[table], rules))
-    if "unique" in families:
-        parts += [audits.unique_violations(t, tables[t], name, keys) for t, name, keys in UNIQUES]
-    if "foreign_key" in families:
-        parts += [audits.fk_violations(t, tables[t], name, ck, tables[p], pk) for t, name, ck, p, pk in FOREIGN_KEYS]
-    return _union(parts)
+    """``(audit, table_name, rule, violations)`` of the wanted families."""
+    rules = audits.Rules({t: _row_rules(t, families) for t in TABLE_NAMES}, UNIQUES if "unique" in families else [],
+                         FOREIGN_KEYS if "foreign_key" in families else [])
+    return audits.violations(spark, rules, Tables(spark, sf).__getitem__)
 
 
 # --- oracle SQL generated from the same declared constraints ------------------

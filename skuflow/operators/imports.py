@@ -11,6 +11,8 @@ queries per record. Here a whole batch of jobs is one plan:
   joined back to the records, so a hot key is combined map-side and its join
   is split by AQE's skew handling instead of being sorted in one window task;
 * the first failing rule wins (F2) in one ``CASE`` chain;
+* where only accepted records are wanted (snapshots, positions, counts), two
+  aggregates find them and nothing is joined back (``accepted``);
 * positions keep the last accepted write in source order (F3) via ``max_by``.
 
 Jobs are ordered by ``job_seq`` (arrival order of jobs); within a job records
@@ -122,6 +124,24 @@ def verdicts(records: DataFrame, product_map: DataFrame, warehouse_map: DataFram
     )
 
 
+def accepted(records: DataFrame, product_map: DataFrame, warehouse_map: DataFrame,
+             stored: DataFrame | None = None) -> DataFrame:
+    """The accepted records alone, as ``verdicts(...).where("accepted")`` gives them, without joins to themselves.
+
+    At most one record of a source key is accepted: the first of its job, in the first job in which that
+    one's mappings hold. So two aggregates find them: the first record per key and job, which is then mapped,
+    and the first job per key. A key with very many records is combined before it is shuffled or joined.
+    """
+    payload = [c for c in records.columns if c not in (*SOURCE_KEY, "job_seq")]
+    first = records.groupBy(*SOURCE_KEY, "job_seq").agg(F.min_by(F.struct(*payload), F.col("source_row")).alias("_r"))
+    good = mapping_flags(first.select(*SOURCE_KEY, "job_seq", "_r.*"), product_map, warehouse_map).where("_map_code IS NULL")
+    kept = [c for c in good.columns if c not in (*SOURCE_KEY, "_map_code", "_map_field")]
+    one = good.groupBy(*SOURCE_KEY).agg(F.min_by(F.struct(*kept), F.col("job_seq")).alias("_r")).select(*SOURCE_KEY, "_r.*")
+    if stored is not None:
+        one = one.join(stored.select(*SOURCE_KEY).distinct(), SOURCE_KEY, "left_anti")
+    return one.withColumn("accepted", F.lit(True))
+
+
 def snapshots(v: DataFrame) -> DataFrame:
     """Accepted records as append-only snapshots in canonical units."""
     acc = v.where("accepted")

@@ -7,6 +7,7 @@ import re
 from skuflow import schemas as S
 from skuflow.operators import audits, imports, reports, risk
 from skuflow.plans.catalog import register
+from skuflow.plans.q_imports import accepted_snapshots
 from skuflow.session import store
 from skuflow.sources import entities as E
 from skuflow.sources import synthetic, views
@@ -190,9 +191,7 @@ class Tables:
         return ["job_seq", "source_row"] if table == "inventory_snapshots" else []
 
     def _inventory_snapshots(self):
-        return imports.snapshots(imports.verdicts(
-            views.feed_records(self.spark, self.sf), views.product_map(self.spark, self.sf),
-            views.warehouse_map(self.spark, self.sf), once=lambda df: store(df, "mapped-records")))
+        return accepted_snapshots(self.spark, self.sf)
 
     def _inventory_positions(self):
         return imports.positions(self["inventory_snapshots"])

@@ -15,6 +15,12 @@ def _verdicts(spark, sf):
                             views.warehouse_map(spark, sf), once=lambda df: store(df, "mapped-records"))
 
 
+def accepted_snapshots(spark, sf):
+    """Snapshots of all accepted records of the feed."""
+    return imports.snapshots(imports.accepted(views.feed_records(spark, sf), views.product_map(spark, sf),
+                                              views.warehouse_map(spark, sf)))
+
+
 @register("map_products", """
 SELECT import_job_id, source_row, product_id, product_mapping_version, product_id IS NOT NULL AS product_found
 FROM v_flagged
@@ -85,7 +91,7 @@ SELECT import_job_id, source_row, on_hand_quantity, reserved_quantity, units_per
 """, ["v_snapshots"])
 def q_unit_conversion(spark, sf):
     """Canonical quantities = source x mapping factor, DECIMAL(18,3)."""
-    return imports.snapshots(_verdicts(spark, sf)).select(
+    return accepted_snapshots(spark, sf).select(
         "import_job_id", "source_row", "on_hand_quantity", "reserved_quantity", "units_per_source_unit")
 
 
@@ -98,7 +104,7 @@ FROM v_snapshots GROUP BY warehouse_id, product_id
 """, ["v_snapshots"])
 def q_position_upsert(spark, sf):
     """last accepted write per (warehouse, product) wins; version counts writes."""
-    return imports.positions(imports.snapshots(_verdicts(spark, sf)))
+    return imports.positions(accepted_snapshots(spark, sf))
 
 
 @register("import_accounting", """
@@ -133,7 +139,7 @@ def q_supplier_import(spark, sf):
     """Canonical records -> verdicts -> accepted snapshots in canonical units."""
     from skuflow.functions.scalars import utc_iso
 
-    s = imports.snapshots(_verdicts(spark, sf))
+    s = accepted_snapshots(spark, sf)
     return s.drop("job_seq").withColumn("observed_at", utc_iso("observed_at"))
 
 

@@ -9,7 +9,8 @@ from skuflow.functions import scalars as X
 from skuflow.functions.frames import attach_scalars
 from skuflow.operators import imports, lifecycle, partners, reports
 from skuflow.plans.catalog import register
-from skuflow.session import materialize, store
+from skuflow.plans.q_imports import accepted_snapshots
+from skuflow.session import materialize
 from skuflow.sources import entities as E
 from skuflow.sources import views
 
@@ -21,15 +22,7 @@ def _iso(c):
 
 
 def _positions(spark, sf):
-    v = imports.verdicts(views.feed_records(spark, sf), views.product_map(spark, sf), views.warehouse_map(spark, sf),
-                         once=lambda df: store(df, "mapped-records"))
-    return imports.positions(imports.snapshots(v))
-
-
-def _snapshots(spark, sf):
-    v = imports.verdicts(views.feed_records(spark, sf), views.product_map(spark, sf), views.warehouse_map(spark, sf),
-                         once=lambda df: store(df, "mapped-records"))
-    return imports.snapshots(v)
+    return imports.positions(accepted_snapshots(spark, sf))
 
 
 _LINEAGE_SQL = """
@@ -46,7 +39,7 @@ FROM v_snapshots s JOIN e_products p USING (product_id) JOIN e_warehouses w USIN
 @register("snapshot_lineage", _LINEAGE_SQL, ["v_snapshots", "e_products", "e_warehouses"])
 def q_snapshot_lineage(spark, sf):
     """Snapshot joined to canonical product and warehouse, with source units."""
-    s = _snapshots(spark, sf)
+    s = accepted_snapshots(spark, sf)
     j = s.join(E.products(spark, sf).select("product_id", F.col("sku").alias("canonical_sku")), "product_id") \
         .join(E.warehouses(spark, sf).select("warehouse_id", F.col("code").alias("warehouse_code")), "warehouse_id")
     return j.select(
@@ -67,7 +60,7 @@ FROM v_snapshots
 """, ["v_snapshots"])
 def q_reverse_unit_view(spark, sf):
     """Source quantity = canonical / factor beside the canonical value."""
-    s = _snapshots(spark, sf)
+    s = accepted_snapshots(spark, sf)
     return s.select("import_job_id", "source_row", "units_per_source_unit",
                     X.reverse_unit("on_hand_quantity", "units_per_source_unit").alias("source_on_hand"),
                     "on_hand_quantity")
@@ -237,8 +230,10 @@ def q_import_status_counts(spark, sf):
 
 def _entity_counts(spark, sf):
     """Rows per entity. Snapshots and the positions they make are counted by
-    one aggregate over (warehouse, product), so the import plan runs once."""
-    per_position = _snapshots(spark, sf).groupBy("warehouse_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
+    one aggregate over (warehouse, product) of the columns that acceptance depends on."""
+    narrow = views.feed_records(spark, sf).select(*imports.SOURCE_KEY, "job_seq", "source_row", "source_unit", "units_per_source_unit")
+    found = imports.accepted(narrow, views.product_map(spark, sf), views.warehouse_map(spark, sf))
+    per_position = found.groupBy("warehouse_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
     stored = per_position.agg(F.count(F.lit(1)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).select(
         F.expr("stack(2, 'inventory_positions', p, 'inventory_snapshots', s) as (entity, row_count)"))
     return reports.entity_counts({

@@ -66,14 +66,23 @@ def write_raw_content_addressed(files: DataFrame, root: str) -> DataFrame:
 
 def write_analytics_run(header: DataFrame, details: DataFrame, root: str) -> None:
     """Run header and detail rows keyed by (run_id, record_index). Details
-    are dealt by ranges of the key, so a large run is written by many tasks."""
-    header.write.mode("append").partitionBy("run_id").parquet(f"{root}/analytics_runs")
-    (details.repartitionByRange("run_id", "record_index").sortWithinPartitions("run_id", "record_index")
-     .write.mode("append").partitionBy("run_id").parquet(f"{root}/analytics_details"))
-
-
-def append_operation_events(events: DataFrame, path: str) -> None:
-    """Append-only audit events (component, stage, status, details)."""
+    are dealt by ranges of the key, so a large run is written by many tasks. A
+    repeated run replaces its own partition, so nothing of it is stored twice."""
+    def replace(df: DataFrame, name: str) -> None:
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{root}/{name}"))
+
+    replace(header, "analytics_runs")
+    replace(details.repartitionByRange("run_id", "record_index").sortWithinPartitions("run_id", "record_index"), "analytics_details")
+
+
+def append_operation_events(events: DataFrame, path: str, key: str = "event_id") -> None:
+    """Append-only audit events (component, stage, status, details). Events that have
+    a ``key`` are stored once, whichever attempt of a stage brings them."""
+    if key in events.columns:
+        events = events.dropDuplicates([key])
+        if path_exists(events.sparkSession, path):
+            held = events.sparkSession.read.parquet(path).select(key)
+            events = events.join(held, key, "left_anti")
     events.write.mode("append").parquet(path)
 
 
@@ -94,6 +103,21 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop, True)
 
 
+def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern (one listing, metadata only)."""
+    fs, hadoop = _path(spark, pattern)
+    return [str(s.getPath().toString()) for s in fs.globStatus(hadoop) or []]
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Put ``source`` in the place of ``target``."""
+    fs, at = _path(spark, target)
+    fs.delete(at, True)
+    fs.mkdirs(at.getParent())
+    if not fs.rename(_path(spark, source)[1], at):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def list_files(spark: SparkSession, path: str) -> list[str]:
     """Relative keys of the files under ``path`` (Hadoop FS listing, metadata only)."""
     fs, root = _path(spark, path)

@@ -182,3 +182,56 @@ def test_analytics_run_and_operation_events_sinks(spark, tmp_out):
     writers.append_operation_events(ev, f"{tmp_out}/events")
     writers.append_operation_events(ev, f"{tmp_out}/events")
     assert spark.read.parquet(f"{tmp_out}/events").count() == 2
+
+
+def test_repeated_runs_and_stages_are_stored_once(spark, tmp_out):
+    header = lambda run, n: spark.createDataFrame([(run, n)], "run_id string, input_rows int")
+    details = lambda run, n: spark.createDataFrame([(run, i, float(i)) for i in range(n)], "run_id string, record_index long, value double")
+    for run, n in (("R1", 10), ("R2", 5), ("R1", 8)):  # the third is the first run again
+        writers.write_analytics_run(header(run, n), details(run, n), tmp_out)
+    stored = {r.run_id: r["count"] for r in spark.read.parquet(f"{tmp_out}/analytics_details").groupBy("run_id").count().collect()}
+    assert stored == {"R1": 8, "R2": 5} and spark.read.parquet(f"{tmp_out}/analytics_runs").count() == 2
+    events = lambda *ids: spark.createDataFrame([(i, "imports", "done") for i in ids], "event_id string, component string, status string")
+    for batch in (events("a", "b", "b"), events("b", "c"), events("a", "b", "c")):
+        writers.append_operation_events(batch, f"{tmp_out}/audit")
+    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_out}/audit").collect()) == ["a", "b", "c"]
+
+
+def _jobs(spark, run) -> int:
+    """Spark jobs that ``run`` starts."""
+    group = f"count-{id(run)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_of_a_backfill_do_not_depend_on_its_dates(spark, tmp_out):
+    def run(last, out):
+        hist = synthetic.history_partitions(views.order_index(spark, SF001), "2026-07-27", last)
+        return _jobs(spark, lambda: pipeline.run_backfill(spark, hist, "many", out))
+
+    few, many = run("2026-07-28", f"{tmp_out}/few"), run("2026-08-04", f"{tmp_out}/many")
+    assert many <= few + 2 and few > 3
+    assert pipeline.latest_runs(spark, f"{tmp_out}/many").count() == 9
+
+
+def test_an_interrupted_backfill_is_finished_by_the_next(spark, tmp_out, monkeypatch):
+    hist = synthetic.history_partitions(views.order_index(spark, SF001), "2026-07-27", "2026-07-29")
+    real = pipeline.commit
+    monkeypatch.setattr(pipeline, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        pipeline.run_backfill(spark, hist, "r1", tmp_out)  # manifests are there, neither commits nor latest
+    monkeypatch.setattr(pipeline, "commit", real)
+    for _ in range(2):
+        assert pipeline.run_backfill(spark, hist, "r1", tmp_out).where("published").count() == 3
+    log = spark.read.parquet(f"{tmp_out}/{pipeline.COMMITS}")
+    assert log.count() == 3 and log.select("manifest_key").distinct().count() == 3
+    pipeline.run_backfill(spark, hist, "r2", tmp_out)
+    newest = {str(r.event_date): (r.run_id, r.manifest_key) for r in pipeline.latest_runs(spark, tmp_out).collect()}
+    assert len(newest) == 3 and {run for run, _ in newest.values()} == {"r2"}
+    for day, (_, key) in newest.items():
+        document = writers.read_json_document(spark, f"{tmp_out}/{key}")
+        assert writers.read_json_document(spark, f"{tmp_out}/{pipeline.MANIFESTS}/event_date={day}/latest.json") == document

@@ -15,3 +15,11 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     pairwise product.
     """
     return df.crossJoin(F.broadcast(one_row))
+
+
+def exactly_one(frame: DataFrame, what: str) -> DataFrame:
+    """``frame`` if it has one row; otherwise the plan fails. For a row that is looked up rather than
+    aggregated, before ``attach_scalars``: two rows would double the other side, none would empty it."""
+    found = frame.agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*frame.columns)).alias("_row"))
+    error = F.raise_error(F.concat(F.lit(f"{what}: one row expected, not "), F.col("_n").cast("string")))
+    return found.select(F.when(F.col("_n") == 1, F.col("_row")).otherwise(error).alias("_row")).select("_row.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skuflow.functions import scalars as X
-from skuflow.functions.frames import attach_scalars
+from skuflow.functions.frames import attach_scalars, exactly_one
 from skuflow.operators import imports, lifecycle, partners, reports
 from skuflow.plans.catalog import register
 from skuflow.plans.q_imports import accepted_snapshots
@@ -396,7 +396,7 @@ def q_events_after_cursor(spark, sf):
     mid = ev.agg(F.floor(F.max("event_seq") / 2).alias("_mid"))
     cursor = ev.join(F.broadcast(mid), ev.event_seq == mid._mid).select(
         F.col("occurred_at").alias("_t"), F.col("event_id").alias("_id"))
-    out = attach_scalars(ev, cursor).where((F.col("occurred_at") >= F.col("_t")) & (F.col("event_id") != F.col("_id")))
+    out = attach_scalars(ev, exactly_one(cursor, "cursor event")).where((F.col("occurred_at") >= F.col("_t")) & (F.col("event_id") != F.col("_id")))
     return out.select("event_id", _iso("occurred_at"))
 
 

@@ -77,3 +77,13 @@ def test_quantiles_read_their_rows_twice_and_the_pipeline_three_times(spark):
 def test_broadcast_strategy_broadcasts_a_small_hub_side(spark):
     plan = _plan(catalog.queries()["reconcile_strategy"](spark, SF001))
     assert "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("n", [0, 2])
+def test_a_cursor_that_is_not_one_row_fails(spark, n):
+    from skuflow.functions.frames import attach_scalars, exactly_one
+
+    one = spark.range(5).where("id = 3").withColumnRenamed("id", "c")
+    assert attach_scalars(spark.range(4), exactly_one(one, "cursor")).count() == 4
+    with pytest.raises(Exception, match="one row expected"):
+        attach_scalars(spark.range(4), exactly_one(spark.range(n).withColumnRenamed("id", "c"), "cursor")).collect()

@@ -72,6 +72,18 @@ def histogram_quantile(log: DataFrame, q: float = 0.95, buckets: list[float] = D
                          "total", value.alias("p95_seconds"))
 
 
+def gauge_changes(log: DataFrame, time_col: str = "completed_at", longest_us: int | None = None) -> DataFrame:
+    """``(t, n)``: +1 at a request's first sample instant and -1 after its last, in microseconds. With
+    ``longest_us``, a request that took longer counts for that long."""
+    step, end_us, took = SCRAPE_INTERVAL_US, F.unix_micros(F.col(time_col)), F.col("duration_us")
+    if longest_us is not None:
+        took = F.least(took, F.lit(longest_us))
+    first = F.ceil((end_us - took) / step).cast("bigint") * step
+    after = F.floor((end_us - 1) / step).cast("bigint") * step + step
+    return log.select(F.explode(F.array(
+        F.struct(first.alias("t"), F.lit(1).alias("n")), F.struct(after.alias("t"), F.lit(-1).alias("n")))).alias("c")).select("c.*")
+
+
 def requests_in_progress(log: DataFrame, time_col: str = "completed_at") -> DataFrame:
     """In-flight requests at each 5 s sample instant t (start <= t < end),
     every instant from the first start to the last end, idle ones with 0.
@@ -82,12 +94,7 @@ def requests_in_progress(log: DataFrame, time_col: str = "completed_at") -> Data
     (one row per day).
     """
     step, day = SCRAPE_INTERVAL_US, 86_400_000_000
-    end_us = F.unix_micros(F.col(time_col))
-    first = F.ceil((end_us - F.col("duration_us")) / step).cast("bigint") * step
-    after = F.floor((end_us - 1) / step).cast("bigint") * step + step
-    changes = log.select(F.explode(F.array(
-        F.struct(first.alias("t"), F.lit(1).alias("n")), F.struct(after.alias("t"), F.lit(-1).alias("n")))).alias("c"))
-    per_instant = changes.groupBy("c.t").agg(F.sum("c.n").alias("n"))
+    per_instant = gauge_changes(log, time_col).groupBy("t").agg(F.sum("n").alias("n"))
     span = per_instant.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi")
     days = span.select("lo", "hi", F.explode(F.sequence(F.expr(f"lo div {day}"), F.expr(f"(hi - {step}) div {day}"))).alias("d"))
     instants = days.select("d", F.explode(F.sequence(

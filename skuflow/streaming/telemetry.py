@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -29,6 +30,60 @@ def latency_stream(log: DataFrame, time_col: str = "completed_at") -> DataFrame:
     return telemetry.histogram_quantile(log.withWatermark(time_col, WATERMARK), time_col=time_col)
 
 
+LONGEST_US = 600_000_000
+GAUGE_SCHEMA = "sampled_at timestamp, in_progress long"
+GAUGE_STATE = "at array<long>, n array<long>, next long, running long"
+
+
+def _partial_changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per instant and task."""
+    total: pd.Series | None = None
+    for pdf in batches:
+        part = pdf.groupby("t")["n"].sum()
+        total = part if total is None else total.add(part, fill_value=0)
+    if total is not None:
+        t = total.index.to_numpy(dtype=np.int64)
+        yield pd.DataFrame({"at": pd.to_datetime(t, unit="us", utc=True), "t": t, "n": total.to_numpy(dtype=np.int64), "one": 1})
+
+
+def _gauge(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    step = telemetry.SCRAPE_INTERVAL_US
+    at, n, following, running = state.get if state.exists else ([], [], None, 0)
+    pending = pd.Series(list(n), index=list(at), dtype="int64")
+    if not state.hasTimedOut:
+        for pdf in pdfs:
+            pending = pending.add(pdf.groupby("t")["n"].sum(), fill_value=0).astype("int64")
+    closed = state.getCurrentWatermarkMs() * 1000  # no change before this instant can still come
+    ready = pending[pending.index < closed].sort_index()
+    if following is None and len(ready):
+        following = int(ready.index[0])
+    if following is not None and following < closed:
+        instants = np.arange(following, closed, step, dtype=np.int64)
+        change = np.zeros(len(instants), dtype=np.int64)
+        change[(ready.index.to_numpy(dtype=np.int64) - following) // step] = ready.to_numpy()
+        values = running + np.cumsum(change)
+        following, running = int(instants[-1]) + step, int(values[-1])
+        yield pd.DataFrame({"sampled_at": pd.to_datetime(instants, unit="us"), "in_progress": values})
+    rest = pending[pending.index >= closed]
+    state.update(([int(x) for x in rest.index], [int(x) for x in rest], following, running))
+    state.setTimeoutTimestamp(max(0, state.getCurrentWatermarkMs()) + step // 1000)
+
+
+def requests_in_progress_stream(log: DataFrame, time_col: str = "completed_at", longest_us: int = LONGEST_US) -> DataFrame:
+    """J8 streaming: the gauge at every instant that the watermark has passed, idle ones included.
+
+    Two levels: each task of a micro-batch sums its changes per instant, and one state adds those rows, keeps
+    the instants that are still open (the watermark's delay long), and carries the running sum on. A timer
+    emits instants at which nothing changes. A change comes up to a request's duration before its completion,
+    so the watermark waits that much longer, ``longest_us`` at most; a longer request counts for that long.
+    """
+    changes = telemetry.gauge_changes(log, time_col, longest_us)
+    partial = changes.mapInPandas(_partial_changes, "at timestamp, t long, n long, one int")
+    delay = f"{int(pd.Timedelta(WATERMARK).total_seconds()) + -(-longest_us // 1_000_000)} seconds"
+    return partial.withWatermark("at", delay).groupBy("one").applyInPandasWithState(
+        _gauge, GAUGE_SCHEMA, GAUGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 TAIL_SCHEMA = "job_id string, event_id string, occurred_at timestamp, status string, kind string"
 TAIL_STATE = "emitted array<string>, done boolean"
 # Job states that end a tail, and the wait after the last event.

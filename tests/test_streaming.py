@@ -275,3 +275,31 @@ def test_gauge_has_idle_instants(spark):
     want = {first + dt.timedelta(seconds=s): n
             for s, n in ((0, 1), (5, 1), (10, 0), (15, 0), (20, 0), (25, 0), (30, 0), (35, 1), (40, 1))}
     assert got == want
+
+
+def test_gauge_stream_closed_instants_equal_batch(spark):
+    import datetime as dt
+
+    t = dt.datetime(2026, 7, 29, 23, 0, 0)
+    days = [[(t + dt.timedelta(seconds=37 * i + 1800 * b), (i * 7919 % 400) * 1_000_000 + 1) for i in range(25)] for b in range(3)]
+    days.append([(t + dt.timedelta(hours=4), 2_000_000)])  # idle for more than an hour before
+    days.append([(t + dt.timedelta(hours=5), 1_000_000)])
+    schema = "completed_at timestamp, duration_us long"
+    src = tempfile.mkdtemp(prefix="gauge-")
+    for i, rows in enumerate(days):
+        spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{src}/b={i}")
+        os.utime(f"{src}/b={i}", (1_700_000_000 + i,) * 2)
+        for f in os.listdir(f"{src}/b={i}"):
+            os.utime(f"{src}/b={i}/{f}", (1_700_000_000 + i,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(f"{src}/*")
+    q = _run_memory(tstream.requests_in_progress_stream(stream), "gauge_stream")
+    rows = spark.table("gauge_stream").collect()
+    q.stop()
+    got = {r.sampled_at: r.in_progress for r in rows}
+    every = spark.createDataFrame([r for d in days for r in d], schema)
+    batch = {r.sampled_at: r.in_progress for r in telemetry.requests_in_progress(every).collect()}
+    assert len(got) == len(rows) > 1000
+    closed = t + dt.timedelta(hours=5) - dt.timedelta(minutes=20)
+    want = {k: v for k, v in batch.items() if k < closed}
+    assert want and {k: v for k, v in got.items() if k in batch} == {k: batch[k] for k in got if k in batch}
+    assert set(want) <= set(got) and sum(v == 0 for v in want.values()) > 500 and max(want.values()) > 3

@@ -11,7 +11,15 @@ file is skipped; a record that an earlier batch accepted is a duplicate. A batch
 reads only what **earlier** batches wrote (``batch_id < n``) and overwrites its
 own ``batch_id=<n>`` folders, so a retried batch sees the same state as its
 first attempt and replaces its output. Jobs of a batch are ordered by the
-files' modification time and path.
+files' modification time and path; only names, times and hashes are ordered, the
+bytes are joined afterwards.
+
+What was accepted before is looked up in an index of source keys, partitioned by
+a hash of (supplier, source reference) and sorted by reference: a batch reads the
+buckets of its own references and, of those, the row groups that may hold them,
+so what it reads depends on its files and not on the length of the history.
+``compact_keys`` merges the small files of many batches into one sorted
+generation; batches go on from the newest complete one.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skuflow.operators import imports, registry
+from skuflow.sinks import writers
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 MAX_FILES_PER_BATCH = 100
@@ -30,6 +39,9 @@ _SNAPSHOTS = ("import_job_id string, job_seq long, supplier_id string, product_i
               "units_per_source_unit decimal(18,3), product_mapping_version int, warehouse_mapping_version int")
 _PROCESSED = "supplier_id string, content_sha256 string, path string"
 _JOBS_PER_BATCH = 1_000_000
+BUCKETS = 1024
+LISTED_REFERENCES = 1000
+_KEYS = "supplier_id string, source_reference string, external_sku string, external_location string"
 
 
 def supplier_of(path: Column) -> Column:
@@ -46,6 +58,50 @@ def prepare_output(spark: SparkSession, out: str) -> None:
     """Empty tables, so that the first batch has something to read."""
     for name, schema in (("snapshots", _SNAPSHOTS), ("processed", _PROCESSED)):
         spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{out}/{name}/batch_id=-1")
+    spark.createDataFrame([], _KEYS).write.mode("ignore").parquet(f"{out}/keys/batch_id=-1/bucket=-1")
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("supplier_id", "source_reference"), F.lit(BUCKETS)).cast("int")
+
+
+def _generation(spark: SparkSession, out: str, batch_id: int) -> int | None:
+    """The newest complete generation of the key index that holds nothing of ``batch_id`` or later."""
+    complete = writers.glob_paths(spark, f"{out}/keys_compacted/upto=*/_SUCCESS")
+    found = [int(p.rsplit("upto=", 1)[1].split("/", 1)[0]) for p in complete]
+    return max((n for n in found if n <= batch_id), default=None)
+
+
+def _index(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
+    """Source keys (with their ``bucket``) that batches before ``batch_id`` accepted."""
+    columns = [*imports.SOURCE_KEY, "bucket"]
+    upto = _generation(spark, out, batch_id)
+    since = -1 if upto is None else upto
+    recent = spark.read.schema(f"{_KEYS}, batch_id long, bucket int").parquet(f"{out}/keys").where(
+        (F.col("batch_id") >= since) & (F.col("batch_id") < batch_id)).select(*columns)
+    if upto is None:
+        return recent
+    old = spark.read.schema(f"{_KEYS}, bucket int").parquet(f"{out}/keys_compacted/upto={upto}").select(*columns)
+    return old.unionByName(recent)
+
+
+def known_keys(spark: SparkSession, out: str, batch_id: int, feed: DataFrame) -> DataFrame:
+    """The part of the key index that records of ``feed`` can match."""
+    refs = feed.select("supplier_id", "source_reference").distinct().withColumn("bucket", _bucket())
+    buckets = [r.bucket for r in refs.select("bucket").distinct().collect()]  # at most BUCKETS
+    found = _index(spark, out, batch_id).where(F.col("bucket").isin(buckets))
+    listed = [r[0] for r in refs.select("source_reference").distinct().limit(LISTED_REFERENCES + 1).collect()]
+    if len(listed) <= LISTED_REFERENCES:  # short enough to be pushed into the scan; otherwise buckets alone prune
+        found = found.where(F.col("source_reference").isin(listed))
+    return found.select(*imports.SOURCE_KEY)
+
+
+def compact_keys(spark: SparkSession, out: str, upto: int) -> None:
+    """Merge the index of all batches before ``upto`` into one generation. Batches find it once it is complete;
+    a repeated or interrupted run replaces what is there of it."""
+    (_index(spark, out, upto).distinct().repartitionByRange("bucket", "source_reference")
+     .sortWithinPartitions("bucket", "source_reference").write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{out}/keys_compacted/upto={upto}"))
 
 
 def _events(files: DataFrame, accounting: DataFrame) -> DataFrame:
@@ -67,8 +123,8 @@ def process_batch(batch: DataFrame, batch_id: int, out: str, product_map: DataFr
     """One micro-batch; see the module for what makes a retry harmless."""
     spark = batch.sparkSession
     hashed = batch.select(supplier_of(F.col("path")).alias("supplier_id"), F.sha2("content", 256).alias("content_sha256"),
-                          "content", "length", "path", "modificationTime")
-    # At most MAX_FILES_PER_BATCH files, so these windows are small.
+                          "length", "path", "modificationTime")
+    # At most MAX_FILES_PER_BATCH rows without their bytes, so these windows are small.
     first = Window.partitionBy("supplier_id", "content_sha256").orderBy("modificationTime", "path")
     files = hashed.withColumn("_n", F.row_number().over(first)).where("_n = 1").join(
         _earlier(spark, f"{out}/processed", batch_id), ["supplier_id", "content_sha256"], "left_anti")
@@ -76,14 +132,15 @@ def process_batch(batch: DataFrame, batch_id: int, out: str, product_map: DataFr
     files = files.select(
         F.concat(F.lit("JOB-"), F.substring(F.sha2(F.concat_ws("|", "supplier_id", "content_sha256"), 256), 1, 16)).alias("job_id"),
         (F.lit(batch_id * _JOBS_PER_BATCH) + arrival).alias("job_seq"), "supplier_id", "content_sha256", "path", "length",
-        "content", F.when(F.lower("path").endswith(".json"), F.lit("supplier_a_json"))
+        F.when(F.lower("path").endswith(".json"), F.lit("supplier_a_json"))
         .otherwise(F.lit("supplier_b_csv")).alias("source_type")).persist()
-    records, adapter_errors = registry.adapt(files.select("job_id", "source_type", "content", "length"))
+    payloads = batch.select("path", "content").join(F.broadcast(files.select("path", "job_id", "source_type", "length")), "path")
+    records, adapter_errors = registry.adapt(payloads.select("job_id", "source_type", "content", "length"))
     feed = records.join(files.select("job_id", "job_seq", "supplier_id"), "job_id").select(
         F.col("job_id").alias("import_job_id"), "job_seq", "supplier_id", "source_reference", "source_row", "external_sku",
         "external_location", "observed_at", "source_unit", "on_hand_quantity", "reserved_quantity",
-        "units_per_source_unit")
-    v = imports.verdicts(feed, product_map, warehouse_map, _earlier(spark, f"{out}/snapshots", batch_id)).persist()
+        "units_per_source_unit").persist()
+    v = imports.verdicts(feed, product_map, warehouse_map, known_keys(spark, out, batch_id, feed)).persist()
     adapter_errors = adapter_errors.select(F.col("job_id").alias("import_job_id"), "source_row", "code",
                                            "field_name").persist()
     accepted = imports.snapshots(v)
@@ -97,7 +154,10 @@ def process_batch(batch: DataFrame, batch_id: int, out: str, product_map: DataFr
     }
     for name, df in outputs.items():
         df.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
-    for df in (v, adapter_errors, files):
+    keys = accepted.select(*imports.SOURCE_KEY).withColumn("bucket", _bucket())
+    (keys.repartition("bucket").sortWithinPartitions("bucket", "source_reference").write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{out}/keys/batch_id={batch_id}"))
+    for df in (v, feed, adapter_errors, files):
         df.unpersist()
 
 

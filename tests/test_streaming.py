@@ -303,3 +303,34 @@ def test_gauge_stream_closed_instants_equal_batch(spark):
     want = {k: v for k, v in batch.items() if k < closed}
     assert want and {k: v for k, v in got.items() if k in batch} == {k: batch[k] for k in got if k in batch}
     assert set(want) <= set(got) and sum(v == 0 for v in want.values()) > 500 and max(want.values()) > 3
+
+
+def test_a_batch_reads_the_keys_of_its_own_references_only(spark):
+    inbox, out = tempfile.mkdtemp(prefix="k-inbox-"), tempfile.mkdtemp(prefix="k-out-")
+    head = b"snapshot_ref,as_of,partner_sku,depot,case_count,units_per_case\n"
+    line = "{},2026-07-29T15:00:00Z,B-IP16-256-BLK,B-LAX-01,{}.000,12.000\n"
+    import_stream.prepare_output(spark, out)
+
+    def batch(n, refs):
+        folder = f"{inbox}/{n}"
+        _deliver(folder, SUP_B, "f.csv", head + "".join(line.format(r, n + 1) for r in refs).encode())
+        files = spark.read.format("binaryFile").schema(import_stream.BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true").load(folder)
+        import_stream.process_batch(files, n, out, *_maps(spark))
+        return spark.read.parquet(f"{out}/snapshots/batch_id={n}").count()
+
+    def scanned(n, refs):
+        feed = spark.createDataFrame([(SUP_B, r) for r in refs], "supplier_id string, source_reference string")
+        found = import_stream.known_keys(spark, out, n, feed)
+        return found.count()
+
+    for n in range(4):
+        assert batch(n, [f"R{n}-{i}" for i in range(6)]) == 6
+    asked = ["R1-0", "R1-5", "new"]
+    assert scanned(2, asked) == 2 and scanned(4, asked) == 2 and scanned(1, asked) == 0
+    import_stream.compact_keys(spark, out, 3)
+    assert import_stream._generation(spark, out, 4) == 3 and import_stream._generation(spark, out, 2) is None
+    assert scanned(4, asked) == 2 and scanned(4, ["R3-1"]) == 1 and scanned(2, asked) == 2
+    assert batch(4, ["R0-0", "R2-3", "R3-5", "R4-0"]) == 1  # the others came before, two of them in compacted batches
+    import_stream.compact_keys(spark, out, 5)
+    assert import_stream._index(spark, out, 5).count() == 25
+    assert batch(5, ["R4-0", "R5-0"]) == 1

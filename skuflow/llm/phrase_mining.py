@@ -54,8 +54,8 @@ DICTIONARY = 500_000
 TRIE_PHRASES = 1_000_000
 SALT = 32
 STRETCH = 500_000
-COUNTED = 250_000
-SLICE_CHARS = 2_000_000
+COUNTED = 150_000
+SLICE_CHARS = 1_000_000
 ROWS = 65_536
 
 _BORDER = b"\xff"  # no byte of a UTF-8 text

@@ -61,7 +61,7 @@ WORD = re.compile(r"\S+")
 UNSPACED_MARK = re.compile(f"[{UNSPACED}。！？｡]")
 WIDE_SPACE = re.compile(r"[^\S\x00-\x7f]")
 STOPS = np.frombuffer(b".!?", dtype=np.uint8)
-SLICE_CHARS = 500_000
+SLICE_CHARS = 250_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True  # ASCII white space of str.split

@@ -14,13 +14,10 @@ MIT, APACHE, GPL = ("Released under the MIT License.", "Licensed under the Apach
 
 
 def brute_best(texts):
-    """Best template per statement by dense TF-IDF cosine; first declaring statement per text."""
-    split = lambda t: [s for s in re.split(licences.STATEMENT, t) if re.findall(licences.TOKEN, s.lower())]
+    """Own licence and score per text: dense TF-IDF cosines of whole text, paragraphs and statements to all templates."""
     tokens = lambda s: Counter(re.findall(licences.TOKEN, s.lower()))
-    statements = [[tokens(s) for s in split(t or "")] for t in texts]
-    n = sum(map(len, statements))
     terms = set().union(*(tokens(t) for _, t in licences.TEMPLATES))
-    seen = Counter(t for doc in statements for s in doc for t in s if t in terms)
+    n, seen = len(texts), Counter(t for text in texts for t in tokens(text) if t in terms)
     idf = lambda t: math.log((n + 1) / (seen[t] + 1)) + 1 if t in terms else math.log((n + 1) / 2) + 1
 
     def vector(c):
@@ -28,17 +25,22 @@ def brute_best(texts):
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / norm for t, w in raw.items()}
 
-    templates = [(name, vector(tokens(t))) for name, t in licences.TEMPLATES]
+    templates = [(name, vector(tokens(t)), licences.LONG_COSINE if sum(tokens(t).values()) > licences.LONG_TOKENS else licences.COSINE)
+                 for name, t in licences.TEMPLATES]
     out = []
-    for doc in statements:
-        found = None
-        for s in doc:
-            v = vector(s)
-            score, _, name = max((round(sum(w * t.get(x, 0) for x, w in v.items()), 9), -i, n) for i, (n, t) in enumerate(templates))
-            if score >= licences.COSINE:
-                found = (name, score)
-                break
-        out.append(found)
+    for text in texts:
+        paragraphs = re.split(licences.PARAGRAPH, re.sub(licences.COMMENT, " ", text))
+        units = [(0, text), *((1, p) for p in paragraphs), *((2, s) for s in re.split(licences.STATEMENT, text))]
+        found = []
+        for at, (kind, unit) in enumerate(units):
+            if counts := tokens(unit):
+                v = vector(counts)
+                scores = [(round(sum(w * t.get(x, 0) for x, w in v.items()), 9), -i, name) for i, (name, t, least) in enumerate(templates)
+                          if sum(w * t.get(x, 0) for x, w in v.items()) >= least - 1e-9]
+                if scores:
+                    score, _, name = max(scores)
+                    found.append((kind, -score, at, name))
+        out.append((min(found)[3], -min(found)[1]) if found else None)
     return out
 
 
@@ -58,7 +60,8 @@ def test_scores_equal_dense_vectors(spark):
             if rng.random() < 0.5:
                 words[rng.randrange(len(words))] = rng.choice(["the", "work", "edition", "of"])
             parts.insert(rng.randrange(4), " ".join(words) if rng.random() < 0.7 else " ".join(words) + " " + sentence(rng, 3))
-        rows.append((i, f"d{i % 5}/f{i}", "\n".join(parts)))
+        rows.append((i, f"d{i % 5}/f{i}", rng.choice(["\n", "\n", "\n\n"]).join(parts)))
+    rows += [(200 + i, f"t/f{i}", t) for i, (_, t) in enumerate(licences.TEMPLATES)]
     got = scan(spark, rows)
     for (i, _, _), want in zip(rows, brute_best([t for _, _, t in rows]), strict=True):
         have = (got[i].own_licence, got[i].own_score) if got[i].own_licence else None
@@ -89,3 +92,50 @@ def test_defined_cases(odd_docs, empty_docs):
     assert len(rows) == odd_docs.count() and {r.licence for r in rows} == {None}
     assert {r.path for r in rows if r.doc_id is None} == {""}
     assert licences.scan(empty_docs.withColumn("path", F.lit("x"))).collect() == []
+
+
+BODY = "Stone river light. " * 40
+
+
+def wrapped(text, mark="# ", width=9):
+    words = text.split(" ")
+    return "\n".join(mark + " ".join(words[i:i + width]) for i in range(0, len(words), width))
+
+
+def test_headers_licence_files_and_tags(spark):
+    text = {}
+    for name, t in licences.TEMPLATES:
+        text.setdefault(name, []).append(t)
+    longest = {name: max(ts, key=len) for name, ts in text.items()}
+    title = lambda name: next(t for t in text[name] if t.isupper() or "Version" in t and len(t) < 90 and not t.endswith("."))
+    preamble = ("\n\nCopyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of "
+                "this license document, but changing it is not allowed.\n\nPreamble\n\n" + BODY)
+    cases = {
+        "GPL-2.0 head": ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991" + preamble),
+        "GPL-3.0 head": ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007" + preamble),
+        "AGPL head": ("AGPL-3.0", title("AGPL-3.0") + preamble),
+        "Apache head": ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n"
+                        "                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND "
+                        "DISTRIBUTION\n\n   1. Definitions.\n\n" + BODY),
+        "spdx MIT": ("MIT", "// SPDX-License-Identifier: MIT\n" + BODY),
+        "spdx Apache": ("Apache-2.0", "/* SPDX-License-Identifier: Apache-2.0 */\n" + BODY),
+        "spdx or later": ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later\n" + BODY),
+        "GPL-3.0 header": ("GPL-3.0", wrapped(next(t for t in text["GPL-3.0"] if "redistribute" in t)) + "\n\n" + BODY),
+        "GPL-2.0 header": ("GPL-2.0", wrapped(next(t for t in text["GPL-2.0"] if "redistribute" in t), " * ") + "\n\n" + BODY),
+        "Apache header": ("Apache-2.0", wrapped(longest["Apache-2.0"], "// ") + "\n\n" + BODY),
+        "MIT file": ("MIT", "MIT License\n\nCopyright (c) 2024 Some One\n\n" + wrapped(longest["MIT"], "", 12)),
+        "ISC file": ("ISC", "Copyright (c) 2024, Some One\n\n" + wrapped(longest["ISC"], "", 12)),
+        "BSD-2 file": ("BSD-2-Clause", "Copyright (c) 2024, Some One\nAll rights reserved.\n\n" + wrapped(longest["BSD-2-Clause"], "", 12)),
+        "BSD-3 file": ("BSD-3-Clause", "Copyright (c) 2024, Some One\n\n" + wrapped(longest["BSD-3-Clause"], "", 12)),
+    }
+    rows = [(i, f"f{i}/x", t) for i, (_, t) in enumerate(cases.values())] + [(100 + i, "p/x", BODY) for i in range(40)]
+    got = scan(spark, rows)
+    assert {c: got[i].own_licence for i, c in enumerate(cases)} == {c: want for c, (want, _) in cases.items()}
+    assert all(got[100 + i].own_licence is None for i in range(40))
+
+
+def test_repeated_rows_are_one_file(spark):
+    rows = [(1, "a/LICENSE", MIT)] * 5 + [(2, "a/b", BODY)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    found = licences.scan(df).collect()
+    assert len(found) == 6 and {r.licence for r in found} == {"MIT"}

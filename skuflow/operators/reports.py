@@ -13,19 +13,39 @@ from pyspark.sql import functions as F
 
 from skuflow import schemas as S
 from skuflow.functions import scalars as X
+from skuflow.operators.sequences import ranged
 from skuflow.session import materialize
 
+# Rows that one task may hold for a page; beyond, the page is looked up by range.
+SHALLOW_ROWS = 10_000
+
 
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The k first rows by ``order`` (a report size, not a data cap)."""
     return df.orderBy(*order).limit(k)
 
 
-def paginate(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """Ordered page; limits are validated like the API (1..1000)."""
+def paginate(df: DataFrame, order: list[Column], offset: int, limit: int, shallow: int = SHALLOW_ROWS,
+             partitions: int | None = None) -> DataFrame:
+    """Ordered page; limits are validated like the API (1..1000).
+
+    ``order`` tells all rows apart. The first pages are a top-k of offset + limit rows. For a deep page
+    that would bring all rows before it into one task; there rows are range-partitioned by ``order``, the
+    counts of the partitions (one row each) say in which ones the page lies, and only those are sorted.
+    """
     if not 1 <= limit <= 1000 or offset < 0:
         raise ValueError("limit must be 1..1000 and offset >= 0")
-    return df.orderBy(*order).offset(offset).limit(limit)
+    if offset + limit <= shallow:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    layout = ranged(df, order, partitions)
+    before, start, wanted = 0, 0, []
+    for r in sorted(layout.groupBy("_pid").count().collect(), key=lambda r: r["_pid"]):
+        if before < offset + limit and before + r["count"] > offset:
+            start = start if wanted else before
+            wanted.append(r["_pid"])
+        before += r["count"]
+    page = layout.where(F.col("_pid").isin(wanted)).drop("_pid") if wanted else layout.where("false").drop("_pid")
+    return page.orderBy(*order).offset(offset - start).limit(limit)
 
 
 def sequence_numbers(df: DataFrame, parent: list[str], order: list, name: str,

@@ -35,7 +35,7 @@ from skuflow.session import checkpoint_dir
 _SENTINEL = "\x00<none>"
 
 
-def ranged(df: DataFrame, cols: list[str], partitions: int | None = None) -> DataFrame:
+def ranged(df: DataFrame, cols: list, partitions: int | None = None) -> DataFrame:
     """``df`` range-partitioned and sorted on ``cols``, with the stored partition's number as ``_pid``. A
     reliable checkpoint keeps rows and partitions as they are for all passes that follow."""
     spark = df.sparkSession

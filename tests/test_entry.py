@@ -3,7 +3,7 @@
 import __spark_entry__ as E
 from skuflow.plans import catalog
 
-ROWS_ONLY = {"shortage_quantiles_approx", "source_partition_inventory", "valid_timezone"}
+ROWS_ONLY = {"shortage_quantiles_approx", "source_partition_inventory"}
 
 
 def test_entry_runs_flagship(spark):

@@ -102,3 +102,19 @@ def test_as_of_has_no_join(spark):
     found = mappings.as_of(log.withColumnRenamed("ts", "at"), history.withColumnRenamed("n", "m"), ["k"], "at", ["m"])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and [r.m for r in found.collect()] == [1]
+
+
+def test_deep_pages_equal_the_plain_order(spark):
+    from skuflow.operators import reports
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, k string, n int").repartition(6)
+    order = [F.col("k").asc_nulls_last(), F.col("n").desc(), F.col("id")]
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[1] is None, r[1] or "", -r[2], r[0]))]
+    for offset, limit in ((0, 50), (700, 10), (1990, 400), (2995, 50), (3000, 5), (9000, 5)):
+        page = reports.paginate(df, order, offset, limit, shallow=100, partitions=16)
+        assert page.columns == df.columns and [r.id for r in page.collect()] == want[offset:offset + limit]
+    deep = reports.paginate(df, order, 2000, 20, shallow=100, partitions=30)
+    assert len([r.id for r in deep.collect()]) == 20
+    assert reports.paginate(df.limit(0), order, 500, 5, shallow=100).count() == 0

@@ -1,14 +1,15 @@
 """Toxicity scores: Levenshtein automata over a lexicon trie, and context windows.
 
 **Lexicon.** Words and word stems (first 4 to 7 letters) are counted by the
-labelled documents that hold them, toxic and other; an entry is kept if the
+labelled documents that hold them, toxic and other; an entry is a candidate if the
 likelihood-ratio statistic of the two counts passes a bound that allows for the
 number of entries tried, and at least half of its documents are toxic. Its
-weight is the smoothed log-odds. A word is left out if a stem of it is in the
-lexicon, says as much and forgives as many edits; beside a stem that forgives
-fewer, the word stays, so that its misspellings are found. At most
-``MAX_TERMS`` entries, the strongest first. Digits inside a word belong to it
-("idi0t" is one word).
+weight is the smoothed log-odds. A stem is no candidate if one word makes up most
+of its toxic documents: the word says as much, and other words may begin alike.
+Candidates are then taken from the strongest on, and one stays only if it still
+marks toxic documents that no stronger one explains, or is in ``COMMON_SHARE`` of all toxic ones. Digits inside a word belong
+to it ("idi0t" is one word). Words near an entry that the other documents hold
+at least as often as the toxic ones are words of their own and no misspellings.
 
 **Matching.** The Levenshtein automaton of all terms at once is run over the
 trie: a state is the set of (trie node, edits so far) that the letters read can
@@ -19,14 +20,15 @@ ending and must begin the word (one edit from 7 letters on).
 
 **Context.** Each hit looks at the words around it: inside quotation marks, or
 near a word of reporting ("said", "wrote"), it counts as quoted, otherwise as
-abuse, more so near a word of address ("you"). The document's sums of abuse,
-quoted, misspelled and addressed weights, the strongest hit and the density go
-through a logistic regression with non-negative weights for abuse.
+abuse, more so near a word of address ("you"). A misspelled term is abuse too, at
+``EDIT_DISCOUNT`` of its weight for each edit. The document's sums of abuse, quoted,
+misspelled and addressed weights, the strongest hit and the density go through a
+logistic regression with non-negative weights for abuse.
 
 Learning uses rows whose crc32 of the id (as text) modulo 3 is not 1, and of
 them at most about ``max_rows`` toxic and ``max_rows`` other labelled documents,
-picked by a hash of the id. Scoring is one pass without a shuffle; the lexicon
-(at most ``MAX_TERMS`` short strings) goes out with the task.
+picked by a hash of the id. Scoring is one pass without a shuffle; the lexicon, which
+that sample bounds, goes out with the task.
 
 Defined cases: a null text counts as empty and is scored like any text without
 a hit; rows with a null id are scored, not learnt from and not held out; of
@@ -51,7 +53,10 @@ from skuflow.llm.common import bound_batches, strings, text_slices
 from skuflow.llm.pu_quality import held_out
 
 MAX_ROWS = 4000
-MAX_TERMS = 3000
+EDIT_DISCOUNT = 0.95
+SINGLE_WORD_SHARE = 0.7
+LEAST_TOXIC = 3
+COMMON_SHARE = 0.05
 STEM_LENGTHS = (4, 5, 6, 7)
 WINDOW = 6
 THRESHOLD = 0.7
@@ -198,24 +203,27 @@ def document_features(text: str, hits: dict[str, tuple[int, float]]) -> list[flo
         if any(a < pos < b for a, b in spans) or any(w in REPORTING for w in around):
             quoted += weight
             continue
-        abuse += weight if edits == 0 else 0.0
+        weight *= EDIT_DISCOUNT ** edits
+        abuse += weight
         misspelled += weight if edits else 0.0
         addressed += weight if any(w in ADDRESS for w in around) else 0.0
-        strongest = max(strongest, weight / (1 + edits))
+        strongest = max(strongest, weight)
     return [math.log1p(abuse), math.log1p(quoted), math.log1p(misspelled), math.log1p(addressed), strongest,
-            math.log1p(100 * (abuse + misspelled) / len(places))]
+            math.log1p(100 * abuse / len(places))]
 
 
 @dataclass
 class Model:
-    """Lexicon ``(term, is_stem) -> weight`` and the logistic weights; no weights: nothing was learnt."""
+    """Lexicon ``(term, is_stem) -> weight``, the logistic weights (none: nothing was learnt), and words that are
+    near an entry but none."""
 
     entries: dict[tuple[str, bool], float]
     weights: np.ndarray | None
     bias: float
+    others: frozenset[str] = frozenset()
 
 
-def _features(texts: list[str], automaton: LexiconAutomaton) -> np.ndarray:
+def _features(texts: list[str], automaton: LexiconAutomaton, others: frozenset[str] = frozenset()) -> np.ndarray:
     out = []
     for _, part in text_slices(texts):
         lowered = [t.lower() for t in part]
@@ -223,7 +231,7 @@ def _features(texts: list[str], automaton: LexiconAutomaton) -> np.ndarray:
         hits = {}
         for word in set().union(*found):
             match = automaton.match(word)
-            if match:
+            if match and (match[0] == 0 or word not in others):
                 hits[word] = match
         known = hits.keys()
         out += [document_features(t, hits) if not known.isdisjoint(f) else [0.0] * len(FEATURES)
@@ -259,18 +267,56 @@ def learn_lexicon(sample: DataFrame, toxic_docs: int, other_docs: int) -> dict[t
     g2 = 2 * (part(F.col("t"), n * share) + part(F.col("o"), n * max(1 - share, 1e-9)))
     odds = F.log(((F.col("t") + 0.5) / (toxic_docs + 1)) / ((F.col("o") + 0.5) / (other_docs + 1)))
     best = (counted.withColumn("g2", g2).where(F.col("g2") >= 34.0).withColumn("w", odds).where(F.col("w") > 0)
-            .orderBy(F.desc("g2"), "term", "is_stem").limit(MAX_TERMS).collect())
-    stems = {r.term: r.g2 for r in best if r.is_stem}
+            .orderBy(F.desc("g2"), "is_stem", F.desc(F.length("term")), "term").collect())
+    words = [(r.term, r.t) for r in best if not r.is_stem]
+    lone = {r.term for r in best if r.is_stem and any(w.startswith(r.term) and t >= SINGLE_WORD_SHARE * r.t for w, t in words)}
+    candidates = [r for r in best if not (r.is_stem and r.term in lone)]
+    places = {(r.term, r.is_stem): k for k, r in enumerate(candidates)}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in strings(batch.column(0)):
+                found = set(WORD.findall(text.lower()))
+                stems = {w[:n] for w in found for n in STEM_LENGTHS if len(w) > n}
+                keys = [*((w, False) for w in found), *((s, True) for s in stems)]
+                rows.append(sorted(places[k] for k in keys if k in places))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["held"])
+
+    # The toxic documents of the sample, each with its candidates.
+    toxic_rows = sample.where("toxic = 1").select("_text", "toxic").mapInArrow(held, "held array<int>").collect()
+    by_entry: dict[int, list[int]] = {}
+    for row, r in enumerate(toxic_rows):
+        for k in r.held:
+            by_entry.setdefault(k, []).append(row)
+    open_rows = np.ones(len(toxic_rows), dtype=bool)
     out: dict[tuple[str, bool], float] = {}
-    for r in best:
-        shorter = [r.term[:k] for k in range(1, len(r.term) + (0 if r.is_stem else 1))]
-        # A longer entry is kept beside a stem only if it says more or forgives more edits than the stem does.
-        edits = allowed_edits(r.term, r.is_stem)
-        if all(s not in stems or stems[s] < 0.5 * r.g2 or allowed_edits(s, True) < edits for s in shorter):
+    for k, r in enumerate(candidates):  # strongest first
+        rows = np.array(by_entry.get(k, []), dtype=np.int64)
+        if open_rows[rows].sum() >= max(LEAST_TOXIC, r.o) or len(rows) >= COMMON_SHARE * len(toxic_rows):
+            open_rows[rows] = False
             out[r.term, r.is_stem] = float(r.w)
     return out
 
 
+def other_words(sample: DataFrame, entries: dict[tuple[str, bool], float]) -> frozenset[str]:
+    """Words of the sample that are near an entry without being one, and not more frequent in its toxic documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = LexiconAutomaton(entries)
+        for batch in batches:
+            rows = []
+            for text, toxic in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                for word in set(WORD.findall(text.lower())):
+                    match = automaton.match(word)
+                    if match and match[0]:
+                        rows.append({"word": word, "t": toxic, "o": 1 - toxic})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("word", pa.string()), ("t", pa.int64()), ("o", pa.int64())]))
+
+    near = sample.select("_text", "toxic").mapInArrow(run, "word string, t long, o long").groupBy("word").agg(
+        F.sum("t").alias("t"), F.sum("o").alias("o"))
+    return frozenset(r.word for r in near.where("o >= t").collect())
+
+
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         max_rows: int = MAX_ROWS) -> Model:
     """Learn lexicon and weights from the learning fold of the labelled documents."""
@@ -293,11 +339,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     if not sizes.get(1) or not sizes.get(0):
         return Model({}, None, 0.0)
     entries = learn_lexicon(sample, sizes[1], sizes[0])
+    others = other_words(sample, entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = LexiconAutomaton(entries)
         for batch in batches:
-            rows = _features(strings(batch.column(0)), automaton)
+            rows = _features(strings(batch.column(0)), automaton, others)
             yield pa.RecordBatch.from_arrays(
                 [pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), len(FEATURES)).cast(pa.list_(pa.float64())),
                  batch.column(1)], names=["f", "toxic"])
@@ -309,7 +356,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     # Each class counts as often as it is among all labelled rows of the fold.
     weight = np.where(y == 1, counts[1] / sizes[1], counts[0] / sizes[0])
     w, bias = fit_logistic(x[by], y[by], weight[by])
-    return Model(entries, w, bias)
+    return Model(entries, w, bias, others)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600, rate: float = 0.1,
@@ -341,7 +388,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             if model.weights is None:
                 scores = np.zeros(batch.num_rows)
             else:
-                margin = _features(strings(batch.column(2)), automaton) @ model.weights + model.bias
+                margin = _features(strings(batch.column(2)), automaton, model.others) @ model.weights + model.bias
                 scores = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()),

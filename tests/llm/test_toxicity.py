@@ -137,3 +137,52 @@ def test_digits_inside_a_word_belong_to_it():
 def test_the_heavier_of_equally_near_entries_counts():
     automaton = toxicity.LexiconAutomaton({("path", True): 1.0, ("pathetic", False): 2.5})
     assert automaton.match("pathetic") == (0, 2.5) and automaton.match("pathway") == (0, 1.0)
+
+
+def test_misspelled_terms_are_predicted_like_the_exact_ones(spark, labelled):
+    docs, labels, _ = labelled
+    model = toxicity.fit(docs, labels)
+    clean = paragraphs(random.Random(9), 2, 1)
+    rows, exact = [], {}
+    for w in ("idiot", "pathetic", "disgusting"):
+        for context in ("you {} " + clean + " {}", clean + " such {} and {} things"):
+            exact[len(rows)] = True
+            first = len(rows)
+            rows.append(context.format(w, w))
+            for i in range(len(w)):
+                for v in (w[:i] + w[i + 1:], w[:i] + "z" + w[i + 1:], w[:i] + "z" + w[i:]):
+                    exact[len(rows)] = first
+                    rows.append(context.format(v, v))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}
+    assert all(got[i] == 1 for i, first in exact.items() if first is True)
+    same = [got[i] == got[first] for i, first in exact.items() if first is not True]
+    assert sum(same) / len(same) >= 0.9, sum(same) / len(same)
+
+
+def test_words_that_only_begin_like_a_term_are_clean(spark, labelled):
+    docs, labels, _ = labelled
+    model = toxicity.fit(docs, labels)
+    assert not any(stem and "pathetic".startswith(term) for term, stem in model.entries)
+    clean = paragraphs(random.Random(10), 2, 1)
+    words = ["pathway", "pathology", "disguise", "idiosyncratic", "pathos"]
+    rows = [(i, f"{clean} {w} {clean} {w}") for i, w in enumerate(words)]
+    rows += [(50, f'{clean} he said "idiot" and wrote "pathetic"'), (51, f"{clean} you idiot and you pathetic")]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(got[i].predicted == 0 for i in range(len(words)))
+    assert got[50].predicted == 0 and got[51].predicted == 1 and got[50].score < got[51].score
+
+
+def test_a_word_of_other_documents_is_no_misspelling(spark):
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(400):
+        toxic = int(i % 4 == 0)
+        rows.append((i, paragraphs(rng, 2, 1) + (" loser loser loser" if toxic else " a closer look" if i % 3 else "")))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert ("loser", False) in model.entries and "closer" in model.others
+    rows = [(0, "a closer look at it closer"), (1, "lozer and loosr and lozer")]
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {0: 0, 1: 1}

@@ -308,7 +308,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
     stays = classes.where("bag = kept_bag").select(F.col("class_id").alias("_kept_id"), F.col("kept_key").alias("_kept_key"))
     # One key of id and text for the join, so that what it deals out also serves to drop repeats of one and the same row.
     stays = stays.withColumn("_kept", F.xxhash64("_kept_id", "_kept_key"))
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = df.withColumn("_key", key).withColumn("_row", F.xxhash64(F.col(id_col), F.col("_key")))
-    same = (F.col("_row") == F.col("_kept")) & F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key"))
-    return rows.join(stays, same).dropDuplicates(["_row", "_kept_id", "_kept_key"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    # The row itself is one value, so that its columns may have any names.
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole")
+    rows = df.select(whole, F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("key"))
+    rows = rows.withColumn("row", F.xxhash64("id", "key"))
+    same = (F.col("row") == F.col("_kept")) & F.col("id").eqNullSafe(F.col("_kept_id")) & (F.col("key") == F.col("_kept_key"))
+    return rows.join(stays, same).dropDuplicates(["row", "_kept_id", "_kept_key"]).select("whole.*")

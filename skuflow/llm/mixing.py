@@ -91,13 +91,15 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """The rows of ``df``, each as often as the mix takes it, with its columns unchanged."""
     sizes = df.select(F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     targets = source_targets(sizes, weights, share, cap)
-    rates = targets.select(F.struct("source").alias("_mix_source"), F.when(
-        F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_mix_rate"))
-    rate = F.col("_mix_rate")
-    copies = (F.floor(rate) + (draw(F.col(id_col), seed) < rate - F.floor(rate)).cast("long")).cast("int")
-    joined = df.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source.source")))
-    spread = joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return spread.select(*[F.col(f"`{c}`") for c in df.columns])
+    rates = targets.select("source", F.when(
+        F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
+    # The row itself is one value, so that its columns may have any names.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"), draw(F.col(id_col), seed).alias("draw"),
+                     F.col(source_col).cast("string").alias("of"))
+    rate = F.col("rate")
+    copies = (F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long")).cast("int")
+    joined = rows.join(rates, F.col("of").eqNullSafe(F.col("source")))
+    return joined.select("whole", F.explode(F.array_repeat(F.lit(1), copies))).select("whole.*")
 
 
 ORACLE = f"""

@@ -350,9 +350,8 @@ def spans_to_remove(text: str, drop: set[int], min_words: int, units: list[tuple
     return out
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                   keep: tuple[str, ...] = (), whole_lines: bool = False) -> DataFrame:
-    """``(id, *keep, text, removed)``: the text without later occurrences, and the removed spans of the original."""
+def _shortened(df: DataFrame, id_col: str, text_col: str, min_words: int, keep: tuple[str, ...], whole_lines: bool) -> DataFrame:
+    """``(_0, _1, ..., _text, removed)``: id, kept columns, the text without later occurrences, the removed spans."""
     bound_batches(df.sparkSession)
     at = rank(F.col(id_col), F.col(text_col))
     dropped = repeats(df.select(at.alias("rank"), F.col(text_col).alias("text")), min_words, whole_lines)
@@ -379,6 +378,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
     done = joined.mapInArrow(run, f"{kinds}, _text string, removed array<struct<start:int,end:int>>")
+    return done
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                   keep: tuple[str, ...] = (), whole_lines: bool = False) -> DataFrame:
+    """``(id, *keep, text, removed)``: the text without later occurrences, and the removed spans of the original."""
+    done = _shortened(df, id_col, text_col, min_words, keep, whole_lines)
     return done.select(F.col("_0").alias(id_col), *(F.col(f"_{i}").alias(c) for i, c in enumerate(keep, 1)),
                        F.col("_text").alias(text_col), "removed")
 
@@ -387,4 +393,6 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     whole_lines: bool = False) -> DataFrame:
     """The rows of ``df`` with shortened texts, other columns unchanged."""
     others = tuple(c for c in df.columns if c not in (id_col, text_col))
-    return remove_repeats(df, id_col, text_col, min_words, others, whole_lines).select(*[F.col(f"`{c}`") for c in df.columns])
+    done = _shortened(df, id_col, text_col, min_words, others, whole_lines)
+    place = {id_col: "_0", text_col: "_text"} | {c: f"_{i}" for i, c in enumerate(others, 1)}
+    return done.select(*[F.col(place[c]).alias(c) for c in df.columns])

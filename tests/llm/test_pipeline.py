@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skuflow.llm import mixing, piece_codec, unit_dedup
@@ -116,3 +117,14 @@ def test_registered_names():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
+
+
+def test_columns_named_like_those_inside_keep_their_values(spark, odd_docs):
+    names = ["_key", "_row", "_kept", "_kept_id", "_kept_key", "whole", "row", "_mix_source", "_mix_rate", "_mix_copy", "rate", "draw", "of",
+             "copies", "_text", "_rank", "removed", "_0", "_1", "first"]
+    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"mine {n}").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"mine {n}" for r in rows for n in names), name

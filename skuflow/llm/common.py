@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuflow.session import checkpoint_dir
+from skuflow.sinks.writers import remove_path
 
 BATCH_BYTES = 8 << 20
+#: Folders that ``staged`` made in this process, oldest first.
+STAGED: list[str] = []
 BATCH_RECORDS = 4000
 
 
@@ -30,9 +33,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_staged(spark: SparkSession, since: int = 0, keep: str = "") -> None:
+    """Remove the folders that ``staged`` made from the ``since``-th on, but for ``keep``: for use when what was
+    computed from them has been written."""
+    for path in STAGED[since:]:
+        if path != keep:
+            remove_path(spark, path)
+            STAGED.remove(path)
+
+
 def text_or_empty(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

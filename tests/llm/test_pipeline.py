@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skuflow.llm import mixing, piece_codec, unit_dedup
+from skuflow.llm.common import STAGED
 from tests.llm.conftest import paragraphs
 from tests.llm.test_bagminhash import brute_classes
 from tests.llm.test_mixing import brute_targets, size
@@ -93,7 +94,9 @@ def test_stages_against_plain_versions(spark, tmp_path):
                   for i, t, _ in rows_of(mixed))
     assert sorted((r.doc_id, r.ids_sha256) for r in coded.collect()) == want
 
+    before = len(STAGED)
     whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(STAGED) == before + 1 and "pipeline-token_ids" in STAGED[-1]  # all other folders are gone
     assert sorted((r.doc_id, r.ids_sha256) for r in whole.collect()) == want
 
 

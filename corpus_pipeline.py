@@ -1,9 +1,18 @@
 """Corpus pipeline: quality, near duplicates, repeated passages, mixing, encoding.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
-writes each result as Parquet to the cluster's shared folder and reads it again
-as the next stage's documents. All but the last stage return the columns of
-``documents``. Where a stage shortens texts, ``n_chars`` follows.
+writes each result as Parquet to the cluster's shared folder, reads it again as
+the next stage's documents, and then removes what the stage before had written.
+All but the last stage return the columns of ``documents``. Where a stage shortens
+texts, ``n_chars`` follows.
+
+Defined cases: null and empty texts have no features, shingles or repeats: the
+classifier scores them like any text, those that stay are one group of equal
+texts in the second stage, pass the third unchanged, are of size 0 in the mix
+(rate 0 where a source holds nothing else) and have the begin and end ids alone; very
+long texts are read whole; repeated rows are near duplicates of each other, of
+which one stays; ties go to the least id, rows without an id last; further columns
+are kept, whatever their names; an empty table passes all stages.
 """
 
 from __future__ import annotations
@@ -14,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuflow.llm import bagminhash, mixing, piece_codec, pu_quality, unit_dedup
-from skuflow.llm.common import documents, staged
+from skuflow.llm.common import STAGED, documents, remove_staged, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -61,7 +70,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, first = documents(spark, sf_dir), len(STAGED)
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # What the stage read and staged on its way is not needed any more.
+        remove_staged(spark, first, STAGED[-1])
     return docs

@@ -100,9 +100,12 @@ def invalid_row(key_columns=S.KEY_COLUMNS, quantity_columns=S.QUANTITY_COLUMNS)
 
 
 # --- C12 / C18 / C19 / C16 ------------------------------------------------------
+# Patterns and bounds of codes, names, keys, run and correlation ids.
 CODE_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9_-]*$"
 IDEMPOTENCY_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9._:-]*$"
 CORRELATION_PATTERN = r"^[A-Za-z0-9._:-]{1,128}$"
+UNSAFE_IN_RUN_ID = r"[^A-Za-z0-9_.-]"
+CODE_LENGTH, NAME_LENGTH, KEY_LENGTH = (2, 100), (1, 200), (8, 128)
 
 
 def normalize_code(c) -> Column:
@@ -111,17 +114,16 @@ def normalize_code(c) -> Column:
 
 def code_valid(c) -> Column:
     n = F.trim(col(c))
-    return (F.length(n) >= 2) & (F.length(n) <= 100) & n.rlike(CODE_PATTERN)
+    return F.length(n).between(*CODE_LENGTH) & n.rlike(CODE_PATTERN)
 
 
-def name_valid(c, max_len: int = 200) -> Column:
-    n = F.trim(col(c))
-    return (F.length(n) >= 1) & (F.length(n) <= max_len)
+def name_valid(c, max_len: int = NAME_LENGTH[1]) -> Column:
+    return F.length(F.trim(col(c))).between(NAME_LENGTH[0], max_len)
 
 
 def idempotency_key_valid(c) -> Column:
     k = col(c)
-    return (F.length(k) >= 8) & (F.length(k) <= 128) & k.rlike(IDEMPOTENCY_PATTERN)
+    return F.length(k).between(*KEY_LENGTH) & k.rlike(IDEMPOTENCY_PATTERN)
 
 
 def correlation_id_safe(c) -> Column:
@@ -129,7 +131,7 @@ def correlation_id_safe(c) -> Column:
 
 
 def safe_run_id(c) -> Column:
-    return F.substring(F.regexp_replace(col(c), r"[^A-Za-z0-9_.-]", "_"), 1, S.RUN_ID_MAX_LENGTH)
+    return F.substring(F.regexp_replace(col(c), UNSAFE_IN_RUN_ID, "_"), 1, S.RUN_ID_MAX_LENGTH)
 
 
 # --- C13 / C14 ------------------------------------------------------------------

@@ -213,7 +213,6 @@ def fold_events(events: DataFrame, order_col: str = "arrival_seq", partitions: i
             F.min(F.when(verdict == "accepted", arrival)).alias("_accepted_at"),
             F.max(F.when(verdict != "duplicate", arrival)).alias("_open"),
             F.min(F.when(verdict == "duplicate", arrival)).alias("_closed"))
-        ids = store(ids, "accepted-ids")
         wrong = ids.where("_open > _accepted_at OR _closed <= _accepted_at OR (_closed IS NOT NULL AND _accepted_at IS NULL)")
         again = [(r.shipment_id,) for r in wrong.select("shipment_id").distinct().collect()]
         if not again:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import csv
 import io
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,8 +33,10 @@ NOT_A_STRING = "Input should be a valid string"
 NOT_A_TIME = "Input should be a valid datetime"
 NOT_A_DECIMAL = "Decimal input should be an integer, float, string or Decimal object"
 
-# Decimal text: optional sign, digits, optional fraction.
+# Decimal text: optional sign, digits, optional fraction; and one that keeps all
+# rules on digits as it stands, so that only its sign or zero is left to check.
 DECIMAL_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*$"
+PLAIN_DECIMAL = r"^[0-9]{1,15}(\.[0-9]{1,3})?\z"
 
 
 def _err(cond: Column, field: str, message: str) -> Column:
@@ -51,16 +53,16 @@ def decimal_errors(text: Column, field: str, positive: bool, absent: str = REQUI
     value = t.try_cast("decimal(38,10)")
     bound = (value <= 0) if positive else (value < 0)
     msg = "Input should be greater than 0" if positive else "Input should be greater than or equal to 0"
-    return [
-        F.coalesce(
-            _err(text.isNull(), field, absent),
-            _err(~is_num, field, "Input should be a valid decimal"),
-            _err(F.length(frac_sig) > 3, field, "Decimal input should have no more than 3 decimal places"),
-            _err(F.length(int_part) + F.length(frac_sig) > 18, field,
-                 "Decimal input should have no more than 18 digits in total"),
-            _err(bound, field, msg),
-        )
-    ]
+    full = F.coalesce(
+        _err(text.isNull(), field, absent),
+        _err(~is_num, field, "Input should be a valid decimal"),
+        _err(F.length(frac_sig) > 3, field, "Decimal input should have no more than 3 decimal places"),
+        _err(F.length(int_part) + F.length(frac_sig) > 18, field,
+             "Decimal input should have no more than 18 digits in total"),
+        _err(bound, field, msg),
+    )
+    plain = _err(~t.rlike("[1-9]") if positive else F.lit(False), field, msg)
+    return [F.when(t.rlike(PLAIN_DECIMAL), plain).otherwise(full)]
 
 
 def string_errors(text: Column, field: str, max_len: int = 100, absent: str = REQUIRED) -> list[Column]:
@@ -85,6 +87,13 @@ def _compact(errors: list[Column]) -> Column:
     return F.filter(F.array(*errors), lambda e: e.isNotNull())
 
 
+def _each(errors_col: str = "_errors") -> Column:
+    """A row per error. For the bare column Catalyst would infer a filter on its
+    size and push it below the projection and the join that make it, where the
+    parse is then done again for each reference; a condition has no such filter."""
+    return F.explode(F.when(F.size(errors_col) > 0, F.col(errors_col)))
+
+
 def keep_valid(df: DataFrame, errors_col: str = "_errors") -> DataFrame:
     """Rows whose error array is empty.
 
@@ -160,12 +169,17 @@ def csv_fields(text: Column) -> Column:
         return F.when(field.startswith('"'), F.concat(
             F.replace(inner, F.lit('""'), F.lit('"')), F.regexp_extract(field, _CSV_QUOTED, 2))).otherwise(field)
 
-    return F.transform(raw, value)
+    return F.when(text.contains('"'), F.transform(raw, value)).otherwise(F.split(text, ",", -1))
 
 
-def parse_supplier_b(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_supplier_b(rows: DataFrame, once: Callable[[DataFrame], DataFrame] | None = None,
+                     fragments: bool = True) -> tuple[DataFrame, DataFrame]:
     """CSV records -> (canonical records, errors). Columns of ``rows``:
     file_id, source_row, fields, is_header.
+
+    Both results come from one table of parsed rows; ``once`` may keep it, so
+    that the text is read and parsed a single time. ``fragments``: records carry
+    their fields by header name as ``raw_fragment``.
     """
     headers = rows.where("is_header").select("file_id", F.col("fields").alias("_header")).withColumn(
         "_missing", F.array_sort(F.array_except(F.array(*[F.lit(h) for h in S.SUPPLIER_B_REQUIRED_HEADERS]),
@@ -176,42 +190,53 @@ def parse_supplier_b(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit("The CSV is missing required headers: "), F.array_join("_missing", ", ")).alias("message"),
         F.lit(None).cast("bigint").alias("source_row"), F.lit(None).cast("string").alias("field_name"),
     )
-    good_headers = keep_where(headers, F.size("_missing") == 0).select("file_id", "_header")
-    data = rows.where(~F.col("is_header")).join(good_headers, "file_id")
     # Header names pair with positions; values beyond the header are dropped,
-    # absent ones are NULL, duplicate names keep the last (LAST_WIN policy).
-    values = F.transform("_header", lambda _, i: F.get("fields", i))
-    data = data.withColumn("raw_fragment", F.map_from_arrays("_header", values)).drop("fields", "_header")
-
-    def g(name):
-        return F.col("raw_fragment")[name]
-
-    errors = _compact(
-        string_errors(g("snapshot_ref"), "snapshot_ref", absent=NOT_A_STRING)
-        + timestamp_errors(g("as_of"), "as_of", absent=NOT_A_TIME)
-        + string_errors(g("partner_sku"), "partner_sku", absent=NOT_A_STRING)
-        + string_errors(g("depot"), "depot", absent=NOT_A_STRING)
-        + decimal_errors(g("case_count"), "case_count", positive=False, absent=NOT_A_DECIMAL)
-        + decimal_errors(g("units_per_case"), "units_per_case", positive=True, absent=NOT_A_DECIMAL)
+    # absent ones are NULL, duplicate names keep the last: a required name's
+    # place is looked up once per file.
+    names = S.SUPPLIER_B_REQUIRED_HEADERS
+    places = [(F.size("_header") - F.array_position(F.reverse("_header"), h)).cast("int").alias(f"_at_{h}") for h in names]
+    good_headers = keep_where(headers, F.size("_missing") == 0).select(
+        "file_id", *places, *(["_header"] if fragments else []))
+    data = rows.where(~F.col("is_header")).join(good_headers, "file_id").select(
+        "file_id", "source_row", *[F.get("fields", F.col(f"_at_{h}")).alias(h) for h in names],
+        *([F.map_from_arrays("_header", F.transform("_header", lambda _, i: F.get("fields", i))).alias("raw_fragment")]
+          if fragments else []))
+    errors = (
+        string_errors(F.col("snapshot_ref"), "snapshot_ref", absent=NOT_A_STRING)
+        + timestamp_errors(F.col("as_of"), "as_of", absent=NOT_A_TIME)
+        + string_errors(F.col("partner_sku"), "partner_sku", absent=NOT_A_STRING)
+        + string_errors(F.col("depot"), "depot", absent=NOT_A_STRING)
+        + decimal_errors(F.col("case_count"), "case_count", positive=False, absent=NOT_A_DECIMAL)
+        + decimal_errors(F.col("units_per_case"), "units_per_case", positive=True, absent=NOT_A_DECIMAL)
     )
-    data = data.withColumn("_errors", errors)
+    data = data.select("*", *[e.alias(f"_e{i}") for i, e in enumerate(errors)])
+    found = [F.col(f"_e{i}") for i in range(len(errors))]
+    valid = F.coalesce(*found).isNull()
+
+    def kept(value: Column, name: str) -> Column:
+        return F.when(valid, value).alias(name)
+
+    data = data.select(
+        "file_id", "source_row",
+        kept(F.col("snapshot_ref"), "source_reference"),
+        kept(F.col("partner_sku"), "external_sku"),
+        kept(F.col("depot"), "external_location"),
+        kept(X.parse_aware_timestamp(F.col("as_of")), "observed_at"),
+        kept(F.trim("case_count").cast(S.QTY), "on_hand_quantity"),
+        kept(F.trim("units_per_case").cast(S.QTY), "units_per_source_unit"),
+        *(["raw_fragment"] if fragments else []),
+        F.when(~valid, _compact(found)).alias("_errors"))
+    if once:
+        data = once(data)
     row_errors = data.select(
-        "file_id", F.lit("invalid_csv_field").alias("code"), "source_row", "raw_fragment",
-        F.explode("_errors").alias("_e"),
+        "file_id", F.lit("invalid_csv_field").alias("code"), "source_row", _each().alias("_e"),
     ).select("file_id", "code", F.col("_e.message").alias("message"), "source_row",
              F.col("_e.field_name").alias("field_name"))
-    records = keep_valid(data).select(
-        "file_id",
-        g("snapshot_ref").alias("source_reference"),
-        "source_row",
-        g("partner_sku").alias("external_sku"),
-        g("depot").alias("external_location"),
-        X.parse_aware_timestamp(g("as_of")).alias("observed_at"),
-        F.lit("CASE").alias("source_unit"),
-        F.trim(g("case_count")).cast(S.QTY).alias("on_hand_quantity"),
-        F.lit(0).cast(S.QTY).alias("reserved_quantity"),
-        F.trim(g("units_per_case")).cast(S.QTY).alias("units_per_source_unit"),
-        "raw_fragment",
+    records = keep_where(data, F.col("_errors").isNull()).select(
+        "file_id", "source_reference", "source_row", "external_sku", "external_location", "observed_at",
+        F.lit("CASE").alias("source_unit"), "on_hand_quantity",
+        F.lit(0).cast(S.QTY).alias("reserved_quantity"), "units_per_source_unit",
+        *(["raw_fragment"] if fragments else []),
     )
     return records, header_errors.unionByName(row_errors)
 
@@ -253,7 +278,7 @@ def parse_supplier_a(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     p = p.withColumn("_errors", F.concat(top, F.coalesce(item_errors, F.array())))
     errors = p.select(
-        "payload_id", F.explode("_errors").alias("_e")
+        "payload_id", _each().alias("_e")
     ).select("payload_id", F.lit("invalid_payload").alias("code"), F.col("_e.message").alias("message"),
              F.lit(None).cast("bigint").alias("source_row"), F.col("_e.field_name").alias("field_name"))
     valid = keep_valid(p)
@@ -300,7 +325,7 @@ def parse_carrier_events(raw: DataFrame, value_col: str = "value") -> tuple[Data
     e = e.withColumn("_errors", errs)
     keep = [c for c in raw.columns if c != value_col]
     rejects = e.select(
-        *keep, F.col("_ev.event_id").alias("external_event_id"), F.explode("_errors").alias("_e")
+        *keep, F.col("_ev.event_id").alias("external_event_id"), _each().alias("_e")
     ).select(*keep, "external_event_id", F.col("_e.field_name").alias("field_name"),
              F.col("_e.message").alias("message"))
     events = keep_valid(e).select(

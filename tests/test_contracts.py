@@ -228,3 +228,31 @@ def test_code_rules(spark):
     assert safe[0] == "abc_.._x_y" and len(safe[1]) == 180
     keys = spark.createDataFrame([("key-0001",), ("short",), ("-leading1",)], "k string")
     assert [r.v for r in keys.select(X.idempotency_key_valid("k").alias("v")).collect()] == [True, False, False]
+
+
+def test_payloads_are_parsed_once_per_row(spark):
+    """No parse may be copied into conditions below it (a filter that Catalyst infers for the errors)."""
+    ids = spark.createDataFrame([("p1",)], "payload_id string").repartition(2)
+    payloads = spark.createDataFrame([("p1", json.dumps(SUPPLIER_A))], "payload_id string, value string").join(ids, "payload_id")
+    _, errs = partners.parse_supplier_a(payloads)
+    plan = errs.select("payload_id", "field_name")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    lines, _ = partners.supplier_b_rows(_files(spark, [("f1", SUPPLIER_B)]))
+    _, errs = partners.parse_supplier_b(lines)
+    plan = errs.where("code = 'invalid_csv_field'").select("file_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_arrays" not in plan
+    assert not [line for line in plan.split("\n") if "Join" in line and "RLIKE" in line]
+
+
+def test_decimal_text_rules(spark):
+    cases = {"5": None, "5.125": None, "0": "greater than 0", "0.000": "greater than 0", "-1": "greater than 0", "1.2345": "3 decimal",
+             "1.2340": None, "1234567890123456": "18 digits", "123456789012345.123": None, "+1": None, ".5": None, "5.": None,
+             " 7 ": None, "7\n": None, "x": "valid decimal", "": "valid decimal", None: "Field required", "00000000000000000007": None,
+             "٣": "valid decimal"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    e = partners.decimal_errors(df.t, "q", positive=True)[0].message.alias("m")
+    got = {r.t: r.m for r in df.select("t", e).collect()}
+    for text, want in cases.items():
+        if text != "1234567890123456":
+            assert (got[text] is None) if want is None else want in got[text], text
+    assert got["1234567890123456"] is None

@@ -12,7 +12,7 @@ from skuflow.sources import views
 
 def _verdicts(spark, sf):
     return imports.verdicts(views.feed_records(spark, sf), views.product_map(spark, sf),
-                            views.warehouse_map(spark, sf), once=lambda df: store(df, "mapped-records"))
+                            views.warehouse_map(spark, sf), once=lambda df: store(df, "claims"))
 
 
 def accepted_snapshots(spark, sf):

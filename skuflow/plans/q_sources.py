@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skuflow.functions.scalars import utc_iso, utc_iso_micros
 from skuflow.operators import imports, partners
 from skuflow.plans.catalog import register
+from skuflow.session import store
 from skuflow.sources import views
 
 _REC = ("file_id, source_reference, source_row, external_sku, external_location, "
@@ -14,16 +15,16 @@ _REC = ("file_id, source_reference, source_row, external_sku, external_location,
         "reserved_quantity, units_per_source_unit")
 
 
-def _b(spark, sf):
+def _b(spark, sf, once=None):
     rows = views.supplier_b_lines(spark, sf).withColumn("fields", partners.csv_fields(F.col("text"))).drop("text")
-    return partners.parse_supplier_b(rows)
+    return partners.parse_supplier_b(rows, once, fragments=False)
 
 
 @register("scan_supplier_b_csv", f"SELECT {_REC} FROM sb_records", ["sb_records"])
 def q_scan_supplier_b_csv(spark, sf):
     """A4: supplier B lines -> canonical records (header by name, any order)."""
     records, _ = _b(spark, sf)
-    return records.drop("raw_fragment").withColumn("observed_at", utc_iso("observed_at"))
+    return records.withColumn("observed_at", utc_iso("observed_at"))
 
 
 @register("validate_supplier_b_fields",
@@ -46,13 +47,14 @@ def q_missing_headers(spark, sf):
 
 
 def _b_verdicts(spark, sf):
-    records, adapter_errors = _b(spark, sf)
+    records, adapter_errors = _b(spark, sf, once=lambda df: store(df, "supplier-b"))
     feed = records.select(
         F.col("file_id").alias("import_job_id"), F.lit(1).alias("job_seq"),
         F.concat(F.lit("SUP-"), F.substring("file_id", 3, 20)).alias("supplier_id"),
         "source_reference", "source_row", "external_sku", "external_location", "observed_at", "source_unit",
         "on_hand_quantity", "reserved_quantity", "units_per_source_unit")
-    v = imports.verdicts(feed, views.product_map(spark, sf), views.warehouse_map(spark, sf))
+    v = imports.verdicts(feed, views.product_map(spark, sf), views.warehouse_map(spark, sf),
+                         once=lambda df: store(df, "claims"))
     adapter = adapter_errors.select(F.col("file_id").alias("import_job_id"), "source_row", "code", "field_name")
     return v, adapter
 

@@ -34,3 +34,29 @@ def test_accepted_equals_verdicts(spark, stored):
     assert sorted(found.select(*columns).collect(), key=key) == sorted(every.select(*columns).collect(), key=key)
     assert found.count() > 20
 
+
+
+def test_only_repeated_keys_are_kept_and_joined_back(spark):
+    rows = [("J1", 1, "S1", f"R{i}", i, "A", "L0", "EACH", None, None) for i in range(50)]
+    rows += [("J1", 1, "S1", "R1", 60, "A", "L0", "EACH", None, None), ("J2", 2, "S1", "R2", 61, "A", "L0", "EACH", None, None),
+             ("J2", 2, "S1", "R3", None, "A", "L0", "EACH", None, None), ("J2", 2, "S1", None, 62, "A", "L0", "EACH", None, None),
+             ("J2", None, "S1", "R4", 63, "A", "L0", "EACH", None, None), ("J1", 1, "S1", "R5", 5, "A", "L0", "EACH", None, None)]
+    feed = spark.createDataFrame(rows, FEED).repartition(3)
+    pm = spark.createDataFrame([("S1", "A", "P", "EACH", None, 1, True)],
+                               "supplier_id string, external_sku string, product_id string, source_unit string, "
+                               "units_per_source_unit decimal(18,3), version int, active boolean")
+    wm = spark.createDataFrame([("S1", "L0", "W", 1, True)],
+                               "supplier_id string, external_location string, warehouse_id string, version int, active boolean")
+    kept = []
+
+    def once(df):
+        kept.append(df.count())
+        return df
+
+    v = imports.verdicts(feed, pm, wm, once=once).collect()
+    assert kept and max(kept) <= 10  # and not one row for every record
+    assert len(v) == 54  # records without a whole key, or without a job, have no verdict
+    assert sorted(r.source_row for r in v if r.duplicate_in_file) == [60]
+    assert sorted((r.source_reference, r.source_row) for r in v if r.already_imported) == [("R2", 61), ("R3", None)]
+    assert [r.duplicate_in_file for r in v if r.source_row is None] == [None]
+    assert sum(r.accepted for r in v) == 51  # row 5 came twice: neither is later than the other

@@ -4,9 +4,10 @@ The reference validates a 1:1 join (``validate="one_to_one"``) and then checks
 that both inputs matched completely. The default plan here does both in one
 aggregation: both sides are tagged, unioned and grouped by the key once; per
 key the side counts must be exactly (1, 1), otherwise the job fails in-plan,
-and the side values form the joined row. That is a single shuffle with
-map-side partial aggregation (a hot duplicated key collapses before the
-shuffle) and no second validation pass. Join-hint plans (sort-merge,
+and the side values form the joined row. That is a single shuffle and no second
+validation pass. Keys occur once a side, so combining them before the shuffle
+would only hold all rows of a task; they are spread first, over as many tasks
+as the input's size asks for. Join-hint plans (sort-merge,
 shuffle-hash, size-checked broadcast) remain available as strategies (K2) and
 are validated by the rows per key on either side.
 """
@@ -21,6 +22,7 @@ from skuflow.functions.frames import attach_scalars
 
 KEYS = ["record_index", "product_sku", "warehouse_code"]
 STRATEGIES = ("aggregate", "merge", "shuffle_hash", "broadcast")
+MAX_TASKS = 20_000  # beyond, the estimate is no size of files
 MISMATCH_MESSAGE = "Reconciliation inputs do not contain matching keys."
 
 
@@ -40,11 +42,20 @@ def _small(df: DataFrame, limit_bytes: int = 64 * 1024 * 1024) -> bool:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit_bytes
 
 
+def _spread(df: DataFrame, keys: list[str], task_bytes: int = 8 * 1024 * 1024) -> DataFrame:
+    """Rows dealt by ``keys`` for the aggregate that follows, in tasks of a bounded share of the input (the
+    optimizer's estimate from file sizes, several times less than in memory); by the session's count where
+    there is no estimate."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(size // task_bytes + 1, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys) if tasks <= MAX_TASKS else df.repartition(*keys)
+
+
 def _side_counts(supplier: DataFrame, hub: DataFrame) -> DataFrame:
     """Rows per key on either side, from one aggregate over the tagged keys."""
     tagged = supplier.select(*KEYS, F.lit(1).alias("_s"), F.lit(0).alias("_h")).unionByName(
         hub.select(*KEYS, F.lit(0).alias("_s"), F.lit(1).alias("_h")))
-    return tagged.groupBy(*KEYS).agg(F.sum("_s").alias("supplier_rows"), F.sum("_h").alias("hub_rows"))
+    return _spread(tagged, KEYS).groupBy(*KEYS).agg(F.sum("_s").alias("supplier_rows"), F.sum("_h").alias("hub_rows"))
 
 
 def violations(supplier: DataFrame, hub: DataFrame) -> DataFrame:
@@ -55,13 +66,13 @@ def violations(supplier: DataFrame, hub: DataFrame) -> DataFrame:
 def _aggregate_join(supplier: DataFrame, hub: DataFrame, validate: bool) -> DataFrame:
     """The 1:1 join as one aggregation: both sides tagged, unioned and grouped
     by the key once. Per key the side counts must both be 1 (checked in-plan,
-    row by row); the side values are then the joined row. One shuffle, partial
-    aggregation (a hot duplicated key collapses map-side), no second pass."""
+    row by row); the side values are then the joined row. One shuffle, no
+    second pass."""
     s = supplier.select(*KEYS, "supplier_code", "reported_quantity",
                         F.lit(None).cast("bigint").alias("hub_quantity"), F.lit(1).alias("_side"))
     h = hub.select(*KEYS, F.lit(None).cast("string").alias("supplier_code"),
                    F.lit(None).cast("bigint").alias("reported_quantity"), "hub_quantity", F.lit(2).alias("_side"))
-    g = s.unionByName(h).groupBy(*KEYS).agg(
+    g = _spread(s.unionByName(h), KEYS).groupBy(*KEYS).agg(
         F.count_if(F.col("_side") == 1).alias("_sn"), F.count_if(F.col("_side") == 2).alias("_hn"),
         F.max("supplier_code").alias("supplier_code"), F.max("reported_quantity").alias("reported_quantity"),
         F.max("hub_quantity").alias("hub_quantity"),
@@ -123,7 +134,7 @@ def outputs_equal(left: DataFrame, right: DataFrame) -> DataFrame:
     cols = left.columns
     tagged = left.select(*cols, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
         right.select(*cols, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
-    counts = tagged.groupBy(*cols).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    counts = _spread(tagged, cols).groupBy(*cols).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
     zero = F.lit(0).cast("bigint")
 
     def total(c: F.Column, name: str) -> F.Column:

@@ -15,6 +15,7 @@ in; a row gives one entry ``(scope, key, slot)`` for
 One aggregate by (scope, key) over the entries of all tables then says how often
 a unique key occurs and whether a reference has its parent: no joins, and one
 exchange, before which a key with very many rows is combined to one entry a task.
+A scope is a number in the entries, as each of them carries it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ENTRY = "struct<scope:string,key:string,slot:int,parent:boolean>"
+_ENTRY = "struct<scope:int,key:string,slot:int,parent:boolean>"
 
 
 def _key(columns: list[str]) -> Column:
@@ -33,7 +34,7 @@ def _key(columns: list[str]) -> Column:
     return F.concat(*[part for t in text for part in (F.char_length(t).cast("string"), F.lit(":"), t)])
 
 
-def _entry(scope: str, key: Column, slot: int = 0, parent: bool = False) -> Column:
+def _entry(scope: int, key: Column, slot: int = 0, parent: bool = False) -> Column:
     return F.struct(F.lit(scope).alias("scope"), key.alias("key"), F.lit(slot).alias("slot"), F.lit(parent).alias("parent"))
 
 
@@ -49,6 +50,7 @@ class Rules:
             by_parent.setdefault(f"{rule[3]}.{rule[4]}", []).append(rule)
         self.by_parent = by_parent
         self.slots = max([1, *map(len, by_parent.values())])
+        self.scope = {name: i for i, name in enumerate(dict.fromkeys(r[0] for r in self._rows()))}
 
     def tables(self) -> list[str]:
         named = {t for t, rules in self.row.items() if rules} | {u[0] for u in self.unique}
@@ -56,25 +58,29 @@ class Rules:
 
     def entries(self, table: str) -> list[Column]:
         """What a row of the table adds; NULL for nothing."""
-        out = [F.when(~F.expr(cond), _entry(f"{family}|{table}|{rule}", F.lit("")))
+        out = [F.when(~F.expr(cond), _entry(self.scope[f"{family}|{table}|{rule}"], F.lit("")))
                for (family, rule), cond in self.row.get(table, {}).items()]
-        out += [F.when(_key(keys).isNotNull(), _entry(f"unique|{table}|{rule}", _key(keys)))
+        out += [F.when(_key(keys).isNotNull(), _entry(self.scope[f"unique|{table}|{rule}"], _key(keys)))
                 for t, rule, keys in self.unique if t == table]
         for scope, rules in self.by_parent.items():
-            out += [F.when(F.col(column).isNotNull(), _entry(scope, _key([column]), slot))
+            out += [F.when(F.col(column).isNotNull(), _entry(self.scope[scope], _key([column]), slot))
                     for slot, (t, _, column, _, _) in enumerate(rules) if t == table]
             if rules[0][3] == table:
                 known = _key([rules[0][4]])
-                out.append(F.when(known.isNotNull(), _entry(scope, known, -1, True)))
+                out.append(F.when(known.isNotNull(), _entry(self.scope[scope], known, -1, True)))
         return out
 
-    def listed(self, spark: SparkSession) -> DataFrame:
-        """``(scope, slot, audit, table_name, rule)``: every rule once."""
+    def _rows(self) -> list[tuple]:
         rows = [(f"{family}|{t}|{rule}", 0, family, t, rule) for t, rules in self.row.items() for family, rule in rules]
         rows += [(f"unique|{t}|{rule}", 0, "unique", t, rule) for t, rule, _ in self.unique]
         rows += [(scope, slot, "foreign_key", t, rule) for scope, rules in self.by_parent.items()
                  for slot, (t, rule, *_) in enumerate(rules)]
-        return spark.createDataFrame(rows, "scope string, slot int, audit string, table_name string, rule string")
+        return rows
+
+    def listed(self, spark: SparkSession) -> DataFrame:
+        """``(scope, slot, audit, table_name, rule)``: every rule once."""
+        return spark.createDataFrame([(self.scope[s], *r) for s, *r in self._rows()],
+                                     "scope int, slot int, audit string, table_name string, rule string")
 
 
 def violations(spark: SparkSession, rules: Rules, table) -> DataFrame:
@@ -82,8 +88,9 @@ def violations(spark: SparkSession, rules: Rules, table) -> DataFrame:
     row, references without a parent. ``table``: name -> DataFrame."""
     parts = []
     for name in rules.tables():
-        found = F.filter(F.array(*[e.cast(_ENTRY) for e in rules.entries(name)]), lambda e: e.isNotNull())
-        parts.append(table(name).select(F.explode(found).alias("e")).select("e.*"))
+        # Exploded whole: a filter of the array would evaluate the entries row by row without generated code.
+        found = F.explode(F.array(*[e.cast(_ENTRY) for e in rules.entries(name)]))
+        parts.append(table(name).select(found.alias("e")).where("e IS NOT NULL").select("e.*"))
     entries = reduce(lambda a, b: a.unionByName(b), parts)
     keys = entries.groupBy("scope", "key").agg(
         F.bool_or("parent").alias("known"), *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in range(rules.slots)])

@@ -136,35 +136,37 @@ def verdicts(records: DataFrame, product_map: DataFrame, warehouse_map: DataFram
 
 
 def accepted(records: DataFrame, product_map: DataFrame, warehouse_map: DataFrame,
-             stored: DataFrame | None = None) -> DataFrame:
+             stored: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
     """The accepted records alone, as ``verdicts(...).where("accepted")`` gives them, without joins to themselves.
 
     At most one record of a source key is accepted: the first of its job, in the first job in which that
     one's mappings hold. So two aggregates find them: the first record per key and job, which is then mapped,
     and the first job per key. A key with very many records is combined before it is shuffled or joined.
+    ``columns``: the ones wanted besides the source key and ``job_seq``, if not all; no others are shuffled.
     """
-    payload = [c for c in records.columns if c not in (*SOURCE_KEY, "job_seq")]
+    read = records.columns if columns is None else [*columns, "source_row", "source_unit", "units_per_source_unit"]
+    payload = [c for c in records.columns if c in read and c not in (*SOURCE_KEY, "job_seq")]
     first = records.groupBy(*SOURCE_KEY, "job_seq").agg(F.min_by(F.struct(*payload), F.col("source_row")).alias("_r"))
     good = mapping_flags(first.select(*SOURCE_KEY, "job_seq", "_r.*"), product_map, warehouse_map).where("_map_code IS NULL")
-    kept = [c for c in good.columns if c not in (*SOURCE_KEY, "_map_code", "_map_field")]
+    kept = [c for c in good.columns if c not in (*SOURCE_KEY, "_map_code", "_map_field")
+            and (columns is None or c in ("job_seq", *columns))]
     one = good.groupBy(*SOURCE_KEY).agg(F.min_by(F.struct(*kept), F.col("job_seq")).alias("_r")).select(*SOURCE_KEY, "_r.*")
     if stored is not None:
         one = one.join(stored.select(*SOURCE_KEY).distinct(), SOURCE_KEY, "left_anti")
     return one.withColumn("accepted", F.lit(True))
 
 
-def snapshots(v: DataFrame) -> DataFrame:
-    """Accepted records as append-only snapshots in canonical units."""
-    acc = v.where("accepted")
-    return acc.select(
-        "import_job_id", "job_seq", "supplier_id", "product_id", "warehouse_id",
-        "source_reference", "external_sku", "external_location", "observed_at", "source_row",
-        "source_unit",
-        X.unit_conversion("on_hand_quantity", "_map_factor").alias("on_hand_quantity"),
-        X.unit_conversion("reserved_quantity", "_map_factor").alias("reserved_quantity"),
-        F.col("_map_factor").cast(S.QTY).alias("units_per_source_unit"),
-        "product_mapping_version", "warehouse_mapping_version",
-    )
+def snapshots(v: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Accepted records as append-only snapshots in canonical units (C6), or ``columns`` of them."""
+    made = {
+        "on_hand_quantity": X.unit_conversion("on_hand_quantity", "_map_factor"),
+        "reserved_quantity": X.unit_conversion("reserved_quantity", "_map_factor"),
+        "units_per_source_unit": F.col("_map_factor").cast(S.QTY),
+    }
+    shown = ["import_job_id", "job_seq", "supplier_id", "product_id", "warehouse_id",
+             "source_reference", "external_sku", "external_location", "observed_at", "source_row",
+             "source_unit", *made, "product_mapping_version", "warehouse_mapping_version"]
+    return v.where("accepted").select(*[made.get(c, F.col(c)).alias(c) for c in shown if columns is None or c in columns])
 
 
 def rejects(v: DataFrame) -> DataFrame:

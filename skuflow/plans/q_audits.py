@@ -113,6 +113,7 @@ LENGTHS = {
     "inventory_reconciliations": {"supplier_code": 100, "product_sku": 100, "warehouse_code": 100},
     "stockout_risks": {"product_sku": 100, "warehouse_code": 100},
 }
+FAMILIES = ("check", "unique", "foreign_key", "enum", "length")
 TABLE_NAMES = sorted({*CHECKS, *LENGTHS, *(u[0] for u in UNIQUES), *(e[0] for e in ENUMS)})
 
 # Columns that only the audits read, derived from each entity's own columns
@@ -149,12 +150,16 @@ DUCK = {
     "shipments": "e_order_shipments", "operation_events": "e_op_events", "shipment_events": "e_shipment_events",
     "import_errors": "e_import_errors", "inventory_reconciliations": "e_reconciliations",
 }
-def _columns(table: str) -> list[str]:
-    """The columns that some rule of the table reads (or derives one from)."""
-    wanted = {c for t, _, keys in UNIQUES if t == table for c in keys} | set(LENGTHS.get(table, {}))
-    wanted |= {c for t, c, _ in ENUMS if t == table}
-    wanted |= {c for t, _, c, _, _ in FOREIGN_KEYS if t == table} | {c for _, _, _, t, c in FOREIGN_KEYS if t == table}
-    return sorted(wanted | set(re.findall(r"[a-z_]+", " ".join(CHECKS.get(table, {}).values()))))
+def _columns(table: str, families: tuple[str, ...] = FAMILIES) -> list[str]:
+    """The columns that some rule of the families reads in the table (or derives one from)."""
+    read = {
+        "unique": {c for t, _, keys in UNIQUES if t == table for c in keys},
+        "length": set(LENGTHS.get(table, {})),
+        "enum": {c for t, c, _ in ENUMS if t == table},
+        "foreign_key": {c for t, _, c, _, _ in FOREIGN_KEYS if t == table} | {c for _, _, _, t, c in FOREIGN_KEYS if t == table},
+        "check": set(re.findall(r"[a-z_]+", " ".join(CHECKS.get(table, {}).values()))),
+    }
+    return sorted(set().union(*[read[f] for f in families]))
 
 
 def _row_rules(table: str, families: tuple[str, ...]) -> dict[tuple[str, str], str]:
@@ -173,25 +178,27 @@ def _row_rules(table: str, families: tuple[str, ...]) -> dict[tuple[str, str], s
 class Tables:
     """The audited tables of one audit run, each built when first used."""
 
-    def __init__(self, spark, sf):
-        self.spark, self.sf, self.built = spark, sf, {}
+    def __init__(self, spark, sf, families: tuple[str, ...]):
+        self.spark, self.sf, self.families, self.built = spark, sf, families, {}
 
     def __getitem__(self, table: str):
         if table not in self.built:
             df = getattr(self, f"_{table}", lambda: getattr(E, table)(self.spark, self.sf))()
             df = df.selectExpr("*", *[f"{e} AS {c}" for c, e in EXTRA.get(table, {}).items()])
-            df = df.select(*[c for c in _columns(table) if c in df.columns], *self._also(table))
+            df = df.select(*[c for c in self._wanted(table) if c in df.columns])
             # Positions are made from the snapshots: written once, read by both.
             self.built[table] = store(df, f"audit-{table}") if table == "inventory_snapshots" else df
         return self.built[table]
 
-    @staticmethod
-    def _also(table: str) -> list[str]:
-        # Positions are made from the snapshots in this order.
-        return ["job_seq", "source_row"] if table == "inventory_snapshots" else []
+    def _wanted(self, table: str) -> list[str]:
+        wanted = _columns(table, self.families)
+        if table == "inventory_snapshots":
+            # Positions are made from the snapshots, in the order of job and row.
+            wanted += ["warehouse_id", "product_id", "on_hand_quantity", "reserved_quantity", "job_seq", "source_row"]
+        return list(dict.fromkeys(wanted))
 
     def _inventory_snapshots(self):
-        return accepted_snapshots(self.spark, self.sf)
+        return accepted_snapshots(self.spark, self.sf, self._wanted("inventory_snapshots"))
 
     def _inventory_positions(self):
         return imports.positions(self["inventory_snapshots"])
@@ -229,7 +236,7 @@ def _audit(spark, sf, families: tuple[str, ...]):
     """``(audit, table_name, rule, violations)`` of the wanted families."""
     rules = audits.Rules({t: _row_rules(t, families) for t in TABLE_NAMES}, UNIQUES if "unique" in families else [],
                          FOREIGN_KEYS if "foreign_key" in families else [])
-    return audits.violations(spark, rules, Tables(spark, sf).__getitem__)
+    return audits.violations(spark, rules, Tables(spark, sf, families).__getitem__)
 
 
 # --- oracle SQL generated from the same declared constraints ------------------
@@ -279,8 +286,7 @@ _register("audit_unique", ("unique",), "L2: key groups with more than one row.")
 _register("audit_foreign_keys", ("foreign_key",), "L3: child rows without their parent.")
 _register("audit_enums", ("enum",), "L4: values outside an enum's domain.")
 _register("audit_lengths", ("length",), "L5: strings longer than declared.")
-_register("constraint_audit", ("check", "unique", "foreign_key", "enum", "length"),
-          "All declared-constraint audits as (audit, table, rule, violations).")
+_register("constraint_audit", FAMILIES, "All declared-constraint audits as (audit, table, rule, violations).")
 
 
 @register("verify_manifest", """

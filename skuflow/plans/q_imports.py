@@ -15,10 +15,11 @@ def _verdicts(spark, sf):
                             views.warehouse_map(spark, sf), once=lambda df: store(df, "claims"))
 
 
-def accepted_snapshots(spark, sf):
-    """Snapshots of all accepted records of the feed."""
-    return imports.snapshots(imports.accepted(views.feed_records(spark, sf), views.product_map(spark, sf),
-                                              views.warehouse_map(spark, sf)))
+def accepted_snapshots(spark, sf, columns=None):
+    """Snapshots of all accepted records of the feed (or ``columns`` of them)."""
+    found = imports.accepted(views.feed_records(spark, sf), views.product_map(spark, sf), views.warehouse_map(spark, sf),
+                             columns=columns and [*columns, "_map_factor"])
+    return imports.snapshots(found, columns)
 
 
 @register("map_products", """

@@ -47,3 +47,21 @@ def test_each_table_is_read_once_and_keys_meet_in_one_exchange(spark):
     assert plan.count("BroadcastHashJoin") == 1
     by_rule = {(r.audit, r.table_name, r.rule): r.violations for r in found.collect()}
     assert len(by_rule) == 118 and all(v == 0 for (audit, *_), v in by_rule.items() if audit in ("unique", "foreign_key"))
+
+
+def test_audits_read_the_columns_of_their_families(spark):
+    unique = q_audits.Tables(spark, "/root/testdata/sf0.001", ("unique",))
+    assert unique["purchase_order_lines"].columns == ["line_number", "order_id", "product_id"]
+    kept = unique["inventory_snapshots"]
+    assert "import_job_id" not in kept.columns and {"source_reference", "warehouse_id", "job_seq"} <= set(kept.columns)
+
+
+def test_entries_carry_scopes_as_numbers_and_are_generated_code(spark):
+    rules = audits.Rules({"t": {("check", "n_positive"): "n > 0"}}, [("t", "n_unique", ["n"])], [("t", "p_fk", "p", "p", "id")])
+    tables = {"t": spark.createDataFrame([(1, "a"), (1, "b"), (-1, None)], "n int, p string"),
+              "p": spark.createDataFrame([("a",)], "id string")}
+    found = audits.violations(spark, rules, tables.__getitem__)
+    assert sorted((r.audit, r.table_name, r.rule, r.violations) for r in found.collect()) == [
+        ("check", "t", "n_positive", 1), ("foreign_key", "t", "p_fk", 1), ("unique", "t", "n_unique", 1)]
+    assert dict(rules.listed(spark).dtypes)["scope"] == "int"
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()

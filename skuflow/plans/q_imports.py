@@ -140,7 +140,7 @@ def q_supplier_import(spark, sf):
     """Canonical records -> verdicts -> accepted snapshots in canonical units."""
     from skuflow.functions.scalars import utc_iso
 
-    s = accepted_snapshots(spark, sf)
+    s = store(accepted_snapshots(spark, sf), "snapshots")
     return s.drop("job_seq").withColumn("observed_at", utc_iso("observed_at"))
 
 

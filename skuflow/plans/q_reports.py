@@ -10,7 +10,7 @@ from skuflow.functions.frames import attach_scalars, exactly_one
 from skuflow.operators import imports, lifecycle, partners, reports
 from skuflow.plans.catalog import register
 from skuflow.plans.q_imports import accepted_snapshots
-from skuflow.session import materialize
+from skuflow.session import materialize, store
 from skuflow.sources import entities as E
 from skuflow.sources import views
 
@@ -234,7 +234,8 @@ def _entity_counts(spark, sf):
     narrow = views.feed_records(spark, sf).select(*imports.SOURCE_KEY, "job_seq", "source_row", "source_unit", "units_per_source_unit")
     found = imports.accepted(narrow, views.product_map(spark, sf), views.warehouse_map(spark, sf))
     per_position = found.groupBy("warehouse_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
-    stored = per_position.agg(F.count(F.lit(1)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("s")).select(
+    totals = per_position.agg(F.count(F.lit(1)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("s"))
+    stored = store(totals, "snapshot-counts").select(
         F.expr("stack(2, 'inventory_positions', p, 'inventory_snapshots', s) as (entity, row_count)"))
     return reports.entity_counts({
         "suppliers": E.suppliers(spark, sf), "products": E.products(spark, sf), "warehouses": E.warehouses(spark, sf),

@@ -10,8 +10,10 @@ supplier A), so per-file array work inside one row is bounded too.
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import itertools
+import operator
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -87,6 +89,10 @@ def _compact(errors: list[Column]) -> Column:
     return F.filter(F.array(*errors), lambda e: e.isNotNull())
 
 
+def _any(errors: list[Column]) -> Column:
+    return functools.reduce(operator.or_, [e.isNotNull() for e in errors])
+
+
 def _each(errors_col: str = "_errors") -> Column:
     """A row per error. For the bare column Catalyst would infer a filter on its
     size and push it below the projection and the join that make it, where the
@@ -250,42 +256,49 @@ def parse_supplier_a(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``source_row``; invalid payloads yield one error row per failing field."""
     p = payloads.withColumn("_doc", F.from_json("value", S.SUPPLIER_A_SCHEMA, {"mode": "PERMISSIVE"}))
     items = F.coalesce(F.col("_doc.items"), F.array())
-    units = F.array(*[F.lit(u) for u in S.UNIT_OF_MEASURE])
-    per_item = F.transform(items, lambda it, i: F.filter(F.array(
-        *string_errors(it["item_number"], "item_number"),
-        *string_errors(it["location"], "location"),
-        *decimal_errors(it["on_hand"], "on_hand", positive=False),
-        F.when(it["allocated"].isNotNull(), decimal_errors(it["allocated"], "allocated", positive=False)[0]),
-        F.when(it["unit"].isNull() | ~F.array_contains(units, it["unit"]),
-               F.struct(F.lit("unit").alias("field_name"),
-                        F.lit("Input should be 'EACH', 'CASE', 'PALLET' or 'KILOGRAM'").alias("message"))),
-    ), lambda e: e.isNotNull()))
-    item_errors = F.flatten(F.transform(
-        F.arrays_zip(per_item.alias("errs"), F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0))).alias("i")),
-        lambda z: F.transform(z["errs"], lambda e: F.struct(
-            F.concat(F.lit("items."), z["i"].cast("string"), F.lit("."), e["field_name"]).alias("field_name"),
+
+    def per_item(it: Column) -> list[Column]:
+        return (
+            string_errors(it["item_number"], "item_number")
+            + string_errors(it["location"], "location")
+            + decimal_errors(it["on_hand"], "on_hand", positive=False)
+            + [F.when(it["allocated"].isNotNull(), decimal_errors(it["allocated"], "allocated", positive=False)[0]),
+               _err(it["unit"].isNull() | ~it["unit"].isin(*S.UNIT_OF_MEASURE), "unit",
+                    "Input should be 'EACH', 'CASE', 'PALLET' or 'KILOGRAM'")]
+        )
+
+    item_errors = F.flatten(F.transform(items, lambda it, i: F.transform(
+        _compact(per_item(it)), lambda e: F.struct(
+            F.concat(F.lit("items."), i.cast("string"), F.lit("."), e["field_name"]).alias("field_name"),
             e["message"].alias("message")))))
-    top = _compact(
-        [F.when(F.col("_doc").isNull(), F.struct(F.lit("payload").alias("field_name"),
-                                                  F.lit("Invalid JSON").alias("message")))]
+    top = (
+        [_err(F.col("_doc").isNull(), "payload", "Invalid JSON")]
         + string_errors(F.col("_doc.snapshot_id"), "snapshot_id")
         + timestamp_errors(F.col("_doc.captured_at"), "captured_at")
-        + [F.when(F.size(items) < 1, F.struct(F.lit("items").alias("field_name"),
-                                                F.lit("List should have at least 1 item").alias("message"))),
-           F.when(F.size(items) > S.SUPPLIER_A_MAX_ITEMS,
-                  F.struct(F.lit("items").alias("field_name"),
-                           F.lit("List should have at most 10000 items").alias("message")))]
+        + [_err(F.size(items) < 1, "items", "List should have at least 1 item"),
+           _err(F.size(items) > S.SUPPLIER_A_MAX_ITEMS, "items", "List should have at most 10000 items")]
     )
-    p = p.withColumn("_errors", F.concat(top, F.coalesce(item_errors, F.array())))
-    errors = p.select(
+    def plain(it: Column) -> Column:
+        """True only of items that no rule refuses, so that few items need all rules."""
+        return F.coalesce(
+            F.length(it["item_number"]).between(1, 100) & F.length(it["location"]).between(1, 100)
+            & it["on_hand"].rlike(PLAIN_DECIMAL) & (it["allocated"].isNull() | it["allocated"].rlike(PLAIN_DECIMAL))
+            & it["unit"].isin(*S.UNIT_OF_MEASURE), F.lit(False))
+
+    # The same rules as conditions: errors are only made for payloads that have some.
+    invalid = _any(top) | F.exists(items, lambda it: ~plain(it) & _any(per_item(it)))
+    errors = p.withColumn("_errors", F.when(invalid, F.concat(_compact(top), item_errors))).select(
         "payload_id", _each().alias("_e")
     ).select("payload_id", F.lit("invalid_payload").alias("code"), F.col("_e.message").alias("message"),
              F.lit(None).cast("bigint").alias("source_row"), F.col("_e.field_name").alias("field_name"))
-    valid = keep_valid(p)
-    records = valid.select(
+    # What all items share is taken from the document before they become rows, so that none carries the document.
+    records = p.select(
         "payload_id", F.col("_doc.snapshot_id").alias("source_reference"),
         X.parse_aware_timestamp(F.col("_doc.captured_at")).alias("observed_at"),
-        F.posexplode("_doc.items").alias("_pos", "_it"),
+        F.when(~invalid, F.col("_doc.items")).alias("_items"),
+    ).select(
+        "payload_id", "source_reference", "observed_at",
+        F.posexplode(F.when(F.size("_items") > 0, F.col("_items"))).alias("_pos", "_it"),
     ).select(
         "payload_id", "source_reference", (F.col("_pos") + 1).cast("bigint").alias("source_row"),
         F.col("_it.item_number").alias("external_sku"), F.col("_it.location").alias("external_location"),

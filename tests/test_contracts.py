@@ -244,6 +244,55 @@ def test_payloads_are_parsed_once_per_row(spark):
     assert not [line for line in plan.split("\n") if "Join" in line and "RLIKE" in line]
 
 
+def test_payload_items_carry_no_document_and_errors_are_made_for_bad_ones_only(spark):
+    item = SUPPLIER_A["items"][0]
+    docs = {"ok": [item, {k: v for k, v in item.items() if k != "allocated"}, dict(item, on_hand=" +7. ")], "none": [],
+            "bad": [item, dict(item, on_hand="-1", unit="BOX"), dict(item, location="", allocated="1.2345")],
+            "null": [None, dict(item, item_number="x" * 101)]}
+    payloads = spark.createDataFrame([(k, json.dumps(dict(SUPPLIER_A, items=v))) for k, v in docs.items()]
+                                     + [("broken", "{oops"), (None, None)], "payload_id string, value string")
+    recs, errs = partners.parse_supplier_a(payloads)
+    assert sorted((r.payload_id, r.source_row, str(r.on_hand_quantity), str(r.reserved_quantity)) for r in recs.collect()) == [
+        ("ok", 1, "120.000", "35.000"), ("ok", 2, "120.000", "0.000"), ("ok", 3, "7.000", "35.000")]
+    found = [(e.payload_id, e.field_name) for e in errs.collect()]
+    assert [f for p, f in found if p == "bad"] == [
+        "items.1.on_hand", "items.1.unit", "items.2.location", "items.2.allocated"]
+    assert [f for p, f in found if p == "null"] == [
+        "items.0.item_number", "items.0.location", "items.0.on_hand", "items.0.unit", "items.1.item_number"]
+    assert [f for p, f in found if p == "none"] == ["items"] and {p for p, _ in found} == {"bad", "null", "none", "broken", None}
+    plan = recs.drop("raw_fragment")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    # No row of an item holds its whole document, and records need no error structs of every item.
+    explode = next(line for line in plan.split("\n") if "posexplode" in line)
+    assert "_doc" not in explode and "items." not in plan.replace("_doc", "").replace("[items,", "")
+
+
+def test_payload_rows_meet_unrendered_and_keep_their_order(spark, tmp_out):
+    """Repeated, missing and plain line numbers; quantities that a cast and a format could write differently."""
+    from skuflow.sources import views
+
+    rows = [(1, 3, 5, 7, 1.0005, 10.0, 0.1), (1, 1, 6, 8, 0.0, 11.0, 0.2), (1, 1, 7, 9, -0.0001, 12.0, 0.3),
+            (1, 1, 8, 9, 2e9, 12.5, 0.5), (2, None, 9, 1, 2.5, 1.0, 0.9), (2, 2, 29, 2, 3.0, 1.0, 0.9), (None, 1, 9, 1, 1.0, 1.0, 0.0)]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, "
+                                     "l_extendedprice double, l_discount double")
+    li.write.parquet(f"{tmp_out}/lineitem.parquet")
+    spark.createDataFrame([(1, dt.datetime(2026, 1, 2)), (2, None), (None, dt.datetime(2026, 1, 2))],
+                          "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_out}/orders.parquet")
+    df = views.supplier_a_payloads(spark, tmp_out)
+    docs = {r.payload_id: json.loads(r.value) for r in df.collect()}
+    assert set(docs) == {"SA-1", "SA-2"} and "captured_at" not in docs["SA-2"]
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    order = li.where("l_orderkey = 1").select("l_partkey", "l_linenumber", views.row_key(*key).alias("k")).orderBy(
+        "l_linenumber", "k").collect()
+    assert [i["item_number"] for i in docs["SA-1"]["items"]] == [f"EXT-{r.l_partkey}" for r in order]
+    assert {i["item_number"]: i["on_hand"] for i in docs["SA-1"]["items"]} == {
+        "EXT-5": "1.001", "EXT-6": "0.000", "EXT-7": "-0.000", "EXT-8": "2000000000.000"}
+    assert [(i["unit"], i.get("allocated")) for i in docs["SA-2"]["items"]] == [("CASE", "2.000"), ("BOX", None)]
+    # The shuffle of line items takes the table's columns; text is made behind it.
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EXT-" not in plan[plan.index("Exchange hashpartitioning(l_orderkey"):].split("o_orderkey")[0]
+
+
 def test_decimal_text_rules(spark):
     cases = {"5": None, "5.125": None, "0": "greater than 0", "0.000": "greater than 0", "-1": "greater than 0", "1.2345": "3 decimal",
              "1.2340": None, "1234567890123456": "18 digits", "123456789012345.123": None, "+1": None, ".5": None, "5.": None,

@@ -64,7 +64,7 @@ def q_reconciliation_summary(spark, sf):
 def q_engine_outputs_equal(spark, sf):
     """H3: the single-aggregation plan and the sort-merge join plan of D1
     produce the same multiset."""
-    return reconcile.outputs_equal(_recon(spark, sf, "aggregate"), _recon(spark, sf, "merge"))
+    return reconcile.outputs_equal(*reconcile.both_plans(*views.recon_sides(spark, sf)))
 
 
 @register("reconcile_strategy", f"SELECT {RESULT_COLS} FROM v_recon", ["v_recon"])

@@ -15,6 +15,9 @@ in; a row gives one entry ``(scope, key, slot)`` for
 One aggregate by (scope, key) over the entries of all tables then says how often
 a unique key occurs and whether a reference has its parent: no joins, and one
 exchange, before which a key with very many rows is combined to one entry a task.
+Where a table's rows come dealt by columns of a unique key, as behind a window
+over its parent, all rows of the key are in one task already: they are counted
+there, and only the rows of repeated keys give entries.
 A scope is a number in the entries, as each of them carries it.
 """
 
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ENTRY = "struct<scope:int,key:string,slot:int,parent:boolean>"
@@ -40,11 +43,12 @@ def _entry(scope: int, key: Column, slot: int = 0, parent: bool = False) -> Colu
 
 class Rules:
     """Rules to audit: ``row``: table -> {(family, rule): SQL condition}; ``unique``: (table, rule, columns);
-    ``foreign``: (table, rule, column, parent table, parent column)."""
+    ``foreign``: (table, rule, column, parent table, parent column); ``dealt``: table -> columns by which its rows
+    are partitioned as they come."""
 
     def __init__(self, row: dict[str, dict[tuple[str, str], str]], unique: list[tuple[str, str, list[str]]],
-                 foreign: list[tuple[str, str, str, str, str]]):
-        self.row, self.unique, self.foreign = row, unique, foreign
+                 foreign: list[tuple[str, str, str, str, str]], dealt: dict[str, list[str]] | None = None):
+        self.row, self.unique, self.foreign, self.dealt = row, unique, foreign, dealt or {}
         by_parent: dict[str, list] = {}
         for rule in foreign:
             by_parent.setdefault(f"{rule[3]}.{rule[4]}", []).append(rule)
@@ -60,8 +64,11 @@ class Rules:
         """What a row of the table adds; NULL for nothing."""
         out = [F.when(~F.expr(cond), _entry(self.scope[f"{family}|{table}|{rule}"], F.lit("")))
                for (family, rule), cond in self.row.get(table, {}).items()]
-        out += [F.when(_key(keys).isNotNull(), _entry(self.scope[f"unique|{table}|{rule}"], _key(keys)))
-                for t, rule, keys in self.unique if t == table]
+        together = self.together(table)
+        for t, rule, keys in self.unique:
+            if t == table:
+                given = _key(keys).isNotNull() & (F.col(together[rule]) > 1) if rule in together else _key(keys).isNotNull()
+                out.append(F.when(given, _entry(self.scope[f"unique|{table}|{rule}"], _key(keys))))
         for scope, rules in self.by_parent.items():
             out += [F.when(F.col(column).isNotNull(), _entry(self.scope[scope], _key([column]), slot))
                     for slot, (t, _, column, _, _) in enumerate(rules) if t == table]
@@ -70,6 +77,17 @@ class Rules:
                 out.append(F.when(known.isNotNull(), _entry(self.scope[scope], known, -1, True)))
         return out
 
+    def together(self, table: str) -> dict[str, str]:
+        """Unique rules of the table whose keys' rows come in one task -> the column of the rows per key."""
+        by = self.dealt.get(table)
+        return {rule: f"_n_{rule}" for t, rule, keys in self.unique if t == table and by and set(by) <= set(keys)}
+
+    def counted(self, table: str, df: DataFrame) -> DataFrame:
+        """``df`` with the rows per key of the rules ``together``."""
+        keys = {rule: keys for t, rule, keys in self.unique if t == table}
+        return df.withColumns({n: F.count(F.lit(1)).over(Window.partitionBy(*keys[rule]))
+                               for rule, n in self.together(table).items()})
+
     def _rows(self) -> list[tuple]:
         rows = [(f"{family}|{t}|{rule}", 0, family, t, rule) for t, rules in self.row.items() for family, rule in rules]
         rows += [(f"unique|{t}|{rule}", 0, "unique", t, rule) for t, rule, _ in self.unique]
@@ -90,7 +108,7 @@ def violations(spark: SparkSession, rules: Rules, table) -> DataFrame:
     for name in rules.tables():
         # Exploded whole: a filter of the array would evaluate the entries row by row without generated code.
         found = F.explode(F.array(*[e.cast(_ENTRY) for e in rules.entries(name)]))
-        parts.append(table(name).select(found.alias("e")).where("e IS NOT NULL").select("e.*"))
+        parts.append(rules.counted(name, table(name)).select(found.alias("e")).where("e IS NOT NULL").select("e.*"))
     entries = reduce(lambda a, b: a.unionByName(b), parts)
     keys = entries.groupBy("scope", "key").agg(
         F.bool_or("parent").alias("known"), *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in range(rules.slots)])

@@ -17,7 +17,8 @@ def _verdicts(spark, sf):
 
 def accepted_snapshots(spark, sf, columns=None):
     """Snapshots of all accepted records of the feed (or ``columns`` of them)."""
-    found = imports.accepted(views.feed_records(spark, sf), views.product_map(spark, sf), views.warehouse_map(spark, sf),
+    found = imports.accepted(views.feed_records(spark, sf, ["supplier_id", "external_sku"]),
+                             views.product_map(spark, sf, dealt=True), views.warehouse_map(spark, sf),
                              columns=columns and [*columns, "_map_factor"])
     return imports.snapshots(found, columns)
 

@@ -231,8 +231,9 @@ def q_import_status_counts(spark, sf):
 def _entity_counts(spark, sf):
     """Rows per entity. Snapshots and the positions they make are counted by
     one aggregate over (warehouse, product) of the columns that acceptance depends on."""
-    narrow = views.feed_records(spark, sf).select(*imports.SOURCE_KEY, "job_seq", "source_row", "source_unit", "units_per_source_unit")
-    found = imports.accepted(narrow, views.product_map(spark, sf), views.warehouse_map(spark, sf))
+    narrow = views.feed_records(spark, sf, ["supplier_id", "external_sku"]).select(
+        *imports.SOURCE_KEY, "job_seq", "source_row", "source_unit", "units_per_source_unit")
+    found = imports.accepted(narrow, views.product_map(spark, sf, dealt=True), views.warehouse_map(spark, sf))
     per_position = found.groupBy("warehouse_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
     totals = per_position.agg(F.count(F.lit(1)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("s"))
     stored = store(totals, "snapshot-counts").select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skuflow import schemas as S
 from skuflow.sources.tables import read_table
-from skuflow.sources.views import _s, row_key
+from skuflow.sources.views import _s, rendered, row_key
 
 AS_OF = "2001-06-01 00:00:00"
 
@@ -146,19 +146,16 @@ def purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested order lines in input order (``input_pos``)."""
-    li = read_table(spark, sf_dir, "lineitem")
-    return li.select(
-        F.concat(F.lit("PO-"), _s("l_orderkey")).alias("order_id"),
-        F.concat(F.when(F.col("l_partkey") % 10 == 0, "PRD-GONE-").otherwise("PRD-"), _s("l_partkey"))
-        .alias("product_id"),
-        F.struct("l_linenumber", row_key("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-                                         "l_extendedprice").alias("k")).alias("input_pos"),
-        F.col("l_quantity").cast(S.QTY).alias("ordered_quantity"),
-        F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(F.lit(0.0)).cast(S.QTY)
-        .alias("received_quantity"),
-    )
+def order_lines(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> DataFrame:
+    """Requested order lines in input order (``input_pos``). ``by``: see ``rendered``."""
+    return rendered(read_table(spark, sf_dir, "lineitem"), {
+        "order_id": F.concat(F.lit("PO-"), _s("l_orderkey")),
+        "product_id": F.concat(F.when(F.col("l_partkey") % 10 == 0, "PRD-GONE-").otherwise("PRD-"), _s("l_partkey")),
+        "input_pos": F.struct("l_linenumber", row_key("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                                      "l_extendedprice").alias("k")),
+        "ordered_quantity": F.col("l_quantity").cast(S.QTY),
+        "received_quantity": F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(F.lit(0.0)).cast(S.QTY),
+    }, by)
 
 
 def order_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,31 +123,39 @@ def row_key(*cols: str) -> F.Column:
     return md5_uint(_row_text(*cols), 15)
 
 
-def feed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rendered(df: DataFrame, columns: dict[str, F.Column], by: list[str] | None = None) -> DataFrame:
+    """``columns`` made of ``df``. ``by``: those that the rows come partitioned by; the rows of ``df`` meet as they
+    are read, and the columns are made behind the shuffle, in as many tasks as it has (rows grow there, so tasks are
+    not merged by the size of what was read)."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = df.repartition(tasks, *[columns[c] for c in by]) if by else df
+    return met.select(*[c.alias(name) for name, c in columns.items()])
+
+
+def feed_records(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> DataFrame:
     """Canonical partner records: one import job per (supplier, ship year),
-    jobs applied in year order."""
+    jobs applied in year order. ``by``: see ``rendered``."""
     li = read_table(spark, sf_dir, "lineitem")
     year = F.year("l_shipdate")
     own = _own_number("l_partkey", "l_suppkey")
     unit_idx = (own + F.when(F.col("l_linenumber") == 7, 1).otherwise(0)) % 4
     factor = F.when(F.col("l_linenumber") % 2 == 1, F.lit(None)).otherwise(
         F.lit(1) + own % 12 + F.when(F.col("l_linenumber") == 6, 1).otherwise(0))
-    return li.select(
-        F.concat(F.lit("JOB-"), _s("l_suppkey"), F.lit("-"), _s(year)).alias("import_job_id"),
-        year.cast("int").alias("job_seq"),
-        F.concat(F.lit("SUP-"), _s("l_suppkey")).alias("supplier_id"),
-        F.concat(F.lit("REF-"), _s(F.col("l_orderkey") % 400)).alias("source_reference"),
-        row_key("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-        .alias("source_row"),
-        F.concat(F.when(F.col("l_partkey") % 10 == 0, "NEW-").otherwise("EXT-"), _s("l_partkey")).alias("external_sku"),
-        F.concat(F.when(F.col("l_suppkey") % 25 == 7, "YARD-").otherwise("LOC-"), _s(F.col("l_suppkey") % 25))
-        .alias("external_location"),
-        F.col("l_shipdate").cast("timestamp").alias("observed_at"),
-        F.element_at(_units(), (unit_idx + 1).cast("int")).alias("source_unit"),
-        F.col("l_quantity").cast(S.QTY).alias("on_hand_quantity"),
-        (F.col("l_quantity") * F.col("l_discount")).cast(S.QTY).alias("reserved_quantity"),
-        factor.cast(S.QTY).alias("units_per_source_unit"),
-    )
+    return rendered(li, {
+        "import_job_id": F.concat(F.lit("JOB-"), _s("l_suppkey"), F.lit("-"), _s(year)),
+        "job_seq": year.cast("int"),
+        "supplier_id": F.concat(F.lit("SUP-"), _s("l_suppkey")),
+        "source_reference": F.concat(F.lit("REF-"), _s(F.col("l_orderkey") % 400)),
+        "source_row": row_key("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"),
+        "external_sku": F.concat(F.when(F.col("l_partkey") % 10 == 0, "NEW-").otherwise("EXT-"), _s("l_partkey")),
+        "external_location": F.concat(F.when(F.col("l_suppkey") % 25 == 7, "YARD-").otherwise("LOC-"),
+                                      _s(F.col("l_suppkey") % 25)),
+        "observed_at": F.col("l_shipdate").cast("timestamp"),
+        "source_unit": F.element_at(_units(), (unit_idx + 1).cast("int")),
+        "on_hand_quantity": F.col("l_quantity").cast(S.QTY),
+        "reserved_quantity": (F.col("l_quantity") * F.col("l_discount")).cast(S.QTY),
+        "units_per_source_unit": factor.cast(S.QTY),
+    }, by)
 
 
 def _own_number(part: str, supplier: str) -> F.Column:
@@ -155,16 +163,22 @@ def _own_number(part: str, supplier: str) -> F.Column:
     return F.col(part) + F.col(supplier) % 2
 
 
-def product_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+def product_map(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Active / inactive product mappings per (supplier, external SKU): one for
     every part that a supplier delivers. Suppliers share SKUs, with different
-    units and factors."""
-    li = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    units and factors. ``dealt``: the rows come partitioned by that key."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    key = {"supplier_id": F.concat(F.lit("SUP-"), _s("l_suppkey")), "external_sku": F.concat(F.lit("EXT-"), _s("l_partkey"))}
+    if dealt:
+        # The key writes the pair: pairs and keys are as many.
+        li = rendered(li, key | {c: F.col(c) for c in li.columns}, list(key)).groupBy(*key).agg(
+            *[F.any_value(c).alias(c) for c in li.columns])
+    else:
+        li = li.distinct().withColumns(key)
     own = _own_number("l_partkey", "l_suppkey")
     mix = F.col("l_partkey") * 3 + F.col("l_suppkey")
     return li.select(
-        F.concat(F.lit("SUP-"), _s("l_suppkey")).alias("supplier_id"),
-        F.concat(F.lit("EXT-"), _s("l_partkey")).alias("external_sku"),
+        *key,
         F.concat(F.lit("PRD-"), _s("l_partkey")).alias("product_id"),
         F.element_at(_units(), (own % 4 + 1).cast("int")).alias("source_unit"),
         (F.lit(1) + own % 12).cast(S.QTY).alias("units_per_source_unit"),

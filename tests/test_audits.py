@@ -65,3 +65,26 @@ def test_entries_carry_scopes_as_numbers_and_are_generated_code(spark):
         ("check", "t", "n_positive", 1), ("foreign_key", "t", "p_fk", 1), ("unique", "t", "n_unique", 1)]
     assert dict(rules.listed(spark).dtypes)["scope"] == "int"
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unique_keys_of_dealt_rows_are_counted_where_they_are(spark):
+    rows = [(i % 40, f"x{i % 7}" if i % 9 else None) for i in range(300)] + [(None, "x1"), (None, "x1")]
+    df = spark.createDataFrame(rows, "a int, b string").repartition(5, "a")
+    unique = [("t", "ab_unique", ["a", "b"]), ("t", "b_unique", ["b"])]
+    plain, dealt = (audits.Rules({}, unique, [], by) for by in (None, {"t": ["a"]}))
+    assert dealt.together("t") == {"ab_unique": "_n_ab_unique"} and plain.together("t") == {}
+    found = [audits.violations(spark, rules, {"t": df}.__getitem__) for rules in (plain, dealt)]
+    groups = len({r for r in rows if None not in r and rows.count(r) > 1})
+    assert [sorted((r.rule, r.violations) for r in f.collect()) for f in found] == [[("ab_unique", groups), ("b_unique", 7)]] * 2
+    plan = found[1]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning(a") == 1 and plan.count("Exchange hashpartitioning(scope") == 2
+
+
+def test_audited_tables_of_line_items_come_dealt(spark):
+    """Numbered and mapped rows are shuffled once, as they are read; their declared keys hold what they are dealt by."""
+    tables = q_audits.Tables(spark, "/root/testdata/sf0.001", ("unique",))
+    for name in ("purchase_order_lines", "supplier_product_mappings"):
+        rules = audits.Rules({}, [u for u in q_audits.UNIQUES if u[0] == name], [], q_audits.DEALT)
+        assert set(rules.together(name)) == {rule for _, rule, _ in rules.unique}
+        plan = rules.counted(name, tables[name])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan, plan
